@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, url_filter
+from . import decontaminate, embedding_dedup, packing, url_filter, warc
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op7_packing": packing.op7_packing,
+    "op8_warc": warc.op8_warc,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
     "op5_url_filters": url_filter.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
