@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, packing, url_filter, warc
+from . import decontaminate, embedding_dedup, ngram_lm, packing, quality, toxicity, url_filter, warc
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_url_filters": url_filter.op5_url_filters,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_packing": packing.op7_packing,
     "op8_warc": warc.op8_warc,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+    "op10_lm_scoring": ngram_lm.op10_lm_scoring,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE_SQL,
