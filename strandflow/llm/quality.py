@@ -60,21 +60,6 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return np.column_stack(out).astype(np.float64)
 
 
-def describe(documents: DataFrame, also: tuple[str, ...]) -> DataFrame:
-    """(also..., stats binary) of each row of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text"):
-                x = statistics(b.column(0)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r.tobytes() for r in x], pa.binary())], names=[*b.schema.names[1:], "stats"])
-
-    from pyspark.sql.types import BinaryType, StructType
-
-    given = documents.select("text", *also)
-    return given.mapInArrow(run, StructType(given.schema.fields[1:]).add("stats", BinaryType()))
-
-
 def matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(len(col), len(STATISTICS)).astype(np.float64)
 
@@ -112,10 +97,20 @@ class Model:
         return np.clip(np.interp(self.raw(x), self.at, self.value), 0, 1)
 
 
-def train(described: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Model:
-    """described: (doc_id, stats). With no labelled row every score is 0.5; with one class, its smoothed share."""
+def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Model:
+    """documents: doc_id and text, of which only sampled labelled rows are described. With no labelled row every score is 0.5;
+    with one class the calibration gives its share."""
     chosen = sample_labels(labels, label, F.lit(True) if usable is None else usable, sample)
-    rows = staged(described.select("doc_id", "stats").join(F.broadcast(chosen), "doc_id").select((remainder(F.col("doc_id"), 1 << 31) % 5).alias("fifth"), "stats", "y").coalesce(PARTS), "quality-sample")
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text"):
+                x = statistics(b.column(0)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r.tobytes() for r in x], pa.binary())], names=["fifth", "y", "stats"])
+
+    fifth = (remainder(F.col("doc_id"), 1 << 31) % 5).alias("fifth")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", fifth, "y")
+    rows = staged(found.mapInArrow(describe, "fifth int, y double, stats binary"), "quality-sample").coalesce(PARTS)
     dim = len(STATISTICS)
     rng = np.random.default_rng(SEED)
     m = Model(np.zeros(dim), np.ones(dim), rng.standard_normal((dim, RANDOM_FEATURES)) / np.sqrt(dim), rng.uniform(0, 2 * np.pi, RANDOM_FEATURES), np.zeros(RANDOM_FEATURES + dim + 1), np.zeros(1), np.array([0.5]))
@@ -160,27 +155,26 @@ def train(described: DataFrame, labels: DataFrame, label: str = "quality", usabl
     return m
 
 
-def score(described: DataFrame, model: Model, also: tuple[str, ...]) -> DataFrame:
-    """(also..., score) of each row of described."""
+def score(documents: DataFrame, model: Model, also: tuple[str, ...], name: str = "score") -> DataFrame:
+    """(also..., name) of each row of documents, scored by its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(matrix(b.column(0))))], names=[*b.schema.names[1:], "score"])
+        for batch in batches:
+            for b in slices(batch, "_text"):
+                x = statistics(b.column(0)).astype(np.float32).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(x))], names=[*b.schema.names[1:], name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    given = described.select("stats", *also)
-    return given.mapInArrow(run, StructType(given.schema.fields[1:]).add("score", DoubleType()))
+    given = documents.select(F.col("text").alias("_text"), *also)
+    return given.mapInArrow(run, StructType(given.schema.fields[1:]).add(name, DoubleType()))
 
 
-def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of documents; repeated rows are scored each."""
-    docs = documents.select("doc_id", "text", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
-    described = staged(describe(docs, ("doc_id", "held_out")), "quality-statistics")
-    model = train(described, labels, "quality", remainder(F.col("doc_id"), 4) != 2)
-    return score(described, model, ("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    return train(documents, labels, "quality", remainder(F.col("doc_id"), 4) != 2)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

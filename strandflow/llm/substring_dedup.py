@@ -12,7 +12,7 @@
 
 Documents move in packed, compressed groups by a hash of their id. All hashes are of 64 bits, of words and of runs of words.
 doc_id names one document; rows with the same id count as one. Rows with a null id and null or empty texts lose
-nothing. Columns other than the two are not read.
+nothing. Columns other than the two, and those asked to be carried, are not read.
 """
 
 from __future__ import annotations
@@ -271,8 +271,8 @@ def later_spans(cut: DataFrame, groups: int) -> DataFrame:
     return cut.groupBy("shard").applyInArrow(index, _PAIR)
 
 
-def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans[, kept_text]) of each row of documents.
+def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """(also..., doc_id, n_words, n_removed, kept_sha256, spans[, kept_text]) of each row of documents; also: columns to carry.
 
     spans: the (first word, end word) ranges removed. kept_text: the kept words joined by a space, or the text as it was
     where nothing goes. Every word of every text counts, a document of fewer than WINDOW words loses nothing."""
@@ -284,9 +284,9 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     anchors = staged(repeated_anchors(docs, parts, groups), "anchors")
     places = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(4 * partitions(spark), places * (2 * WINDOW - ANCHOR) // SHARD_WORDS)
-    packed = pack_documents(docs, groups)
-    cut = segments(packed.union(anchors.select("shard", "kind", "run")), shards)
+    cut = segments(pack_documents(docs, groups).union(anchors.select("shard", "kind", "run")), shards)
     spans = staged(later_spans(cut, groups), "spans")
+    carried = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(also)))
 
     def remove(t: pa.Table) -> pa.Table:
         parts_ = [unpack_arrays(raw.as_py()) for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True) if kind == 3]
@@ -295,7 +295,9 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
         order = np.lexsort((s, d))
         d, s, e = d[order], s[order], (s + n)[order]
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text")}
+        rest: list[pa.RecordBatch] = []
         for b in unpack_documents(t):
+            rest.append(b.select(list(range(2, b.num_columns))))
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = x.as_buffer().to_pybytes() if x.is_valid else b""
                 words = raw.split()  # bytes split at exactly 0x20 and 0x09 to 0x0D
@@ -320,12 +322,22 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 out["spans"].append([{"start": a, "stop": z} for a, z in gone])
                 out["kept_text"].append((joined.decode() if gone else x.as_py()) if with_text else None)
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), "kept_text": pa.string()}
-        return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
-
-    everything = pack_documents(docs, groups).union(spans)
-    done = everything.groupBy("shard").applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept_text string")
-    done = done.withColumnRenamed("doc_id", doc_id)
-    return done if with_text else done.drop("kept_text")
+        found = [pa.array(v, types[k]) for k, v in out.items()]
+        if also and not rest:  # spans without documents cannot be; a group without rows gives none
+            return pa.table([*(pa.array([], x) for x in also_types), *found], names=names)
+        columns = [pa.Table.from_batches(rest).column(k) for k in range(len(also))] if also else []
+        return pa.table([*columns, *found], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    fields = carried.schema.fields[2:]
+    also_types = [to_arrow_type(f.dataType) for f in fields]
+    schema = StructType([*fields, *_parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept_text string").fields])
+    names = schema.names
+    done = pack_documents(carried, groups).union(spans).groupBy("shard").applyInArrow(remove, schema)
+    results = ["n_words", "n_removed", "kept_sha256", "spans", *(["kept_text"] if with_text else [])]
+    return done.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(also)), F.col("doc_id").alias(doc_id), *results)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
