@@ -178,7 +178,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     spark = pieces.sparkSession
     columns = pieces.columns
     ok = F.assert_true(F.coalesce(F.col(length).between(1, capacity), F.lit(False)), F.lit("a piece's length must be from 1 to the capacity"))
-    ranged = pieces.withColumn("_ok", ok).where("_ok is null").drop("_ok").repartitionByRange(partitions(spark), length, *order).sortWithinPartitions(length, *order)
+    # range partitioning reads its input twice, so the pieces are written first
+    ranged = staged(pieces, "pieces").withColumn("_ok", ok).where("_ok is null").drop("_ok").repartitionByRange(partitions(spark), length, *order).sortWithinPartitions(length, *order)
     row = F.monotonically_increasing_id()
     ranged = staged(ranged.withColumn("_task", F.shiftright(row, 33).cast("int")).withColumn("_row", row.bitwiseAND((1 << 33) - 1)), "ranged-pieces")
     # range-sorted, so at most (tasks + lengths) rows from here
