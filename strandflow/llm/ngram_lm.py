@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix, new_path, partitions, slices, split_words, staged, table
 from .warc import open_fs
 
-PAIRS, SALTS, BYTES_A_SHARD, FULL = 4_000_000, 3, 4 << 20, 255
+PAIRS, SALTS, BYTES_A_SHARD, FULL = 2_000_000, 3, 4 << 20, 255
 BEGIN, END = U64(0x51A7B05E00000001), U64(0x51A7E0D500000002)
 
 
@@ -236,7 +237,7 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "run"])
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 2 << 20):
                 u, v, _ = token_pairs(split_words(b.column(0), lower=True))
                 for at in range(0, len(u), PAIRS):  # a very long text too
                     us.append(u[at : at + PAIRS])
@@ -291,14 +292,18 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
         cols = [np.add.reduceat(np.concatenate([p[c] for p in parts]).astype(np.int64)[order], first) for c in range(1, 6)]
         keys = keys[order][first]
         _save(folder, f"words-{to}", keys, cols[0], *(c.astype(np.int32) for c in cols[1:]))
-        m = _tally(cols[4])
-        return pa.table({"to": pa.array([to], pa.int32()), "words": [len(keys)], "tokens": [int(cols[0].sum())], "all_continuations": [int(cols[4].sum())], "seen": [int((cols[4] > 0).sum())], **{f"m{k + 1}": [m[k]] for k in range(4)}})
+        # what pair shards said of themselves came along with the first of their runs and goes on as it is
+        said = t.filter(pc.greater(t.column("pairs"), 0)).select(["shard", "pairs", "high", "n1", "n2", "n3", "n4"])
+        own = pa.table({"to": pa.array([to], pa.int32()), "words": [len(keys)], "tokens": [int(cols[0].sum())], "all_continuations": [int(cols[4].sum())], "seen": [int((cols[4] > 0).sum())], **{f"m{k}": [n] for k, n in enumerate(_tally(cols[4]), 1)}})
+        both = pa.concat_tables([said, own], promote_options="default")
+        return both.select(["shard", "pairs", "high", "n1", "n2", "n3", "n4", "to", "words", "tokens", "all_continuations", "seen", "m1", "m2", "m3", "m4"])
 
     sent = rows.mapInArrow(count, "shard int, run binary")
-    pairs = staged(sent.groupBy("shard").applyInArrow(merge, "shard int, pairs long, high long, n1 long, n2 long, n3 long, n4 long, to int, run binary"), "lm-pairs")
-    words = staged(pairs.select("to", "run").groupBy("to").applyInArrow(merge_words, "to int, words long, tokens long, all_continuations long, seen long, m1 long, m2 long, m3 long, m4 long"), "lm-words")
-    per_shard = pairs.where("pairs > 0").groupBy("shard").agg(F.sum("pairs").alias("pairs"), F.sum("high").alias("high"), *(F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4))).collect()
-    per_word_shard = words.collect()
+    sizes = "shard int, pairs long, high long, n1 long, n2 long, n3 long, n4 long"
+    pairs = sent.groupBy("shard").applyInArrow(merge, f"{sizes}, to int, run binary")
+    words = staged(pairs.groupBy("to").applyInArrow(merge_words, f"{sizes}, to int, words long, tokens long, all_continuations long, seen long, m1 long, m2 long, m3 long, m4 long"), "lm-words")
+    # a row for each shard and each word shard
+    per_shard, per_word_shard = words.where("shard is not null").collect(), words.where("to is not null").collect()
     total = lambda rows, c: sum(r[c] for r in rows)
     d = discounts(*(total(per_shard, f"n{k}") for k in (1, 2, 3, 4)))
     m = [total(per_word_shard, f"m{k}") for k in (1, 2, 3, 4)]
@@ -317,7 +322,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 2 << 20):
                 u, v, row = token_pairs(split_words(b.column(0), lower=True))
                 keys, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
                 w = model.words(keys)
