@@ -155,7 +155,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, row, first)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes of text; a longer single row is a run."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(sizes)])

@@ -104,7 +104,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 x = statistics(b.column(0)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([r.tobytes() for r in x], pa.binary())], names=["fifth", "y", "stats"])
 
@@ -156,18 +156,20 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
 
 
 def score(documents: DataFrame, model: Model, also: tuple[str, ...], name: str = "score") -> DataFrame:
-    """(also..., name) of each row of documents, scored by its whole text."""
+    """(also..., name) of each row of documents, scored by its whole text. The text moves to Python once, also where it is kept."""
+    others = [c for c in also if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "_text"):
+            for b in slices(batch, "_text", 1 << 20):
                 x = statistics(b.column(0)).astype(np.float32).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.scores(x))], names=[*b.schema.names[1:], name])
+                kept = [b.column(0) if c == "text" else b.column(1 + others.index(c)) for c in also]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.scores(x))], names=[*also, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    given = documents.select(F.col("text").alias("_text"), *also)
-    return given.mapInArrow(run, StructType(given.schema.fields[1:]).add(name, DoubleType()))
+    given = documents.select(F.col("text").alias("_text"), *others)
+    return given.mapInArrow(run, StructType([documents.schema[c] for c in also]).add(name, DoubleType()))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
