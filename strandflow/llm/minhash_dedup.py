@@ -4,13 +4,12 @@ Each permutation keeps its minimum and its maximum, so PERMUTATIONS hash evaluat
 signature values; BAND values in a row are a band. Documents with equal sets are one class first (a 128-bit sum over the
 set), so a group of copies is one row from there on.
 
-Links are sought in rounds that never emit all pairs of a bucket. Round 1 confirms each class against the smallest
-class it shares a bucket with, and joins what is confirmed. Then only buckets that still hold several components matter: they
-are cut into blocks, pairs of blocks are units of work, and a unit compares signatures of classes in different
-components. Round 2 confirms each class's most similar partner in a unit; round 3 confirms every pair
-left whose signatures agree within ESTIMATE of a similar pair's. Pairs inside a component need no more links.
-A pair at the threshold shares no band with probability of about (1 - 0.75^4)^30 = 1e-5, less above it, and is
-estimated too low with less than 1e-6.
+Links are sought in two rounds that never emit all pairs of a bucket. Round 1 confirms each class against the smallest class it
+shares a bucket with, and joins what is confirmed. Then only buckets that still hold several components matter: they are cut
+into blocks, pairs of blocks are units of work, and a unit counts the exact intersections of the full sets of its classes by
+a matrix product over the shingles that two or more of them have. It returns a spanning forest of the links it finds between
+different components; pairs inside a component need no more links.
+A pair at the threshold shares no band with probability of about (1 - 0.75^4)^30 = 1e-5, less above it.
 """
 
 from __future__ import annotations
@@ -22,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, components, mix, ngrams, same_row, slices, split_words, staged, table
+from .common import U64, components, local_links, mix, ngrams, same_row, slices, split_words, staged, table
 
-WORDS, PERMUTATIONS, BAND, PERCENT, ESTIMATE, BLOCK, SEED = 5, 60, 4, 75, 0.55, 512, 5
+WORDS, PERMUTATIONS, BAND, PERCENT, BLOCK, COLUMNS, SEED = 5, 60, 4, 75, 768, 2048, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, PERMUTATIONS, np.uint64) * U64(2) + U64(1)
 
 
@@ -79,25 +78,23 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sketch, keys) of each document."""
+    """(doc_id, n_shingles, f1, f2, keys) of each document: set size, 128-bit sum over the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text"):
                 g, bounds = shingle_sets(b.column(1))
                 n = np.diff(bounds)
-                s = signatures(g, bounds)
-                k = bands(s)
+                k = bands(signatures(g, bounds))
                 k[n == 0] = 0
                 sums = []
                 for c in (0x243F6A8885A308D3, 0x13198A2E03707344):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(g ^ U64(c)))])
                     sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                short = (s >> U64(48)).astype(np.uint16)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32)), pa.array(k.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, sums), pa.array([x.tobytes() for x in short], pa.binary()), keys], names=["doc_id", "n_shingles", "f1", "f2", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *map(pa.array, sums), keys], names=["doc_id", "n_shingles", "f1", "f2", "keys"])
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, keys array<long>")
+    return documents.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def full_sets(documents: DataFrame) -> DataFrame:
@@ -137,38 +134,49 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def rivals(members: DataFrame, joined: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are in different components and have alike signatures: each
-    class's best pair in each unit, or every pair. members: (key, rep); joined: (node, component)."""
+def linked(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b), a of left and b of right, in different components whose sets have 100 * intersection >= percent * union."""
+    n = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    both = np.zeros((len(left), len(right)), np.float32)  # counts under 2^24 are exact
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        dense = np.zeros((len(sets), COLUMNS), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        both += dense[left] @ dense[right].T
+    ok = (100 * both.astype(np.float64) >= percent * (n[left][:, None] + n[right][None, :] - both.astype(np.float64))) & (component[left][:, None] != component[right][None, :])
+    a, b = np.nonzero(ok)
+    return left[a], right[b]
+
+
+def bridges(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between different components, enough to join them. members: (key, rep); joined: (node, component)."""
     m = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     m = m.join(open_keys.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("rep", "component", F.concat_ws("/", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("alone"))
-    units = m.join(sketches.select("rep", "n_shingles", "sketch"), "rep")
+    units = m.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, comp, n = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
-        alone, right = t.column("alone")[0].as_py(), t.column("right").to_numpy()
-        rows, others = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(~right), np.flatnonzero(right))
-        a, b = [], []
-        for i in rows:
-            js = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
-            if alone:
-                js = js[js > i] if every else js
-            if not len(js):
-                continue
-            like = (s[js] == s[i]).mean(1)
-            keep = np.flatnonzero(like >= ESTIMATE)
-            if not every and len(keep):
-                keep = keep[[np.argmax(like[keep])]]
-            b.append(ids[js[keep]])
-            a.append(np.full(len(keep), ids[i]))
-        a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return units.groupBy("unit").applyInArrow(compare, "a long, b long").distinct()
+        ids, component, right = (t.column(c).to_numpy() for c in ("rep", "component", "right"))
+        left, other = (np.arange(len(ids)),) * 2 if t.column("alone")[0].as_py() else (np.flatnonzero(~right), np.flatnonzero(right))
+        a = b = np.zeros(0, np.int64)
+        if len(left) and len(other) and component.min() < component.max():
+            a, b = linked([np.frombuffer(x.as_buffer(), U64) for c in t.column("shingles").chunks for x in c], component, left, other)
+            if len(a):
+                a, b = local_links(a, b)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return units.groupBy("unit").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,7 +187,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = staged(sketch(docs), "sketches")
     full = sketches.where("n_shingles > 0")
-    classes = staged(full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "keys")).alias("first")).select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("rep"), "first.sketch", "first.keys"), "sketch-classes")
+    classes = staged(full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("first")).select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("rep"), "first.keys"), "sketch-classes")
     keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     members = staged(keyed.join(shared, "key"), "bucket-members")
@@ -187,10 +195,8 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = staged(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingle-sets")
     links = staged(confirmed(stars, sets), "links")
     joined = components(links, "components")
-    for every in (False, True):
-        pairs = staged(rivals(members.select("key", "rep"), joined, classes, every), "rivals")
-        links = staged(links.union(confirmed(pairs, sets)), "links")
-        joined = components(links, "components")
+    more = staged(bridges(members.select("key", "rep"), joined, sets), "bridges")
+    joined = components(links.union(more), "components")
     named = classes.select("f1", "f2", "n_shingles", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
     component = F.coalesce("component", "rep", "doc_id")
