@@ -29,7 +29,7 @@ def fasta_two_line(spark: SparkSession, path: str) -> DataFrame:
     """(row, header, seq) of a strict header-line, sequence-line file up to its first blank line; row is the record's place.
 
     The format has meaning only in file order, so one task reads one file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
     cut = F.when(F.array_position("l", "") > 0, F.slice("l", 1, (F.array_position("l", "") - 1).cast("int"))).otherwise(F.col("l"))
     n = F.floor(F.size("l") / 2).cast("int")
     pairs = lines.select(cut.alias("l")).where(F.size("l") >= 2).select(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("l", i * 2).alias("h"), F.get("l", i * 2 + 1).alias("s"))).alias("p"))
@@ -135,7 +135,7 @@ def line_set(spark: SparkSession, path, name: str = "value") -> DataFrame:
 
 def aligner_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(row, hits) of `SQ ... / EM ... //` blocks in file order: the EM line's fields, or null where the block has none."""
-    text = spark.read.option("wholetext", True).text(path).select(F.filter(F.split(F.regexp_replace("value", "\r", ""), "//\n?"), lambda b: F.contains(b, F.lit("SQ"))).alias("b"))
+    text = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.regexp_replace("value", "\r", ""), "//\n?"), lambda b: F.contains(b, F.lit("SQ"))).alias("b"))
     rows = text.select(F.posexplode("b").alias("row", "block"))
     return rows.select("row", F.nullif(F.trim(F.regexp_extract("block", r"(?m)^EM\s+(.*)$", 1)), F.lit("")).alias("hits"))
 
