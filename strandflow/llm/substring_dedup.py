@@ -279,11 +279,11 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(8 * partitions(spark), size // (16 << 20))
-    groups = max(2 * partitions(spark), size // GROUP_BYTES)
+    parts = max(2 * partitions(spark), size // (16 << 20))
+    groups = max(partitions(spark), size // GROUP_BYTES)
     anchors = staged(repeated_anchors(docs, parts, groups), "anchors")
     places = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(4 * partitions(spark), places * (2 * WINDOW - ANCHOR) // SHARD_WORDS)
+    shards = max(2 * partitions(spark), places * (2 * WINDOW - ANCHOR) // SHARD_WORDS)
     cut = segments(pack_documents(docs, groups).union(anchors.select("shard", "kind", "run")), shards)
     spans = staged(later_spans(cut, groups), "spans")
     carried = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(also)))
