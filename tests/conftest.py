@@ -27,8 +27,10 @@ def rows(df):
     """Rows in a comparable form: columns by name, numbers rounded, order dropped."""
     import math
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         if isinstance(v, bool):
             return int(v)
