@@ -139,10 +139,10 @@ def w06(s, d):
     return R.stratified_folds(P.table(s, d, "labels").select("doc_id", C("quality").alias("y")), "y", "doc_id", 5).select("doc_id", "fold")
 
 
-@query("w07_index_in_group", v("peaks", "SELECT name, row_number() OVER (PARTITION BY strand ORDER BY name) - 1 AS k FROM peaks WHERE chrom = 'chr5'"))
+@query("w07_index_in_group", v("peaks", "SELECT name, row_number() OVER (PARTITION BY chrom, strand ORDER BY name) - 1 AS k FROM peaks"))
 def w07(s, d):
-    w = Window.partitionBy("strand").orderBy("name")
-    return P.peaks(s, d).where("chrom = 'chr5'").select("name", (F.row_number().over(w) - 1).cast("bigint").alias("k"))
+    w = Window.partitionBy("chrom", "strand").orderBy("name")
+    return P.peaks(s, d).select("name", (F.row_number().over(w) - 1).cast("bigint").alias("k"))
 
 
 @query("l07_fold_rotation", v("", _FOLD + ", i AS (SELECT unnest(range(0, 5)) AS split) SELECT doc_id, split::INT AS split, CASE ((fold - 1 - split) % 5 + 5) % 5 WHEN 3 THEN 'valid' WHEN 4 THEN 'test' ELSE 'train' END AS role FROM z, i"))
@@ -160,9 +160,9 @@ def u01(s, d):
     return P.peaks(s, d).select("chrom", "start", "end").unionByName(P.promoters(s, d).select("chrom", "start", "end"))
 
 
-@query("u02_labelled_union", v("peaks promoters", "SELECT name, 1 AS label FROM promoters UNION ALL SELECT name, 0 FROM peaks WHERE chrom = 'chr2'"))
+@query("u02_labelled_union", v("peaks promoters", "SELECT name, 1 AS label FROM promoters UNION ALL SELECT name, 0 FROM peaks"))
 def u02(s, d):
-    return P.promoters(s, d).select("name", F.lit(1).alias("label")).unionByName(P.peaks(s, d).where("chrom = 'chr2'").select("name", F.lit(0).alias("label")))
+    return P.promoters(s, d).select("name", F.lit(1).alias("label")).unionByName(P.peaks(s, d).select("name", F.lit(0).alias("label")))
 
 
 @query("u03_both_strands", v("genome", "SELECT chrom, md5(seq) AS digest FROM genome UNION ALL SELECT 'rc_' || chrom, md5(reverse(translate(seq, 'ACTGN', 'TGACN'))) FROM genome"))
@@ -172,10 +172,10 @@ def u03(s, d):
     return corpus.both_strands(P.genome(s, d)).select("chrom", F.md5("seq").alias("digest"))
 
 
-@query("u04_named_append", v("peaks", "SELECT 'g_' || chrom || '_test' AS name FROM peaks WHERE chrom = 'chr8' UNION ALL SELECT 'g_' || chrom || '_train' FROM peaks WHERE chrom = 'chr9'"))
+@query("u04_named_append", v("peaks", "SELECT 'g_' || chrom || '_test' AS name FROM peaks WHERE chrom = 'chr8' UNION ALL SELECT 'g_' || chrom || '_train' FROM peaks WHERE chrom <> 'chr8'"))
 def u04(s, d):
     p = P.peaks(s, d)
-    return p.where("chrom = 'chr8'").select(F.concat(F.lit("g_"), "chrom", F.lit("_test")).alias("name")).union(p.where("chrom = 'chr9'").select(F.concat(F.lit("g_"), "chrom", F.lit("_train")).alias("name")))
+    return p.where("chrom = 'chr8'").select(F.concat(F.lit("g_"), "chrom", F.lit("_test")).alias("name")).union(p.where("chrom <> 'chr8'").select(F.concat(F.lit("g_"), "chrom", F.lit("_train")).alias("name")))
 
 
 @query("u05_index_difference", "SELECT n_nationkey, len(list_filter(range(0, 20), lambda i: i % (n_nationkey % 5 + 2) <> 0))::INT AS n FROM nation")

@@ -115,11 +115,11 @@ def g08(s, d):
     return datasets.peak_regression(_gp(s, d), P.genome(s, d).select("chrom", "len"), 150, 16, (4, 4), "g08", _TEST, _VALID)
 
 
-@query("g09_context_extension", v("genome", "SELECT chrom AS id, CASE WHEN length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len THEN substr(seq, greatest(len // 2 - 100, 0) + 1, 200) ELSE substr(seq, 1, 60) END AS seq, length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len AS mapped FROM genome"))
+@query("g09_context_extension", v("genome", "SELECT chrom AS id, CASE WHEN length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len THEN substr(seq, greatest(len // 2 - 100, 0) + 1, 200) ELSE seq END AS seq, length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len AS mapped FROM genome"))
 def g09(s, d):
     g = P.genome(s, d)
     hits = g.where("length(chrom) % 2 = 0").select(C("chrom").alias("id"), "chrom", F.expr("len div 2").alias("mid"))
-    return datasets.extended_context(g.select(C("chrom").alias("id"), F.substring("seq", 1, 60).alias("seq")), hits, intervals.tile(g), 200)
+    return datasets.extended_context(g.select(C("chrom").alias("id"), "seq"), hits, intervals.tile(g), 200)
 
 
 @query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv WHERE name % 2 = length(chrom) % 2), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))

@@ -138,9 +138,9 @@ def p21(s, d):
     return P.genome(s, d).where((F.col("len") > 2000) & (F.col("len") < 1_800_000_000)).select("chrom", "len")
 
 
-@query("p22_pack_columns", v("pairs", "SELECT grp, array_to_string(list_transform([x, y / 1000], lambda z: floor(z)::BIGINT), ',') AS packed FROM pairs WHERE grp < 3"))
+@query("p22_pack_columns", v("pairs", "SELECT grp, array_to_string(list_transform([x, y / 1000], lambda z: floor(z)::BIGINT), ',') AS packed FROM pairs"))
 def p22(s, d):
-    return P.pairs(s, d).where("grp < 3").select("grp", F.array_join(F.transform(F.array("x", F.col("y") / 1000), lambda z: F.floor(z).cast("string")), ",").alias("packed"))
+    return P.pairs(s, d).select("grp", F.array_join(F.transform(F.array("x", F.col("y") / 1000), lambda z: F.floor(z).cast("string")), ",").alias("packed"))
 
 
 @query("p23_list_to_ints", v("promoters", "SELECT name, list_transform(list_filter(string_split(\"start\" || ',' || \"end\" || ',', ','), lambda x: x <> ''), lambda x: x::BIGINT)[2] AS x2 FROM promoters"))

@@ -18,9 +18,9 @@ def f01(s, d):
     return P.genome(s, d).select("chrom", F.md5(seq.revcomp(C("seq"))).alias("rc"))
 
 
-@query("f02_revcomp_iupac", "SELECT doc_id, md5(reverse(translate(text, 'ACGTUMRWSYKVHDBNacgtumrwsykvhdbn', 'TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn'))) AS rc FROM documents WHERE lang = 'en'")
+@query("f02_revcomp_iupac", "SELECT doc_id, md5(reverse(translate(text, 'ACGTUMRWSYKVHDBNacgtumrwsykvhdbn', 'TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn'))) AS rc FROM documents")
 def f02(s, d):
-    return P.table(s, d, "documents").where("lang = 'en'").select("doc_id", F.md5(seq.revcomp_iupac(C("text"))).alias("rc"))
+    return P.table(s, d, "documents").select("doc_id", F.md5(seq.revcomp_iupac(C("text"))).alias("rc"))
 
 
 _BINS = "list_transform(range(0, (length(seq) + 127) // 128), lambda i: substr(seq, i * 128 + 1, 128))"
@@ -36,28 +36,28 @@ def f04(s, d):
     return P.genome(s, d).select("chrom", seq.cut(C("seq"), F.lit(10).cast("bigint"), F.lit(100).cast("bigint")).alias("x"))
 
 
-@query("f05_upper", v("tiles", "SELECT chrom, tile_idx, upper(lower(seq)) AS x FROM tiles WHERE tile_idx < 2"))
+@query("f05_upper", v("tiles", "SELECT chrom, tile_idx, upper(lower(seq)) AS x FROM tiles"))
 def f05(s, d):
-    return P.tiles(s, d).where("tile_idx < 2").select("chrom", "tile_idx", F.upper(F.lower("seq")).alias("x"))
+    return P.tiles(s, d).select("chrom", "tile_idx", F.upper(F.lower("seq")).alias("x"))
 
 
-@query("f06_strip_n", v("tiles", "SELECT chrom, tile_idx, ltrim(x, 'N') AS l, trim(x, 'N') AS b FROM (SELECT *, 'NN' || seq || 'N' AS x FROM tiles WHERE tile_idx < 3)"))
+@query("f06_strip_n", v("tiles", "SELECT chrom, tile_idx, ltrim(x, 'N') AS l, trim(x, 'N') AS b FROM (SELECT *, 'NN' || seq || 'N' AS x FROM tiles)"))
 def f06(s, d):
     x = F.concat(F.lit("NN"), "seq", F.lit("N"))
-    return P.tiles(s, d).where("tile_idx < 3").select("chrom", "tile_idx", seq.strip_n(x, False).alias("l"), seq.strip_n(x).alias("b"))
+    return P.tiles(s, d).select("chrom", "tile_idx", seq.strip_n(x, False).alias("l"), seq.strip_n(x).alias("b"))
 
 
-@query("f07_one_hot", v("tiles", "x AS (SELECT chrom, tile_idx, unnest(string_split(seq, '')) AS c FROM tiles WHERE tile_idx = 0) SELECT chrom, count(*) FILTER (WHERE c = 'A') AS na, count(*) FILTER (WHERE c = 'C') AS nc, count(*) FILTER (WHERE c = 'G') AS ng, count(*) FILTER (WHERE c = 'T') AS nt, count(*) AS n FROM x GROUP BY chrom"))
+@query("f07_one_hot", v("tiles", "x AS (SELECT chrom, tile_idx, unnest(string_split(seq, '')) AS c FROM tiles) SELECT chrom, tile_idx, count(*) FILTER (WHERE c = 'A') AS na, count(*) FILTER (WHERE c = 'C') AS nc, count(*) FILTER (WHERE c = 'G') AS ng, count(*) FILTER (WHERE c = 'T') AS nt, count(*) AS n FROM x GROUP BY chrom, tile_idx"))
 def f07(s, d):
-    h = P.tiles(s, d).where("tile_idx = 0").select("chrom", seq.one_hot(C("seq")).alias("h"))
+    h = P.tiles(s, d).select("chrom", "tile_idx", seq.one_hot(C("seq")).alias("h"))
     n = lambda k: F.size(F.filter("h", lambda r: r[k])).cast("bigint")
-    return h.select("chrom", n(0).alias("na"), n(1).alias("nc"), n(2).alias("ng"), n(3).alias("nt"), F.size("h").cast("bigint").alias("n"))
+    return h.select("chrom", "tile_idx", n(0).alias("na"), n(1).alias("nc"), n(2).alias("ng"), n(3).alias("nt"), F.size("h").cast("bigint").alias("n"))
 
 
-@query("f08_one_hot_decode", v("tiles", "SELECT chrom, tile_idx, seq AS x FROM tiles WHERE tile_idx < 2"))
+@query("f08_one_hot_decode", v("tiles", "SELECT chrom, tile_idx, seq AS x FROM tiles"))
 def f08(s, d):
     rows = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: F.array(*((c == b).cast("int") for b in seq.DECODE_ORDER)))
-    return P.tiles(s, d).where("tile_idx < 2").select("chrom", "tile_idx", seq.one_hot_decode(rows).alias("x"))
+    return P.tiles(s, d).select("chrom", "tile_idx", seq.one_hot_decode(rows).alias("x"))
 
 
 @query("f09_bins", v("genome", "x AS (SELECT chrom, unnest(range(0, (len + 127) // 128)) AS i, seq FROM genome) SELECT chrom, i::INT AS bin, substr(seq, i * 128 + 1, 128) AS piece FROM x"))

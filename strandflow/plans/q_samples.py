@@ -92,11 +92,11 @@ def l12(s, d):
     return S.uniform_chunks(P.genome(s, d), 2, 100, "uni").select("chrom", "try", "chunk")
 
 
-@query("l13_suffix_order", "SELECT 'part-' || p_partkey || '.tfr' AS file, row_number() OVER (ORDER BY p_partkey) AS k FROM part WHERE p_partkey <= 120")
+@query("l13_suffix_order", "SELECT 'part-' || p_partkey || '.tfr' AS file, row_number() OVER (ORDER BY p_partkey) AS k FROM part")
 def l13(s, d):
     from pyspark.sql import Window
 
-    f = P.table(s, d, "part").where("p_partkey <= 120").select(F.concat(F.lit("part-"), C("p_partkey").cast("string"), F.lit(".tfr")).alias("file"))
+    f = P.table(s, d, "part").select(F.concat(F.lit("part-"), C("p_partkey").cast("string"), F.lit(".tfr")).alias("file"))
     n = F.regexp_extract("file", r"([0-9]+)\.tfr$", 1).cast("int")
     return f.select("file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(n)).cast("bigint").alias("k"))
 
@@ -109,9 +109,9 @@ def l14(s, d):
 _B = [f"struct_pack(u := {hs(repr('blk'), repr('pick'), 'chrom', repr(str(k)))}, k := {k})" for k in range(20)]
 
 
-@query("f11_block_shuffle", v("genome", f"g AS (SELECT chrom, substr(seq, 1, 200) AS s FROM genome WHERE len >= 200), p AS (SELECT chrom, s, list_transform(list_sort([{', '.join(_B)}])[1:12], lambda x: x.k) AS picked FROM g), q AS (SELECT *, list_sort(picked) AS places FROM p) SELECT chrom, array_to_string(list_transform(range(0, 20), lambda k: CASE WHEN list_contains(places, k::INT) THEN substr(s, (picked[list_position(places, k::INT)] * 10 + 1)::BIGINT, 10) ELSE substr(s, k * 10 + 1, 10) END), '') AS x FROM q"))
+@query("f11_block_shuffle", v("genome", f"g AS (SELECT chrom, substr(seq, 1, len // 20 * 20) AS s FROM genome WHERE len >= 20), p AS (SELECT chrom, s, list_transform(list_sort([{', '.join(_B)}])[1:12], lambda x: x.k) AS picked FROM g), q AS (SELECT *, list_sort(picked) AS places FROM p) SELECT chrom, array_to_string(list_transform(range(0, 20), lambda k: CASE WHEN list_contains(places, k::INT) THEN substr(s, (picked[list_position(places, k::INT)] * (length(s) // 20) + 1)::BIGINT, length(s) // 20) ELSE substr(s, k * (length(s) // 20) + 1, length(s) // 20) END), '') AS x FROM q"))
 def f11(s, d):
-    g = P.genome(s, d).where("len >= 200").select("chrom", F.substring("seq", 1, 200).alias("s"))
+    g = P.genome(s, d).where("len >= 20").select("chrom", F.substring("seq", F.lit(1), F.expr("int(len div 20 * 20)")).alias("s"))
     return g.select("chrom", S.block_shuffle(C("s"), C("chrom"), "blk").alias("x"))
 
 

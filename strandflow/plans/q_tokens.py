@@ -11,18 +11,16 @@ from . import proxies as P
 from .registry import query
 
 C = F.col
-TOK = "tok AS (SELECT doc_id AS id, list_transform(range(1, (least(length(text), 10 + doc_id % 90) + 1)::BIGINT), lambda i: (5 + ascii(substr(text, i, 1)) % 11)::INT) AS a, list_transform(range(1, (least(length(text), 5 + doc_id % 37) + 1)::BIGINT), lambda i: (16 + ascii(substr(text, i, 1)) % 7)::INT) AS b FROM documents)"
+TOK = "tok AS (SELECT doc_id AS id, list_transform(string_split(text, ' '), lambda w: (5 + length(w) % 11)::INT) AS a, list_transform(string_split(text, chr(10)), lambda x: (16 + length(x) % 7)::INT) AS b FROM documents)"
 J = "array_to_string({}, ' ')"
 
 
 def tok(s, d):
-    """(id, a, b): two small token arrays of each document"""
-    def arr(n, base, m):
-        k = F.least(F.length("text"), n)
-        return F.when(k > 0, F.transform(F.sequence(F.lit(1), k.cast("int")), lambda i: (F.lit(base) + F.ascii(F.substring("text", i, F.lit(1))) % m).cast("int"))).otherwise(T.ints())
+    """(id, a, b): a token for each word and one for each line of each document"""
+    def arr(by, base, m):
+        return F.transform(F.split("text", by), lambda w: (F.lit(base) + F.length(w) % m).cast("int"))
 
-    i = C("doc_id")
-    return P.table(s, d, "documents").select(i.alias("id"), arr(10 + i % 90, 5, 11).alias("a"), arr(5 + i % 37, 16, 7).alias("b"))
+    return P.table(s, d, "documents").select(C("doc_id").alias("id"), arr(" ", 5, 11).alias("a"), arr("\n", 16, 7).alias("b"))
 
 
 def joined(c):
@@ -51,7 +49,7 @@ def t07(s, d):
     return tok(s, d).select("id", joined(T.encode(C("a"), 64)).alias("x"))
 
 
-_BAL = """p AS (SELECT id, a[1:len(a) // 2] AS l, b AS m, a[len(a) // 2 + 1:][1:len(a) // 3] AS r FROM tok),
+_BAL = """p AS (SELECT id, a[1:len(a) // 2] AS l, b AS m, a[len(a) // 2 + 1:] AS r FROM tok),
 n AS (SELECT *, len(l) AS L_, len(m) AS M_, len(r) AS R_, len(l) + len(m) + len(r) + {s} - {n} AS o FROM p),
 t AS (SELECT *, CASE WHEN L_ >= R_ THEN o - greatest(0, o - (L_ - R_)) // 2 ELSE (greatest(0, o - (R_ - L_)) + 1) // 2 END AS tl FROM n),
 z AS (SELECT id, o, M_ + {s} >= {n} AS alone, CASE WHEN M_ + {s} >= {n} THEN [] WHEN o <= 0 THEN l ELSE l[tl + 1:] END AS l,
@@ -62,7 +60,7 @@ CASE WHEN M_ + {s} >= {n} THEN [] WHEN o <= 0 THEN r ELSE r[1:R_ - (o - tl)] END
 def _lmr(s, d):
     n = F.size("a")
     half = F.floor(n / 2).cast("int")
-    return tok(s, d).select("id", T.part(C("a"), F.lit(0), half).alias("l"), C("b").alias("m"), T.part(T.part(C("a"), half, n), F.lit(0), F.floor(n / 3).cast("int")).alias("r"))
+    return tok(s, d).select("id", T.part(C("a"), F.lit(0), half).alias("l"), C("b").alias("m"), T.part(C("a"), half, n).alias("r"))
 
 
 @query("t08_balance_context", W(_BAL.format(s=4, n=36) + f" SELECT id, {J.format('l')} AS l, {J.format('m')} AS m, {J.format('r')} AS r, (CASE WHEN NOT alone AND o <= 0 THEN -o ELSE 0 END)::INT AS pads FROM z"))
@@ -141,15 +139,15 @@ def t16(s, d):
     return _bins(s, d).withColumn("z", T.assemble_bins(C("bins"), 40)).select("id", joined(C("z.ids")).alias("x"), C("z.n").cast("bigint").alias("n"))
 
 
-@query("t17_shift", P.with_views("tiles", "SELECT chrom, tile_idx, substr(seq, (40 + tile_idx % 9 - 4 + 1)::BIGINT, greatest(length(seq) - 80, 0)) AS x FROM tiles WHERE tile_idx < 3"))
+@query("t17_shift", P.with_views("tiles", "SELECT chrom, tile_idx, substr(seq, (40 + tile_idx % 9 - 4 + 1)::BIGINT, greatest(length(seq) - 80, 0)) AS x FROM tiles"))
 def t17(s, d):
-    return P.tiles(s, d).where("tile_idx < 3").select("chrom", "tile_idx", T.shifted_centre(C("seq"), 40, (C("tile_idx") % 9 - 4).cast("int")).alias("x"))
+    return P.tiles(s, d).select("chrom", "tile_idx", T.shifted_centre(C("seq"), 40, (C("tile_idx") % 9 - 4).cast("int")).alias("x"))
 
 
-@query("t18_rc_augmentation", P.with_views("tiles", "SELECT chrom, tile_idx, CASE WHEN tile_idx % 2 = 1 THEN reverse(translate(seq, 'ACTGN', 'TGACN')) ELSE seq END AS x, CASE WHEN tile_idx % 2 = 1 THEN 'right' ELSE 'left' END AS context FROM tiles WHERE tile_idx < 4"))
+@query("t18_rc_augmentation", P.with_views("tiles", "SELECT chrom, tile_idx, CASE WHEN tile_idx % 2 = 1 THEN reverse(translate(seq, 'ACTGN', 'TGACN')) ELSE seq END AS x, CASE WHEN tile_idx % 2 = 1 THEN 'right' ELSE 'left' END AS context FROM tiles"))
 def t18(s, d):
     flip = C("tile_idx") % 2 == 1
-    return P.tiles(s, d).where("tile_idx < 4").select("chrom", "tile_idx", F.when(flip, seq.revcomp(C("seq"))).otherwise(C("seq")).alias("x"), F.when(flip, "right").otherwise("left").alias("context"))
+    return P.tiles(s, d).select("chrom", "tile_idx", F.when(flip, seq.revcomp(C("seq"))).otherwise(C("seq")).alias("x"), F.when(flip, "right").otherwise("left").alias("context"))
 
 
 @query("t19_dynamic_padding", W(f"w AS (SELECT id, a, ((max(len(a)) OVER (PARTITION BY id // 8) + 63) // 64 * 64)::BIGINT AS n FROM tok) SELECT id, {J.format(_PADTO.format(x='a', n='n'))} AS ids, len(a) AS attended, n AS width FROM w"))
@@ -180,11 +178,11 @@ def t23(s, d):
     return tok(s, d).select("id", F.posexplode(T.segment_bins(a, 3)).alias("seg", "x")).select("id", "seg", joined(C("x")).alias("x"))
 
 
-@query("t24_mutagenesis", P.with_views("tiles", "SELECT chrom, dist, alt, substr(seq, 1, (128 + dist)::BIGINT) || alt || substr(seq, (130 + dist)::BIGINT) AS x FROM tiles, (SELECT unnest(range(-3, 4)) AS dist), (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE tile_idx = 0 AND length(seq) = 256 AND dist <> 0 AND substr(seq, (129 + dist)::BIGINT, 1) <> alt"))
+@query("t24_mutagenesis", P.with_views("tiles", "SELECT chrom, tile_idx, dist, alt, substr(seq, 1, (128 + dist)::BIGINT) || alt || substr(seq, (130 + dist)::BIGINT) AS x FROM tiles, (SELECT unnest(range(-3, 4)) AS dist), (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE length(seq) = 256 AND dist <> 0 AND substr(seq, (129 + dist)::BIGINT, 1) <> alt"))
 def t24(s, d):
-    t = P.tiles(s, d).where("tile_idx = 0 and length(seq) = 256").select("chrom", "seq", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(-3, 4) if k))).alias("dist"))
+    t = P.tiles(s, d).where("length(seq) = 256").select("chrom", "tile_idx", "seq", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(-3, 4) if k))).alias("dist"))
     t = t.select("*", F.explode(F.array(*map(F.lit, "ACGT"))).alias("alt")).withColumn("ref", F.substring("seq", (C("dist") + 129).cast("int"), F.lit(1))).where("ref <> alt")
-    return t.select("chrom", "dist", "alt", seq.substitute(C("seq"), C("dist") + 129, C("ref"), C("alt")).alias("x"))
+    return t.select("chrom", "tile_idx", "dist", "alt", seq.substitute(C("seq"), C("dist") + 129, C("ref"), C("alt")).alias("x"))
 
 
 @query("t25_centre_tokens", W("k AS (SELECT id, unnest(range(0, len(a))) AS pos, unnest(a) AS t FROM tok), q AS (SELECT *, sum(t) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi FROM k) SELECT id, max(t)::INT AS top FROM q WHERE hi - t <= 101 AND hi > 99 GROUP BY id"))

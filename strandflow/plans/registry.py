@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import q_aggregates, q_corpus, q_filters, q_functions, q_intervals, q_metrics, q_samples, q_tokens  # noqa: E402, F401
+from . import q_aggregates, q_corpus, q_filters, q_functions, q_intervals, q_metrics, q_models, q_samples, q_tokens  # noqa: E402, F401
