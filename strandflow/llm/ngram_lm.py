@@ -209,7 +209,7 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
     rows = documents if keep is None else documents.where(keep)
     rows = rows.select(F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards, word_shards = max(8 * partitions(spark), -(-size // BYTES_A_SHARD)), partitions(spark)
+    shards, word_shards = max(2 * partitions(spark), -(-size // BYTES_A_SHARD)), partitions(spark)
     folder = new_path(spark, "lm")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
