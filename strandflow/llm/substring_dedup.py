@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, ngrams, partitions, slices, split_words, staged, table
+from .common import U64, give_back, lean, mix, ngrams, partitions, slices, split_words, staged, table
 from .fm_index import FmIndex
 from .ngram_lm import pack_arrays, runs, unpack_arrays
 
@@ -95,7 +95,7 @@ def pack_documents(documents: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for b in slices(batch, "text", 32 << 20):
+            for b in slices(batch, "text", 16 << 20):
                 ids = pc.fill_null(b.column(0), NO_ID).to_numpy(zero_copy_only=False)
                 rows = []
                 for g, at in _split(group_of(ids, groups)):
@@ -105,6 +105,7 @@ def pack_documents(documents: DataFrame, groups: int) -> DataFrame:
                         w.write_batch(part)
                     rows.append((g, 0, c.compress(sink.getvalue().to_pybytes())))
                 yield from _batches(rows)
+        give_back()
 
     return documents.mapInArrow(run, _PAIR)
 
@@ -140,11 +141,12 @@ def repeated_anchors(documents: DataFrame, parts: int, groups: int) -> DataFrame
                 ok = ids[row] != NO_ID
                 held.append((g[ok], ids[row][ok], (place - w.first[row])[ok]))
                 size += int(ok.sum())
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield from send()
                     size = 0
         if held:
             yield from send()
+        give_back()
 
     def meet(t: pa.Table) -> pa.Table:
         parts_ = [unpack_arrays(x.as_py()) for x in t.column("run")]
@@ -160,7 +162,7 @@ def repeated_anchors(documents: DataFrame, parts: int, groups: int) -> DataFrame
         rows = [(s, 1, pack_arrays(np.diff(d[at[i]].view(U64), prepend=U64(0)), p[at[i]]), len(i)) for s, i in _split(group_of(d[at], groups))]
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.int64())})
 
-    return documents.mapInArrow(find, _PAIR).groupBy("shard").applyInArrow(meet, _PAIR + ", n long")
+    return documents.mapInArrow(find, _PAIR).groupBy("shard").applyInArrow(lean(meet), _PAIR + ", n long")
 
 
 def _segment_keys(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -218,7 +220,7 @@ def segments(packed: DataFrame, shards: int) -> DataFrame:
                 rows.append((shard, 2, pack_arrays(np.diff(vocabulary, prepend=U64(0)), index, length[lone], np.bincount(which), np.diff(doc[at][by].view(U64), prepend=U64(0)), start[at][by])))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary())})
 
-    return packed.groupBy("shard").applyInArrow(cut, _PAIR)
+    return packed.groupBy("shard").applyInArrow(lean(cut), _PAIR)
 
 
 def later_spans(cut: DataFrame, groups: int) -> DataFrame:
@@ -268,7 +270,7 @@ def later_spans(cut: DataFrame, groups: int) -> DataFrame:
                 rows.append((g, 3, pack_arrays(np.diff(d[i].view(U64), prepend=U64(0)), s[i], n[i])))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary())})
 
-    return cut.groupBy("shard").applyInArrow(index, _PAIR)
+    return cut.groupBy("shard").applyInArrow(lean(index), _PAIR)
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
@@ -335,7 +337,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     also_types = [to_arrow_type(f.dataType) for f in fields]
     schema = StructType([*fields, *_parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept_text string").fields])
     names = schema.names
-    done = pack_documents(carried, groups).union(spans).groupBy("shard").applyInArrow(remove, schema)
+    done = pack_documents(carried, groups).union(spans).groupBy("shard").applyInArrow(lean(remove), schema)
     results = ["n_words", "n_removed", "kept_sha256", "spans", *(["kept_text"] if with_text else [])]
     return done.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(also)), F.col("doc_id").alias(doc_id), *results)
 
