@@ -1,19 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney n-gram model of any order from two: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
 
-Counting. A task hashes its training tokens, merges equal (context, token) pairs of up to PAIRS pairs and sends
-packed runs to shards of the context's hash; SALTS bits of the token's hash join the shard's number, so the pairs of a very
-frequent context spread over shards. A shard merges its runs, writes its pairs as a sorted array of 64-bit pair hashes with
-counts, and sends each word's partial context statistics and continuation counts to word shards, which write sorted
-arrays of word hashes with their sums. Nothing corpus-sized reaches the driver: it sees sums only.
+Counting. A task hashes its training tokens, merges equal n-grams of about PAIRS pairs' worth of words and sends
+packed runs to shards of the hash of their last two words; SALTS bits of the last one's hash join the shard's number, so the
+followers of a very frequent word spread over shards. All n-grams that end alike meet in one shard, so it has every lower level
+of its endings too: it merges its runs, writes the grams of each level as a sorted array of 64-bit hashes with counts, and sends the partial
+statistics of contexts, and each word's continuation counts, to word shards, which write sorted arrays of hashes with
+their sums. Nothing corpus-sized reaches the driver: it sees sums only.
 
 Scoring. Workers map the arrays of the shards that a batch needs and look up its sorted hashes.
 
-    p(v | u) = max(c(uv) - D(c(uv)), 0) / c(u) + (D1 n1(u) + D2 n2(u) + D3 n3+(u)) / c(u) * q(v)
-    q(v)     = max(k(v) - E(k(v)), 0) / K + (sum of the E taken) / K * 1 / (V + 1)
+    p_k(v | u) = max(a(uv) - D_k(a(uv)), 0) / a(u) + (D_k1 n1(u) + D_k2 n2(u) + D_k3 n3+(u)) / a(u) * p_k-1(v | u less its first word)
+    p_1(v)     = max(k(v) - E(k(v)), 0) / K + (sum of the E taken) / K * 1 / (V + 1)
 
-with c counts, n1, n2, n3+ the context's followers seen once, twice or more often, k(v) the number of different contexts of v,
-K their sum, and D, E the modified Kneser-Ney discounts of either level. An unseen context leaves q(v); an unseen
-token has the uniform share of V tokens and one unknown.
+with a(uv) the count of an n-gram at the highest level, and below it the number of different words before uv (the count where uv starts a
+text, as BEGIN alone comes before it); a(u) the sum of a(uv), n1, n2, n3+ the context's followers with a of one, two or more, k(v) the
+number of different words before v, K their sum, and D, E the modified Kneser-Ney discounts of each level. A text starts after
+as many BEGIN as a context has words. An unseen context leaves the level below; an unseen token has the uniform share of V tokens and one unknown.
 """
 
 from __future__ import annotations
@@ -67,8 +69,8 @@ def shard_of(u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
     return (salted % U64(shards)).astype(np.int64)
 
 
-def token_pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, row) hashes of each text: its words and then END, the first after BEGIN."""
+def token_grams(w: Words, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(context words from the farthest to the last, token, row) of each text's words and then END; before a text is BEGIN."""
     h = w.hashes()
     rows = len(w.first) - 1
     ends = w.first[1:] + np.arange(rows)
@@ -77,21 +79,49 @@ def token_pairs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(v), bool)
     inner[ends] = False
     v[inner] = h
-    u = np.empty(len(v), U64)
-    if len(v):
-        u[1:] = v[:-1]
-        u[np.concatenate([[0], ends[:-1] + 1])] = BEGIN
-    return u, v, np.repeat(np.arange(rows), w.counts + 1)
-
-
-def merged(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs in order, with the sums of their counts."""
-    order = np.lexsort((v, u))
-    u, v, n = u[order], v[order], n[order]
-    new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    starts = np.concatenate([[0], ends[:-1] + 1]) if rows else []
+    cols = [v]
+    for _ in range(order - 1):
+        u = np.empty(len(v), U64)
+        u[1:] = cols[0][:-1]
+        u[starts] = BEGIN
+        cols.insert(0, u)
+    return cols[:-1], v, np.repeat(np.arange(rows), w.counts + 1)
+
+
+def context(words: list[np.ndarray]) -> np.ndarray:
+    """A hash of a context's words; a single word stands for itself."""
+    c = words[0]
+    for x in words[1:]:
+        c = pair_hash(c, x)
+    return c
+
+
+def merged(words: list[np.ndarray], v: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(context words, context, token, summed count) of the different grams, in order of context and token."""
+    c = context(words)
+    order = np.lexsort((v, c))
+    c, v, n = c[order], v[order], n[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (v[1:] != v[:-1])
     at = np.flatnonzero(new)
-    return u[at], v[at], np.add.reduceat(n, at) if len(at) else n
+    return [x[order[at]] for x in words], c[at], v[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def pack_grams(words: list[np.ndarray], v: np.ndarray, n: np.ndarray) -> bytes:
+    """Grams as places in a dictionary of their words, sorted by the last context word, whose places are differences."""
+    kinds, places = np.unique(np.concatenate([*words, v]), return_inverse=True)
+    cols = places.reshape(len(words) + 1, len(v))
+    by = np.lexsort((cols[-1], *cols[:-1]))
+    cols = cols[:, by]
+    return pack_arrays(differences(kinds), *cols[:-2], np.diff(cols[-2], prepend=0), cols[-1], n[by])
+
+
+def unpack_grams(raw: bytes) -> list[np.ndarray]:
+    kinds, *cols, n = unpack_arrays(raw)
+    kinds = np.cumsum(kinds)
+    cols[-2] = np.cumsum(cols[-2])
+    return [*(kinds[x.astype(np.int64)] for x in cols), n.astype(np.int64)]
 
 
 def runs(keys: np.ndarray) -> np.ndarray:
@@ -145,13 +175,15 @@ def _map(folder: str, name: str, layout: list[tuple[type, int]]) -> list[np.ndar
 
 
 class Model:
-    """Where the arrays are and the sums that scores need; small, so it travels with a task."""
+    """Where the arrays are and the sums that scores need; small, so it travels with a task.
+
+    `grams` and `contexts` have, for each level, the sizes of its files by shard: all rows, and those with counts from FULL on."""
 
-    WORD = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32)
+    WORD = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
 
-    def __init__(self, folder: str, pair_sizes: dict[int, tuple[int, int]], word_sizes: dict[int, int], shards: int, word_shards: int, d, e, tokens: int, kinds: int, kinds_of_pairs: int, freed: float) -> None:
-        self.folder, self.pair_sizes, self.word_sizes, self.shards, self.word_shards = folder, pair_sizes, word_sizes, shards, word_shards
-        self.d, self.e, self.tokens, self.kinds, self.pairs, self.freed = np.array(d), np.array(e), tokens, kinds, kinds_of_pairs, freed
+    def __init__(self, folder: str, order: int, grams: dict, contexts: dict, word_sizes: dict[int, int], shards: int, word_shards: int, d: dict, e, tokens: int, kinds: int, kinds_of_pairs: int, freed: float) -> None:
+        self.folder, self.order, self.grams, self.contexts, self.word_sizes, self.shards, self.word_shards = folder, order, grams, contexts, word_sizes, shards, word_shards
+        self.d, self.e, self.tokens, self.kinds, self.pairs, self.freed = {k: np.array(x) for k, x in d.items()}, np.array(e), tokens, kinds, kinds_of_pairs, freed
         self.open: dict[str, list[np.ndarray]] = {}
 
     def __getstate__(self):
@@ -164,27 +196,39 @@ class Model:
             self.open[name] = _map(self.folder, name, layout)
         return self.open[name]
 
-    def pair_counts(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        h, shard = pair_hash(u, v), shard_of(u, v, self.shards)
+    def _counts(self, name: str, sizes: dict[int, tuple[int, int]], h: np.ndarray, shard: np.ndarray, columns: int) -> np.ndarray:
+        """The columns of hashes; a byte for each, or where the first is FULL, rows of an array of their own."""
         order = np.lexsort((h, shard))
-        out = np.zeros(len(h), np.int64)
+        out = np.zeros((len(h), columns), np.int64)
         bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(order) else []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             s = int(shard[order[a]])
-            n, high = self.pair_sizes.get(s, (0, 0))
+            n, high = sizes.get(s, (0, 0))
             if n:
-                keys, small, *rest = self._arrays(f"pairs-{s}", [(np.uint64, n), (np.uint8, n), (np.uint64, high), (np.int64, high)])
+                keys, *rest = self._arrays(f"{name}-{s}", small_and_high(n, high, columns))
                 at = order[a:b]
                 i = np.minimum(np.searchsorted(keys, h[at]), n - 1)
-                out[at] = np.where(keys[i] == h[at], small[i], 0)
-                if len(top := at[out[at] == FULL]):
-                    out[top] = rest[1][np.searchsorted(rest[0], h[top])]
+                hit = keys[i] == h[at]
+                for c in range(columns):
+                    out[at, c] = np.where(hit, rest[c][i], 0)
+                if len(top := at[out[at, 0] == FULL]):
+                    i = np.searchsorted(rest[columns], h[top])
+                    for c in range(columns):
+                        out[top, c] = rest[columns + 1 + c][i]
         return out
 
+    def gram_counts(self, level: int, c: np.ndarray, last: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Counts of tokens after contexts (hash, last word)."""
+        return self._counts(f"grams{level}", self.grams[level], pair_hash(c, v), shard_of(last, v, self.shards), 1)[:, 0]
+
+    def context_counts(self, level: int, c: np.ndarray) -> np.ndarray:
+        """Rows (count, n1, n2, n3+) of contexts of two words and more."""
+        return self._counts(f"contexts{level}", self.contexts[level], c, word_shard_of(c, self.word_shards), 4)
+
     def words(self, h: np.ndarray) -> np.ndarray:
-        """Rows (count as a context, n1, n2, n3+, continuations) of sorted different hashes."""
-        out = np.zeros((len(h), 5), np.int64)
-        shard = (h >> U64(40)) % U64(self.word_shards)
+        """Rows (count as a context, n1, n2, n3+, continuations, count as a token) of sorted different hashes."""
+        out = np.zeros((len(h), 6), np.int64)
+        shard = word_shard_of(h, self.word_shards)
         order = np.argsort(shard, kind="stable")
         bounds = np.concatenate([runs(shard[order]), [len(h)]])
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -199,36 +243,52 @@ class Model:
         return out
 
 
+def word_shard_of(h: np.ndarray, word_shards: int) -> np.ndarray:
+    return ((h >> U64(40)) % U64(word_shards)).astype(np.int64)
+
+
+def small_and_high(n: int, high: int, columns: int) -> list[tuple[type, int]]:
+    return [(np.uint64, n), *[(np.uint8, n)] * columns, (np.uint64, high), *[(np.int64, high)] * columns]
+
+
+def _save_counts(folder: str, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> list[int]:
+    """Saves sorted keys with columns of which none exceeds the first; gives the sizes."""
+    high = cols[0] >= FULL
+    _save(folder, name, keys, *(np.minimum(c, FULL).astype(np.uint8) for c in cols), keys[high], *(c[high] for c in cols))
+    return [len(keys), int(high.sum())]
+
+
 def _tally(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep=None) -> Model:
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep=None, order: int = 2) -> Model:
     """The model of the rows of documents for which the column `keep` holds (all rows if None). Null texts are empty."""
+    if order < 2:
+        raise ValueError("an order of two at least")
     spark = documents.sparkSession
     rows = documents if keep is None else documents.where(keep)
     rows = rows.select(F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards, word_shards = max(2 * partitions(spark), -(-size // BYTES_A_SHARD)), partitions(spark)
     folder = new_path(spark, "lm")
+    hold = 2 * PAIRS // order  # as many words whatever the order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, held = [], [], 0
+        grams, held = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            us.clear()
-            vs.clear()
-            u, v, n = merged(u, v, np.ones(len(u), np.int64))
-            shard = shard_of(u, v, shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.concatenate([runs(shard[order]), [len(order)]])
+            *u, v = (np.concatenate(x) for x in zip(*grams, strict=True))
+            grams.clear()
+            u, _, v, n = merged(u, v, np.ones(len(v), np.int64))
+            shard = shard_of(u[-1], v, shards)
+            by = np.argsort(shard, kind="stable")
+            bounds = np.concatenate([runs(shard[by]), [len(by)]])
             ids, blobs, total = [], [], 0
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                at = order[a:b]
-                first = runs(u[at])
-                blobs.append(pack_arrays(differences(u[at][first]), np.diff(first, append=len(at)), v[at], n[at]))
-                ids.append(int(shard[order[a]]))
+                at = by[a:b]
+                blobs.append(pack_grams([x[at] for x in u], v[at], n[at]))
+                ids.append(int(shard[by[a]]))
                 total += len(blobs[-1])
                 if total > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "run"])
@@ -238,80 +298,91 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
 
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
-                u, v, _ = token_pairs(split_words(b.column(0), lower=True))
-                for at in range(0, len(u), PAIRS):  # a very long text too
-                    us.append(u[at : at + PAIRS])
-                    vs.append(v[at : at + PAIRS])
-                    held += len(us[-1])
-                    if held >= PAIRS:
+                u, v, _ = token_grams(split_words(b.column(0), lower=True), order)
+                for at in range(0, len(v), hold):  # a very long text too
+                    grams.append([x[at : at + hold] for x in (*u, v)])
+                    held += len(grams[-1][-1])
+                    if held >= hold:
                         yield from send()
                         held = 0
-        if us:
+        if grams:
             yield from send()
 
     def merge(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        parts = []
-        for x in t.column("run"):
-            du, sizes, v, n = unpack_arrays(x.as_py())
-            parts.append((np.repeat(np.cumsum(du), sizes.astype(np.int64)), v, n.astype(np.int64)))
-        u, v, n = merged(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        h = pair_hash(u, v)
-        order = np.argsort(h)
-        h, counts = h[order], n[order]
-        high = counts >= FULL  # a byte for each count; counts from FULL on have an array of their own
-        _save(folder, f"pairs-{shard}", h, np.minimum(counts, FULL).astype(np.uint8), h[high], counts[high])
-        first = runs(u)
-        stats = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
+        *u, v, n = (np.concatenate(c) for c in zip(*(unpack_grams(x.as_py()) for x in t.column("run")), strict=True))
+        u, c, v, n = merged(u, v, n)
+        tokens, which = np.unique(v, return_inverse=True)
+        seen = np.bincount(which, n, len(tokens)).astype(np.int64)
+        facts, of_contexts = [], []
+        for level in range(order, 1, -1):
+            h = pair_hash(c, v)
+            by = np.argsort(h)
+            facts += [*_save_counts(folder, f"grams{level}-{shard}", h[by], [n[by]]), *_tally(n)]
+            first = runs(c)
+            stats = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
+            if level > 2:
+                of_contexts.append((c[first], stats))
+                u = u[1:]
+                u, c, v, n = merged(u, v, np.where(u[0] == BEGIN, n, 1))
         words, times = np.unique(v, return_counts=True)
-        keys = np.unique(np.concatenate([u[first], words]))
-        cols = np.zeros((5, len(keys)), np.int64)
-        at = np.searchsorted(keys, u[first])
-        for c, s in enumerate(stats):
-            cols[c, at] = s
-        cols[4, np.searchsorted(keys, words)] = times
-        to = ((keys >> U64(40)) % U64(word_shards)).astype(np.int64)
-        order2 = np.argsort(to, kind="stable")
-        bounds = np.concatenate([runs(to[order2]), [len(order2)]])
-        ids = [int(to[order2[a]]) for a in bounds[:-1]]
-        blobs = [pack_arrays(differences(keys[order2[a:b]]), *(c[order2[a:b]] for c in cols)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        tally = np.zeros((len(ids), 4), np.int64)
-        tally[0] = _tally(n)
-        sizes = np.zeros(len(ids), np.int64)
-        sizes[0] = len(n)
-        highs = np.zeros(len(ids), np.int64)
-        highs[0] = high.sum()
-        return pa.table({"shard": pa.array([shard] * len(ids), pa.int32()), "pairs": sizes, "high": highs, **{f"n{k + 1}": tally[:, k] for k in range(4)}, "to": pa.array(ids, pa.int32()), "run": pa.array(blobs, pa.binary())})
+        keys = np.unique(np.concatenate([u[0][first], words]))
+        cols = np.zeros((6, len(keys)), np.int64)
+        at = np.searchsorted(keys, u[0][first])
+        for k, s in enumerate(stats):
+            cols[k, at] = s
+        at = np.searchsorted(keys, words)
+        cols[4, at], cols[5, at] = times, seen
+        runs_to: dict[int, list[np.ndarray]] = {}
+        for place, (x, counts) in enumerate([(keys, cols), *of_contexts]):
+            to = word_shard_of(x, word_shards)
+            by = np.argsort(to, kind="stable")
+            bounds = np.concatenate([runs(to[by]), [len(by)]])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                mine = runs_to.setdefault(int(to[by[a]]), [])
+                mine += [np.zeros(0, U64)] * (7 + 5 * (place - 1) - len(mine) if place else 0)
+                mine += [differences(x[by[a:b]]), *(k[by[a:b]] for k in counts)]
+        blobs = [pack_arrays(*x, *[np.zeros(0, U64)] * (7 + 5 * (order - 2) - len(x))) for x in runs_to.values()]
+        return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "facts": pa.array([facts, *[None] * (len(blobs) - 1)], pa.list_(pa.int64())), "to": pa.array(list(runs_to), pa.int32()), "run": pa.array(blobs, pa.binary())})
 
     def merge_words(t: pa.Table) -> pa.Table:
         to = t.column("to")[0].as_py()
         parts = [unpack_arrays(x.as_py()) for x in t.column("run")]
-        keys = np.concatenate([np.cumsum(p[0]) for p in parts])
-        order = np.argsort(keys)
-        first = runs(keys[order])
-        cols = [np.add.reduceat(np.concatenate([p[c] for p in parts]).astype(np.int64)[order], first) for c in range(1, 6)]
-        keys = keys[order][first]
-        _save(folder, f"words-{to}", keys, cols[0], *(c.astype(np.int32) for c in cols[1:]))
-        # what pair shards said of themselves came along with the first of their runs and goes on as it is
-        said = t.filter(pc.greater(t.column("pairs"), 0)).select(["shard", "pairs", "high", "n1", "n2", "n3", "n4"])
-        own = pa.table({"to": pa.array([to], pa.int32()), "words": [len(keys)], "tokens": [int(cols[0].sum())], "all_continuations": [int(cols[4].sum())], "seen": [int((cols[4] > 0).sum())], **{f"m{k}": [n] for k, n in enumerate(_tally(cols[4]), 1)}})
-        both = pa.concat_tables([said, own], promote_options="default")
-        return both.select(["shard", "pairs", "high", "n1", "n2", "n3", "n4", "to", "words", "tokens", "all_continuations", "seen", "m1", "m2", "m3", "m4"])
+
+        def summed(at: int, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            keys = np.concatenate([np.cumsum(p[at]) for p in parts])
+            by = np.argsort(keys)
+            first = runs(keys[by])
+            cols = [np.concatenate([p[at + c] for p in parts]).astype(np.int64)[by] for c in range(1, columns + 1)]
+            return keys[by][first], [np.add.reduceat(c, first) if len(first) else c for c in cols]
+
+        keys, cols = summed(0, 6)
+        _save(folder, f"words-{to}", keys, cols[0], *(c.astype(np.int32) for c in cols[1:5]), cols[5])
+        facts = [len(keys), int(cols[5].sum()), int(cols[4].sum()), int((cols[4] > 0).sum()), *_tally(cols[4])]
+        for place, level in enumerate(range(order, 2, -1)):
+            facts += _save_counts(folder, f"contexts{level}-{to}", *summed(7 + 5 * place, 4))
+        # what gram shards said of themselves came along with the first of their runs and goes on as it is
+        said = t.filter(pc.is_valid(t.column("facts")))
+        return pa.table({"shard": pa.array([*said.column("shard").to_pylist(), None], pa.int32()), "facts": pa.array([*said.column("facts").to_pylist(), facts], pa.list_(pa.int64())), "to": pa.array([*[None] * said.num_rows, to], pa.int32())})
 
     sent = rows.mapInArrow(count, "shard int, run binary")
-    sizes = "shard int, pairs long, high long, n1 long, n2 long, n3 long, n4 long"
-    pairs = sent.groupBy("shard").applyInArrow(merge, f"{sizes}, to int, run binary")
-    words = staged(pairs.groupBy("to").applyInArrow(merge_words, f"{sizes}, to int, words long, tokens long, all_continuations long, seen long, m1 long, m2 long, m3 long, m4 long"), "lm-words")
+    pairs = sent.groupBy("shard").applyInArrow(merge, "shard int, facts array<long>, to int, run binary")
+    words = staged(pairs.groupBy("to").applyInArrow(merge_words, "shard int, facts array<long>, to int"), "lm-words")
     # a row for each shard and each word shard
-    per_shard, per_word_shard = words.where("shard is not null").collect(), words.where("to is not null").collect()
-    total = lambda rows, c: sum(r[c] for r in rows)
-    d = discounts(*(total(per_shard, f"n{k}") for k in (1, 2, 3, 4)))
-    m = [total(per_word_shard, f"m{k}") for k in (1, 2, 3, 4)]
+    of_shard = {r["shard"]: r["facts"] for r in words.where("shard is not null").collect()}
+    of_words = {r["to"]: r["facts"] for r in words.where("to is not null").collect()}
+    total = lambda facts, k: sum(x[k] for x in facts.values())
+    grams, contexts, d = {}, {}, {}
+    for place, level in enumerate(range(order, 1, -1)):
+        grams[level] = {s: tuple(x[6 * place : 6 * place + 2]) for s, x in of_shard.items()}
+        d[level] = discounts(*(total(of_shard, 6 * place + k) for k in (2, 3, 4, 5)))
+        if level > 2:
+            contexts[level] = {s: tuple(x[8 + 2 * place : 10 + 2 * place]) for s, x in of_words.items()}
+    m = [total(of_words, k) for k in (4, 5, 6, 7)]
     e = discounts(*m)
-    seen = total(per_word_shard, "seen")
+    seen = total(of_words, 3)
     freed = e[1] * m[0] + e[2] * m[1] + e[3] * (seen - m[0] - m[1])
-    # each context count is one token that follows it, END included, so their sum is the number of tokens
-    return Model(folder, {r["shard"]: (r["pairs"], r["high"]) for r in per_shard}, {r["to"]: r["words"] for r in per_word_shard}, shards, word_shards, d, e, total(per_word_shard, "tokens"), seen, total(per_word_shard, "all_continuations"), freed)
+    return Model(folder, order, grams, contexts, {s: x[0] for s, x in of_words.items()}, shards, word_shards, d, e, total(of_words, 1), seen, total(of_words, 2), freed)
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -323,22 +394,26 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 2 << 20):
-                u, v, row = token_pairs(split_words(b.column(0), lower=True))
-                keys, inverse = np.unique(np.concatenate([u, v]), return_inverse=True)
+                u, v, row = token_grams(split_words(b.column(0), lower=True), model.order)
+                last = u[-1]
+                keys, inverse = np.unique(np.concatenate([last, v]), return_inverse=True)
                 w = model.words(keys)
-                start = np.searchsorted(keys, BEGIN)
-                counts = w[:, 0].copy()
-                counts[keys == END] = w[start, 0]  # as many ends as beginnings
-                iu, iv = inverse[: len(u)], inverse[len(u) :]
+                iu, iv = inverse[: len(v)], inverse[len(v) :]
                 k = w[:, 4]
                 back = (np.maximum(k - model.e[np.minimum(k, 3)], 0) + model.freed * uniform) / model.pairs if model.pairs else np.full(len(keys), uniform)
-                c = model.pair_counts(u, v)
-                cu = w[iu, 0]
-                known = cu > 0
-                gamma = w[:, 1] * model.d[1] + w[:, 2] * model.d[2] + w[:, 3] * model.d[3]
-                p = np.where(known, (np.maximum(c - model.d[np.minimum(c, 3)], 0) + gamma[iu] * back[iv]) / np.maximum(cu, 1), back[iv])
+                p = back[iv]
+                for level in range(2, model.order + 1):
+                    d = model.d[level]
+                    c = context(u[-(level - 1) :])
+                    if level == 2:
+                        stats = w[iu, :4]
+                    else:
+                        kinds, which = np.unique(c, return_inverse=True)
+                        stats = model.context_counts(level, kinds)[which]
+                    n, cu = model.gram_counts(level, c, last, v), stats[:, 0]
+                    p = np.where(cu > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + stats[:, 1:] @ d[1:] * p) / np.maximum(cu, 1), p)
                 rows = b.num_rows
-                cv = counts[iv]
+                cv = w[iv, 5]
                 base = np.bincount(row, np.log10((cv + 1.0) / (model.tokens + model.kinds + 1.0)), rows)
                 total = np.bincount(row, np.log10(p), rows)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.bincount(row, minlength=rows)), pa.array(np.bincount(row, cv > 0, rows).astype(np.int64)), pa.array(base), pa.array(total)], names=[*b.schema.names[1:], "n_tokens", "n_known", "base_score", "score"])
@@ -354,5 +429,5 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
-    model = train(docs, keep=~F.coalesce("held_out", F.lit(False)))
+    model = train(docs, keep=~F.coalesce("held_out", F.lit(False)), order=3)
     return score(docs, model, also=("held_out",)).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -381,3 +381,48 @@ def test_language_model_without_text(spark):
     model = ngram_lm.train(d.limit(0))
     assert all(r.score == 0 and r.n_known == 0 for r in ngram_lm.score(d, model).collect())
     assert ngram_lm.score(d.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order(spark, order):
+    texts = ["a b c a b", "A b d a b c", "", None, "c c c c", "a b c d e f g", "x y", "b a b a"] * 2 + ["the b the b"] * 300
+    d = docs(spark, texts).withColumn("use", F.col("doc_id") % 7 != 2)
+    model = ngram_lm.train(d, keep=F.col("use"), order=order)
+    got = {r.doc_id: r for r in ngram_lm.score(d.drop("score"), model).collect()}
+
+    def grams(t):
+        w = ["<s>"] * (order - 1) + re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + ["</s>"]
+        return [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+
+    levels = {order: Counter(g for i, t in enumerate(texts) if i % 7 != 2 for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter()
+        for g, x in levels[k + 1].items():
+            levels[k][g[1:]] += x if g[1] == "<s>" else 1
+    disc = {k: ngram_lm.discounts(*(sum(x == j for x in c.values()) for j in (1, 2, 3, 4))) for k, c in levels.items()}
+    total, kinds = sum(levels[1].values()), len(levels[1])
+    after = {k: defaultdict(list) for k in levels}
+    for k, c in levels.items():
+        for g, x in c.items():
+            after[k][g[:-1]].append(x)
+
+    def p(g):
+        k = len(g)
+        below = 1 / (kinds + 1) if k == 1 else p(g[1:])
+        xs = after[k][g[:-1]]
+        return (max(levels[k][g] - disc[k][min(levels[k][g], 3)], 0) + sum(disc[k][min(x, 3)] for x in xs) * below) / sum(xs) if xs else below
+
+    for u in ("a b c", "<s> <s> <s>", "b the b", "never seen before"):
+        u = tuple(u.split())[4 - order :]
+        assert abs(sum(p((*u, *v)) for v in levels[1]) + p((*u, "unknown")) - 1) < 1e-9
+    assert (model.order, model.kinds) == (order, kinds) and total == model.pairs
+    for i, t in enumerate(texts[:20]):
+        assert abs(got[i].score - sum(math.log10(p(g)) for g in grams(t))) < 1e-9
+
+
+def test_registered_language_model_looks_at_two_words_before(spark, data, monkeypatch):
+    orders = []
+    train = ngram_lm.train
+    monkeypatch.setattr(ngram_lm, "train", lambda *a, **b: orders.append(train(*a, **b)) or orders[-1])
+    assert ngram_lm.op10_lm_scoring(spark, data).where("score is null or score >= 0").count() == 0
+    assert orders[0].order == 3 and sorted(orders[0].grams) == [2, 3]
