@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: complements of the four bases and N, and of all IUPAC codes in both cases
 STRICT_FROM, STRICT_TO = "ACTGN", "TGACN"
@@ -145,11 +146,17 @@ def argmax(logits: Column) -> Column:
 
 
 def relative_bucket(distance: Column, buckets: int = 32, max_distance: int = 128) -> Column:
-    """Bidirectional relative-position bucket: exact for small distances, logarithmic up to max_distance, capped beyond."""
+    """Bidirectional relative-position bucket: exact for small distances, logarithmic up to max_distance, capped beyond.
+
+    The logarithm's bucket edges are found in whole numbers, so a distance on an edge belongs to the bucket that starts there."""
     half = buckets // 2
     exact = half // 2
+    steps = half - exact
+    edges = [next(n for n in range(exact, max_distance + 1) if n**steps * exact**k >= exact**steps * max_distance**k) for k in range(1, steps)]
     n = F.abs(distance)
-    far = F.least(F.lit(exact) + F.floor(F.log(n.cast("double") / exact) / F.log(F.lit(max_distance / exact)) * (half - exact)).cast("int"), F.lit(half - 1))
+    far = F.lit(exact)
+    for edge in edges:
+        far = far + (n >= edge).cast("int")
     return F.when(distance > 0, half).otherwise(0) + F.when(n < exact, n.cast("int")).otherwise(far)
 
 
@@ -158,5 +165,11 @@ def acceptor_axis(d: Column) -> Column:
     return F.when(d.between(-20, -1), d - 1).when(d == 1, -1).when(d.between(2, 20), d - 2)
 
 
+@F.udf(StringType(), useArrow=True)
+def _two_decimals(x):
+    return None if x is None else f"{x:.2f}"
+
+
 def two_decimals(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    """x as Python's :.2f writes it: its exact binary value, ties to the even digit. Java's formatter rounds ties away from zero."""
+    return _two_decimals(x.cast("double"))

@@ -10,7 +10,7 @@ from strandflow.operators import variants as V
 
 from . import proxies as P
 from .q_intervals import _IV, _iv, merged
-from .registry import query
+from .registry import ORACLES, query
 
 v, hs = P.with_views, P.hash_sql
 C = F.col
@@ -124,9 +124,18 @@ def g09(s, d):
 
 @query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv WHERE name % 2 = length(chrom) % 2), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))
 def g10(s, d):
+    return _g10(s, d, F.split_part("name", F.lit(":"), F.lit(2)).cast("int") % 2 == F.length("chrom") % 2)
+
+
+@query("g10_variant_sequences_all", ORACLES["g10_variant_sequences"].replace(" WHERE name % 2 = length(chrom) % 2", ""))
+def g10_all(s, d):
+    return _g10(s, d, F.lit(True))
+
+
+def _g10(s, d, keep):
     g = P.genome(s, d)
     n = F.split_part("name", F.lit(":"), F.lit(2)).cast("int")
-    rg = _iv(s, d).where(n % 2 == F.length("chrom") % 2).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
+    rg = _iv(s, d).where(keep).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
     p = g.where("len >= 150").select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("len div 150 - 1"))).alias("k")).withColumn("p0", C("k") * 150 + 70)
     ref = F.substring("seq", (C("p0") + 1).cast("int"), F.lit(1))
     vs = p.select("chrom", (C("p0") + 1).alias("pos"), ref.alias("ref"), F.when(C("p0") % 4 == 0, "-").when(ref == "C", "G").otherwise("C").alias("alt"), C("p0").alias("id"))

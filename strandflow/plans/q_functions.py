@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import rng, seq
 
 from . import proxies as P
-from .registry import query
+from .registry import ORACLES, query
 
 v, hs = P.with_views, P.hash_sql
 C = F.col
@@ -147,6 +147,11 @@ def f24(s, d):
     return s.range(-300, 301).where("abs(id) not in (16, 32, 64, 128)").select(C("id").alias("dist"), seq.relative_bucket(C("id")).alias("b"))
 
 
+@query("f24_relative_bucket_all", ORACLES["f24_relative_bucket"].replace(" WHERE abs(x) NOT IN (16, 32, 64, 128)", ""))
+def f24_all(s, d):
+    return s.range(-300, 301).select(C("id").alias("dist"), seq.relative_bucket(C("id")).alias("b"))
+
+
 @query("f25_acceptor_axis", "SELECT x::BIGINT AS dist, (CASE WHEN x BETWEEN -20 AND -1 THEN x - 1 WHEN x = 1 THEN -1 WHEN x BETWEEN 2 AND 20 THEN x - 2 END)::BIGINT AS axis FROM range(-25, 26) t(x)")
 def f25(s, d):
     return s.range(-25, 26).select(C("id").alias("dist"), seq.acceptor_axis(C("id")).cast("bigint").alias("axis"))
@@ -157,6 +162,11 @@ def f26(s, d):
     return P.pairs(s, d).where("x % 4 <> 1 and x % 4 <> 3").select("x", seq.two_decimals(C("x") / 8).alias("t")).distinct()
 
 
+@query("f26_two_decimals_all", ORACLES["f26_two_decimals"].replace(" WHERE x % 4 <> 1 AND x % 4 <> 3", ""))
+def f26_all(s, d):
+    return P.pairs(s, d).select("x").distinct().select("x", seq.two_decimals(C("x") / 8).alias("t"))
+
+
 @query("f27_sample_list", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 def f27(s, d):
     return P.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))

@@ -92,3 +92,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.chrom for r in spark.sql("select chrom from stream_contigs").collect()) == ["a", "rc_a"]
+
+
+def test_two_decimals_as_python_writes_them(spark):
+    values = [k / 8 for k in range(-50, 51)] + [1.005, 1.015, 2.675, 1e16, 0.0, -0.001, 12345678.125, None]
+    got = spark.createDataFrame(list(enumerate(values)), "k int, x double").select("k", seq.two_decimals(F.col("x")).alias("t")).collect()
+    assert {r.k: r.t for r in got} == {k: None if x is None else f"{x:.2f}" for k, x in enumerate(values)}
+
+
+def test_relative_bucket_edges(spark):
+    df = spark.range(-300, 301).select("id", seq.relative_bucket(F.col("id")).alias("b"))
+    got = {r.id: r.b for r in df.collect()}
+    # the reference's edges: 8 + 8 log(n / 8) / log(16), at most 15
+    assert [got[-n] for n in (15, 16, 31, 32, 63, 64, 127, 128, 300)] == [9, 10, 11, 12, 13, 14, 15, 15, 15]
+    assert all(got[n] == 16 + got[-n] for n in range(1, 301)) and got[0] == 0
+    # n is in far bucket k from n^8 * 8^k >= 8^8 * 128^k on
+    assert all(got[-n] == max(8 + k for k in range(8) if n**8 * 8**k >= 8**8 * 128**k) for n in range(8, 301))
