@@ -36,8 +36,10 @@ def peak_regression(peaks: DataFrame, sizes: DataFrame, length: int, shift: int,
 
 
 def promoter_dataset(sequences: DataFrame, length: int, seed: str, blocks: int = 20, moved: int = 12) -> DataFrame:
-    """(name, sequence, promoter_presence): sequences cut to `length`, each with a block-shuffled negative."""
-    p = sequences.withColumn("sequence", F.substring("sequence", 1, length)).where(F.length("sequence") % blocks == 0)
+    """(name, sequence, promoter_presence): sequences cut to `length`, each with a block-shuffled negative.
+
+    A cut sequence that does not divide into the blocks raises, as the reference's assertion does."""
+    p = sequences.withColumn("sequence", F.substring("sequence", 1, length))
     neg = p.withColumn("sequence", samples.block_shuffle(F.col("sequence"), F.col("name"), seed, blocks, moved))
     both = p.select("name", "sequence", F.lit(1).alias("promoter_presence")).unionByName(neg.select("name", "sequence", F.lit(0).alias("promoter_presence")))
     return both

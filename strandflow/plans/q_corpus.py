@@ -84,7 +84,15 @@ _BK = ", ".join(f"struct_pack(u := {hs(repr('g06'), repr('pick'), 'name', repr(s
 
 @query("g06_promoter_dataset", v("genome", f"g AS (SELECT chrom AS name, substr(seq, 1, 400) AS s FROM genome), p AS (SELECT name, s, length(s) // 20 AS w, list_transform(list_sort([{_BK}])[1:12], lambda x: x.k) AS picked FROM g WHERE length(s) % 20 = 0), q AS (SELECT *, list_sort(picked) AS places FROM p) SELECT name, s AS sequence, 1 AS promoter_presence FROM q UNION ALL SELECT name, array_to_string(list_transform(range(0, 20), lambda k: CASE WHEN list_contains(places, k::INT) THEN substr(s, (picked[list_position(places, k::INT)] * w + 1)::BIGINT, w) ELSE substr(s, k * w + 1, w) END), ''), 0 FROM q"))
 def g06(s, d):
-    return datasets.promoter_dataset(P.genome(s, d).select(C("chrom").alias("name"), C("seq").alias("sequence")), 400, "g06")
+    g = P.genome(s, d).where(F.least(C("len"), F.lit(400)) % 20 == 0)
+    return datasets.promoter_dataset(g.select(C("chrom").alias("name"), C("seq").alias("sequence")), 400, "g06")
+
+
+@query("g06_promoter_dataset_all", ORACLES["g06_promoter_dataset"].replace("substr(seq, 1, 400)", "substr(seq, 1, least(16000, len // 20 * 20))").replace(" WHERE length(s) % 20 = 0", ""))
+def g06_all(s, d):
+    """Cut where the reference cuts, at 16,000, and trimmed to a multiple of 20 as f11 does."""
+    g = P.genome(s, d).select(C("chrom").alias("name"), F.expr("substring(seq, 1, int(len div 20 * 20))").alias("sequence"))
+    return datasets.promoter_dataset(g, 16_000, "g06")
 
 
 _GP = 'gp AS (SELECT chrom, (len // 5)::BIGINT AS "start", (len // 5 + 80)::BIGINT AS "end", chrom AS name FROM genome WHERE len > 300)'

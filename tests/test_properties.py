@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandflow.functions import bpe, inference, seq
-from strandflow.operators import corpus, intervals, tokens
+from strandflow.operators import corpus, datasets, intervals, tokens
+from strandflow.plans import proxies, registry
 
 
 def random_intervals(n, seed, top=3000):
@@ -108,3 +110,17 @@ def test_relative_bucket_edges(spark):
     assert all(got[n] == 16 + got[-n] for n in range(1, 301)) and got[0] == 0
     # n is in far bucket k from n^8 * 8^k >= 8^8 * 128^k on
     assert all(got[-n] == max(8 + k for k in range(8) if n**8 * 8**k >= 8**8 * 128**k) for n in range(8, 301))
+
+
+def test_promoters_keep_every_document_up_to_16000_letters(spark, data):
+    got = registry.QUERIES["g06_promoter_dataset_all"](spark, data).collect()
+    want = {r.chrom: r.seq[: min(16_000, r.len // 20 * 20)] for r in proxies.genome(spark, data).collect()}
+    assert {r.name: r.sequence for r in got if r.promoter_presence} == want
+    assert len(got) == 2 * len(want) and any(len(x) > 400 for x in want.values())
+    assert all(sorted(r.sequence) == sorted(want[r.name]) for r in got)
+
+
+def test_promoters_that_do_not_divide_raise(spark):
+    df = spark.createDataFrame([("a", "ACGT" * 10), ("b", "ACG" * 7)], "name string, sequence string")
+    with pytest.raises(Exception, match="must divide into the blocks"):
+        datasets.promoter_dataset(df, 400, "x").collect()
