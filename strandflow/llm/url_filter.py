@@ -62,15 +62,23 @@ def match_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template) of distinct (host, path): runs of digits become `*`; then, from the root down, a segment
-    with at least FANOUT different values under one parent of the host becomes `*` for all of them."""
+    with at least FANOUT different values under one parent of the host becomes `*` for all of them, to the deepest path's last
+    segment. A row leaves the tree where its path ends, so each depth reads the longer paths only."""
     t = paths.select("host", "path", F.regexp_replace("path", "[0-9]+", "*").alias("masked"))
     shapes = t.select("host", "masked").distinct()
     tree = shapes.withColumn("parent", F.lit("")).withColumn("rest", F.expr("substring(masked, 2)"))
-    for _ in range(DEPTH):
+    ended = None
+    deepest = shapes.agg(F.max(F.size(F.split("masked", "/")))).first()[0] or 1
+    for depth in range(max(DEPTH, deepest - 1)):
         tree = tree.withColumn("segment", F.substring_index("rest", "/", 1)).withColumn("more", F.instr("rest", "/") > 0).withColumn("rest", F.when(F.col("more"), F.expr("substring(rest, instr(rest, '/') + 1)")).otherwise(F.lit("")))
         wide = tree.select("host", "parent", "segment").distinct().groupBy("host", "parent").agg((F.count("*") >= FANOUT).alias("wide"))
-        tree = tree.join(wide, ["host", "parent"]).withColumn("parent", F.concat("parent", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment")))).withColumn("rest", F.when(F.col("more"), F.col("rest")).otherwise(F.lit(""))).drop("wide", "segment")
-    shapes = tree.select("host", "masked", F.concat("parent", F.lit("/"), "rest").alias("template"))
+        tree = tree.join(wide, ["host", "parent"]).withColumn("parent", F.concat("parent", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment")))).drop("wide", "segment")
+        if depth >= DEPTH - 1:  # up to DEPTH a path that has ended goes on with empty segments, as in the SQL
+            tree = staged(tree, "url-tree")
+            done = tree.where(~F.col("more")).select("host", "masked", F.concat("parent", F.lit("/")).alias("template"))
+            ended = done if ended is None else ended.unionByName(done)
+            tree = tree.where("more")
+    shapes = ended
     return t.join(shapes, ["host", "masked"]).select("host", "path", "template")
 
 

@@ -226,6 +226,15 @@ def test_url_templates_learn_from_labels(spark):
     assert all(v == ("block" if k % 2 else "allow") for k, v in got.items()) and len(got) == 200
 
 
+def test_url_templates_reach_the_deepest_segment(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    pages = [(k, f"http://deep.example/a/b/c/d/{'spam' if k % 2 else 'item'}/{word(k)}") for k in range(200)]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(p, labels=labels).collect()}
+    assert all(v == ("block" if k % 2 else "allow") for k, v in got.items()) and len(got) == 200
+
+
 # --- 7 packing ---
 
 
