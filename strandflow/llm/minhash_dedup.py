@@ -10,6 +10,8 @@ into blocks, pairs of blocks are units of work, and a unit counts the exact inte
 a matrix product over the shingles that two or more of them have. It returns a spanning forest of the links it finds between
 different components; pairs inside a component need no more links.
 A pair at the threshold shares no band with probability of about (1 - 0.75^4)^30 = 1e-5, less above it.
+In small sets minimum and maximum of one permutation depend on each other: both agree with m (m - 1) / (n (n - 1)) for m shared of n
+shingles, so for 3 of 4 a band agrees with 1/4 and the pair is missed with 0.75^30 = 1.8e-4.
 """
 
 from __future__ import annotations
