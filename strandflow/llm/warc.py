@@ -51,7 +51,7 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread evenly over the archive; None where they are too few or too alike to train on."""
+    """A dictionary from the first 128 KB of records spread evenly over the archive; None, and so no leading frame, where they are too few or too alike."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
     samples = [r[: 128 << 10] for r in records[::step]]
     try:
