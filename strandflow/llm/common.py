@@ -1,6 +1,6 @@
 """Shared plumbing: the shared folder, written stages, word and hash kernels for Arrow batches.
 
-Nothing here keeps state between calls except power tables for the word hash, which hold constants.
+Nothing here keeps state between calls.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ _PATHS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share. Where none is set, a temporary one serves a local master (tests); a cluster raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="strandflow-")
         shared_dir.own = base
     return base.rstrip("/")
@@ -36,23 +38,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _delete_paths() -> None:
     for spark, path in _PATHS:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             return
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a staged DataFrame, once nothing will read it again."""
+    path = getattr(df, "_staged_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _PATHS[:] = [x for x in _PATHS if x[1] != path]
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,21 +81,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- kernels over Arrow batches -----------------------------------------------------------------
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
+_GOLD = U64(0x9E3779B97F4A7C15)
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(kind: str, n: int) -> np.ndarray:
-    t = _tables.get(kind)
-    if t is None or len(t) < n:
-        t = np.full(max(n, 1 << 16), U64(_BASE if kind == "up" else _INV))
-        t[0] = 1
-        t = np.cumprod(t)
-        if n <= 1 << 24:
-            _tables[kind] = t
-    return t
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -102,6 +104,7 @@ def _class_table(kind: str) -> np.ndarray:
 
 
 _SPACE = _class_table("space")
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -121,12 +124,30 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes; equal words have equal hashes whatever batch they are in."""
-        n = len(self.data)
-        c = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * _powers("up", n + 1)[:n], out=c[1:])
-        h = (c[self.end] - c[self.start]) * _powers("down", n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(U64))
+        """A 64-bit hash of each word's bytes; equal words have equal hashes whatever batch they are in.
+
+        Lanes of eight bytes are mixed with their place before they are summed, so no rule of letters or of their order makes two words equal."""
+        size = self.end - self.start
+        raw = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(self.data) + 1,), "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+        total = size.astype(U64) * _GOLD
+        for k in (0, 1):
+            at = np.flatnonzero(size > 8 * k) if k else slice(None)
+            total[at] += self._lane(lanes, self.start[at] + 8 * k, size[at] - 8 * k, np.full(1, k))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            number = (size[long] - 9) // 8  # lanes after the second
+            first = np.cumsum(number) - number
+            k = np.arange(int(number.sum())) - np.repeat(first, number) + 2
+            x = self._lane(lanes, np.repeat(self.start[long], number) + 8 * k, np.repeat(size[long], number) - 8 * k, k)
+            total[long] += np.add.reduceat(x, first)
+        return mix(total)
+
+    @staticmethod
+    def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray, number: np.ndarray) -> np.ndarray:
+        x = lanes[at]
+        x &= _LOW_BYTES[np.minimum(left, 8)]
+        return mix(x + (number + 1).astype(U64) * _GOLD)
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
@@ -156,7 +177,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(data, start, end, row, first)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes of text; a longer single row is a run."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -216,30 +237,52 @@ def blob_array(parts: list) -> pa.Array:
 # --- connected components -----------------------------------------------------------------------
 
 
+HOT_KEYS = 256
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined on `key` to values (key, ..., n), where n is the key's number of rows and `total` that of all rows.
+
+    Keys with more than a share of 1 / HOT_KEYS of the rows number fewer than HOT_KEYS, whatever the table's size: they are broadcast,
+    and their rows stay where they are. The other keys are shuffled."""
+    from pyspark.sql import functions as F
+
+    limit = max(total // HOT_KEYS, 1)
+    hot = F.broadcast(values.where(F.col("n") > limit).drop("n"))
+    cold = rows.join(F.broadcast(values.where(F.col("n") > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(values.where(F.col("n") <= limit).drop("n"), key))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node in edges (a, b).
 
     Alternating large-star and small-star rounds on distributed edge tables. Each round is written to the
-    shared folder; only counters reach the driver. A hub's edges are spread by partial aggregation
-    and by adaptive splitting of skewed joins. Raises if `max_rounds` do not suffice, never truncates.
-    """
+    shared folder; only counters reach the driver. A hub's edges are spread by partial aggregation and `join_hot`.
+    Raises if `max_rounds` do not suffice, never truncates."""
     from pyspark.sql import functions as F
 
-    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), name)
-    before = None
+    def tally(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    before = tally(e)
     for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = staged(small, name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # large star: a node's larger neighbours move to its smallest one
+        both = e.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("less"), F.lit(1).alias("one")).union(e.select(F.col("u").alias("node"), F.col("v").alias("less"), F.lit(0).alias("one")))
+        least = both.groupBy("node").agg(F.min("less").alias("m"), F.sum("one").alias("n")).where("n > 0").select(F.col("node").alias("v"), F.coalesce("m", "node").alias("m"), "n")
+        large = staged(join_hot(e, least, "v", before[0]).select("u", F.col("m").alias("v")).distinct(), name)
+        # small star: a node and its smaller neighbours move to the smallest of these
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "u", before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        done, e = e, staged(small, name)
+        discard(done)
+        discard(large)
+        now = tally(e)
         # star rounds change any forest but a star for each component, so unchanged edges are the fixed point
-        if before is not None and tuple(now) == before:
+        if now == before:
             roots = e.select("v").distinct()
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
-        before = tuple(now)
+        before = now
     raise RuntimeError("components did not converge")
 
 

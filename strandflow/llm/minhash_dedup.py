@@ -6,7 +6,7 @@ set), so a group of copies is one row from there on.
 
 Links are sought in two rounds that never emit all pairs of a bucket. Round 1 confirms each class against the smallest class it
 shares a bucket with, and joins what is confirmed. Then only buckets that still hold several components matter: they are cut
-into blocks, pairs of blocks are units of work, and a unit counts the exact intersections of the full sets of its classes by
+into blocks of about BLOCK classes and BLOCK_SHINGLES shingles, pairs of blocks are units of work, and a unit counts the exact intersections of the full sets of its classes by
 a matrix product over the shingles that two or more of them have. It returns a spanning forest of the links it finds between
 different components; pairs inside a component need no more links.
 A pair at the threshold shares no band with probability of about (1 - 0.75^4)^30 = 1e-5, less above it.
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, components, local_links, mix, ngrams, same_row, slices, split_words, staged, table
+from .common import U64, components, discard, local_links, mix, ngrams, same_row, slices, split_words, staged, table
 
-WORDS, PERMUTATIONS, BAND, PERCENT, BLOCK, COLUMNS, SEED = 5, 60, 4, 75, 768, 2048, 5
+WORDS, PERMUTATIONS, BAND, PERCENT, BLOCK, BLOCK_SHINGLES, COLUMNS, SEED = 5, 60, 4, 75, 512, 2_000_000, 2048, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, PERMUTATIONS, np.uint64) * U64(2) + U64(1)
 
 
@@ -160,10 +160,11 @@ def linked(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, righ
 
 
 def bridges(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links between different components, enough to join them. members: (key, rep); joined: (node, component)."""
+    """(a, b): links between different components, enough to join them. members: (key, rep, n_shingles); joined: (node, component)."""
     m = members.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    m = m.join(open_keys.select("key", "n"), "key").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    open_keys = m.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("low < high")
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.least("n", F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)))).cast("int")
+    m = m.join(open_keys.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("rep", "component", F.concat_ws("/", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), (F.col("mine") > F.col("other")).alias("right"), (F.col("mine") == F.col("other")).alias("alone"))
     units = m.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
@@ -185,24 +186,27 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """(doc_id, n_shingles, component_id, kept) of each row of documents.
 
     Documents without words link with nothing, not even with one another. Ids are integers; rows with the same id are one
-    node. Columns other than the two are not read; an empty table gives an empty result."""
+    node. A row with a null id links with nothing and no row with it: its component_id is null and it is kept. Columns other than the
+    two are not read; an empty table gives an empty result."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = staged(sketch(docs), "sketches")
-    full = sketches.where("n_shingles > 0")
+    full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = staged(full.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("first")).select("f1", "f2", "n_shingles", F.col("first.doc_id").alias("rep"), "first.keys"), "sketch-classes")
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    keyed = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     members = staged(keyed.join(shared, "key"), "bucket-members")
     stars = staged(members.where("rep <> low").groupBy("rep").agg(F.min("low").alias("a")).select("a", F.col("rep").alias("b")), "stars")
     sets = staged(full_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")), "shingle-sets")
     links = staged(confirmed(stars, sets), "links")
     joined = components(links, "components")
-    more = staged(bridges(members.select("key", "rep"), joined, sets), "bridges")
+    more = staged(bridges(members.select("key", "rep", "n_shingles"), joined, sets), "bridges")
+    for done in (members, sets, stars):
+        discard(done)
     joined = components(links.union(more), "components")
     named = classes.select("f1", "f2", "n_shingles", "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = sketches.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select(F.col("doc_id").alias(doc_id), "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return out.select(F.col("doc_id").alias(doc_id), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

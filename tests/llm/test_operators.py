@@ -435,3 +435,20 @@ def test_registered_language_model_looks_at_two_words_before(spark, data, monkey
     monkeypatch.setattr(ngram_lm, "train", lambda *a, **b: orders.append(train(*a, **b)) or orders[-1])
     assert ngram_lm.op10_lm_scoring(spark, data).where("score is null or score >= 0").count() == 0
     assert orders[0].order == 3 and sorted(orders[0].grams) == [2, 3]
+
+
+def test_near_duplicates_null_ids_leave_a_class_whole(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, t), (None, t), (5, t), (None, None), (5, t)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(d).collect()), key=repr)
+    assert got == sorted([(1, 26, 1, True), (5, 26, 1, False), (5, 26, 1, False), (None, 26, None, True), (None, 0, None, True)], key=repr)
+
+
+def test_words_built_to_collide_do_not():
+    """Thue-Morse words and their complements agree under every polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    h = common.split_words(pa.array([word, other, f"x {word} y", *("a" * k for k in range(1, 40)), "aaaaaaaa\x00"])).hashes()
+    assert h[0] != h[1] and h[0] == h[3] and len(set(h.tolist())) == len(h) - 1
