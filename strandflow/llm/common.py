@@ -234,6 +234,36 @@ def blob_array(parts: list) -> pa.Array:
     return pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in parts], pa.binary())
 
 
+# --- packing of arrays: differences and byte planes, so that compression finds the zeros --------
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    out = [np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()]
+    for a in arrays:
+        out.append(np.ascontiguousarray(a.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes())
+    return b"".join(out)
+
+
+def unpack_arrays(raw: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    sizes = np.frombuffer(raw, np.int64, n, 8)
+    at, out = 8 * (n + 1), []
+    for s in sizes.tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * s, at).reshape(8, s).T).view(U64).ravel())
+        at += 8 * s
+    return out
+
+
+def differences(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=U64(0))
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
 # --- connected components -----------------------------------------------------------------------
 
 

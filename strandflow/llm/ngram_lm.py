@@ -1,13 +1,16 @@
 """Interpolated modified Kneser-Ney n-gram model of any order from two: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
 
-Counting. A task hashes its training tokens, merges equal n-grams of about PAIRS pairs' worth of words and sends
-packed runs to shards of the hash of their last two words; SALTS bits of the last one's hash join the shard's number, so the
-followers of a very frequent word spread over shards. All n-grams that end alike meet in one shard, so it has every lower level
-of its endings too: it merges its runs, writes the grams of each level as a sorted array of 64-bit hashes with counts, and sends the partial
-statistics of contexts, and each word's continuation counts, to word shards, which write sorted arrays of hashes with
-their sums. Nothing corpus-sized reaches the driver: it sees sums only.
+Counting. A task hashes its training tokens, merges equal n-grams of a run and sends packed runs to shards. A gram's shard follows from
+its last context word, so a shard has whole contexts and whole lower levels of its grams. A word whose share of the text is
+above a shard's (`Frequent`) is spread over several shards by the word before it; then only its pairs, the lowest level, are
+partial, and their sums go to word shards with the continuation counts of words. Shards of about SHARD_BYTES of text are merged one after another
+and appended to files of about FILE_BYTES of text, so neither memory nor the number of files grows with a file. The driver sees sums, and
+at most COMMON rows of frequent words.
 
-Scoring. Workers map the arrays of the shards that a batch needs and look up its sorted hashes.
+Stored keys. A table's keys are sorted 64-bit hashes: an index by their leading bits and the next 40 bits of each. So about 55 bits
+count, and a lookup takes a strange gram for a known one with a probability of about 3e-11. Grams that occur once are a table without counts.
+
+Scoring. Workers map the files and look up a slice's sorted hashes shard by shard.
 
     p_k(v | u) = max(a(uv) - D_k(a(uv)), 0) / a(u) + (D_k1 n1(u) + D_k2 n2(u) + D_k3 n3+(u)) / a(u) * p_k-1(v | u less its first word)
     p_1(v)     = max(k(v) - E(k(v)), 0) / K + (sum of the E taken) / K * 1 / (V + 1)
@@ -16,59 +19,38 @@ with a(uv) the count of an n-gram at the highest level, and below it the number
 text, as BEGIN alone comes before it); a(u) the sum of a(uv), n1, n2, n3+ the context's followers with a of one, two or more, k(v) the
 number of different words before v, K their sum, and D, E the modified Kneser-Ney discounts of each level. A text starts after
 as many BEGIN as a context has words. An unseen context leaves the level below; an unseen token has the uniform share of V tokens and one unknown.
+
+Rows with a null doc_id are not held out and are trained on; repeated rows count each; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, new_path, partitions, slices, split_words, staged, table
+from .common import U64, Words, differences, lean, mix, new_path, pack_arrays, partitions, runs, slices, split_words, staged, table, unpack_arrays
+from .labelled import remainder
 from .warc import open_fs
 
-PAIRS, SALTS, BYTES_A_SHARD, FULL = 2_000_000, 3, 4 << 20, 255
+ORDER = 3
+HELD, SHARD_BYTES, FILE_BYTES, WORD_BYTES, SAMPLE_BYTES = 4_000_000, 4 << 20, 256 << 20, 128 << 20, 16 << 20
+COMMON, RARE, FULL = 65_535, 0xFFFF, 255
 BEGIN, END = U64(0x51A7B05E00000001), U64(0x51A7E0D500000002)
-
-
-# --- packing of arrays: differences and byte planes, so that a shuffle's compression finds the zeros ---
-
-
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    out = [np.array([len(arrays), *map(len, arrays)], np.int64).tobytes()]
-    for a in arrays:
-        out.append(np.ascontiguousarray(a.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes())
-    return b"".join(out)
-
-
-def unpack_arrays(raw: bytes) -> list[np.ndarray]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8)
-    at, out = 8 * (n + 1), []
-    for s in sizes.tolist():
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * s, at).reshape(8, s).T).view(U64).ravel())
-        at += 8 * s
-    return out
-
-
-def differences(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.diff(sorted_keys, prepend=U64(0))
+_LOW40 = U64((1 << 40) - 1)
 
 
 def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix(u * U64(0xD1342543DE82EF95) + v)
 
 
-def shard_of(u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
-    salted = mix(u + (v >> U64(64 - SALTS)) * U64(0x9E3779B97F4A7C15))
-    return (salted % U64(shards)).astype(np.int64)
-
-
 def token_grams(w: Words, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(context words from the farthest to the last, token, row) of each text's words and then END; before a text is BEGIN."""
     h = w.hashes()
@@ -108,28 +90,6 @@ def merged(words: list[np.ndarray], v: np.ndarray, n: np.ndarray) -> tuple[list[
     return [x[order[at]] for x in words], c[at], v[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def pack_grams(words: list[np.ndarray], v: np.ndarray, n: np.ndarray) -> bytes:
-    """Grams as places in a dictionary of their words, sorted by the last context word, whose places are differences."""
-    kinds, places = np.unique(np.concatenate([*words, v]), return_inverse=True)
-    cols = places.reshape(len(words) + 1, len(v))
-    by = np.lexsort((cols[-1], *cols[:-1]))
-    cols = cols[:, by]
-    return pack_arrays(differences(kinds), *cols[:-2], np.diff(cols[-2], prepend=0), cols[-1], n[by])
-
-
-def unpack_grams(raw: bytes) -> list[np.ndarray]:
-    kinds, *cols, n = unpack_arrays(raw)
-    kinds = np.cumsum(kinds)
-    cols[-2] = np.cumsum(cols[-2])
-    return [*(kinds[x.astype(np.int64)] for x in cols), n.astype(np.int64)]
-
-
-def runs(keys: np.ndarray) -> np.ndarray:
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return np.flatnonzero(new)
-
-
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float, float]:
     """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; where a formula has no support the absolute discount Y serves."""
     y = n1 / (n1 + 2 * n2) if n1 > 0 and n2 > 0 else 0.5
@@ -140,129 +100,438 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(d)
 
 
-def _save(folder: str, name: str, *arrays: np.ndarray) -> None:
-    """Writes arrays one after another, each 8-byte aligned; a retried task writes the same bytes."""
-    import uuid
-
-    fs, root = open_fs(folder)
-    fs.create_dir(root, recursive=True)
-    tmp = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(tmp, compression=None) as out:
-        for a in arrays:
-            raw = a.tobytes()
-            out.write(raw + b"\0" * (-len(raw) % 8))
-    fs.move(tmp, f"{root}/{name}")
-
-
-def _map(folder: str, name: str, layout: list[tuple[type, int]]) -> list[np.ndarray]:
-    """Memory-mapped arrays of a saved file; of a remote store's file, a copy that is gone once it is mapped."""
-    fs, root = open_fs(folder)
-    path, copy = f"{root}/{name}", None
-    if fs.type_name != "local":
-        copy = tempfile.NamedTemporaryFile()
-        with fs.open_input_stream(path, compression=None) as f:
-            while chunk := f.read(1 << 20):
-                copy.write(chunk)
-        copy.flush()
-        path = copy.name
-    out, at = [], 0
-    for t, n in layout:
-        out.append(np.memmap(path, t, "r", at, (n,)) if n else np.zeros(0, t))
-        at += -(-n * np.dtype(t).itemsize // 8) * 8
-    if copy:
-        copy.close()
-    return out
+def tally(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-class Model:
-    """Where the arrays are and the sums that scores need; small, so it travels with a task.
+def of_context(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """(sum, ones, twos, threes and more) of the runs of n that begin at first."""
+    return [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
+
+
+# --- frequent words: codes of two bytes in packed runs, and the words to spread ------------------
+
+
+class Frequent:
+    """The COMMON most frequent words of a bounded sample of the text. They give packed runs codes of two bytes and say which words are spread
+    over how many shards; sizes and balance depend on it, no count does."""
+
+    def __init__(self, hashes: list[int], counts: list[int], total: int, shards: int) -> None:
+        self.by_code = np.array(hashes, np.int64).view(U64)
+        order = np.argsort(self.by_code)
+        self.hashes, self.code, self.shards = self.by_code[order], order.astype(np.uint16), shards
+        spread = np.ceil(np.array(counts, float)[order] / max(total, 1) * shards).astype(np.int64)
+        self.hot, self.spread = self.hashes[spread > 1], spread[spread > 1]
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), RARE, np.uint16)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.code[at], np.uint16(RARE))
+
+    def hot_number(self, h: np.ndarray) -> np.ndarray:
+        """The number of each spread word, -1 for the others."""
+        if not len(self.hot):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)
+        return np.where(self.hot[at] == h, at, -1)
+
+    def shard_of(self, last: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Shards by the last context word; of spread words by the word `other` too."""
+        shard = (mix(last ^ U64(0xA5A3564E4A1F2C3B)) % U64(self.shards)).astype(np.int64)
+        hot = self.hot_number(last)
+        at = np.flatnonzero(hot >= 0)
+        step = mix(other[at] ^ U64(0x3C6EF372FE94F82B)) % self.spread[hot[at]].astype(U64)
+        shard[at] = (shard[at] + step.astype(np.int64)) % self.shards
+        return shard
+
 
-    `grams` and `contexts` have, for each level, the sizes of its files by shard: all rows, and those with counts from FULL on."""
+def frequent_words(rows: DataFrame, size: int, shards: int) -> Frequent:
+    """rows: (text). Counts a sample of about SAMPLE_BYTES of whole texts, chosen by their hashes."""
 
-    WORD = (np.uint64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, 0, 8 << 20):
+                w = split_words(b.column(0), lower=True)
+                h, n = np.unique(np.concatenate([w.hashes(), np.repeat([BEGIN, END], b.num_rows)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    steps = 1 << 24
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < int(min(1.0, SAMPLE_BYTES / max(size, 1)) * steps))
+    counts = staged(picked.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-frequent")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return Frequent([r["word"] for r in top], [r["n"] for r in top], total, shards)
+
+
+def pack_grams(frequent: Frequent, words: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Grams in order of the codes of their last context word, the words before it and the token; rare words' hashes follow."""
+    codes = [frequent.codes(x) for x in words]
+    by = np.lexsort((codes[-1], *codes[:-1]))
+    codes, words, n = [c[by] for c in codes], [x[by] for x in words], n[by]
+    rare = [x[c == RARE] for c, x in zip(codes, words, strict=True)]
+    high = n[n >= FULL]
+    head = np.array([len(n), len(high), *map(len, rare)], np.int64)
+    codes[-2] = np.diff(codes[-2], prepend=np.uint16(0))
+    planes = [np.ascontiguousarray(c.astype("<u2").view(np.uint8).reshape(-1, 2).T).tobytes() for c in codes]
+    raw = b"".join([head.tobytes(), *planes, np.minimum(n, FULL).astype(np.uint8).tobytes(), high.astype(np.int64).tobytes(), *(r.tobytes() for r in rare)])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_grams(frequent: Frequent, raw: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    m, top, *rare = np.frombuffer(raw, np.int64, 2 + order).tolist()
+    at = 8 * (2 + order)
+    codes = []
+    for k in range(order):
+        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * m, at).reshape(2, m).T).view("<u2").ravel()
+        codes.append(np.cumsum(c, dtype=np.uint16) if k == order - 2 else c)
+        at += 2 * m
+    n = np.frombuffer(raw, np.uint8, m, at).astype(np.int64)
+    at += m
+    n[n == FULL] = np.frombuffer(raw, np.int64, top, at)
+    at += 8 * top
+    words = []
+    for c, r in zip(codes, rare, strict=True):
+        known = c != RARE
+        w = np.empty(m, U64)
+        w[known] = frequent.by_code[c[known]]
+        w[~known] = np.frombuffer(raw, U64, r, at)
+        at += 8 * r
+        words.append(w)
+    return words, n
+
+
+# --- files of tables -----------------------------------------------------------------------------
+
+
+def _bits(n: int) -> int:
+    """Leading bits of the index of n keys: about 16 keys each."""
+    return min(24, max(0, (n >> 4).bit_length() - 1))
+
+
+class Writer:
+    """A file of named tables: sections, then a JSON index of their places and its length. A retried task replaces the file whole."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.fs, root = open_fs(folder)
+        self.fs.create_dir(root, recursive=True)
+        self.tmp, self.path = f"{root}/.{name}.{uuid.uuid4().hex}", f"{root}/{name}"
+        self.out, self.at, self.index = self.fs.open_output_stream(self.tmp, compression=None), 0, {}
+
+    def put(self, raw: bytes) -> int:
+        """Writes bytes, eight more for reads past the end and the padding to eight; gives their place."""
+        at = self.at
+        raw += b"\0" * (8 + -len(raw) % 8)
+        self.out.write(raw)
+        self.at += len(raw)
+        return at
+
+    def keys(self, keys: np.ndarray) -> list[int]:
+        b = _bits(len(keys))
+        bucket = (keys >> U64(64 - b)).astype(np.int64) if b else np.zeros(len(keys), np.int64)
+        index = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << b))]).astype(np.uint32)
+        rest = ((keys << U64(b)) >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        return [len(keys), self.put(index.tobytes()), self.put(rest.tobytes())]
+
+    def counts(self, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> None:
+        """Sorted keys with columns of which none exceeds the first: those with a first of one, then the others, in bytes, and where the first
+        does not fit one, its places and values."""
+        one = cols[0] == 1
+        cols = [c[~one] for c in cols]
+        high = np.flatnonzero(cols[0] >= FULL)
+        more = [self.put(np.minimum(c, FULL).astype(np.uint8).tobytes()) for c in cols]
+        self.index[name] = [self.keys(keys[one]), self.keys(keys[~one]), more, [len(high), self.put(high.astype(np.int64).tobytes())], [self.put(c[high].astype(np.int64).tobytes()) for c in cols]]
+
+    def plain(self, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> None:
+        self.index[name] = [len(keys), self.put(keys.tobytes()), [self.put(c.astype(np.int64).tobytes()) for c in cols]]
+
+    def close(self) -> None:
+        raw = json.dumps(self.index).encode()
+        self.out.write(raw + len(raw).to_bytes(8, "little"))
+        self.out.close()
+        self.fs.move(self.tmp, self.path)
+
+
+class Reader:
+    """Memory-maps a file of a Writer; of a remote store's file, a copy that is gone once it is mapped."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        fs, root = open_fs(folder)
+        path, copy = f"{root}/{name}", None
+        if fs.type_name != "local":
+            copy = tempfile.NamedTemporaryFile()
+            with fs.open_input_stream(path, compression=None) as f:
+                while chunk := f.read(1 << 20):
+                    copy.write(chunk)
+            copy.flush()
+            path = copy.name
+        self.raw = np.memmap(path, np.uint8, "r")
+        if copy:
+            copy.close()
+        size = int.from_bytes(self.raw[-8:].tobytes(), "little")
+        self.index = json.loads(self.raw[-8 - size : -8].tobytes())
+
+    def _array(self, kind: type, n: int, at: int) -> np.ndarray:
+        return self.raw[at : at + n * np.dtype(kind).itemsize].view(kind)
+
+    def _find(self, keys: list[int], h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 where it is not."""
+        n, at, rest = keys
+        if not n:
+            return np.full(len(h), -1)
+        b = _bits(n)
+        index = self._array(np.uint32, (1 << b) + 1, at)
+        bucket = (h >> U64(64 - b)).astype(np.int64) if b else np.zeros(len(h), np.int64)
+        lo, end = index[bucket].astype(np.int64), index[bucket + 1].astype(np.int64)
+        five = np.ndarray((n,), "<u8", self.raw, rest, (5,))  # eight bytes from each key on, of which five are its own
+        want = (h << U64(b)) >> U64(24)
+        hi = end.copy()
+        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+            mid = (lo + hi) >> 1
+            less = (lo < hi) & ((five[np.minimum(mid, n - 1)] & _LOW40) < want)
+            hi = np.where(less, hi, mid)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.maximum(hi, lo)
+        ok = (lo < end) & ((five[np.minimum(lo, n - 1)] & _LOW40) == want)
+        return np.where(ok, lo, -1)
+
+    def counts(self, name: str, h: np.ndarray, columns: int) -> np.ndarray:
+        """The columns of hashes; zeros where a hash is not. A first of one means (1, 1, 0, ...)."""
+        out = np.zeros((len(h), columns), np.int64)
+        if name not in self.index:
+            return out
+        one, more, cols, (high, places), values = self.index[name]
+        at = self._find(more, h)
+        hit = np.flatnonzero(at >= 0)
+        for k, c in enumerate(cols):
+            out[hit, k] = self._array(np.uint8, more[0], c)[at[hit]]
+        if high and len(top := hit[out[hit, 0] == FULL]):
+            i = np.searchsorted(self._array(np.int64, high, places), at[top])
+            for k, v in enumerate(values):
+                out[top, k] = self._array(np.int64, high, v)[i]
+        rest = np.flatnonzero(at < 0)
+        out[rest[self._find(one, h[rest]) >= 0], :2] = 1
+        return out
 
-    def __init__(self, folder: str, order: int, grams: dict, contexts: dict, word_sizes: dict[int, int], shards: int, word_shards: int, d: dict, e, tokens: int, kinds: int, kinds_of_pairs: int, freed: float) -> None:
-        self.folder, self.order, self.grams, self.contexts, self.word_sizes, self.shards, self.word_shards = folder, order, grams, contexts, word_sizes, shards, word_shards
-        self.d, self.e, self.tokens, self.kinds, self.pairs, self.freed = {k: np.array(x) for k, x in d.items()}, np.array(e), tokens, kinds, kinds_of_pairs, freed
-        self.open: dict[str, list[np.ndarray]] = {}
+    def plain(self, name: str, h: np.ndarray) -> np.ndarray:
+        n, at, cols = self.index[name]
+        out = np.zeros((len(h), len(cols)), np.int64)
+        if n:
+            keys = self._array(U64, n, at)
+            i = np.minimum(np.searchsorted(keys, h), n - 1)
+            hit = np.flatnonzero(keys[i] == h)
+            for k, c in enumerate(cols):
+                out[hit, k] = self._array(np.int64, n, c)[i[hit]]
+        return out
+
+
+def word_shard_of(h: np.ndarray, word_shards: int) -> np.ndarray:
+    return ((h >> U64(24)) % U64(word_shards)).astype(np.int64)
+
+
+def by_key(key: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, places) of each different key, places in order of h."""
+    order = np.lexsort((h, key))
+    bounds = np.concatenate([runs(key[order]), [len(key)]])
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield int(key[order[a]]), order[a:b]
+
+
+class Model:
+    """Where the tables are and the sums that scores need; its size does not depend on the text's, so it travels with a task."""
+
+    def __init__(self, folder: str, order: int, frequent: Frequent, files: int, word_shards: int, hot_stats: np.ndarray, d: dict, e: tuple, tokens: int, kinds: int, pairs: int, freed: float) -> None:
+        self.folder, self.order, self.frequent, self.files, self.word_shards, self.hot_stats = folder, order, frequent, files, word_shards, hot_stats
+        self.d, self.e, self.tokens, self.kinds, self.pairs, self.freed = {k: np.array(x) for k, x in d.items()}, np.array(e), tokens, kinds, pairs, freed
+        self.open: dict[str, Reader] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def _arrays(self, name: str, layout: list[tuple[type, int]]) -> list[np.ndarray]:
+    def _reader(self, name: str) -> Reader:
         if name not in self.open:
-            if len(self.open) >= 4096:
+            if len(self.open) >= 1024:
                 self.open.clear()
-            self.open[name] = _map(self.folder, name, layout)
+            self.open[name] = Reader(self.folder, name)
         return self.open[name]
 
-    def _counts(self, name: str, sizes: dict[int, tuple[int, int]], h: np.ndarray, shard: np.ndarray, columns: int) -> np.ndarray:
-        """The columns of hashes; a byte for each, or where the first is FULL, rows of an array of their own."""
-        order = np.lexsort((h, shard))
-        out = np.zeros((len(h), columns), np.int64)
-        bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)) if len(order) else []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            s = int(shard[order[a]])
-            n, high = sizes.get(s, (0, 0))
-            if n:
-                keys, *rest = self._arrays(f"{name}-{s}", small_and_high(n, high, columns))
-                at = order[a:b]
-                i = np.minimum(np.searchsorted(keys, h[at]), n - 1)
-                hit = keys[i] == h[at]
-                for c in range(columns):
-                    out[at, c] = np.where(hit, rest[c][i], 0)
-                if len(top := at[out[at, 0] == FULL]):
-                    i = np.searchsorted(rest[columns], h[top])
-                    for c in range(columns):
-                        out[top, c] = rest[columns + 1 + c][i]
-        return out
-
-    def gram_counts(self, level: int, c: np.ndarray, last: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Counts of tokens after contexts (hash, last word)."""
-        return self._counts(f"grams{level}", self.grams[level], pair_hash(c, v), shard_of(last, v, self.shards), 1)[:, 0]
-
-    def context_counts(self, level: int, c: np.ndarray) -> np.ndarray:
-        """Rows (count, n1, n2, n3+) of contexts of two words and more."""
-        return self._counts(f"contexts{level}", self.contexts[level], c, word_shard_of(c, self.word_shards), 4)
+    def _shards(self, shard: np.ndarray, h: np.ndarray) -> Iterator[tuple[Reader, int, np.ndarray]]:
+        for s, at in by_key(shard, h):
+            yield self._reader(f"grams-{s % self.files}"), s, at
+
+    def grams(self, level: int, c: np.ndarray, last: np.ndarray, other: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of tokens after contexts, the contexts' (sum, n1, n2, n3+)) of a level above two."""
+        h = pair_hash(c, v)
+        n, stats = np.zeros(len(h), np.int64), np.zeros((len(h), 4), np.int64)
+        for r, s, at in self._shards(self.frequent.shard_of(last, other), h):
+            kinds, which = np.unique(c[at], return_inverse=True)
+            stats[at] = r.counts(f"c{level}/{s}", kinds, 4)[which]
+            known = at[stats[at, 0] > 0]
+            n[known] = r.counts(f"g{level}/{s}", h[known], 1)[:, 0]
+        return n, stats
+
+    def word_pairs(self, last: np.ndarray, v: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the level two; words: what `words` gives of last."""
+        h, hot = pair_hash(last, v), self.frequent.hot_number(last)
+        n, stats = np.zeros(len(h), np.int64), words[:, :4].copy()
+        spread = np.flatnonzero(hot >= 0)
+        stats[spread] = self.hot_stats[hot[spread]]
+        for s, at in by_key(word_shard_of(v[spread], self.word_shards), h[spread]):
+            n[spread[at]] = self._reader(f"words-{s}").counts("hot", h[spread[at]], 1)[:, 0]
+        rest = np.flatnonzero(hot < 0)
+        for r, s, at in self._shards(self.frequent.shard_of(last[rest], v[rest]), h[rest]):
+            n[rest[at]] = r.counts(f"g2/{s}", h[rest[at]], 1)[:, 0]
+        return n, stats
 
     def words(self, h: np.ndarray) -> np.ndarray:
-        """Rows (count as a context, n1, n2, n3+, continuations, count as a token) of sorted different hashes."""
+        """Rows (sum as a context, n1, n2, n3+, continuations, count as a token) of hashes."""
         out = np.zeros((len(h), 6), np.int64)
-        shard = word_shard_of(h, self.word_shards)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.concatenate([runs(shard[order]), [len(h)]])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            s = int(shard[order[a]])
-            if n := self.word_sizes.get(s, 0):
-                keys, *cols = self._arrays(f"words-{s}", [(t, n) for t in self.WORD])
-                at = order[a:b]
-                i = np.minimum(np.searchsorted(keys, h[at]), n - 1)
-                hit = keys[i] == h[at]
-                for c, col in enumerate(cols):
-                    out[at, c] = np.where(hit, col[i], 0)
+        for s, at in by_key(word_shard_of(h, self.word_shards), h):
+            out[at] = self._reader(f"words-{s}").plain("words", h[at])
         return out
 
 
-def word_shard_of(h: np.ndarray, word_shards: int) -> np.ndarray:
-    return ((h >> U64(40)) % U64(word_shards)).astype(np.int64)
+# --- counting ------------------------------------------------------------------------------------
 
 
-def small_and_high(n: int, high: int, columns: int) -> list[tuple[type, int]]:
-    return [(np.uint64, n), *[(np.uint8, n)] * columns, (np.uint64, high), *[(np.int64, high)] * columns]
+def summed(keys: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The different keys in order, with their columns' sums."""
+    by = np.argsort(keys, kind="stable")
+    first = runs(keys[by]) if len(keys) else np.zeros(0, np.int64)
+    return keys[by][first], [np.add.reduceat(c[by], first) if len(first) else c for c in cols]
 
 
-def _save_counts(folder: str, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> list[int]:
-    """Saves sorted keys with columns of which none exceeds the first; gives the sizes."""
-    high = cols[0] >= FULL
-    _save(folder, name, keys, *(np.minimum(c, FULL).astype(np.uint8) for c in cols), keys[high], *(c[high] for c in cols))
-    return [len(keys), int(high.sum())]
-
-
-def _tally(n: np.ndarray) -> list[int]:
-    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+def merge_shards(frequent: Frequent, folder: str, order: int, word_shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (file, shard, run) in this order: writes each file, gives (to, run, facts): partial sums of words and spread pairs by word
+    shard, and the tallies of a shard's counts by level."""
 
+    def shard(writer: Writer, number: int, held: list[bytes]) -> tuple[list[int], np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """(facts, words, their six columns, spread pairs' (number, token, count))"""
+        words, n = zip(*(unpack_grams(frequent, x, order) for x in held), strict=True)
+        *u, v = (np.concatenate(x) for x in zip(*words, strict=True))
+        u, c, v, n = merged(u, v, np.concatenate(n))
+        seen_words, which = np.unique(v, return_inverse=True)
+        seen = np.bincount(which, n, len(seen_words)).astype(np.int64)
+        facts = []
+        for level in range(order, 2, -1):
+            h = pair_hash(c, v)
+            by = np.argsort(h)
+            writer.counts(f"g{level}/{number}", h[by], [n[by]])
+            facts += tally(n)
+            first = runs(c)
+            by = np.argsort(c[first])
+            writer.counts(f"c{level}/{number}", c[first][by], [x[by] for x in of_context(n, first)])
+            n = np.where(u[1] == BEGIN, n, 1)
+            u = u[1:]
+            u, c, v, n = merged(u, v, n)
+        hot = frequent.hot_number(u[0])
+        part = hot >= 0
+        pairs = [hot[part], v[part], n[part]]
+        u, v, n = u[0][~part], v[~part], n[~part]
+        h = pair_hash(u, v)
+        by = np.argsort(h)
+        writer.counts(f"g2/{number}", h[by], [n[by]])
+        facts += tally(n)
+        first = runs(u) if len(u) else np.zeros(0, np.int64)
+        as_context = of_context(n, first) if len(u) else [np.zeros(0, np.int64)] * 4
+        after, times = np.unique(v, return_counts=True)
+        keys = np.unique(np.concatenate([u[first], seen_words]))
+        cols = [np.zeros(len(keys), np.int64) for _ in range(6)]
+        for k, x in enumerate(as_context):
+            cols[k][np.searchsorted(keys, u[first])] = x
+        cols[4][np.searchsorted(keys, after)] = times
+        cols[5][np.searchsorted(keys, seen_words)] = seen
+        return facts, keys, cols, pairs
+
+    def send(words: list, pairs: list, facts: list[int]) -> pa.RecordBatch:
+        to, blobs = [], []
+        keys, cols = summed(np.concatenate([k for k, _ in words]), [np.concatenate(c) for c in zip(*(c for _, c in words), strict=True)])
+        number, token, count = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        shard_of_pair = word_shard_of(token, word_shards)
+        for s, at in by_key(word_shard_of(keys, word_shards), keys):
+            mine = np.flatnonzero(shard_of_pair == s)
+            mine = mine[np.lexsort((token[mine], number[mine]))]
+            to.append(s)
+            code = frequent.codes(token[mine])
+            blobs.append(zstandard.ZstdCompressor(level=1).compress(pack_arrays(differences(keys[at]), *(c[at] for c in cols), np.diff(number[mine], prepend=0), code, token[mine][code == RARE], count[mine])))
+        return pa.RecordBatch.from_arrays([pa.array([*to, None], pa.int32()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(to), facts], pa.list_(pa.int64()))], names=["to", "run", "facts"])
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep=None, order: int = 2) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, at, held = None, (None, None), []
+        words, pairs, facts, size = [], [], np.zeros(4 * (order - 1), np.int64), 0
+        rows = ((f, s, r) for b in batches for f, s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        for f, s, raw in _with_end(rows):
+            if (f, s) != at:
+                if held:
+                    of_shard, keys, cols, more = shard(writer, at[1], held)
+                    held = []
+                    facts += np.array(of_shard)
+                    words.append((keys, cols))
+                    pairs.append(more)
+                    size += len(keys) + len(more[0])
+                    if size > 1_000_000:
+                        yield send(words, pairs, facts.tolist())
+                        words, pairs, facts, size = [], [], np.zeros(4 * (order - 1), np.int64), 0
+                if f != at[0]:
+                    if writer:
+                        writer.close()
+                    writer = Writer(folder, f"grams-{f}") if f is not None else None
+                at = (f, s)
+            if raw is not None and raw.is_valid:
+                held.append(raw.as_py())
+        if words:
+            yield send(words, pairs, facts.tolist())
+
+    return run
+
+
+def _with_end(rows: Iterator) -> Iterator:
+    """The rows, then one that ends the last file."""
+    yield from rows
+    yield None, None, None
+
+
+def merge_words(frequent: Frequent, folder: str) -> Callable[[pa.Table], pa.Table]:
+    """Writes a word shard; gives its sums (facts) and, for each spread word, its share of that word's (sum, n1, n2, n3+)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unpack_arrays(zstandard.ZstdDecompressor().decompress(x.as_py())) for x in t.column("run") if x.is_valid]
+        none = np.zeros(0, np.int64)
+        keys = np.concatenate([np.zeros(0, U64), *(np.cumsum(p[0]) for p in parts)])
+        keys, cols = summed(keys, [np.concatenate([none, *(p[k].astype(np.int64) for p in parts)]) for k in range(1, 7)])
+        number = np.concatenate([none, *(np.cumsum(p[7]).astype(np.int64) for p in parts)])
+        tokens = []
+        for p in parts:
+            code = p[8].astype(np.int64)
+            token = np.empty(len(code), U64)
+            token[code != RARE] = frequent.by_code[code[code != RARE]]
+            token[code == RARE] = p[9]
+            tokens.append(token)
+        token, count = np.concatenate([np.zeros(0, U64), *tokens]), np.concatenate([none, *(p[10].astype(np.int64) for p in parts)])
+        by = np.lexsort((token, number))
+        number, token, count = number[by], token[by], count[by]
+        new = np.ones(len(number), bool)
+        new[1:] = (number[1:] != number[:-1]) | (token[1:] != token[:-1])
+        first = np.flatnonzero(new)
+        number, token, n = number[first], token[first], np.add.reduceat(count, first) if len(first) else count
+        after, times = np.unique(token, return_counts=True)
+        cols[4][np.searchsorted(keys, after)] += times
+        h = pair_hash(frequent.hot[number], token)
+        by = np.argsort(h)
+        w = Writer(folder, f"words-{t.column('to')[0].as_py()}")
+        w.plain("words", keys, cols)
+        w.counts("hot", h[by], [n[by]])
+        w.close()
+        facts = [int(cols[5].sum()), int(cols[4].sum()), int((cols[4] > 0).sum()), *tally(cols[4]), *tally(n)]
+        first = runs(number) if len(number) else none
+        stats = np.column_stack(of_context(n, first)) if len(number) else np.zeros((0, 4), np.int64)
+        return pa.table({"hot": pa.array([None, *number[first].tolist()], pa.int32()), "facts": pa.array([facts, *stats.tolist()], pa.list_(pa.int64()))})
+
+    return run
+
+
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep=None, order: int = ORDER) -> Model:
     """The model of the rows of documents for which the column `keep` holds (all rows if None). Null texts are empty."""
     if order < 2:
         raise ValueError("an order of two at least")
@@ -270,9 +539,11 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
     rows = documents if keep is None else documents.where(keep)
     rows = rows.select(F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards, word_shards = max(2 * partitions(spark), -(-size // BYTES_A_SHARD)), partitions(spark)
+    shards = max(2 * partitions(spark), -(-size // SHARD_BYTES))
+    files, word_shards = max(partitions(spark), -(-size // FILE_BYTES)), max(partitions(spark), -(-size // WORD_BYTES))
+    frequent = frequent_words(rows, size, shards)
     folder = new_path(spark, "lm")
-    hold = 2 * PAIRS // order  # as many words whatever the order
+    hold = HELD // order  # as many words whatever the order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, held = [], 0
@@ -281,23 +552,20 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
             *u, v = (np.concatenate(x) for x in zip(*grams, strict=True))
             grams.clear()
             u, _, v, n = merged(u, v, np.ones(len(v), np.int64))
-            shard = shard_of(u[-1], v, shards)
-            by = np.argsort(shard, kind="stable")
-            bounds = np.concatenate([runs(shard[by]), [len(by)]])
+            shard = frequent.shard_of(u[-1], u[-2] if order > 2 else v)
             ids, blobs, total = [], [], 0
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                at = by[a:b]
-                blobs.append(pack_grams([x[at] for x in u], v[at], n[at]))
-                ids.append(int(shard[by[a]]))
+            for s, at in by_key(shard, v):
+                blobs.append(pack_grams(frequent, [*(x[at] for x in u), v[at]], n[at]))
+                ids.append(s)
                 total += len(blobs[-1])
                 if total > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "run"])
+                    yield batch_of(ids, blobs)
                     ids, blobs, total = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "run"])
+                yield batch_of(ids, blobs)
 
         for batch in batches:
-            for b in slices(batch, "text", 2 << 20):
+            for b in slices(batch, 0, 2 << 20):
                 u, v, _ = token_grams(split_words(b.column(0), lower=True), order)
                 for at in range(0, len(v), hold):  # a very long text too
                     grams.append([x[at : at + hold] for x in (*u, v)])
@@ -308,81 +576,30 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
         if grams:
             yield from send()
 
-    def merge(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        *u, v, n = (np.concatenate(c) for c in zip(*(unpack_grams(x.as_py()) for x in t.column("run")), strict=True))
-        u, c, v, n = merged(u, v, n)
-        tokens, which = np.unique(v, return_inverse=True)
-        seen = np.bincount(which, n, len(tokens)).astype(np.int64)
-        facts, of_contexts = [], []
-        for level in range(order, 1, -1):
-            h = pair_hash(c, v)
-            by = np.argsort(h)
-            facts += [*_save_counts(folder, f"grams{level}-{shard}", h[by], [n[by]]), *_tally(n)]
-            first = runs(c)
-            stats = [np.add.reduceat(x, first) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
-            if level > 2:
-                of_contexts.append((c[first], stats))
-                u = u[1:]
-                u, c, v, n = merged(u, v, np.where(u[0] == BEGIN, n, 1))
-        words, times = np.unique(v, return_counts=True)
-        keys = np.unique(np.concatenate([u[0][first], words]))
-        cols = np.zeros((6, len(keys)), np.int64)
-        at = np.searchsorted(keys, u[0][first])
-        for k, s in enumerate(stats):
-            cols[k, at] = s
-        at = np.searchsorted(keys, words)
-        cols[4, at], cols[5, at] = times, seen
-        runs_to: dict[int, list[np.ndarray]] = {}
-        for place, (x, counts) in enumerate([(keys, cols), *of_contexts]):
-            to = word_shard_of(x, word_shards)
-            by = np.argsort(to, kind="stable")
-            bounds = np.concatenate([runs(to[by]), [len(by)]])
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                mine = runs_to.setdefault(int(to[by[a]]), [])
-                mine += [np.zeros(0, U64)] * (7 + 5 * (place - 1) - len(mine) if place else 0)
-                mine += [differences(x[by[a:b]]), *(k[by[a:b]] for k in counts)]
-        blobs = [pack_arrays(*x, *[np.zeros(0, U64)] * (7 + 5 * (order - 2) - len(x))) for x in runs_to.values()]
-        return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "facts": pa.array([facts, *[None] * (len(blobs) - 1)], pa.list_(pa.int64())), "to": pa.array(list(runs_to), pa.int32()), "run": pa.array(blobs, pa.binary())})
-
-    def merge_words(t: pa.Table) -> pa.Table:
-        to = t.column("to")[0].as_py()
-        parts = [unpack_arrays(x.as_py()) for x in t.column("run")]
-
-        def summed(at: int, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-            keys = np.concatenate([np.cumsum(p[at]) for p in parts])
-            by = np.argsort(keys)
-            first = runs(keys[by])
-            cols = [np.concatenate([p[at + c] for p in parts]).astype(np.int64)[by] for c in range(1, columns + 1)]
-            return keys[by][first], [np.add.reduceat(c, first) if len(first) else c for c in cols]
-
-        keys, cols = summed(0, 6)
-        _save(folder, f"words-{to}", keys, cols[0], *(c.astype(np.int32) for c in cols[1:5]), cols[5])
-        facts = [len(keys), int(cols[5].sum()), int(cols[4].sum()), int((cols[4] > 0).sum()), *_tally(cols[4])]
-        for place, level in enumerate(range(order, 2, -1)):
-            facts += _save_counts(folder, f"contexts{level}-{to}", *summed(7 + 5 * place, 4))
-        # what gram shards said of themselves came along with the first of their runs and goes on as it is
-        said = t.filter(pc.is_valid(t.column("facts")))
-        return pa.table({"shard": pa.array([*said.column("shard").to_pylist(), None], pa.int32()), "facts": pa.array([*said.column("facts").to_pylist(), facts], pa.list_(pa.int64())), "to": pa.array([*[None] * said.num_rows, to], pa.int32())})
-
-    sent = rows.mapInArrow(count, "shard int, run binary")
-    pairs = sent.groupBy("shard").applyInArrow(merge, "shard int, facts array<long>, to int, run binary")
-    words = staged(pairs.groupBy("to").applyInArrow(merge_words, "shard int, facts array<long>, to int"), "lm-words")
-    # a row for each shard and each word shard
-    of_shard = {r["shard"]: r["facts"] for r in words.where("shard is not null").collect()}
-    of_words = {r["to"]: r["facts"] for r in words.where("to is not null").collect()}
-    total = lambda facts, k: sum(x[k] for x in facts.values())
-    grams, contexts, d = {}, {}, {}
-    for place, level in enumerate(range(order, 1, -1)):
-        grams[level] = {s: tuple(x[6 * place : 6 * place + 2]) for s, x in of_shard.items()}
-        d[level] = discounts(*(total(of_shard, 6 * place + k) for k in (2, 3, 4, 5)))
-        if level > 2:
-            contexts[level] = {s: tuple(x[8 + 2 * place : 10 + 2 * place]) for s, x in of_words.items()}
-    m = [total(of_words, k) for k in (4, 5, 6, 7)]
+    def batch_of(ids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s % files for s in ids], pa.int32()), pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["file", "shard", "run"])
+
+    every = lambda n, *more: spark.range(n).select(F.col("id").cast("int"), *more)  # noqa: E731  # so that a file without a run exists too
+    sent = rows.mapInArrow(count, "file int, shard int, run binary").union(every(files, F.lit(-1), F.lit(None).cast("binary")))
+    parts = sent.repartition(files, "file").sortWithinPartitions("file", "shard").mapInArrow(merge_shards(frequent, folder, order, word_shards), "to int, run binary, facts array<long>")
+    parts = staged(parts, "lm-parts")
+    words = parts.where("to is not null").select("to", "run").union(every(word_shards, F.lit(None).cast("binary")))
+    words = staged(words.groupBy("to").applyInArrow(lean(merge_words(frequent, folder)), "hot int, facts array<long>"), "lm-words")
+
+    def total(df: DataFrame, n: int) -> list[int]:
+        return [x or 0 for x in df.agg(*(F.sum(F.col("facts")[k]) for k in range(n))).first()]
+
+    of_grams = total(parts.where("to is null"), 4 * (order - 1))
+    tokens, pairs, kinds, *rest = total(words.where("hot is null"), 11)
+    m, of_hot = rest[:4], rest[4:]
+    of_grams[-4:] = [a + b for a, b in zip(of_grams[-4:], of_hot, strict=True)]
+    hot_stats = np.zeros((len(frequent.hot), 4), np.int64)
+    for r in words.where("hot is not null").groupBy("hot").agg(*(F.sum(F.col("facts")[k]).alias(f"s{k}") for k in range(4))).collect():  # COMMON rows at most
+        hot_stats[r["hot"]] = r[1:]
+    d = {level: discounts(*of_grams[4 * k : 4 * k + 4]) for k, level in enumerate(range(order, 1, -1))}
     e = discounts(*m)
-    seen = total(of_words, 3)
-    freed = e[1] * m[0] + e[2] * m[1] + e[3] * (seen - m[0] - m[1])
-    return Model(folder, order, grams, contexts, {s: x[0] for s, x in of_words.items()}, shards, word_shards, d, e, total(of_words, 1), seen, total(of_words, 2), freed)
+    freed = e[1] * m[0] + e[2] * m[1] + e[3] * (kinds - m[0] - m[1])
+    return Model(folder, order, frequent, files, word_shards, hot_stats, d, e, tokens, kinds, pairs, freed)
 
 
 def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -393,7 +610,7 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 2 << 20):
+            for b in slices(batch, 0, 4 << 20):
                 u, v, row = token_grams(split_words(b.column(0), lower=True), model.order)
                 last = u[-1]
                 keys, inverse = np.unique(np.concatenate([last, v]), return_inverse=True)
@@ -404,13 +621,8 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
                 p = back[iv]
                 for level in range(2, model.order + 1):
                     d = model.d[level]
-                    c = context(u[-(level - 1) :])
-                    if level == 2:
-                        stats = w[iu, :4]
-                    else:
-                        kinds, which = np.unique(c, return_inverse=True)
-                        stats = model.context_counts(level, kinds)[which]
-                    n, cu = model.gram_counts(level, c, last, v), stats[:, 0]
+                    n, stats = model.word_pairs(last, v, w[iu]) if level == 2 else model.grams(level, context(u[-(level - 1) :]), last, u[-2], v)
+                    cu = stats[:, 0]
                     p = np.where(cu > 0, (np.maximum(n - d[np.minimum(n, 3)], 0) + stats[:, 1:] @ d[1:] * p) / np.maximum(cu, 1), p)
                 rows = b.num_rows
                 cv = w[iv, 5]
@@ -428,6 +640,6 @@ def score(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
-    model = train(docs, keep=~F.coalesce("held_out", F.lit(False)), order=3)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
+    model = train(docs, keep=~F.col("held_out"))
     return score(docs, model, also=("held_out",)).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

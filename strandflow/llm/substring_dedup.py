@@ -28,9 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, give_back, lean, mix, ngrams, partitions, slices, split_words, staged, table
+from .common import U64, give_back, lean, mix, ngrams, pack_arrays, partitions, runs, slices, split_words, staged, table, unpack_arrays
 from .fm_index import FmIndex
-from .ngram_lm import pack_arrays, runs, unpack_arrays
 
 WINDOW, ANCHOR, GROUP_BYTES, SHARD_WORDS = 13, 5, 8 << 20, 400_000
 NO_ID = -(1 << 63)

@@ -349,7 +349,7 @@ def test_embeddings_odd_inputs(spark, monkeypatch):
 def test_language_model_brute_force(spark):
     texts = (["a b c a b", "A b d", "", None, "c c c c", "a b c d e f g", "x y", "b a b a"] * 2 + ["the b the b"] * 300)
     d = docs(spark, texts).withColumn("use", F.col("doc_id") % 7 != 2)
-    model = ngram_lm.train(d, keep=F.col("use"))
+    model = ngram_lm.train(d, keep=F.col("use"), order=2)
     got = {r.doc_id: r for r in ngram_lm.score(d.drop("score"), model).collect()}
 
     def tokens(t):
@@ -434,7 +434,7 @@ def test_registered_language_model_looks_at_two_words_before(spark, data, monkey
     train = ngram_lm.train
     monkeypatch.setattr(ngram_lm, "train", lambda *a, **b: orders.append(train(*a, **b)) or orders[-1])
     assert ngram_lm.op10_lm_scoring(spark, data).where("score is null or score >= 0").count() == 0
-    assert orders[0].order == 3 and sorted(orders[0].grams) == [2, 3]
+    assert orders[0].order == 3 and sorted(orders[0].d) == [2, 3]
 
 
 def test_near_duplicates_null_ids_leave_a_class_whole(spark):
@@ -452,3 +452,25 @@ def test_words_built_to_collide_do_not():
     other = word.translate(str.maketrans("ab", "ba"))
     h = common.split_words(pa.array([word, other, f"x {word} y", *("a" * k for k in range(1, 40)), "aaaaaaaa\x00"])).hashes()
     assert h[0] != h[1] and h[0] == h[3] and len(set(h.tolist())) == len(h) - 1
+
+
+def test_language_model_query(spark, data):
+    """The registered query's split, counts and base scores, from the texts alone."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for i, t in texts.items()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
+    n = sum(c.values())
+    got = {r.doc_id: r for r in ngram_lm.op10_lm_scoring(spark, data).collect()}
+    assert set(got) == set(texts)
+    for i, r in got.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
+        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in tokens[i])) < 1e-6 * len(tokens[i])
+
+
+def test_language_model_spreads_frequent_words(spark):
+    texts = [f"the x{k} the y{k % 7} of the z{k % 3}" for k in range(400)]
+    model = ngram_lm.train(docs(spark, texts))
+    assert len(model.frequent.hot) and model.hot_stats[:, 0].min() > 0
+    assert ngram_lm.score(docs(spark, [None]).select("doc_id", "text", F.lit(None).cast("boolean").alias("held_out")), model, also=("held_out",)).first().n_tokens == 1
