@@ -8,7 +8,7 @@ and appended to files of about FILE_BYTES of text, so neither memory nor the num
 at most COMMON rows of frequent words.
 
 Stored keys. A table's keys are sorted 64-bit hashes: an index by their leading bits and the next 40 bits of each. So about 55 bits
-count, and a lookup takes a strange gram for a known one with a probability of about 3e-11. Grams that occur once are a table without counts.
+count, and a lookup takes a strange key for a known one with a probability of about 3e-11. Grams that occur once have no counts beside them.
 
 Scoring. Workers map the files and look up a slice's sorted hashes shard by shard.
 
@@ -43,6 +43,8 @@ from .warc import open_fs
 ORDER = 3
 HELD, SHARD_BYTES, FILE_BYTES, WORD_BYTES, SAMPLE_BYTES = 4_000_000, 4 << 20, 256 << 20, 128 << 20, 16 << 20
 COMMON, RARE, FULL = 65_535, 0xFFFF, 255
+#: What most rows of a table have, by its number of columns: grams seen once, contexts of one such gram, and words with one of each.
+PATTERN = {1: (1,), 4: (1, 1, 0, 0), 6: (1, 1, 0, 0, 1, 1)}
 BEGIN, END = U64(0x51A7B05E00000001), U64(0x51A7E0D500000002)
 _LOW40 = U64((1 << 40) - 1)
 
@@ -235,16 +237,18 @@ class Writer:
         return [len(keys), self.put(index.tobytes()), self.put(rest.tobytes())]
 
     def counts(self, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> None:
-        """Sorted keys with columns of which none exceeds the first: those with a first of one, then the others, in bytes, and where the first
-        does not fit one, its places and values."""
-        one = cols[0] == 1
-        cols = [c[~one] for c in cols]
-        high = np.flatnonzero(cols[0] >= FULL)
-        more = [self.put(np.minimum(c, FULL).astype(np.uint8).tobytes()) for c in cols]
-        self.index[name] = [self.keys(keys[one]), self.keys(keys[~one]), more, [len(high), self.put(high.astype(np.int64).tobytes())], [self.put(c[high].astype(np.int64).tobytes()) for c in cols]]
-
-    def plain(self, name: str, keys: np.ndarray, cols: list[np.ndarray]) -> None:
-        self.index[name] = [len(keys), self.put(keys.tobytes()), [self.put(c.astype(np.int64).tobytes()) for c in cols]]
+        """Sorted keys with columns: first the keys whose columns are the table's PATTERN, then the others with a byte a column; where that does
+        not hold a column, FULL stands in the first one and the row's values lie apart with their places."""
+        plain = np.ones(len(keys), bool)
+        for c, x in zip(cols, PATTERN[len(cols)], strict=True):
+            plain &= c == x
+        cols = [c[~plain] for c in cols]
+        large = np.zeros(len(cols[0]), bool)
+        for c in cols:
+            large |= c >= FULL
+        high = np.flatnonzero(large)
+        more = [self.put(np.where(large, FULL, c).astype(np.uint8).tobytes()) for c in cols]
+        self.index[name] = [self.keys(keys[plain]), self.keys(keys[~plain]), more, [len(high), self.put(high.astype(np.int64).tobytes())], [self.put(c[high].astype(np.int64).tobytes()) for c in cols]]
 
     def close(self) -> None:
         raw = json.dumps(self.index).encode()
@@ -297,7 +301,7 @@ class Reader:
         return np.where(ok, lo, -1)
 
     def counts(self, name: str, h: np.ndarray, columns: int) -> np.ndarray:
-        """The columns of hashes; zeros where a hash is not. A first of one means (1, 1, 0, ...)."""
+        """The columns of hashes; zeros where a hash is not."""
         out = np.zeros((len(h), columns), np.int64)
         if name not in self.index:
             return out
@@ -306,23 +310,12 @@ class Reader:
         hit = np.flatnonzero(at >= 0)
         for k, c in enumerate(cols):
             out[hit, k] = self._array(np.uint8, more[0], c)[at[hit]]
-        if high and len(top := hit[out[hit, 0] == FULL]):
-            i = np.searchsorted(self._array(np.int64, high, places), at[top])
+        if high and len(top := np.flatnonzero(out[hit, 0] == FULL)):
+            i = np.searchsorted(self._array(np.int64, high, places), at[hit[top]])
             for k, v in enumerate(values):
-                out[top, k] = self._array(np.int64, high, v)[i]
+                out[hit[top], k] = self._array(np.int64, high, v)[i]
         rest = np.flatnonzero(at < 0)
-        out[rest[self._find(one, h[rest]) >= 0], :2] = 1
-        return out
-
-    def plain(self, name: str, h: np.ndarray) -> np.ndarray:
-        n, at, cols = self.index[name]
-        out = np.zeros((len(h), len(cols)), np.int64)
-        if n:
-            keys = self._array(U64, n, at)
-            i = np.minimum(np.searchsorted(keys, h), n - 1)
-            hit = np.flatnonzero(keys[i] == h)
-            for k, c in enumerate(cols):
-                out[hit, k] = self._array(np.int64, n, c)[i[hit]]
+        out[rest[self._find(one, h[rest]) >= 0]] = PATTERN[columns]
         return out
 
 
@@ -388,7 +381,7 @@ class Model:
         """Rows (sum as a context, n1, n2, n3+, continuations, count as a token) of hashes."""
         out = np.zeros((len(h), 6), np.int64)
         for s, at in by_key(word_shard_of(h, self.word_shards), h):
-            out[at] = self._reader(f"words-{s}").plain("words", h[at])
+            out[at] = self._reader(f"words-{s}").counts("words", h[at], 6)
         return out
 
 
@@ -404,7 +397,7 @@ def summed(keys: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list[n
 
 def merge_shards(frequent: Frequent, folder: str, order: int, word_shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From rows (file, shard, run) in this order: writes each file, gives (to, run, facts): partial sums of words and spread pairs by word
-    shard, and the tallies of a shard's counts by level."""
+    shard, and with the first of them the tallies of the counts by level."""
 
     def shard(writer: Writer, number: int, held: list[bytes]) -> tuple[list[int], np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """(facts, words, their six columns, spread pairs' (number, token, count))"""
@@ -455,7 +448,7 @@ def merge_shards(frequent: Frequent, folder: str, order: int, word_shards: int)
             to.append(s)
             code = frequent.codes(token[mine])
             blobs.append(zstandard.ZstdCompressor(level=1).compress(pack_arrays(differences(keys[at]), *(c[at] for c in cols), np.diff(number[mine], prepend=0), code, token[mine][code == RARE], count[mine])))
-        return pa.RecordBatch.from_arrays([pa.array([*to, None], pa.int32()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * len(to), facts], pa.list_(pa.int64()))], names=["to", "run", "facts"])
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary()), pa.array([facts, *[None] * (len(to) - 1)], pa.list_(pa.int64()))], names=["to", "run", "facts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, at, held = None, (None, None), []
@@ -492,8 +485,8 @@ def _with_end(rows: Iterator) -> Iterator:
     yield None, None, None
 
 
-def merge_words(frequent: Frequent, folder: str) -> Callable[[pa.Table], pa.Table]:
-    """Writes a word shard; gives its sums (facts) and, for each spread word, its share of that word's (sum, n1, n2, n3+)."""
+def merge_words(frequent: Frequent, folder: str, of_grams: int) -> Callable[[pa.Table], pa.Table]:
+    """Writes a word shard; gives its sums and the tallies it was told (facts) and, for each spread word, its share of that word's (sum, n1, n2, n3+)."""
 
     def run(t: pa.Table) -> pa.Table:
         parts = [unpack_arrays(zstandard.ZstdDecompressor().decompress(x.as_py())) for x in t.column("run") if x.is_valid]
@@ -520,10 +513,14 @@ def merge_words(frequent: Frequent, folder: str) -> Callable[[pa.Table], pa.Tabl
         h = pair_hash(frequent.hot[number], token)
         by = np.argsort(h)
         w = Writer(folder, f"words-{t.column('to')[0].as_py()}")
-        w.plain("words", keys, cols)
+        w.counts("words", keys, cols)
         w.counts("hot", h[by], [n[by]])
         w.close()
-        facts = [int(cols[5].sum()), int(cols[4].sum()), int((cols[4] > 0).sum()), *tally(cols[4]), *tally(n)]
+        told = np.zeros(of_grams, np.int64)
+        for x in t.column("facts").to_pylist():
+            told += np.array(x or [0] * of_grams)
+        told[-4:] += tally(n)
+        facts = [int(cols[5].sum()), int(cols[4].sum()), int((cols[4] > 0).sum()), *tally(cols[4]), *told.tolist()]
         first = runs(number) if len(number) else none
         stats = np.column_stack(of_context(n, first)) if len(number) else np.zeros((0, 4), np.int64)
         return pa.table({"hot": pa.array([None, *number[first].tolist()], pa.int32()), "facts": pa.array([facts, *stats.tolist()], pa.list_(pa.int64()))})
@@ -582,17 +579,12 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
     every = lambda n, *more: spark.range(n).select(F.col("id").cast("int"), *more)  # noqa: E731  # so that a file without a run exists too
     sent = rows.mapInArrow(count, "file int, shard int, run binary").union(every(files, F.lit(-1), F.lit(None).cast("binary")))
     parts = sent.repartition(files, "file").sortWithinPartitions("file", "shard").mapInArrow(merge_shards(frequent, folder, order, word_shards), "to int, run binary, facts array<long>")
-    parts = staged(parts, "lm-parts")
-    words = parts.where("to is not null").select("to", "run").union(every(word_shards, F.lit(None).cast("binary")))
-    words = staged(words.groupBy("to").applyInArrow(lean(merge_words(frequent, folder)), "hot int, facts array<long>"), "lm-words")
-
-    def total(df: DataFrame, n: int) -> list[int]:
-        return [x or 0 for x in df.agg(*(F.sum(F.col("facts")[k]) for k in range(n))).first()]
-
-    of_grams = total(parts.where("to is null"), 4 * (order - 1))
-    tokens, pairs, kinds, *rest = total(words.where("hot is null"), 11)
-    m, of_hot = rest[:4], rest[4:]
-    of_grams[-4:] = [a + b for a, b in zip(of_grams[-4:], of_hot, strict=True)]
+    tallies = 4 * (order - 1)
+    parts = parts.union(every(word_shards, F.lit(None).cast("binary"), F.lit(None).cast("array<long>")))
+    words = staged(parts.groupBy("to").applyInArrow(lean(merge_words(frequent, folder, tallies)), "hot int, facts array<long>"), "lm-words")
+    sums = words.where("hot is null").agg(*(F.coalesce(F.sum(F.col("facts")[k]), F.lit(0)) for k in range(7 + tallies))).first()
+    tokens, pairs, kinds, *rest = sums
+    m, of_grams = rest[:4], rest[4:]
     hot_stats = np.zeros((len(frequent.hot), 4), np.int64)
     for r in words.where("hot is not null").groupBy("hot").agg(*(F.sum(F.col("facts")[k]).alias(f"s{k}") for k in range(4))).collect():  # COMMON rows at most
         hot_stats[r["hot"]] = r[1:]
