@@ -65,11 +65,11 @@ def matrix(col: pa.Array) -> np.ndarray:
 
 
 def pool(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: (mean x, mean y) of the blocks of the isotonic fit of y on x."""
-    order = np.argsort(x, kind="stable")
+    """Pool-adjacent-violators: (mean x, mean y) of the blocks of the isotonic fit of y on x. Rows with equal x are one point from the start."""
+    at, which, n = np.unique(x, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, 1.0, a])
+    for a, b, w in zip(at.tolist(), np.bincount(which, y, len(at)).tolist(), n.tolist(), strict=True):
+        blocks.append([b, float(w), a * w])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             top = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], top, strict=True)]
@@ -99,7 +99,7 @@ class Model:
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> Model:
     """documents: doc_id and text, of which only sampled labelled rows are described. With no labelled row every score is 0.5;
-    with one class the calibration gives its share."""
+    with one class the calibration gives its share. Repeated rows and repeated labels count as often as they stand."""
     chosen = sample_labels(labels, label, F.lit(True) if usable is None else usable, sample)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,25 +150,25 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
 
     rest = rows.where(F.col("fifth") >= FIT).select("stats", "y").mapInArrow(raw, "raw double, y double").toPandas()  # a fifth of the sample
     if len(rest):
-        rest = rest.sort_values(["raw", "y"])
         m.at, m.value = pool(rest["raw"].to_numpy(), rest["y"].to_numpy())
     return m
 
 
 def score(documents: DataFrame, model: Model, also: tuple[str, ...], name: str = "score") -> DataFrame:
-    """(also..., name) of each row of documents, scored by its whole text. The text moves to Python once, also where it is kept."""
+    """(also..., name) of each row of documents, scored by its whole text; equal texts have equal scores. The text moves to Python once,
+    also where it is kept. `name` must not be one of also; other names are free."""
     others = [c for c in also if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "_text", 1 << 20):
+            for b in slices(batch, 0, 1 << 20):
                 x = statistics(b.column(0)).astype(np.float32).astype(np.float64)
                 kept = [b.column(0) if c == "text" else b.column(1 + others.index(c)) for c in also]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.scores(x))], names=[*also, name])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    given = documents.select(F.col("text").alias("_text"), *others)
+    given = documents.select(F.col("text").alias("c"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(others)))
     return given.mapInArrow(run, StructType([documents.schema[c] for c in also]).add(name, DoubleType()))
 
 

@@ -1,9 +1,10 @@
 """Toxicity: logistic regression on character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the different hashed character n-grams of its lower-cased whole text (lengths LENGTHS, BUCKETS
-buckets). On at most SAMPLE labelled documents, document counts per bucket and class give log-count ratios; the FEATURES buckets
-whose class shares differ most significantly stay, and a regularised logistic regression is fitted on presence times ratio.
-Scoring hashes every position of every text but looks further only at the positions in chosen buckets.
+buckets). On at most SAMPLE labelled documents, document counts per bucket and class give log-count ratios. A regularised logistic
+regression is fitted on presence times ratio of the FEATURES buckets whose class shares differ most significantly, each with a weight of its own,
+and on one more feature for all other buckets that SUPPORT labelled documents have: the sum of their ratios over the text's positions by
+the root of the number of positions. So every n-gram with support counts. Texts that are equal score equal; null and empty texts have no features.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import slices, staged, table
 from .labelled import remainder, sample_labels
 
-LENGTHS, BUCKETS, FEATURES, SAMPLE, SLICES = (4, 5, 6), 1 << 20, 4096, 12_000, 64
+LENGTHS, BUCKETS, FEATURES, SUPPORT, SAMPLE, SLICES = (4, 5, 6), 1 << 20, 4096, 20, 12_000, 64
 THRESHOLD, RIDGE, ROUNDS = 0.5, 1e-3, 300
 _A = np.uint32(0x01000193)
 
@@ -62,41 +63,57 @@ def present(texts: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both // max(width, 1), both % max(width, 1)
 
 
+def rest_sums(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """The sum of ratio over the n-grams at all positions of each text, by the root of the number of positions."""
+    out = np.zeros(len(texts))
+    for length, (bucket, bounds) in zip(LENGTHS, gram_buckets(texts), strict=True):
+        total = np.concatenate([[0.0], np.cumsum(ratio[bucket], dtype=np.float64)])
+        ends = np.maximum(bounds[1:] - length + 1, bounds[:-1])
+        out += total[np.minimum(ends, len(bucket))] - total[np.minimum(bounds[:-1], len(bucket))]
+    return out / np.sqrt(np.maximum(np.diff(bounds), 1))
+
+
 @dataclass
 class Model:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    rest: np.ndarray  # log-count ratio of each other bucket
+    slope: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        number = np.full(BUCKETS, -1, np.int16)
-        number[self.buckets] = np.arange(len(self.buckets))
         z = np.full(len(texts), self.bias)
         if len(self.buckets):
+            number = np.full(BUCKETS, -1, np.int16)
+            number[self.buckets] = np.arange(len(self.buckets))
             row, feature = present(texts, number)
             z += np.bincount(row, self.weights[feature], len(texts))
+        if self.slope:
+            z += self.slope * rest_sums(texts, self.rest)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights of presence (ratio included) and bias, by accelerated gradient steps on the regularised mean log loss."""
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS, dense: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
+    """Weights of presence (ratio included), bias and the weight of the dense feature, by accelerated gradient steps on the regularised mean log loss."""
     sizes = np.array([len(r) for r in rows])
     index = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
     x = ratio[index]
+    dense = np.zeros(len(rows)) if dense is None else dense
     base = min(max(y.mean(), 1e-4), 1 - 1e-4)
-    w, b = np.zeros(len(ratio)), float(np.log(base / (1 - base)))
-    bound = np.bincount(owner, x * x, len(rows)).mean() + 1  # of the mean loss' curvature, a quarter at most
-    step = 2.0 / bound
-    mw, mb = w.copy(), b
+    k = len(ratio)
+    w = np.zeros(k + 2)  # then the dense feature's and the bias
+    w[-1] = np.log(base / (1 - base))
+    shrink = np.append(np.full(k + 1, ridge), 0.0)
+    bound = (np.bincount(owner, x * x, len(rows)) + dense * dense).mean() + 1  # of the mean loss' curvature, a quarter at most
+    step, m = 2.0 / bound, w.copy()
     for t in range(rounds):
-        z = np.bincount(owner, x * mw[index], len(rows)) + mb
+        z = np.bincount(owner, x * m[index], len(rows)) + m[k] * dense + m[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(rows)
-        nw, nb = mw - step * (np.bincount(index, x * g[owner], len(ratio)) + ridge * mw), mb - step * g.sum()
-        k = t / (t + 3)
-        mw, mb = nw + k * (nw - w), nb + k * (nb - b)
-        w, b = nw, nb
-    return w * ratio, b
+        new = m - step * (np.concatenate([np.bincount(index, x * g[owner], k), [g @ dense, g.sum()]]) + shrink * m)
+        m = new + t / (t + 3) * (new - w)
+        w = new
+    return w[:k] * ratio, float(w[-1]), float(w[k])
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -108,7 +125,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
     pos, neg = sum(n for y, n in size.items() if y > 0.5), sum(n for y, n in size.items() if y <= 0.5)
     if not pos or not neg:
         share = (pos + 1) / (pos + neg + 2)
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), 0.0)
     wide = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +149,17 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
         z = np.abs((p + 0.5) / (pos + 1) - (n + 0.5) / (neg + 1)) / np.sqrt(mean * (1 - np.minimum(mean, 0.999)) * (1 / pos + 1 / neg))
         z[p + n < 2] = 0
         top = np.argsort(-z, kind="stable")[:FEATURES]
-        top = top[z[top] > 0]
-        return pa.table({"bucket": pa.array(top + part * wide, pa.int32()), "ratio": ratio[top], "z": z[top]})
+        some = np.union1d(top[z[top] > 0], np.flatnonzero(p + n >= SUPPORT))
+        return pa.table({"bucket": pa.array(some + part * wide, pa.int32()), "ratio": ratio[some], "z": z[some], "n": (p + n)[some]})
 
-    ranked = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "bucket int, ratio double, z double")
-    best = ranked.orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas()
+    ranked = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "bucket int, ratio double, z double, n long").toPandas()  # BUCKETS rows at most
+    ranked = ranked.sort_values(["z", "bucket"], ascending=[False, True])
+    best = ranked[: FEATURES][lambda d: d["z"] > 0]
     buckets, ratio = best["bucket"].to_numpy(), best["ratio"].to_numpy()
+    rest = np.zeros(BUCKETS, np.float32)
+    known = ranked[ranked["n"] >= SUPPORT]
+    rest[known["bucket"]] = known["ratio"]
+    rest[buckets] = 0
     number = np.full(BUCKETS, -1, np.int16)
     number[buckets] = np.arange(len(buckets))
 
@@ -146,12 +168,13 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
             for b in slices(batch, "text", 1 << 20):
                 row, feature = present(b.column(0), number)
                 parts = np.split(feature.astype(np.uint16), np.searchsorted(row, np.arange(1, b.num_rows)))
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in parts], pa.binary())], names=["y", "features"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(rest_sums(b.column(0), rest))], names=["y", "features", "rest"])
 
-    rows = docs.mapInArrow(featurise, "y double, features binary").collect()  # at most about `sample` rows of at most FEATURES numbers
-    order = sorted(rows, key=lambda r: (bytes(r["features"]), r["y"]))
-    weights, bias = fit_logistic([np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in order], np.array([float(r["y"] > 0.5) for r in order]), ratio)
-    return Model(buckets, weights, bias)
+    rows = docs.mapInArrow(featurise, "y double, features binary, rest double").collect()  # at most about `sample` rows of at most FEATURES numbers
+    order = sorted(rows, key=lambda r: (bytes(r["features"]), r["rest"], r["y"]))
+    dense = np.array([r["rest"] for r in order])
+    weights, bias, slope = fit_logistic([np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in order], np.array([float(r["y"] > 0.5) for r in order]), ratio, dense=dense)
+    return Model(buckets, weights, bias, rest, slope)
 
 
 def score(documents: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataFrame:

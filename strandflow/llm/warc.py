@@ -1,9 +1,9 @@
 """WARC archives with per-archive Zstandard dictionaries, and a reader for them.
 
-Each archive starts with a skippable frame that holds its dictionary, trained on the archive's own records; then each
+Each archive starts with a skippable frame that holds its dictionary, built from the archive's first HELD_BYTES of records; then each
 record is one independent Zstandard frame, so a reader can start at any record given its offset. A writer task
-holds one archive's records at a time (ARCHIVE_BYTES, or one larger record). Files get unique names; only names that
-committed tasks returned are read, so retried or speculative tasks leave unread files at most.
+holds those first records (or one larger record) and streams the others until the archive has ARCHIVE_BYTES of them. Files get unique
+names; only names that committed tasks returned are read, so retried or speculative tasks leave unread files at most.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, staged, table
 
-ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, LEVEL = 12 << 20, 64 << 10, 4 << 20, 3
+ARCHIVE_BYTES, HELD_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES, SAMPLE_PIECE, LEVEL = 1 << 30, 12 << 20, 64 << 10, 4 << 20, 128 << 10, 3
 DICTIONARY_MAGIC = 0x184D2A5D
 LEAST_REVISIT = 100
 _ID = "urn:strandflow:record:"
@@ -50,25 +50,22 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
     return _header(fields) + block + b"\r\n\r\n"
 
 
-def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the first 128 KB of records spread evenly over the archive; None, and so no leading frame, where they are too few or too alike."""
+def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on whole records spread evenly over those given, about SAMPLE_BYTES of them in pieces of SAMPLE_PIECE. Where these are
+    too few or too alike to train on, the records' own first bytes are the dictionary, so every archive has one."""
     step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    samples = [r[: 128 << 10] for r in records[::step]]
+    samples = [r[k : k + SAMPLE_PIECE] for r in records[::step] for k in range(0, len(r), SAMPLE_PIECE)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 10)), samples)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(records)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive_bytes(records: list[bytes]) -> Iterator[bytes]:
-    """Frames of an archive: the dictionary's skippable frame, then a frame for each record."""
+def begin_archive(records: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressor]:
+    """The leading skippable frame, which holds the dictionary of the records, and the compressor for the archive's records."""
     d = build_dictionary(records)
-    if d is not None:
-        raw = d.as_bytes()
-        yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-    c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
-    for r in records:
-        yield c.compress(r)
+    raw = d.as_bytes()
+    return struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
 
 
 def read_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -125,37 +122,53 @@ def mark_revisits(pages: DataFrame, key: str, html: str, least: int = LEAST_REVI
     return p.join(again, ["key", "digest"], "left")
 
 
-def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """Writes a record for each row of pages into archives under folder; returns (path, records) of the archives.
+def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes a record for each row of pages into archives under folder, of about archive_bytes of records or a task's; returns (path, records) of the archives.
 
-    Null html is an empty payload, a null url gives no target URI; a null key gives the record id `null`. Other columns are ignored."""
+    Repeated rows give a record each. Null html is an empty payload, a null url gives no target URI; a null key gives the record id `null`. Other columns are ignored."""
     named = pages.select(F.col(key), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = mark_revisits(named, key, "html", least)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number, out, name, c = [], 0, 0, None, "", None
 
-        def flush() -> pa.RecordBatch:
+        def begin() -> None:
+            nonlocal out, name, c
             fs, root = open_fs(folder)
             fs.create_dir(root, recursive=True)
-            name = f"{root}/{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(name, compression=None) as out:
-                for frame in archive_bytes(held):
-                    out.write(frame)
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rsplit('/', 1)[1]}"]), pa.array([len(held)], pa.int64())], names=["path", "records"])
+            name = f"{uuid.uuid4().hex}.warc.zst"
+            out = fs.open_output_stream(f"{root}/{name}", compression=None)
+            frame, c = begin_archive(held)
+            out.write(frame)
+            for r in held:
+                out.write(c.compress(r))
+            held.clear()
+
+        def end() -> pa.RecordBatch:
+            nonlocal out, size, number
+            if out is None:
+                begin()
+            out.close()
+            done = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([number], pa.int64())], names=["path", "records"])
+            out, size, number = None, 0, 0
+            return done
 
         for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)) for c in ("key", "url", "html", "digest", "refers_to")]
+            cols = [b.column(b.schema.get_field_index(x)) for x in ("key", "url", "html", "digest", "refers_to")]
             for i in range(b.num_rows):
-                k, u, text, digest, to = (c[i].as_py() for c in cols)
+                k, u, text, digest, to = (x[i].as_py() for x in cols)
                 r = record_bytes("null" if k is None else str(k), u, text.encode(), digest, None if to is None else str(to))
-                held.append(r)
-                size += len(r)
-                if size >= ARCHIVE_BYTES:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                size, number = size + len(r), number + 1
+                if out is None:
+                    held.append(r)
+                    if size >= HELD_BYTES:
+                        begin()
+                else:
+                    out.write(c.compress(r))
+                if size >= archive_bytes:
+                    yield end()
+        if number:
+            yield end()
 
     return staged(rows.select("key", "url", "html", "digest", "refers_to").mapInArrow(write, "path string, records long"), "archives")
 

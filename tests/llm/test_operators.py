@@ -133,6 +133,84 @@ def test_classifiers_on_odd_inputs(spark, labelled):
     assert quality.score(d.limit(0), quality.train(d, labels), ("doc_id",)).count() == 0
 
 
+def test_quality_brute_force(spark):
+    """The ridge weights by their closed form on the same rows, the calibration by the largest lower mean over upper sets."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    m = quality.train(d, labels)
+    both = d.join(labels, "doc_id").orderBy("doc_id").select("doc_id", "text", "quality").toPandas()
+    x = quality.statistics(pa.array(both.text)).astype(np.float32).astype(float)
+    y = both.quality.to_numpy(float)
+    fifth = np.array([zlib.crc32(str(i).encode()) % (1 << 31) % 5 for i in both.doc_id])
+    fit = fifth < quality.FIT
+    assert np.allclose(m.mean, x[fit].mean(0)) and np.allclose(m.scale, np.maximum(x[fit].std(0), 1e-6), rtol=1e-4)
+    z = m.features(x[fit])
+    w = np.linalg.lstsq(np.vstack([z, np.sqrt(quality.RIDGE * fit.sum()) * np.eye(z.shape[1])]), np.concatenate([y[fit], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(m.raw(x), quality.Model(m.mean, m.scale, m.planes, m.phase, w, m.at, m.value).raw(x), atol=1e-5)
+    assert np.allclose(np.sort(isotonic(m.raw(x[~fit]), y[~fit])), np.sort(np.repeat(*blocks_of(m, x[~fit], y[~fit]))))
+
+
+def blocks_of(m, x, y):
+    """(value, size) of the blocks that the rows of x fall into"""
+    at, value = quality.pool(m.raw(x), y)
+    assert np.allclose(at, m.at) and np.allclose(value, m.value)
+    want = isotonic(m.raw(x), y)
+    return value, [int(np.isclose(want, v).sum()) for v in value]
+
+
+def isotonic(x, y):
+    """max over starts of min over ends of the means between, with equal x as one point"""
+    xs = np.unique(x)
+    total, n = np.array([y[x == a].sum() for a in xs]), np.array([(x == a).sum() for a in xs])
+    s, c = np.concatenate([[0], np.cumsum(total)]), np.concatenate([[0], np.cumsum(n)])
+    fit = [max(min((s[e] - s[b]) / (c[e] - c[b]) for e in range(k + 1, len(s))) for b in range(k + 1)) for k in range(len(xs))]
+    return np.array(fit)[np.searchsorted(xs, x)]
+
+
+def test_isotonic_pools_ties():
+    at, value = quality.pool(np.array([1.0, 2, 2, 3]), np.array([0.0, 0, 1, 1]))
+    assert value.tolist() == [0.0, 0.5, 1.0] and at.tolist() == [1.0, 2.0, 3.0]
+
+
+def test_toxicity_brute_force(spark):
+    """Ratios by counting n-grams in Python, weights by plain gradient steps to the same loss, on a small corpus."""
+    r = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    texts, y = [], []
+    for k in range(300):
+        y.append(int(k % 3 == 0))
+        texts.append(" ".join([*r.choice(words, 30), *(["vile", "scum"] if y[-1] else [])]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    m = toxicity.train(d, labels)
+    grams = []
+    for t in texts:
+        one = pa.array([t])
+        grams.append(set(np.concatenate([b[: max(len(t) + 3 - n, 0)] for n, (b, _) in zip(toxicity.LENGTHS, toxicity.gram_buckets(one), strict=True)]).tolist()))
+    pos, neg = sum(y), len(y) - sum(y)
+    p, n = Counter(g for s, c in zip(grams, y) if c for g in s), Counter(g for s, c in zip(grams, y) if not c for g in s)
+    ratio = {g: math.log((p[g] + 1) / (pos + 2)) - math.log((n[g] + 1) / (neg + 2)) for g in {*p, *n}}
+    chosen = set(m.buckets.tolist())
+    assert all(abs(m.rest[g] - (0 if g in chosen or p[g] + n[g] < toxicity.SUPPORT else ratio[g])) < 1e-5 for g in ratio)
+    x = np.zeros((len(texts), len(m.buckets)))
+    place = {g: k for k, g in enumerate(m.buckets.tolist())}
+    for k, s in enumerate(grams):
+        for g in s & chosen:
+            x[k, place[g]] = ratio[g]
+    dense = toxicity.rest_sums(pa.array(texts), m.rest)
+    yy = np.array(y, float)
+    theta = np.append(m.weights / np.array([ratio[g] for g in m.buckets.tolist()]), m.slope)
+    full = np.column_stack([x, dense])
+
+    def loss(t, b):
+        z = full @ t + b
+        return np.mean(np.logaddexp(0, z) - yy * z) + toxicity.RIDGE / 2 * t @ t
+
+    gradient = full.T @ (1 / (1 + np.exp(-(full @ theta + m.bias))) - yy) / len(yy) + toxicity.RIDGE * theta
+    assert loss(theta, m.bias) < loss(0 * theta, np.log(pos / neg)) / 4 and np.abs(gradient).max() < 0.02
+    assert np.allclose(m.scores(pa.array(texts)), 1 / (1 + np.exp(-(full @ theta + m.bias))), atol=1e-6)
+
+
 def test_isotonic_pools_violators():
     at, value = quality.pool(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert value.tolist() == [0.0, 0.5, 1.0] and at.tolist() == [1.0, 2.5, 4.0]
@@ -312,11 +390,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(p.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
-def test_archive_has_a_leading_dictionary():
-    records = [warc.record_bytes(str(k), "u", f"<html><body>{k} same words in each page {k * 7}</body></html>".encode() * 5, "0", None) for k in range(200)]
-    frames = list(warc.archive_bytes(records))
-    assert frames[0][:4] == (0x184D2A5D).to_bytes(4, "little") and len(frames) == 201
-    assert sum(map(len, frames[1:])) < sum(len(x) for x in warc.zstandard.ZstdCompressor().multi_compress_to_buffer(records)) if hasattr(warc.zstandard.ZstdCompressor(), "multi_compress_to_buffer") else True
+@pytest.mark.parametrize("number", [1, 3, 200])
+def test_every_archive_has_a_leading_dictionary(spark, tmp_path, number):
+    pages = spark.createDataFrame([(k, "u", f"<html><body>{k} same words in each page {k * 7}</body></html>" * 5) for k in range(number)], "page_id long, url string, html string").coalesce(1)
+    found = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
+    assert [r.records for r in found] == [number]
+    raw = open(found[0].path.removeprefix("file://"), "rb").read()
+    size = int.from_bytes(raw[4:8], "little")
+    assert raw[:4] == (0x184D2A5D).to_bytes(4, "little") and size > 0
+    d = warc.zstandard.ZstdDecompressor(dict_data=warc.zstandard.ZstdCompressionDict(raw[8 : 8 + size]))
+    first = d.decompressobj().decompress(raw[8 + size :])
+    assert first.startswith(b"WARC/1.1")
+    assert warc.read_archives(spark.createDataFrame(found)).count() == number
+
+
+def test_archives_split_and_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HELD_BYTES", 4000)
+    pages = spark.createDataFrame([(k, "u", f"{k} " + "x" * (k * 13 % 900)) for k in range(150)], "page_id long, url string, html string").coalesce(1)
+    found = warc.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=20_000)
+    assert found.count() > 3 and {r.record_id for r in warc.read_archives(found).collect()} == {str(k) for k in range(150)}
 
 
 # --- 9 embeddings ---
@@ -343,6 +435,28 @@ def test_embeddings_odd_inputs(spark, monkeypatch):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall_at_ten_bits(spark, monkeypatch):
+    """All rows against brute force, with the sign bits of a table of 65,536 vectors and more."""
+    monkeypatch.setattr(embedding_dedup, "plan_bits", lambda n: 12)
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    r = np.random.default_rng(8)
+    base = v.where("vec_id < 600").collect()
+    moved = [(1_000_000 + x.vec_id, [float(c) for c in np.array(x.embedding) + r.standard_normal(64) * np.linalg.norm(x.embedding) / 8 * r.uniform(0.0, 0.33)]) for x in base]
+    v = v.union(spark.createDataFrame(moved, v.schema))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(v).collect()}
+    rows_ = [r for r in v.collect() if r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    x = np.array([r.embedding for r in rows_], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    mine = np.array([got[r.vec_id] for r in rows_])
+    assert want.sum() > 0 and (mine <= want).all() and mine.sum() >= 0.99 * want.sum()
+
+
+def test_embeddings_next_to_the_threshold():
+    a, b = np.array([0.3, 0.1, 0.7]), np.array([0.2, 0.4, 0.9])
+    assert abs(embedding_dedup.exact_cosine(a, b) - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-15
+
+
 # --- 10 language model ---
 
 
