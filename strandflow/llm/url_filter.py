@@ -1,13 +1,22 @@
 """URL filter: per-host path-template tree with smoothed labelled purity, and explicit rules before it.
 
-DataFrame functions only. Null or malformed urls have an empty host and path and fall to the method.
+The tree grows from each host, a segment a round, to the deepest path's last segment. Under one node the segments, with runs of
+digits as `*`, are its branches. A node with FANOUT different branches or more is variable: they become one wildcard. Otherwise the
+branches with LEAST labelled rows or more are put in order of their bad share, and neighbours that a two-proportion test does not tell apart
+(ALIKE standard errors) are merged: they are one branch from there on, and so are their subtrees. A node's purity is its labelled
+rows' bad share, smoothed towards its parent's purity with a weight of WEIGHT rows, and a host's towards PRIOR; so a branch with few labels or none
+is judged as what stands above it. A url whose deepest node has a purity over PURITY is blocked.
+
+DataFrame functions only. Null or malformed urls have an empty host and path and fall to the method. Very long urls make deep paths or
+long segments, nothing else. Of rules that fit, the longest wins; rules of equal length cannot both fit unless they are equal or cut differently into
+host and path, and then the later text in order wins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -33,7 +42,7 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-DEPTH, FANOUT, PRIOR, WEIGHT, PURITY, LEAST, ALIKE = 3, 20, 0.1, 2.0, 0.5, 5, 2.0
+FANOUT, PRIOR, WEIGHT, PURITY, LEAST, ALIKE = 20, 0.1, 2.0, 0.5, 5, 2.0
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -60,46 +69,59 @@ def match_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return urls.join(best.select("host", "path", "best.rule", "best.rule_action"), ["host", "path"], "left")
 
 
+def _purity(bad: Column, n: Column, above: Column) -> Column:
+    return (bad + F.lit(WEIGHT) * above) / (n + F.lit(WEIGHT))
+
+
+def branches(tree: DataFrame) -> DataFrame:
+    """(host, parent, segment, wide, name, purity) of the branches under each node of tree (host, parent, above, segment, n, bad).
+
+    A variable node has one row, with a null segment and the name `*`; the rows of merged branches share a name and a purity."""
+    node = ("host", "parent", "above")
+    kids = tree.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    fans = kids.groupBy(*node).agg((F.count("*") >= FANOUT).alias("wide"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
+    wide = fans.where("wide").select("host", "parent", F.lit(None).cast("string").alias("segment"), "wide", F.lit("*").alias("name"), _purity(F.col("all_bad"), F.col("all_n"), F.col("above")).alias("purity"))
+    few = kids.join(fans.where("not wide").select("host", "parent"), ["host", "parent"])
+    # a node here has fewer than FANOUT branches, so these windows are small
+    tested = few.withColumn("enough", F.col("n") >= LEAST).withColumn("share", F.when(F.col("enough"), F.col("bad") / F.col("n")))
+    w = Window.partitionBy("host", "parent", "enough").orderBy("share", "segment")
+    n0, bad0 = F.lag("n").over(w), F.lag("bad").over(w)
+    tested = tested.withColumn("n0", n0).withColumn("bad0", bad0)
+    pooled = F.try_divide(F.col("bad") + F.col("bad0"), F.col("n") + F.col("n0"))
+    gap = F.col("share") - F.try_divide("bad0", "n0")
+    alike = F.col("enough") & (gap * gap <= F.lit(ALIKE * ALIKE) * pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), "n") + F.try_divide(F.lit(1.0), "n0")))
+    tested = tested.withColumn("group", F.sum(F.when(F.coalesce(alike, F.lit(False)), 0).otherwise(1)).over(w))
+    g = Window.partitionBy("host", "parent", "enough", "group")
+    named = tested.select("host", "parent", "segment", F.lit(False).alias("wide"), F.min("segment").over(g).alias("name"), _purity(F.sum("bad").over(g), F.sum("n").over(g), F.col("above")).alias("purity"))
+    return named.unionByName(wide)
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """(host, path, template) of distinct (host, path): runs of digits become `*`; then, from the root down, a segment
-    with at least FANOUT different values under one parent of the host becomes `*` for all of them, to the deepest path's last
-    segment. A row leaves the tree where its path ends, so each depth reads the longer paths only."""
-    t = paths.select("host", "path", F.regexp_replace("path", "[0-9]+", "*").alias("masked"))
-    shapes = t.select("host", "masked").distinct()
-    tree = shapes.withColumn("parent", F.lit("")).withColumn("rest", F.expr("substring(masked, 2)"))
+    """(host, path, template, purity) of distinct (host, path, n, bad): the deepest node of each path and its purity.
+
+    A row leaves the tree where its path ends, so each depth reads the longer paths only."""
+    t = paths.select("host", "path", F.regexp_replace("path", "[0-9]+", "*").alias("masked"), F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"))
+    shapes = t.groupBy("host", "masked").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = shapes.groupBy("host").agg(_purity(F.sum("bad"), F.sum("n"), F.lit(PRIOR)).alias("above"))
+    tree = staged(shapes.join(hosts, "host").withColumn("parent", F.lit("")).withColumn("rest", F.expr("substring(masked, 2)")), "url-tree")
+    deepest = tree.agg(F.max(F.size(F.split("rest", "/")))).first()[0] or 1
     ended = None
-    deepest = shapes.agg(F.max(F.size(F.split("masked", "/")))).first()[0] or 1
-    for depth in range(max(DEPTH, deepest - 1)):
-        tree = tree.withColumn("segment", F.substring_index("rest", "/", 1)).withColumn("more", F.instr("rest", "/") > 0).withColumn("rest", F.when(F.col("more"), F.expr("substring(rest, instr(rest, '/') + 1)")).otherwise(F.lit("")))
-        wide = tree.select("host", "parent", "segment").distinct().groupBy("host", "parent").agg((F.count("*") >= FANOUT).alias("wide"))
-        tree = tree.join(wide, ["host", "parent"]).withColumn("parent", F.concat("parent", F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment")))).drop("wide", "segment")
-        if depth >= DEPTH - 1:  # up to DEPTH a path that has ended goes on with empty segments, as in the SQL
-            tree = staged(tree, "url-tree")
-            done = tree.where(~F.col("more")).select("host", "masked", F.concat("parent", F.lit("/")).alias("template"))
-            ended = done if ended is None else ended.unionByName(done)
-            tree = tree.where("more")
-    shapes = ended
-    return t.join(shapes, ["host", "masked"]).select("host", "path", "template")
-
-
-def judge(counts: DataFrame) -> DataFrame:
-    """(host, template, purity) from (host, template, n, bad): the labelled and bad rows of each template.
-
-    Branches of a host with at least LEAST labelled rows whose bad share is within ALIKE standard errors of the host's are
-    merged: they share their sums. purity = (bad + WEIGHT * PRIOR) / (n + WEIGHT); unlabelled templates keep the PRIOR."""
-    hosts = counts.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("bad").alias("host_bad"))
-    share = F.col("host_bad") / F.col("host_n")
-    gap = F.abs(F.col("bad") - F.col("n") * share)
-    alike = F.coalesce((F.col("n") >= LEAST) & (gap <= F.lit(ALIKE) * F.sqrt(F.col("n") * share * (F.lit(1.0) - share))), F.lit(False))
-    marked = counts.join(hosts.where("host_n > 0"), "host", "left").withColumn("alike", alike)
-    merged = marked.where("alike").groupBy("host").agg(F.sum("n").alias("merged_n"), F.sum("bad").alias("merged_bad"))
-    m = marked.join(merged, "host", "left")
-    n, bad = F.when(F.col("alike"), F.col("merged_n")).otherwise(F.col("n")), F.when(F.col("alike"), F.col("merged_bad")).otherwise(F.col("bad"))
-    return m.select("host", "template", ((bad + F.lit(WEIGHT * PRIOR)) / (n + F.lit(WEIGHT))).alias("purity"))
+    for _ in range(deepest):
+        tree = tree.withColumn("segment", F.substring_index("rest", "/", 1)).withColumn("more", F.instr("rest", "/") > 0)
+        found = staged(branches(tree), "url-branches")
+        whole = found.where("wide").select("host", "parent", F.lit(True).alias("wide"), F.col("name").alias("wide_name"), F.col("purity").alias("wide_purity"))
+        single = found.where("not wide").select("host", "parent", "segment", "name", "purity")
+        tree = tree.join(whole, ["host", "parent"], "left").join(single, ["host", "parent", "segment"], "left")
+        node = F.concat("parent", F.lit("/"), F.coalesce("wide_name", "name"))
+        tree = staged(tree.select("host", "masked", "n", "bad", node.alias("parent"), F.coalesce("wide_purity", "purity").alias("above"), F.expr("substring(rest, instr(rest, '/') + 1)").alias("rest"), "more"), "url-tree")
+        done = tree.where(~F.col("more")).select("host", "masked", F.col("parent").alias("template"), F.col("above").alias("purity"))
+        ended = done if ended is None else ended.unionByName(done)
+        tree = tree.where("more").drop("more")
+    return t.join(ended, ["host", "masked"]).select("host", "path", "template", "purity")
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = (), labels: DataFrame | None = None, url: str = "url", key: str = "page_id") -> DataFrame:
-    """(key, host, path, rule, verdict, purity) of each row. labels: (key, bad 0/1), or None to learn from the rows that rules judge.
+    """(key, host, path, rule, verdict, template, purity) of each row. labels: (key, bad 0/1), or None to learn from the rows that rules judge.
 
     Repeated rows are judged each; other columns of pages are not read. An empty table gives an empty result."""
     host, path = host_path(F.col("url"))
@@ -111,27 +133,34 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = (), labels: DataFram
         known = rows.join(labels.select(F.col(key).alias("key"), F.col("bad").cast("int").alias("bad")).where("bad is not null"), "key", "left")
         paths = known.groupBy("host", "path").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     paths = staged(paths, "url-paths")
-    named = staged(templates(paths.select("host", "path")), "url-templates")
-    counts = paths.join(named, ["host", "path"]).groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    judged = named.join(judge(counts), ["host", "template"]).select("host", "path", "purity")
-    out = rows.join(judged, ["host", "path"], "left")
+    out = rows.join(templates(paths), ["host", "path"], "left")
     verdict = F.coalesce("rule_action", F.when(F.col("purity") > F.lit(PURITY), "block").otherwise("allow"))
-    return out.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "purity")
+    return out.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+SQL_DEPTH = 5
+
+
 def _depths() -> str:
+    """A path's segments one after another as columns: node{d} and purity{d} of the first d of them; null where the path is shorter."""
     sql = ""
-    for d in range(DEPTH):
+    for d in range(1, SQL_DEPTH + 1):
         sql += f"""
-s{d} AS (SELECT host, masked, parent, split_part(rest, '/', 1) AS segment, strpos(rest, '/') > 0 AS more,
-  CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/') + 1) ELSE '' END AS rest FROM t{d}),
-w{d} AS (SELECT host, parent, count(DISTINCT segment) >= {FANOUT} AS wide FROM s{d} GROUP BY host, parent),
-t{d + 1} AS (SELECT s.host, s.masked, s.parent || '/' || CASE WHEN wide THEN '*' ELSE segment END AS parent, rest
-  FROM s{d} s JOIN w{d} w ON s.host = w.host AND s.parent = w.parent),"""
+x{d} AS (SELECT *, seg[{d}] AS s FROM t{d - 1}),
+k{d} AS (SELECT host, node AS parent, any_value(purity) AS above, s, sum(n) AS n, sum(bad) AS bad FROM x{d} WHERE s IS NOT NULL GROUP BY host, node, s),
+c{d} AS (SELECT *, count(*) OVER (PARTITION BY host, parent) >= {FANOUT} AS wide, sum(n) OVER (PARTITION BY host, parent) AS an, sum(bad) OVER (PARTITION BY host, parent) AS ab FROM k{d}),
+p{d} AS (SELECT *, lag(n) OVER w AS n0, lag(bad) OVER w AS b0 FROM c{d} WHERE NOT wide AND n >= {LEAST} WINDOW w AS (PARTITION BY host, parent ORDER BY bad / n, s)),
+q{d} AS (SELECT *, CASE WHEN (bad / n - b0 / n0) ** 2 <= {ALIKE * ALIKE} * ((bad + b0) / (n + n0)) * (1 - (bad + b0) / (n + n0)) * (1 / n + 1 / n0) THEN 0 ELSE 1 END AS fresh FROM p{d}),
+r{d} AS (SELECT *, sum(fresh) OVER (PARTITION BY host, parent ORDER BY bad / n, s ROWS UNBOUNDED PRECEDING) AS island FROM q{d}),
+b{d} AS (SELECT host, parent, s, min(s) OVER v AS name, (sum(bad) OVER v + {WEIGHT} * above) / (sum(n) OVER v + {WEIGHT}) AS purity FROM r{d} WINDOW v AS (PARTITION BY host, parent, island)
+  UNION ALL SELECT host, parent, s, s, (bad + {WEIGHT} * above) / (n + {WEIGHT}) FROM c{d} WHERE NOT wide AND n < {LEAST}
+  UNION ALL SELECT host, parent, s, '*', (ab + {WEIGHT} * above) / (an + {WEIGHT}) FROM c{d} WHERE wide),
+t{d} AS (SELECT x.host, x.masked, x.n, x.bad, x.seg, CASE WHEN x.s IS NULL THEN x.node ELSE x.node || '/' || b.name END AS node, coalesce(b.purity, x.purity) AS purity
+  FROM x{d} x LEFT JOIN b{d} b ON x.host = b.host AND x.node = b.parent AND x.s = b.s),"""
     return sql
 
 
@@ -141,18 +170,11 @@ b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{L
 rules(action, rh, rp) AS (VALUES {", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in RULES)}),
 f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action
   FROM b JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-rows_ AS (SELECT b.*, rule, action FROM b LEFT JOIN f USING (page_id)),
-p AS (SELECT host, path, count(rule) AS n, sum(CASE WHEN action = 'block' THEN 1 ELSE 0 END) AS bad,
-  regexp_replace(path, '[0-9]+', '*', 'g') AS masked FROM rows_ GROUP BY host, path),
-t0 AS (SELECT DISTINCT host, masked, '' AS parent, substr(masked, 2) AS rest FROM p),{_depths()}
-c AS (SELECT p.host, t.parent || '/' || t.rest AS template, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM p JOIN t{DEPTH} t ON p.host = t.host AND p.masked = t.masked GROUP BY 1, 2),
-h AS (SELECT host, sum(bad) / sum(n) AS share FROM c GROUP BY host HAVING sum(n) > 0),
-k AS (SELECT c.*, coalesce(n >= {LEAST} AND abs(bad - n * share) <= {ALIKE} * sqrt(n * share * (1 - share)), false) AS alike FROM c LEFT JOIN h USING (host)),
-g AS (SELECT host, sum(n) AS gn, sum(bad) AS gb FROM k WHERE alike GROUP BY host),
-j AS (SELECT k.host, template, (CASE WHEN alike THEN gb ELSE bad END + {WEIGHT * PRIOR}) / (CASE WHEN alike THEN gn ELSE n END + {WEIGHT}) AS purity
-  FROM k LEFT JOIN g ON k.host = g.host)
+rows_ AS (SELECT b.*, rule, action, regexp_replace(path, '[0-9]+', '*', 'g') AS masked FROM b LEFT JOIN f USING (page_id)),
+m AS (SELECT host, masked, count(rule)::DOUBLE AS n, count(*) FILTER (action = 'block')::DOUBLE AS bad FROM rows_ GROUP BY host, masked),
+h AS (SELECT host, (sum(bad) + {WEIGHT} * {PRIOR}::DOUBLE) / (sum(n) + {WEIGHT}) AS purity FROM m GROUP BY host),
+t0 AS (SELECT m.host, masked, n, bad, string_split(substr(masked, 2), '/') AS seg, '' AS node, purity FROM m JOIN h ON m.host = h.host),{_depths()}
+j AS (SELECT host, masked, purity FROM t{SQL_DEPTH})
 SELECT page_id, rows_.host, rows_.path, rule, coalesce(action, CASE WHEN purity > {PURITY} THEN 'block' ELSE 'allow' END) AS verdict
-FROM rows_ JOIN p ON rows_.host = p.host AND rows_.path = p.path JOIN t{DEPTH} t ON t.host = p.host AND t.masked = p.masked
-JOIN j ON j.host = p.host AND j.template = t.parent || '/' || t.rest
+FROM rows_ JOIN j ON rows_.host = j.host AND rows_.masked = j.masked
 """

@@ -588,3 +588,37 @@ def test_language_model_spreads_frequent_words(spark):
     model = ngram_lm.train(docs(spark, texts))
     assert len(model.frequent.hot) and model.hot_stats[:, 0].min() > 0
     assert ngram_lm.score(docs(spark, [None]).select("doc_id", "text", F.lit(None).cast("boolean").alias("held_out")), model, also=("held_out",)).first().n_tokens == 1
+
+
+def test_url_templates_decide_rows_without_a_rule(spark):
+    """On the given pages the templates alone both block and allow, and no rule takes part in those verdicts."""
+    from collections import Counter as C
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = url_filter.filter_urls(pages, url_filter.RULES).where("rule is null").collect()
+    found = C(r.verdict for r in got)
+    assert found["block"] > 0 and found["allow"] > 0
+    assert all((r.verdict == "block") == (r.purity > url_filter.PURITY) for r in got)
+
+
+def test_url_templates_merge_like_branches_and_back_off(spark):
+    """Branches a and b share their labels' share and so their subtrees; c differs; a branch without labels takes its parent's purity."""
+    rows_, labels, k = [], [], 0
+    for branch, bad in (("a", 6), ("b", 7), ("c", 0)):
+        for i in range(10):
+            for leaf in ("x", "y"):
+                rows_.append((k, f"http://h/{branch}/{leaf}/{i}"))
+                if leaf == "x" or branch != "b":
+                    labels.append((k, int(leaf == "x" and i < bad or branch == "a" and leaf == "y")))
+                k += 1
+    rows_ += [(k, "http://h/b/y"), (k + 1, "http://h/d/q"), (k + 2, "http://other/z")]
+    p = spark.createDataFrame(rows_, "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(p, labels=spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    by_url = {u: got[i] for i, u in rows_}
+    assert by_url["http://h/a/x/0"].template == by_url["http://h/b/x/0"].template != by_url["http://h/c/x/0"].template
+    # no row of b/y is labelled: the verdict comes from a/y, whose subtree it shares
+    assert by_url["http://h/b/y/3"].verdict == by_url["http://h/a/y/3"].verdict == "block"
+    assert by_url["http://h/c/y/3"].verdict == "allow"
+    n, bad = len(labels), sum(b for _, b in labels)
+    host = (bad + url_filter.WEIGHT * url_filter.PRIOR) / (n + url_filter.WEIGHT)
+    assert abs(by_url["http://h/d/q"].purity - host) < 1e-12 and abs(by_url["http://other/z"].purity - url_filter.PRIOR) < 1e-12
