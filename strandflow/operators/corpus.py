@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import rng, seq
 
+from . import intervals
+
+TILE = 1024
+
 
 def both_strands(genome: DataFrame) -> DataFrame:
     """Each contig and its reverse complement, named rc_<contig>: one scan of the genome."""
@@ -32,12 +36,14 @@ def sentences(genome: DataFrame, seed: str, start: int = 5000, sentence: tuple[i
     b = b.withColumn("k", rng.between(dlo, dhi, seed, "d", F.col("chrom"), F.col("doc_idx").cast("string")))
     wd = Window.partitionBy("chrom").orderBy("doc_idx").rowsBetween(Window.unboundedPreceding, 0)
     b = b.withColumn("upto", F.sum("k").over(wd)).select("chrom", "doc_idx", (F.col("upto") - F.col("k")).alias("low"), "upto")
-    j = s.join(b, "chrom").where("sentence_idx >= low and sentence_idx < upto")
+    # a document's sentences fall into two bins of sentence numbers at most
+    bins = b.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("low") / dhi), F.floor((F.col("upto") - 1) / dhi))))
+    j = s.withColumn("_bin", F.floor(F.col("sentence_idx") / dhi)).join(bins, ["chrom", "_bin"]).where("sentence_idx >= low and sentence_idx < upto")
     return j.select("chrom", "sentence_idx", "doc_idx", "start", F.least("n", F.col("len") - F.col("start")).alias("n"))
 
 
 def documents(genome: DataFrame, seed: str, **options) -> DataFrame:
-    """(chrom, doc_idx, text): documents as arrays of upper-case sentences."""
-    s = sentences(genome, seed, **options)
-    j = s.join(genome.select("chrom", "seq"), "chrom").select("chrom", "doc_idx", "sentence_idx", F.upper(seq.cut(F.col("seq"), F.col("start"), F.col("start") + F.col("n"))).alias("s"))
+    """(chrom, doc_idx, text): documents as arrays of upper-case sentences. Bases come from tiles, so no sentence carries its contig."""
+    s = sentences(genome.select("chrom", "len"), seed, **options).withColumn("end", F.col("start") + F.col("n"))
+    j = intervals.get_fasta(s, intervals.tile(genome, TILE), TILE).select("chrom", "doc_idx", "sentence_idx", F.upper("sequence").alias("s"))
     return j.groupBy("chrom", "doc_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", "s"))), lambda x: x["s"]).alias("text"))

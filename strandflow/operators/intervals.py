@@ -28,9 +28,9 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: str = "inner
     once = F.col("_bin") == F.floor(F.greatest("start", "start_b") / width)
     if how == "inner":
         return _binned(a, width).join(right, meets & once).drop("_chrom", "_bin", "_bin_b")
-    keyed = a.withColumn("_id", F.monotonically_increasing_id())
-    hit = _binned(keyed.select("chrom", "start", "end", "_id"), width).join(right.select("_chrom", "_bin_b", "start_b", "end_b"), meets, "left_semi").select("_id").distinct()
-    return keyed.join(hit, "_id", how).drop("_id")
+    # rows are known by their own values, which do not change when a side is computed again
+    hit = _binned(a.select("chrom", "start", "end").distinct(), width).join(right.select("_chrom", "_bin_b", "start_b", "end_b"), meets, "left_semi").select("chrom", "start", "end").distinct()
+    return a.join(hit, ["chrom", "start", "end"], how).select(*a.columns)
 
 
 def merge(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -84,11 +84,9 @@ def liftover(df: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def tile(genome: DataFrame, width: int = 256) -> DataFrame:
-    """(chrom, tile_idx, seq, len): contigs cut into tiles, so that no long contig is ever shuffled whole."""
-    n = F.expr(f"(len + {width - 1}) div {width}")
-    idx = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("tile_idx")
-    t = genome.where("len > 0").select("chrom", "seq", "len", idx)
-    return t.select("chrom", "tile_idx", F.substring("seq", (F.col("tile_idx") * width + 1).cast("int"), F.lit(width)).alias("seq"), "len")
+    """(chrom, tile_idx, seq, len): contigs cut into tiles in one pass, so that no long contig is shuffled or copied for each tile."""
+    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
+    return genome.where("len > 0").select("chrom", "len", pieces.alias("tile_idx", "seq")).select("chrom", F.col("tile_idx").cast("bigint").alias("tile_idx"), "seq", "len")
 
 
 def get_fasta(df: DataFrame, tiles: DataFrame, width: int = 256, key: str = "name") -> DataFrame:
@@ -103,6 +101,16 @@ def get_fasta(df: DataFrame, tiles: DataFrame, width: int = 256, key: str = "nam
     return j.groupBy(*df.columns).agg(joined.alias("sequence"))
 
 
+def fetch_regions(regions: DataFrame, tiles: DataFrame, width: int = 256, region: str = "region") -> DataFrame:
+    """regions with `sequence`, from strings `contig:first-last` (1-based, both ends included) or `contig:place`, by the tiles they touch only.
+
+    A string of another form, or of a region without bases, gives no row."""
+    part = lambda k: F.regexp_extract(region, r"^(.+):([0-9]+)(?:-([0-9]+))?$", k)
+    first, last = part(2).try_cast("bigint"), F.coalesce(part(3).try_cast("bigint"), part(2).try_cast("bigint"))
+    r = regions.select("*", part(1).alias("chrom"), (first - 1).alias("start"), last.alias("end")).where("start is not null")
+    return get_fasta(r, tiles, width, region).select(*regions.columns, "sequence")
+
+
 def stitch(tiles: DataFrame) -> DataFrame:
     """(chrom, seq): contigs rebuilt from their tiles."""
     return tiles.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile_idx", "seq"))), lambda x: x["seq"]), "").alias("seq"))

@@ -42,7 +42,7 @@ def stratified_folds(df: DataFrame, label: str, order: str, folds: int = 5) -> D
     ends = F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda k: F.aggregate(F.slice("alloc", 1, k), F.lit(0).cast("bigint"), lambda a, x: a + x))
     s = s.withColumn("alloc", alloc).withColumn("ends", ends).select(label, "ends")
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order)))
-    return ranked.join(F.broadcast(s), label).withColumn("fold", (F.size(F.filter("ends", lambda e: e < F.col("_r"))) + 1).cast("int")).drop("_r", "ends")
+    return ranked.join(s, label).withColumn("fold", (F.size(F.filter("ends", lambda e: e < F.col("_r"))) + 1).cast("int")).drop("_r", "ends")
 
 
 def rotate_folds(df: DataFrame, folds: int = 5) -> DataFrame:

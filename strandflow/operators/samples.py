@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.functions import rng, seq
+from strandflow.functions import rng
+
+from . import intervals
 
 
 def shuffle(df: DataFrame, seed: str, *keys: Column) -> DataFrame:
@@ -43,20 +45,22 @@ def by_chromosome(df: DataFrame, valid: tuple[str, ...], test: tuple[str, ...])
 
 def weighted_contigs(sizes: DataFrame, draws: int, seed: str) -> DataFrame:
     """(draw, chrom) of `draws` contigs chosen with probability proportional to their length."""
+    total, n = sizes.agg(F.coalesce(F.sum("len"), F.lit(0)), F.count("*")).first()
+    width = max(1, total // (4 * max(n, 1)))  # draws and contigs meet in bins of this length, about five a contig
     w = Window.partitionBy(F.lit(1)).orderBy("chrom").rowsBetween(Window.unboundedPreceding, 0)  # a row for each contig
-    c = sizes.withColumn("upto", F.sum("len").over(w)).withColumn("total", F.sum("len").over(Window.partitionBy(F.lit(1))))
-    d = sizes.sparkSession.range(draws).select(F.col("id").alias("draw"), rng.u(seed, F.col("id").cast("string")).alias("u"))
-    at = F.floor(F.col("u").cast("double") / F.lit(4294967296.0) * F.col("total"))
-    ranges = c.select("chrom", (F.col("upto") - F.col("len")).alias("low"), "upto", "total")
-    return d.join(F.broadcast(ranges), (at >= F.col("low")) & (at < F.col("upto"))).select("draw", "chrom")
+    c = sizes.where("len > 0").withColumn("upto", F.sum("len").over(w)).withColumn("low", F.col("upto") - F.col("len"))
+    ranges = c.select("chrom", "low", "upto", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(upto - 1) div {width}"))).alias("_bin"))
+    d = sizes.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(rng.u(seed, F.col("id").cast("string")).cast("double") / F.lit(4294967296.0) * F.lit(total)).alias("at"))
+    return d.withColumn("_bin", F.expr(f"at div {width}")).join(ranges, "_bin").where("at >= low and at < upto").select("draw", "chrom")
 
 
 def uniform_chunks(genome: DataFrame, per_contig: int, length: int, seed: str) -> DataFrame:
-    """(chrom, try, start, chunk): per_contig hash-drawn windows of each contig long enough."""
+    """(chrom, try, start, chunk): per_contig hash-drawn windows of each contig long enough, cut from its tiles."""
     t = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_contig - 1).cast("bigint"))).alias("try")
-    g = genome.where(F.col("len") >= length).select("chrom", "seq", "len", t)
+    g = genome.where(F.col("len") >= length).select("chrom", "len", t)
     start = rng.between(F.lit(0).cast("bigint"), F.col("len") - length, seed, F.col("chrom"), F.col("try").cast("string"))
-    return g.withColumn("start", start).select("chrom", "try", "start", seq.cut(F.col("seq"), F.col("start"), F.col("start") + length).alias("chunk"))
+    g = g.select("chrom", "try", start.alias("start")).withColumn("end", F.col("start") + length)
+    return intervals.get_fasta(g, intervals.tile(genome)).select("chrom", "try", "start", F.col("sequence").alias("chunk"))
 
 
 def clean_chunks(genome: DataFrame, per_contig: int, tries: int, length: int, seed: str) -> DataFrame:

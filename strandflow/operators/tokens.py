@@ -90,10 +90,11 @@ def token_labels(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """(sample, pos, label): the largest target class of the positions whose last token start at or before them is this token.
 
     tokens: (sample, pos, st); targets: (sample, place, cls). Tokens that no target reaches have a null label."""
-    w = Window.partitionBy("sample").orderBy("st")
-    t = tokens.withColumn("nx", F.lead("st").over(w))
-    hit = t.join(targets, "sample").where("place >= st and (nx is null or place < nx)").groupBy("sample", "pos").agg(F.max("cls").alias("label"))
-    return tokens.select("sample", "pos").join(hit, ["sample", "pos"], "left")
+    t = tokens.select("sample", F.col("st").alias("place"), F.lit(0).alias("kind"), "pos", F.lit(None).cast(targets.schema["cls"].dataType).alias("cls"))
+    both = t.unionByName(targets.select("sample", "place", F.lit(1).alias("kind"), F.lit(None).cast(tokens.schema["pos"].dataType).alias("pos"), "cls"))
+    # one pass over a sample in order of place: each target belongs to the last token before it
+    w = Window.partitionBy("sample").orderBy("place", "kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("pos", F.last("pos", True).over(w)).where("pos is not null").groupBy("sample", "pos").agg(F.max("cls").alias("label"))
 
 
 def class_rows(first: Column, second: Column) -> Column:
@@ -135,6 +136,23 @@ def collate(df: DataFrame, ids: str, batch: str, multiple: int = 64) -> DataFram
     return d.withColumn("attention_mask", mask).withColumn(ids, F.concat(ids, pad)).drop("_w")
 
 
+def collate_labelled(df: DataFrame, batch: str, multiple: int = 64) -> DataFrame:
+    """A batch's rows (input_ids, token_type_ids, attention_mask, bins_mask, labels) brought to one shape, with labels_mask.
+
+    Token columns are padded to the longest of the batch rounded up to `multiple`, ids with PAD and the others with 0 (false); labels, rows of
+    numbers of which a batch has one width, with rows of zeros to the most rows of the batch; labels_mask is true for a row's own labels."""
+    w = Window.partitionBy(batch)
+    width = (F.ceil(F.max(F.size("input_ids")).over(w) / F.lit(multiple)) * multiple).cast("int")
+    d = df.withColumns({"_w": width, "_r": F.max(F.size("labels")).over(w), "_c": F.max(F.size(F.get("labels", F.lit(0)))).over(w)})
+    fill = {"input_ids": F.lit(PAD), "token_type_ids": F.lit(0), "attention_mask": F.lit(0), "bins_mask": F.lit(0)}
+    out = {c: F.concat(c, F.array_repeat(x.cast(df.schema[c].dataType.elementType), F.col("_w") - F.size(c))) for c, x in fill.items()}
+    number = df.schema["labels"].dataType.elementType.elementType
+    more = F.col("_r") - F.size("labels")
+    out["labels"] = F.concat("labels", F.array_repeat(F.array_repeat(F.lit(0).cast(number), F.col("_c")), more))
+    out["labels_mask"] = F.concat(F.array_repeat(F.lit(True), F.size("labels")), F.array_repeat(F.lit(False), more))
+    return d.withColumns(out).drop("_w", "_r", "_c")
+
+
 def segment(ids: Column, input_size: int, memory: int, max_segments: int, pad: int = 0) -> Column:
     """Segments of a sequence, each CLS, `memory` places, SEP, piece, SEP and padding; nearly equal pieces, right-aligned
     in max_segments slots. Rows are (slot, ids)."""

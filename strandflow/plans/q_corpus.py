@@ -54,8 +54,7 @@ b AS (SELECT x.chrom, x.sample, x.h, string_agg(substr(seq, cur + 1, p0 - cur) |
 c AS (SELECT *, lag(s) OVER (PARTITION BY chrom, sample ORDER BY h) AS p FROM b) SELECT chrom, sample, h::INT AS haplotype, md5(s) AS digest FROM c WHERE p IS NULL OR p <> s"""))
 def g03(s, d):
     g = P.genome(s, d).where("len >= 200")
-    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("len div 40 - 1"))).alias("k")
-    vs = g.select("chrom", "seq", k).withColumn("pos", C("k") * 40 + 8).withColumn("ref", F.substring("seq", C("pos").cast("int"), F.lit(1)))
+    vs = intervals.tile(g, 40).where("length(seq) = 40").select("chrom", C("tile_idx").alias("k"), (C("tile_idx") * 40 + 8).alias("pos"), F.substring("seq", 8, 1).alias("ref"))
     j = F.explode(F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3)))).alias("j")
     calls = vs.select("chrom", "pos", "ref", F.array(F.when(C("ref") == "A", "GT").otherwise("A")).alias("alts"), "k", j)
     calls = calls.select("chrom", "pos", "ref", "alts", F.concat(F.lit("s"), C("j").cast("string")).alias("sample"), F.when((C("k") + C("j")) % 7 == 0, -1).otherwise(C("k") * C("j") % 2).alias("a1"), ((C("k") + C("j")) % 2).alias("a2"))
@@ -144,8 +143,8 @@ def _g10(s, d, keep):
     g = P.genome(s, d)
     n = F.split_part("name", F.lit(":"), F.lit(2)).cast("int")
     rg = _iv(s, d).where(keep).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
-    p = g.where("len >= 150").select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("len div 150 - 1"))).alias("k")).withColumn("p0", C("k") * 150 + 70)
-    ref = F.substring("seq", (C("p0") + 1).cast("int"), F.lit(1))
+    p = intervals.tile(g, 150).where("length(seq) = 150").select("chrom", "seq", (C("tile_idx") * 150 + 70).alias("p0"))
+    ref = F.substring("seq", 71, 1)
     vs = p.select("chrom", (C("p0") + 1).alias("pos"), ref.alias("ref"), F.when(C("p0") % 4 == 0, "-").when(ref == "C", "G").otherwise("C").alias("alt"), C("p0").alias("id"))
     x = datasets.variant_sequences(vs, rg, intervals.tile(g))
     return x.select("name", "id", F.md5("ref_seq").alias("r"), F.md5("alt_seq").alias("a"))

@@ -8,7 +8,7 @@ from strandflow.operators import intervals as I
 from strandflow.operators import variants as V
 
 from . import proxies as P
-from .registry import query
+from .registry import ORACLES, query
 
 v = P.with_views
 C = F.col
@@ -95,11 +95,16 @@ def _iv(s, d):
     return g.select("chrom", F.concat_ws(":", "chrom", C("i").cast("string")).alias("name"), (C("i") * 301).alias("start"), F.least(C("i") * 301 + 400, C("len")).alias("end"))
 
 
-for _n, _label in (("j08_getfasta", "sequence"), ("s03_indexed_fetch", "sequence")):
+@query("j08_getfasta", v("genome", f"{_IV} SELECT iv.chrom || ':' || name AS name, substr(seq, \"start\" + 1, \"end\" - \"start\") AS sequence FROM iv JOIN genome USING (chrom)"))
+def j08(s, d):
+    return I.get_fasta(_iv(s, d), P.tiles(s, d)).select("name", "sequence")
 
-    @query(_n, v("genome", f"{_IV} SELECT iv.chrom || ':' || name AS name, substr(seq, \"start\" + 1, \"end\" - \"start\") AS sequence FROM iv JOIN genome USING (chrom)"))
-    def j08(s, d):
-        return I.get_fasta(_iv(s, d), P.tiles(s, d)).select("name", "sequence")
+
+@query("s03_indexed_fetch", ORACLES["j08_getfasta"])
+def s03(s, d):
+    """The same regions asked for as strings, contig:first-last."""
+    r = _iv(s, d).select("name", F.concat("chrom", F.lit(":"), (C("start") + 1).cast("string"), F.lit("-"), C("end").cast("string")).alias("region"))
+    return I.fetch_regions(r, P.tiles(s, d)).select("name", "sequence")
 
 
 @query("j09_faidx", v("genome", "SELECT chrom, len FROM genome"))

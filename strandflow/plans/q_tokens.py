@@ -156,6 +156,19 @@ def t19(s, d):
     return c.select("id", joined(C("a")).alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda x, y: x + y).cast("bigint").alias("attended"), F.size("a").cast("bigint").alias("width"))
 
 
+_LABELS = "list_concat(list_transform(b, lambda x: (x % 3) || ',' || (x % 5)), list_transform(range(0, r - len(b)), lambda i: '0,0'))"
+
+
+@query("t20_labelled_padding", W(f"w AS (SELECT id, a, b, ((max(len(a)) OVER (PARTITION BY id // 8) + 63) // 64 * 64)::BIGINT AS n, max(len(b)) OVER (PARTITION BY id // 8) AS r FROM tok) SELECT id, {J.format(_PADTO.format(x='a', n='n'))} AS ids, len(a) AS attended, len(list_filter(a, lambda x: x > 10)) AS binned, {J.format(_LABELS)} AS labels, {J.format('list_concat(list_transform(b, lambda x: 1), list_transform(range(0, r - len(b)), lambda i: 0))')} AS own, n AS width FROM w"))
+def t20(s, d):
+    t = tok(s, d).withColumn("batch", F.floor(C("id") / 8))
+    cols = {"input_ids": C("a"), "token_type_ids": F.transform("a", lambda x: F.lit(0)), "attention_mask": F.transform("a", lambda x: F.lit(1)), "bins_mask": F.transform("a", lambda x: x > 10), "labels": F.transform("b", lambda x: F.array(x % 3, x % 5))}
+    c = T.collate_labelled(t.select("id", "batch", *(x.alias(k) for k, x in cols.items())), "batch")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y.cast("int")).cast("bigint")
+    rows = F.array_join(F.transform("labels", lambda x: F.concat_ws(",", F.get(x, F.lit(0)).cast("string"), F.get(x, F.lit(1)).cast("string"))), " ")
+    return c.select("id", joined(C("input_ids")).alias("ids"), total("attention_mask").alias("attended"), total("bins_mask").alias("binned"), rows.alias("labels"), joined(F.transform("labels_mask", lambda x: x.cast("int"))).alias("own"), F.size("token_type_ids").cast("bigint").alias("width"))
+
+
 _SEG = """f AS (SELECT id, a[1:54] AS body FROM tok), n AS (SELECT *, (len(body) + 17) // 18 AS n FROM f), e AS (SELECT id, body, n, (len(body) + n - 1) // n AS size, unnest(range(0, n)) AS i FROM n WHERE n > 0),
 z AS (SELECT id, (3 - n + i)::INT AS slot, list_concat([1, 4, 4, 2], body[i * size + 1:(i + 1) * size], [2]) AS x FROM e)"""
 
