@@ -14,10 +14,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a file of one row group is read by one task, and what follows is dear."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def genome(spark: SparkSession, d: str) -> DataFrame:
     """(chrom, seq, len)"""
     seq = F.regexp_replace(F.translate("text", LETTERS, CODES), "[^ACGTN]", "")
-    return table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq")).withColumn("len", F.length("seq").cast("bigint"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq")).withColumn("len", F.length("seq").cast("bigint"))
 
 
 def tiles(spark: SparkSession, d: str, width: int = 256) -> DataFrame:

@@ -20,7 +20,7 @@ def tok(s, d):
     def arr(by, base, m):
         return F.transform(F.split("text", by), lambda w: (F.lit(base) + F.length(w) % m).cast("int"))
 
-    return P.table(s, d, "documents").select(C("doc_id").alias("id"), arr(" ", 5, 11).alias("a"), arr("\n", 16, 7).alias("b"))
+    return P.spread(P.table(s, d, "documents").select("doc_id", "text")).select(C("doc_id").alias("id"), arr(" ", 5, 11).alias("a"), arr("\n", 16, 7).alias("b"))
 
 
 def joined(c):
