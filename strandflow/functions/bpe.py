@@ -6,10 +6,15 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stages
+
 SPECIAL = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 
 
@@ -81,25 +86,108 @@ class Bpe:
         return self.column(left)["ids"], self.column(right)["ids"]
 
 
-def train(sequences: DataFrame, text: str, merges: int, piece: int = 256) -> Bpe:
-    """Merges chosen one a round by the most frequent neighbouring pair over all sequences, ties by text.
-
-    Sequences are cut into pieces so that long contigs spread; counts are Spark aggregates and only the best pair of a round and the
-    alphabet reach the driver. Lineage is cut by caching every tenth round."""
+def _merge_symbols(x: np.ndarray, ends: np.ndarray, pairs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols x of pieces (last places in ends) with each pair (a, b) replaced by c in turn, runs of one symbol from the left."""
+    last = np.zeros(len(x), bool)
+    last[ends] = True
+    for a, b, c in pairs:
+        at = np.flatnonzero((x[:-1] == a) & (x[1:] == b) & ~last[:-1])
+        if a == b and len(at):  # every other place of a run of overlapping ones
+            run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+        x = x.copy()
+        x[at] = c
+        last[at] |= last[at + 1]
+        keep = np.ones(len(x), bool)
+        keep[at + 1] = False
+        x, last = x[keep], last[keep]
+    return x, np.flatnonzero(last)
+
+
+def train(sequences: DataFrame, text: str, merges: int, piece: int = 256, batch: int = 64, rewrite: int = 16) -> Bpe:
+    """Merges by the most frequent neighbouring pair over all sequences, ties by text.
+
+    Sequences are cut into pieces so that long contigs spread, and pieces become symbol numbers once. A job merges what the round before chose and
+    counts the pairs left, adding up in each task first; only the most frequent pairs reach the driver. Of these a
+    round takes as many as must come next in any case: pairs without a common symbol, each more frequent than every pair that shares a symbol
+    with one before it (no new pair can be more frequent than that). Every `rewrite` rounds the merged pieces are written
+    to the shared folder, which cuts the lineage. Pairs that occur once are not merged."""
+    spark = sequences.sparkSession
     n = F.ceil(F.length(text) / F.lit(piece)).cast("int")
-    s = sequences.where(F.length(text) > 0).select(F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * piece + 1, F.lit(piece)))).alias("s"))
-    # symbols of a piece between unit separators, so that a merge is one replacement
-    s = s.select(F.concat(F.lit("\x1f"), F.regexp_replace("s", "(.)", "$1\x1f")).alias("s"))
-    alphabet = sorted(r[0] for r in s.select(F.explode(F.array_distinct(F.split("s", "\x1f"))).alias("c")).distinct().where("c <> ''").collect())
-    found: list[tuple[str, str]] = []
-    for _ in range(merges):
-        symbols = F.filter(F.split("s", "\x1f"), lambda x: x != "")
-        pairs = s.select(symbols.alias("x")).where(F.size("x") > 1).select(F.explode(F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-        best = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < 2:
+    cuts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    s = sequences.where(n > 0).select(F.explode(cuts).alias("s"))
+    alphabet = sorted(r[0] for r in s.select(F.explode(F.array_distinct(F.split("s", ""))).alias("c")).distinct().where("c <> ''").collect())
+    names = list(alphabet)
+    code = {c: k for k, c in enumerate(alphabet)}
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.array([code[c] for c in t], np.int32).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["x"])
+
+    def applied(pairs: list[tuple[int, int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                size = pc.binary_length(b.column(0)).to_numpy() // 4
+                size = size[size > 0]
+                if len(size):
+                    yield _merge_symbols(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int32), np.cumsum(size) - 1, pairs)
+
+        return run
+
+    def counted(pairs: list[tuple[int, int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for x, ends in applied(pairs)(batches):
+                inner = np.ones(len(x), bool)
+                inner[ends] = False
+                at = np.flatnonzero(inner)
+                # of a run of one symbol, as many pairs as would be merged, from the left
+                same = at[x[at] == x[at + 1]]
+                run_of = np.concatenate([[0], np.cumsum((np.diff(same) > 1) | (x[same][1:] != x[same][:-1]))]) if len(same) else same
+                first = np.flatnonzero(np.diff(run_of, prepend=-1))
+                odd = same[(np.arange(len(same)) - first[run_of]) % 2 == 1] if len(same) else same
+                at = np.setdiff1d(at, odd, assume_unique=True)
+                k = x[at].astype(np.int64) << 32 | x[at + 1]
+                key, which = np.unique(np.concatenate([key, k]), return_inverse=True)
+                total = np.bincount(which, np.concatenate([total, np.ones(len(k), np.int64)]), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], names=["pair", "n"])
+
+        return run
+
+    def merged(pairs: list[tuple[int, int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, ends in applied(pairs)(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in np.split(x, ends[:-1] + 1)], pa.binary())], names=["x"])
+
+        return run
+
+    state = stages.written(s.mapInArrow(numbered, "x binary"), "bpe")
+    found, since = [], []
+    for round_ in range(merges):
+        if len(found) >= merges:
+            break
+        if round_ % rewrite == rewrite - 1:
+            state, since = stages.written(state.mapInArrow(merged(since), "x binary"), "bpe"), []
+        top = state.mapInArrow(counted(since), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1")
+        rows = [(r["n"], names[r["pair"] >> 32], names[r["pair"] & 0xFFFFFFFF], r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in top.orderBy(F.desc("n")).limit(4 * batch + 1).collect()]
+        if not rows:
             break
-        a, b = best["a"], best["b"]
-        found.append((a, b))
-        # runs of one symbol merge from the left, so equal pairs do not overlap
-        s = s.select(F.regexp_replace("s", f"(?<=\x1f){a}\x1f{b}(?=\x1f)", a + b).alias("s"))
+        floor = rows[-1][0] if len(rows) > 4 * batch else 0  # pairs with this count may be missing
+        rows.sort(key=lambda r: (-r[0], r[1], r[2]))
+        used: set[int] = set()
+        touching = 0
+        for k, (count, a, b, i, j) in enumerate(rows):
+            if k and (i in used or j in used or count <= touching or count <= floor or len(used) >= 2 * batch or len(found) >= merges):
+                break
+            if k == 0 and count <= floor:  # ties beyond the limit: take all pairs with this count
+                rows_ = [(names[r["pair"] >> 32], names[r["pair"] & 0xFFFFFFFF], r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in top.where(F.col("n") == count).collect()]
+                a, b, i, j = min(rows_)
+            used |= {i, j}
+            touching = max((r[0] for r in rows[k + 1 :] if r[3] in used or r[4] in used), default=0)
+            found.append((a, b))
+            since.append((i, j, len(names)))
+            names.append(a + b)
+            if a == b or floor and k == 0 and count <= floor:
+                break
     return Bpe(alphabet, found)

@@ -10,7 +10,7 @@ from strandflow.operators import variants as V
 
 from . import proxies as P
 from .q_intervals import _IV, _iv, merged
-from .registry import ORACLES, query
+from .registry import query
 
 v, hs = P.with_views, P.hash_sql
 C = F.col
@@ -81,15 +81,9 @@ def g05(s, d):
 _BK = ", ".join(f"struct_pack(u := {hs(repr('g06'), repr('pick'), 'name', repr(str(k)))}, k := {k})" for k in range(20))
 
 
-@query("g06_promoter_dataset", v("genome", f"g AS (SELECT chrom AS name, substr(seq, 1, 400) AS s FROM genome), p AS (SELECT name, s, length(s) // 20 AS w, list_transform(list_sort([{_BK}])[1:12], lambda x: x.k) AS picked FROM g WHERE length(s) % 20 = 0), q AS (SELECT *, list_sort(picked) AS places FROM p) SELECT name, s AS sequence, 1 AS promoter_presence FROM q UNION ALL SELECT name, array_to_string(list_transform(range(0, 20), lambda k: CASE WHEN list_contains(places, k::INT) THEN substr(s, (picked[list_position(places, k::INT)] * w + 1)::BIGINT, w) ELSE substr(s, k * w + 1, w) END), ''), 0 FROM q"))
+@query("g06_promoter_dataset", v("genome", f"g AS (SELECT chrom AS name, substr(seq, 1, least(16000, len // 20 * 20)) AS s FROM genome), p AS (SELECT name, s, length(s) // 20 AS w, list_transform(list_sort([{_BK}])[1:12], lambda x: x.k) AS picked FROM g), q AS (SELECT *, list_sort(picked) AS places FROM p) SELECT name, s AS sequence, 1 AS promoter_presence FROM q UNION ALL SELECT name, array_to_string(list_transform(range(0, 20), lambda k: CASE WHEN list_contains(places, k::INT) THEN substr(s, (picked[list_position(places, k::INT)] * w + 1)::BIGINT, w) ELSE substr(s, k * w + 1, w) END), ''), 0 FROM q"))
 def g06(s, d):
-    g = P.genome(s, d).where(F.least(C("len"), F.lit(400)) % 20 == 0)
-    return datasets.promoter_dataset(g.select(C("chrom").alias("name"), C("seq").alias("sequence")), 400, "g06")
-
-
-@query("g06_promoter_dataset_all", ORACLES["g06_promoter_dataset"].replace("substr(seq, 1, 400)", "substr(seq, 1, least(16000, len // 20 * 20))").replace(" WHERE length(s) % 20 = 0", ""))
-def g06_all(s, d):
-    """Cut where the reference cuts, at 16,000, and trimmed to a multiple of 20 as f11 does."""
+    """Cut at 16,000 and trimmed to a multiple of 20, as f11 does."""
     g = P.genome(s, d).select(C("chrom").alias("name"), F.expr("substring(seq, 1, int(len div 20 * 20))").alias("sequence"))
     return datasets.promoter_dataset(g, 16_000, "g06")
 
@@ -129,20 +123,11 @@ def g09(s, d):
     return datasets.extended_context(g.select(C("chrom").alias("id"), "seq"), hits, intervals.tile(g), 200)
 
 
-@query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv WHERE name % 2 = length(chrom) % 2), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))
+@query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))
 def g10(s, d):
-    return _g10(s, d, F.split_part("name", F.lit(":"), F.lit(2)).cast("int") % 2 == F.length("chrom") % 2)
-
-
-@query("g10_variant_sequences_all", ORACLES["g10_variant_sequences"].replace(" WHERE name % 2 = length(chrom) % 2", ""))
-def g10_all(s, d):
-    return _g10(s, d, F.lit(True))
-
-
-def _g10(s, d, keep):
     g = P.genome(s, d)
     n = F.split_part("name", F.lit(":"), F.lit(2)).cast("int")
-    rg = _iv(s, d).where(keep).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
+    rg = _iv(s, d).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
     p = intervals.tile(g, 150).where("length(seq) = 150").select("chrom", "seq", (C("tile_idx") * 150 + 70).alias("p0"))
     ref = F.substring("seq", 71, 1)
     vs = p.select("chrom", (C("p0") + 1).alias("pos"), ref.alias("ref"), F.when(C("p0") % 4 == 0, "-").when(ref == "C", "G").otherwise("C").alias("alt"), C("p0").alias("id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import rng, seq
 
 from . import proxies as P
-from .registry import ORACLES, query
+from .registry import query
 
 v, hs = P.with_views, P.hash_sql
 C = F.col
@@ -142,13 +142,8 @@ def f23(s, d):
     return P.table(s, d, "embeddings").select("vec_id", F.round(total / F.sqrt(square), 5).alias("z"))
 
 
-@query("f24_relative_bucket", "SELECT x::BIGINT AS dist, (CASE WHEN x > 0 THEN 16 ELSE 0 END + CASE WHEN abs(x) < 8 THEN abs(x) ELSE least(8 + floor(ln(abs(x)::DOUBLE / 8) / ln(16.0::DOUBLE) * 8)::INT, 15) END)::INT AS b FROM range(-300, 301) t(x) WHERE abs(x) NOT IN (16, 32, 64, 128)")
+@query("f24_relative_bucket", "SELECT x::BIGINT AS dist, (CASE WHEN x > 0 THEN 16 ELSE 0 END + CASE WHEN abs(x) < 8 THEN abs(x) ELSE least(8 + floor(ln(abs(x)::DOUBLE / 8) / ln(16.0::DOUBLE) * 8)::INT, 15) END)::INT AS b FROM range(-300, 301) t(x)")
 def f24(s, d):
-    return s.range(-300, 301).where("abs(id) not in (16, 32, 64, 128)").select(C("id").alias("dist"), seq.relative_bucket(C("id")).alias("b"))
-
-
-@query("f24_relative_bucket_all", ORACLES["f24_relative_bucket"].replace(" WHERE abs(x) NOT IN (16, 32, 64, 128)", ""))
-def f24_all(s, d):
     return s.range(-300, 301).select(C("id").alias("dist"), seq.relative_bucket(C("id")).alias("b"))
 
 
@@ -157,13 +152,8 @@ def f25(s, d):
     return s.range(-25, 26).select(C("id").alias("dist"), seq.acceptor_axis(C("id")).cast("bigint").alias("axis"))
 
 
-@query("f26_two_decimals", v("pairs", "SELECT DISTINCT x, printf('%.2f', x / 8) AS t FROM pairs WHERE x % 4 <> 1 AND x % 4 <> 3"))
+@query("f26_two_decimals", v("pairs", "SELECT DISTINCT x, printf('%.2f', x / 8) AS t FROM pairs"))
 def f26(s, d):
-    return P.pairs(s, d).where("x % 4 <> 1 and x % 4 <> 3").select("x", seq.two_decimals(C("x") / 8).alias("t")).distinct()
-
-
-@query("f26_two_decimals_all", ORACLES["f26_two_decimals"].replace(" WHERE x % 4 <> 1 AND x % 4 <> 3", ""))
-def f26_all(s, d):
     return P.pairs(s, d).select("x").distinct().select("x", seq.two_decimals(C("x") / 8).alias("t"))
 
 

@@ -57,6 +57,11 @@ def bed(spark: SparkSession, path, header: bool = False) -> DataFrame:
     return out.where("start is not null and end is not null")
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a dataset's JSON metadata (statistics.json: num_targets, seq_length, pool_width, crop_bp, target_length, <split>_seqs), its keys as columns."""
+    return spark.read.option("multiLine", True).json(path)
+
+
 def split_bed(spark: SparkSession, path) -> DataFrame:
     """(chrom, start, end, subset)"""
     return bed(spark, path).withColumnRenamed("name", "subset").select("chrom", "start", "end", "subset")

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.functions import seq
+
 
 def single_txt(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder for each chromosome, a line for each sentence."""
@@ -25,6 +27,21 @@ def multiple_txt(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     docs.select(name.alias("document"), F.array_join("text", "\n").alias("value")).write.mode(mode).partitionBy("document").text(path)
 
 
+MODES = {"single_txt": single_txt, "jsonl": jsonl, "multiple_txt": multiple_txt}
+
+
+def variation_corpus(haplotypes: DataFrame, path: str, mode: str = "jsonl", both: bool = True) -> None:
+    """Haplotypes (doc, sample, haplotype, seq) as a corpus, a document each, and with `both` its reverse complement beside it.
+
+    single_txt and multiple_txt have a folder for each sample (chrom=<sample>); jsonl keeps doc, sample, haplotype and strand beside the text."""
+    strands = [F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s"))]
+    if both:
+        strands.append(F.struct(F.lit("-").alias("strand"), seq.revcomp_iupac(F.col("seq")).alias("s")))
+    x = haplotypes.select(F.col("sample").alias("chrom"), "doc", "sample", "haplotype", F.explode(F.array(*strands)).alias("x"))
+    x = x.select("chrom", "doc", "sample", "haplotype", "x.strand", F.concat_ws("_", F.col("doc").cast("string"), F.col("haplotype").cast("string"), F.when(F.col("x.strand") == "+", "fw").otherwise("rc")).alias("doc_idx"), F.array("x.s").alias("text"))
+    MODES[mode](x if mode == "jsonl" else x.select("chrom", "doc_idx", "text"), path)
+
+
 def delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, compression: str | None = None, mode: str = "overwrite") -> None:
     """CSV or TSV, optionally gzipped, columns in the order of df."""
     w = df.write.mode(mode).option("header", header).option("sep", sep)
