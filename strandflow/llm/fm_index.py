@@ -2,6 +2,9 @@
 
 Suffixes are ordered by their first ORDER symbols, which keeps backward search exact for patterns of up to ORDER symbols:
 rows with a common prefix of fewer symbols form one run, and the rows that a step counts are before or in that run.
+
+A symbol costs a bit and a half a level of the wavelet matrix, 12 bytes of run borders (what dropping a pattern's last symbol needs) and 8 for each
+different window; the suffix order is not kept.
 """
 
 from __future__ import annotations
@@ -60,9 +63,9 @@ class FmIndex:
         while k < ORDER:
             ranks[2 * k] = self._join(ranks[k], ranks[k], k)
             k *= 2
-        self.order = np.argsort(ranks[ORDER], kind="stable")
+        order = np.argsort(ranks[ORDER], kind="stable")
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
-        self.bwt = WaveletMatrix(symbols[self.order - 1], sigma)
+        self.bwt = WaveletMatrix(symbols[order - 1], sigma)
         self.window, self.n = window, n
 
         def groups(length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +75,19 @@ class FmIndex:
                 if length - done >= p:
                     out = ranks[p] if out is None else self._join(out, ranks[p], done)
                     done += p
-            g = out[self.order]
+            g = out[order]
             new = np.ones(n, bool)
             new[1:] = g[1:] != g[:-1]
             first = np.flatnonzero(new)
             run = np.cumsum(new) - 1
-            return first[run], np.append(first[1:], n)[run]
+            return first[run].astype(np.int32), np.append(first[1:], n)[run].astype(np.int32)
 
         self.start, self.end = groups(window - 1)
         first, _ = groups(window)
-        starts = np.flatnonzero(np.diff(first, prepend=-1))
-        self.least = np.minimum.reduceat(owner[self.order], starts)[np.cumsum(np.diff(first, prepend=-1) != 0) - 1] if n else owner
+        new = np.diff(first, prepend=-1) != 0
+        # the least owner of each run of rows, once, and the run of each row
+        self.run = (np.cumsum(new) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(owner[order], np.flatnonzero(new)) if n else owner
 
     @staticmethod
     def _join(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
@@ -115,7 +120,7 @@ class FmIndex:
             live = live[ok]
             lo[live], hi[live] = a[ok], b[ok]
             if t >= w - 1:
-                out[base[live] + lengths[live] - 1 - t] = self.least[lo[live]]
+                out[base[live] + lengths[live] - 1 - t] = self.least[self.run[lo[live]]]
                 lo[live], hi[live] = self.start[lo[live]], self.end[lo[live]]
         lost, number = (np.concatenate(x).astype(np.int64) for x in zip(*left, strict=True)) if left else (np.zeros(0, np.int64),) * 2
         place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
@@ -124,7 +129,7 @@ class FmIndex:
         for t in range(w - 1, -1, -1):
             ok, lo, hi = self._step(symbols[begin + t], lo, hi)
             slot, begin, lo, hi = slot[ok], begin[ok], lo[ok], hi[ok]
-        out[slot] = self.least[lo]
+        out[slot] = self.least[self.run[lo]]
         return out
 
     def _step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,18 +1,20 @@
 """Substring dedup: words covered by a window that also starts in an earlier document go, found by sharded FM-indexes.
 
+0. Chunks. Documents are packed as they lie, GROUP_BYTES of text a chunk, and written once. Places and documents never leave their chunk but to meet
+   what the chunk is told, so a passage that a third of all documents hold is at most one entry a chunk anywhere else.
 1. Anchors. The smallest hash of ANCHOR consecutive words in a window is its anchor; neighbouring windows share anchors, so
    one in five words or so is one. Equal windows have equal anchors: an anchor that one document alone has
-   needs no more work. Only (hash, document, place) travels, packed.
-2. Segments. The windows of a repeated anchor form a segment of at most 2 * WINDOW - ANCHOR words. Segments go to the shard
-   of their anchor, equal ones of a group of documents once with the list of their places, so copies stay cheap.
+   needs no more work. A chunk sends each of its different anchors once and is told which are repeated.
+2. Segments. The windows of a repeated anchor form a segment of at most 2 * WINDOW - ANCHOR words. A chunk sends each of its different segments
+   once to the shard of its anchor, with the smallest and the largest document that has it.
 3. Index. Each shard builds a compressed FM-index of its different segments and streams the segments through it: backward search
-   gives the matching statistics, and for each window the smallest document that holds it. Windows of later
-   documents return as spans.
-4. Removal. Spans meet their documents and the covered words go.
+   gives the matching statistics, and for each window the smallest document that holds it. A chunk is told those of its segments that have a
+   window of a smaller document than its largest.
+4. Removal. The chunk looks its windows up in what it was told, and covered words go.
 
-Documents move in packed, compressed groups by a hash of their id. All hashes are of 64 bits, of words and of runs of words.
-doc_id names one document; rows with the same id count as one. Rows with a null id and null or empty texts lose
-nothing. Columns other than the two, and those asked to be carried, are not read.
+All hashes are of 64 bits, of words and of runs of words. doc_id names one document; rows with the same id count as one. Rows with a null id and null
+or empty texts lose nothing. Ties cannot be: of equal windows the smallest doc_id keeps its words. Columns other than the two, and those asked to
+be carried, are not read, and their names do not matter.
 """
 
 from __future__ import annotations
@@ -28,16 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, give_back, lean, mix, ngrams, pack_arrays, partitions, runs, slices, split_words, staged, table, unpack_arrays
+from .common import U64, differences, give_back, lean, mix, ngrams, pack_arrays, partitions, runs, slices, split_words, staged, table, unpack_arrays
 from .fm_index import FmIndex
 
 WINDOW, ANCHOR, GROUP_BYTES, SHARD_WORDS = 13, 5, 8 << 20, 400_000
 NO_ID = -(1 << 63)
-_PAIR = "shard int, kind int, run binary"
-
-
-def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U64) ^ U64(0xA0761D6478BD642F)) % U64(groups)).astype(np.int64)
+_RUNS = "shard long, kind int, run binary"
 
 
 def window_runs(h: np.ndarray, row: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,17 +67,6 @@ def window_runs(h: np.ndarray, row: np.ndarray, window: int = WINDOW, anchor: in
     return first, number[keep].astype(np.int64), place[first], value[first]
 
 
-def _batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-    at = 0
-    while at < len(rows):
-        to, total = at, 0
-        while to < len(rows) and total < 8 << 20:
-            total += len(rows[to][2])
-            to += 1
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[at:to]], pa.int32()), pa.array([r[1] for r in rows[at:to]], pa.int32()), pa.array([r[2] for r in rows[at:to]], pa.binary())], names=["shard", "kind", "run"])
-        at = to
-
-
 def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places) of each different key."""
     order = np.argsort(key, kind="stable")
@@ -88,80 +75,86 @@ def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(key[order[a]]), order[a:b]
 
 
-def pack_documents(documents: DataFrame, groups: int) -> DataFrame:
-    """(shard, kind 0, run) with each group's documents, compressed."""
+def _table(rows: list[tuple[int, int, bytes]], **more: list[int]) -> pa.Table:
+    return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary()), **{k: pa.array(v, pa.int64()) for k, v in more.items()}})
+
+
+def pack_documents(documents: DataFrame) -> DataFrame:
+    """(shard, kind 0, run) of chunks: documents as they lie, compressed; shard is the chunk's number, of its task and place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = zstandard.ZstdCompressor(level=1)
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal number, size
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            yield from _table([(number, 0, zstandard.ZstdCompressor(level=1).compress(sink.getvalue()))]).to_batches()
+            number, size = number + 1, 0
+            held.clear()
+
         for batch in batches:
-            for b in slices(batch, "text", 16 << 20):
-                ids = pc.fill_null(b.column(0), NO_ID).to_numpy(zero_copy_only=False)
-                rows = []
-                for g, at in _split(group_of(ids, groups)):
-                    sink = pa.BufferOutputStream()
-                    part = b.take(pa.array(at))
-                    with pa.ipc.new_stream(sink, part.schema) as w:
-                        w.write_batch(part)
-                    rows.append((g, 0, c.compress(sink.getvalue().to_pybytes())))
-                yield from _batches(rows)
+            for b in slices(batch, 1):
+                held.append(b)
+                size += b.column(1).nbytes
+                if size >= GROUP_BYTES:
+                    yield from send()
+        if held:
+            yield from send()
         give_back()
 
-    return documents.mapInArrow(run, _PAIR)
+    return documents.mapInArrow(run, _RUNS)
 
 
-def unpack_documents(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    d = zstandard.ZstdDecompressor()
-    for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True):
-        if kind == 0:
-            yield from pa.ipc.open_stream(d.decompress(raw.as_py()))
+def unpack_documents(raw: pa.BinaryScalar) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw.as_buffer()))
 
 
-def repeated_anchors(documents: DataFrame, parts: int, groups: int) -> DataFrame:
-    """(shard, kind 1, run, n) by document group: (doc_id, place) of anchors that two or more documents have."""
+def _ids(b: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(b.column(0), NO_ID).to_numpy(zero_copy_only=False)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def send() -> Iterator[pa.RecordBatch]:
-            g, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            rows = []
-            for part, at in _split(((g >> U64(20)) % U64(parts)).astype(np.int64)):
-                rows.append((part, 1, pack_arrays(g[at], np.diff(d[at].view(U64), prepend=U64(0)), p[at])))
-            yield from _batches(rows)
+def repeated_anchors(packed: DataFrame, parts: int) -> DataFrame:
+    """(shard, kind 1, run, n) by chunk: those of its anchors that two or more documents have."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
-                w = split_words(b.column(1))
-                ids = pc.fill_null(b.column(0), NO_ID).to_numpy(zero_copy_only=False)
-                _, _, place, g = window_runs(w.hashes(), w.row)
-                row = w.row[place]
-                ok = ids[row] != NO_ID
-                held.append((g[ok], ids[row][ok], (place - w.first[row])[ok]))
-                size += int(ok.sum())
-                if size >= 1_000_000:
-                    yield from send()
-                    size = 0
-        if held:
-            yield from send()
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                held = []
+                for b in unpack_documents(raw):
+                    w = split_words(b.column(1))
+                    ids = _ids(b)
+                    _, _, place, g = window_runs(w.hashes(), w.row)
+                    ok = ids[w.row[place]] != NO_ID
+                    held.append((g[ok], ids[w.row[place]][ok]))
+                g, d = (np.concatenate(x) for x in zip(*held, strict=True))
+                if not len(g):
+                    continue
+                order = np.argsort(g, kind="stable")
+                first = runs(g[order])
+                several = np.minimum.reduceat(d[order], first) < np.maximum.reduceat(d[order], first)
+                g = g[order][first]
+                rows = [(part, 1, pack_arrays(np.array([chunk]), differences(g[at]), several[at])) for part, at in _split(((g >> U64(20)) % U64(parts)).astype(np.int64))]
+                yield from _table(rows).to_batches()
         give_back()
 
     def meet(t: pa.Table) -> pa.Table:
-        parts_ = [unpack_arrays(x.as_py()) for x in t.column("run")]
-        g = np.concatenate([p[0] for p in parts_])
-        d = np.concatenate([np.cumsum(p[1]).view(np.int64) for p in parts_])
-        p = np.concatenate([p[2] for p in parts_]).astype(np.int64)
+        found = [unpack_arrays(x.as_py()) for x in t.column("run")]
+        g = np.concatenate([np.cumsum(p[1]) for p in found])
+        chunk = np.repeat([p[0].astype(np.int64)[0] for p in found], [len(p[1]) for p in found])
+        several = np.concatenate([p[2] for p in found]) > 0
         order = np.argsort(g, kind="stable")
         first = runs(g[order])
-        low, high = np.minimum.reduceat(d[order], first), np.maximum.reduceat(d[order], first)
-        many = np.repeat(low < high, np.diff(np.append(first, len(g))))
-        at = order[many]
-        at = at[np.lexsort((p[at], d[at]))]
-        rows = [(s, 1, pack_arrays(np.diff(d[at[i]].view(U64), prepend=U64(0)), p[at[i]]), len(i)) for s, i in _split(group_of(d[at], groups))]
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.int64())})
+        many = np.logical_or.reduceat(several[order], first) | (np.diff(np.append(first, len(g))) > 1)
+        at = order[np.repeat(many, np.diff(np.append(first, len(g))))]
+        told = [(s, g[at[i]]) for s, i in _split(chunk[at])] if len(at) else []
+        return _table([(s, 1, pack_arrays(differences(np.sort(x)))) for s, x in told], n=[len(x) for _, x in told])
 
-    return documents.mapInArrow(find, _PAIR).groupBy("shard").applyInArrow(lean(meet), _PAIR + ", n long")
+    return packed.mapInArrow(find, _RUNS).groupBy("shard").applyInArrow(lean(meet), _RUNS + ", n long")
 
 
 def _segment_keys(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -176,100 +169,108 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)
 
 
-def segments(packed: DataFrame, shards: int) -> DataFrame:
-    """(shard, kind 2, run) by index shard, from a group's documents and the places of its repeated anchors."""
+def _told(t: pa.Table) -> tuple[list[pa.BinaryScalar], np.ndarray, list[list[np.ndarray]]]:
+    """(documents, repeated anchors in order, what the index says) of a chunk."""
+    by_kind: dict[int, list] = {0: [], 1: [], 3: []}
+    for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True):
+        by_kind[kind].append(raw)
+    anchors = [np.cumsum(unpack_arrays(x.as_py())[0]) for x in by_kind[1]]
+    return by_kind[0], np.sort(np.concatenate([np.zeros(0, U64), *anchors])), [unpack_arrays(x.as_py()) for x in by_kind[3]]
+
+
+def _repeated_segments(b: pa.RecordBatch, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, document, first word, words, anchor, hash) of the segments of a batch whose anchors are among those given, and all words' hashes."""
+    w = split_words(b.column(1))
+    h, ids = w.hashes(), _ids(b)
+    first, number, place, g = window_runs(h, w.row)
+    row = w.row[place]
+    at = np.minimum(np.searchsorted(anchors, g), max(len(anchors) - 1, 0))
+    ok = (anchors[at] == g) & (ids[row] != NO_ID) if len(anchors) else np.zeros(len(g), bool)
+    first, length, g, row = first[ok], number[ok] + (WINDOW - 1), g[ok], row[ok]
+    own = h[_gather(first, length)]
+    return row, ids[row], first, length, g, _segment_keys(own, np.cumsum(length) - length, length), h
+
+
+def segments(told: DataFrame, shards: int) -> DataFrame:
+    """(shard, kind 2, run) by index shard: a chunk's different segments with the smallest and largest document of each."""
 
     def cut(t: pa.Table) -> pa.Table:
-        docs, places = [], []
-        for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True):
-            if kind == 1:
-                d, p = unpack_arrays(raw.as_py())
-                docs.append(np.cumsum(d).view(np.int64))
-                places.append(p.astype(np.int64))
+        documents, anchors, _ = _told(t)
+        chunk, kept = t.column("shard")[0].as_py(), []
+        if len(anchors):
+            for raw in documents:
+                for b in unpack_documents(raw):
+                    _, doc, first, length, g, key, h = _repeated_segments(b, anchors)
+                    kept.append((h[_gather(first, length)], length, g, doc, key))
         rows: list[tuple[int, int, bytes]] = []
-        if docs:
-            wanted_doc, wanted_place = np.concatenate(docs), np.concatenate(places)
-            known = np.unique(wanted_doc)
-            wanted = np.unique((np.searchsorted(known, wanted_doc) << 40) | wanted_place)
-            kept: list[tuple] = []
-            for batch in unpack_documents(t):
-                ids = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False)
-                batch = batch.take(pa.array(np.flatnonzero(np.isin(ids, known))))
-                for b in slices(batch, "text"):
-                    ids = b.column(0).to_numpy(zero_copy_only=False)
-                    w = split_words(b.column(1))
-                    h = w.hashes()
-                    first, number, place, g = window_runs(h, w.row)
-                    row = w.row[place]
-                    key = (np.searchsorted(known, ids[row]) << 40) | (place - w.first[row])
-                    ok = np.isin(key, wanted)
-                    first, number, g, row = first[ok], number[ok], g[ok], row[ok]
-                    length = number + (WINDOW - 1)
-                    kept.append((h[_gather(first, length)], length, g, ids[row], first - w.first[row]))
-            words, length, g, doc, start = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, U64), *(np.zeros(0, np.int64),) * 4)
+        if kept:
+            words, length, g, doc, key = (np.concatenate(x) for x in zip(*kept, strict=True))
             starts = np.cumsum(length) - length
-            for shard, at in _split((mix(g.astype(U64) ^ U64(0x8EBC6AF09C88C6E3)) % U64(shards)).astype(np.int64)):
-                own = words[_gather(starts[at], length[at])]
-                key = _segment_keys(own, np.cumsum(length[at]) - length[at], length[at])
-                _, one, which = np.unique(key, return_index=True, return_inverse=True)
-                lone = at[one]
-                used = words[_gather(starts[lone], length[lone])]
-                vocabulary, index = np.unique(used, return_inverse=True)
-                by = np.lexsort((doc[at], which))
-                rows.append((shard, 2, pack_arrays(np.diff(vocabulary, prepend=U64(0)), index, length[lone], np.bincount(which), np.diff(doc[at][by].view(U64), prepend=U64(0)), start[at][by])))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary())})
+            _, one, which = np.unique(key, return_index=True, return_inverse=True)
+            low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), NO_ID)
+            np.minimum.at(low, which, doc)
+            np.maximum.at(high, which, doc)
+            if len(one):
+                for shard, at in _split((mix(g[one] ^ U64(0x8EBC6AF09C88C6E3)) % U64(shards)).astype(np.int64)):
+                    at = at[np.argsort(low[at], kind="stable")]
+                    lone = one[at]
+                    vocabulary, index = np.unique(words[_gather(starts[lone], length[lone])], return_inverse=True)
+                    rows.append((shard, 2, pack_arrays(np.array([chunk]), differences(vocabulary), index, length[lone], differences(low[at].view(U64)), high[at] - low[at])))
+        return _table(rows)
 
-    return packed.groupBy("shard").applyInArrow(lean(cut), _PAIR)
+    return told.groupBy("shard").applyInArrow(lean(cut), _RUNS)
 
 
-def later_spans(cut: DataFrame, groups: int) -> DataFrame:
-    """(shard, kind 3, run) by document group: (doc_id, first word, words) of spans whose windows an earlier document has."""
+def earlier_windows(cut: DataFrame) -> DataFrame:
+    """(shard, kind 3, run) by chunk: segments (hash, windows) with the smallest document of each of their windows, where that is smaller than
+    the chunk's largest document with the segment."""
 
     def index(t: pa.Table) -> pa.Table:
-        words, lengths, copies, docs, starts = [], [], [], [], []
+        words, lengths, lows, highs, chunks = [], [], [], [], []
         for raw in t.column("run"):
-            v, i, n, c, d, s = unpack_arrays(raw.as_py())
+            c, v, i, n, low, more = unpack_arrays(raw.as_py())
             words.append(np.cumsum(v)[i.astype(np.int64)])
-            for to, x in ((lengths, n), (copies, c), (starts, s)):
-                to.append(x.astype(np.int64))
-            docs.append(np.cumsum(d).view(np.int64))
-        words, lengths, copies, docs, starts = (np.concatenate(x) for x in (words, lengths, copies, docs, starts))
+            lengths.append(n.astype(np.int64))
+            lows.append(np.cumsum(low).view(np.int64))
+            highs.append(lows[-1] + more.view(np.int64))
+            chunks.append(np.full(len(n), c.view(np.int64)[0]))
+        words, lengths, lows, highs, chunks = (np.concatenate(x) for x in (words, lengths, lows, highs, chunks))
         begin = np.cumsum(lengths) - lengths
-        # equal segments of different groups are one text of the index, owned by the smallest document
-        _, one, which = np.unique(_segment_keys(words, begin, lengths), return_index=True, return_inverse=True)
+        # equal segments of different chunks are one text of the index, owned by the smallest document
+        keys, one, which = np.unique(_segment_keys(words, begin, lengths), return_index=True, return_inverse=True)
         least = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(least, np.repeat(which, copies), docs)
+        np.minimum.at(least, which, lows)
         size = lengths[one]
         vocabulary, symbols = np.unique(words[_gather(begin[one], size)], return_inverse=True)
         text = np.zeros(int(size.sum()) + len(one), np.int64)
         first = np.cumsum(size + 1) - (size + 1)
         text[_gather(first, size)] = symbols + 1
-        fm = FmIndex(text, len(vocabulary) + 1, np.repeat(least, size + 1), WINDOW)
-        found = fm.match(text, first, size)
-        # each place of a segment takes the windows that an earlier document holds
-        of = np.repeat(which, copies)
+        found = FmIndex(text, len(vocabulary) + 1, np.repeat(least, size + 1), WINDOW).match(text, first, size)
         windows = size - (WINDOW - 1)
         at = np.cumsum(windows) - windows
-        number = windows[of]
-        pick = _gather(at[of], number)
-        owner = np.repeat(np.arange(len(of)), number)
-        j = pick - np.repeat(at[of], number)
-        hit = found[pick] < docs[owner]
-        d, s = docs[owner[hit]], (starts[owner] + j)[hit]
+        tell = np.flatnonzero(np.minimum.reduceat(found, at)[which] < highs)
         rows: list[tuple[int, int, bytes]] = []
-        if len(d):
-            order = np.lexsort((s, d))
-            d, s = d[order], s[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + WINDOW)
-            lead = np.flatnonzero(new)
-            last = np.append(lead[1:], len(d)) - 1
-            d, s, n = d[lead], s[lead], s[last] - s[lead] + WINDOW
-            for g, i in _split(group_of(d, groups)):
-                rows.append((g, 3, pack_arrays(np.diff(d[i].view(U64), prepend=U64(0)), s[i], n[i])))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "run": pa.array([r[2] for r in rows], pa.binary())})
+        if len(tell):
+            for chunk, i in _split(chunks[tell]):
+                of = np.sort(which[tell[i]])
+                rows.append((chunk, 3, pack_arrays(differences(keys[of]), windows[of], np.diff(found[_gather(at[of], windows[of])].view(U64), prepend=U64(0)))))
+        return _table(rows)
 
-    return cut.groupBy("shard").applyInArrow(lean(index), _PAIR)
+    return cut.groupBy("shard").applyInArrow(lean(index), _RUNS)
+
+
+def _covered(b: pa.RecordBatch, anchors: np.ndarray, keys: np.ndarray, begin: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each word of a batch, whether a window that an earlier document has covers it."""
+    _, doc, first, length, _, key, h = _repeated_segments(b, anchors)
+    change = np.zeros(len(h) + 1, np.int64)
+    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+    hit = np.flatnonzero(keys[at] == key) if len(keys) else np.zeros(0, np.int64)
+    number = length[hit] - (WINDOW - 1)
+    window = _gather(first[hit], number)
+    gone = window[least[_gather(begin[at[hit]], number)] < np.repeat(doc[hit], number)]
+    np.add.at(change, gone, 1)
+    np.add.at(change, gone + WINDOW, -1)
+    return np.cumsum(change[:-1]) > 0
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
@@ -278,43 +279,39 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     spans: the (first word, end word) ranges removed. kept_text: the kept words joined by a space, or the text as it was
     where nothing goes. Every word of every text counts, a document of fewer than WINDOW words loses nothing."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(2 * partitions(spark), size // (16 << 20))
-    groups = max(partitions(spark), size // GROUP_BYTES)
-    anchors = staged(repeated_anchors(docs, parts, groups), "anchors")
-    places = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(2 * partitions(spark), places * (2 * WINDOW - ANCHOR) // SHARD_WORDS)
-    cut = segments(pack_documents(docs, groups).union(anchors.select("shard", "kind", "run")), shards)
-    spans = staged(later_spans(cut, groups), "spans")
     carried = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(also)))
+    packed = staged(pack_documents(carried), "chunks")
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    anchors = staged(repeated_anchors(packed, max(2 * partitions(spark), size // (16 << 20))), "anchors")
+    places = anchors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = packed.union(anchors.select("shard", "kind", "run"))
+    cut = segments(told, max(2 * partitions(spark), places * (2 * WINDOW - ANCHOR) // SHARD_WORDS))
+    windows = staged(earlier_windows(cut), "earlier-windows")
 
     def remove(t: pa.Table) -> pa.Table:
-        parts_ = [unpack_arrays(raw.as_py()) for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True) if kind == 3]
-        d = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0]).view(np.int64) for p in parts_)])
-        s, n = (np.concatenate([np.zeros(0, np.int64), *(p[c].astype(np.int64) for p in parts_)]) for c in (1, 2))
-        order = np.lexsort((s, d))
-        d, s, e = d[order], s[order], (s + n)[order]
+        documents_, anchors_, parts = _told(t)
+        keys = np.concatenate([np.zeros(0, U64), *(np.cumsum(p[0]) for p in parts)])
+        number = np.concatenate([np.zeros(0, np.int64), *(p[1].astype(np.int64) for p in parts)])
+        least = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[2]).view(np.int64) for p in parts)])
+        order = np.argsort(keys, kind="stable")
+        begin = (np.cumsum(number) - number)[order]
+        keys = keys[order]
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text")}
         rest: list[pa.RecordBatch] = []
-        for b in unpack_documents(t):
+        for b in (b for raw in documents_ for b in unpack_documents(raw)):
             rest.append(b.select(list(range(2, b.num_columns))))
+            gone_words = _covered(b, anchors_, keys, begin, least) if len(keys) else None
+            at = 0
             for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                words = raw.split()  # bytes split at exactly 0x20 and 0x09 to 0x0D
-                gone: list[list[int]] = []
-                if i is not None:
-                    for k in range(int(np.searchsorted(d, i)), int(np.searchsorted(d, i, side="right"))):
-                        if gone and s[k] <= gone[-1][1]:
-                            gone[-1][1] = max(gone[-1][1], int(e[k]))
-                        else:
-                            gone.append([int(s[k]), int(e[k])])
-                kept = words
-                if gone:
-                    mask = np.ones(len(words), bool)
-                    for a, z in gone:
-                        mask[a:z] = False
-                    kept = list(compress(words, mask.tolist()))
+                kept = words = raw.split()  # bytes split at exactly 0x20 and 0x09 to 0x0D
+                mask = gone_words[at : at + len(words)] if gone_words is not None else None
+                at += len(words)
+                gone: list[tuple[int, int]] = []
+                if mask is not None and mask.any():
+                    edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+                    gone = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+                    kept = list(compress(words, (~mask).tolist()))
                 joined = b" ".join(kept)
                 out["doc_id"].append(i)
                 out["n_words"].append(len(words))
@@ -324,19 +321,15 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 out["kept_text"].append((joined.decode() if gone else x.as_py()) if with_text else None)
         types = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), "kept_text": pa.string()}
         found = [pa.array(v, types[k]) for k, v in out.items()]
-        if also and not rest:  # spans without documents cannot be; a group without rows gives none
-            return pa.table([*(pa.array([], x) for x in also_types), *found], names=names)
         columns = [pa.Table.from_batches(rest).column(k) for k in range(len(also))] if also else []
         return pa.table([*columns, *found], names=names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     fields = carried.schema.fields[2:]
-    also_types = [to_arrow_type(f.dataType) for f in fields]
     schema = StructType([*fields, *_parse_datatype_string("doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept_text string").fields])
     names = schema.names
-    done = pack_documents(carried, groups).union(spans).groupBy("shard").applyInArrow(lean(remove), schema)
+    done = told.union(windows).groupBy("shard").applyInArrow(lean(remove), schema)
     results = ["n_words", "n_removed", "kept_sha256", "spans", *(["kept_text"] if with_text else [])]
     return done.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(also)), F.col("doc_id").alias(doc_id), *results)
 
