@@ -4,7 +4,7 @@ Each item gives windows of `window` consecutive words (one shorter window if it
 A window can only occur where its rarest word does, so its prefix is that one necessary word, rarity being the
 word's count over the whole corpus. Document words join the prefixes; a length and a position bound drop places where the
 window would leave the document; then the whole window is compared with the document at that place. The windows of
-the benchmark are broadcast only while their estimated bytes are below BROADCAST_BYTES, else joined by shuffle.
+the benchmark are broadcast only while their estimated bytes, with those of the items that share them, are below BROADCAST_BYTES, else joined by shuffle.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def cut_words(text: Column) -> Column:
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
     """(item_id, words) of each window; words is an array of at most `window` words."""
     words = F.transform(cut_words(F.col(text)), lowered)
-    w = items.select(F.col(item_id).cast("string").alias("item_id"), words.alias("w")).where(F.size("w") > 0)
+    w = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item_id"), words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words"))
 
@@ -45,11 +45,12 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> Data
 def decontaminate(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of each document; items is the sorted array of item ids as strings.
 
-    doc_id names one row. Null and empty texts have no words; an empty benchmark hits nothing. Other columns are not read."""
+    doc_id names one document: rows that share it, repeated or not, are judged together, and a row with a null id is hit by nothing. Null and empty
+    texts have no words; an empty benchmark hits nothing; items without an id are one item whose id is the empty string. Other columns are not read."""
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     pairs = item_windows(items, item_id, item_text, window)
     windows = staged(pairs.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("win", F.xxhash64("words")), "windows")
-    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " ")) + 24 * F.size("words")), F.lit(0))).first()
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.array_join("words", " ")) + F.octet_length(F.array_join("items", " ")) + 24 * (F.size("words") + F.size("items"))), F.lit(0))).first()
     small = size < BROADCAST_BYTES
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     every = docs.select("doc", F.posexplode(cut_words(F.col("text"))).alias("pos", "raw"))

@@ -92,7 +92,9 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of each document's ids followed by end_id, cut at the capacity."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of each row's ids followed by end_id, cut at the capacity.
+
+    Null and empty texts are the end_id alone; repeated rows and rows with a null id have their own pieces; other columns are not read."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)

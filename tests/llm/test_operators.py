@@ -227,6 +227,13 @@ def test_decontamination_odd_inputs(spark):
     assert decontaminate.decontaminate(docs(spark, ODD).limit(0), items).count() == 0
 
 
+def test_decontamination_items_and_documents_without_ids(spark):
+    items = spark.createDataFrame([(None, "a b c"), (None, "e f g")], "item_id long, text string")
+    d = spark.createDataFrame([(None, "a b c"), (1, "x a b c"), (1, "x a b c"), (2, "e f g a b c")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(d, items).collect()), key=repr)
+    assert got == sorted([(None, 0, 0, False), (1, 3, 1, True), (1, 3, 1, True), (2, 6, 1, True)], key=repr)
+
+
 def test_decontamination_joins_large_benchmarks_by_shuffle(spark, data, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     got = decontaminate.op3_decontaminate(spark, data).toPandas()
@@ -340,6 +347,37 @@ def test_packing_brute_force(spark):
         assert at <= 4096
 
 
+def test_packing_query(spark, data):
+    """The registered query: every token of every document once, gapless, in as many sequences as best-fit decreasing takes."""
+    got = packing.op7_packing(spark, data).collect()
+    ids = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    assert {r.doc_id for r in got} == ids
+    filled = defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for x in filled.values():
+        x.sort()
+        assert all(a == sum(n for _, n in x[:k]) for k, (a, _) in enumerate(x)) and x[-1][0] + x[-1][1] <= packing.CAPACITY
+    gaps = []
+    for n in sorted((r.length for r in got), reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else packing.CAPACITY) - n)
+    assert len(filled) == len(gaps)
+
+
+def test_a_very_long_text(spark):
+    """30 MB in one row and one word of 3 MB go through the text operators."""
+    long = " ".join(f"w{k % 9973} v{k % 101}" for k in range(2_600_000)) + " " + "é" * 1_500_000
+    d = spark.createDataFrame([(1, long), (2, "x y " + long[:400]), (3, None)], "doc_id long, text string")
+    n = len(long.split())
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(d).collect()}
+    assert got[1].n_words == n and got[1].n_removed == 0 and got[2].n_removed > 0
+    assert {r.doc_id: r.n_tokens for r in ngram_lm.score(d, ngram_lm.train(d)).collect()} == {1: n + 1, 2: len(("x y " + long[:400]).split()) + 1, 3: 1}
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_supersteps_equal_best_fit_decreasing():
     import random
 
