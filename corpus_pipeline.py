@@ -57,7 +57,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark. Rows that share an id go together where one is hit; rows with a null id are judged too."""
+    """Documents without any passage of the benchmark. Rows that share an id go together where one is hit; rows with a null id stay."""
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
     return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
