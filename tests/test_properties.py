@@ -113,7 +113,7 @@ def test_relative_bucket_edges(spark):
 
 
 def test_promoters_keep_every_document_up_to_16000_letters(spark, data):
-    got = registry.QUERIES["g06_promoter_dataset_all"](spark, data).collect()
+    got = registry.QUERIES["g06_promoter_dataset"](spark, data).collect()
     want = {r.chrom: r.seq[: min(16_000, r.len // 20 * 20)] for r in proxies.genome(spark, data).collect()}
     assert {r.name: r.sequence for r in got if r.promoter_presence} == want
     assert len(got) == 2 * len(want) and any(len(x) > 400 for x in want.values())
