@@ -10,7 +10,7 @@ from strandflow.operators import variants as V
 
 from . import proxies as P
 from .q_intervals import _IV, _iv, merged
-from .registry import query
+from .registry import ORACLES, query
 
 v, hs = P.with_views, P.hash_sql
 C = F.col
@@ -145,3 +145,8 @@ def s22(s, d):
     p = P.table(s, d, "part")
     names = p.where("p_partkey < 4").select(F.trim(F.concat(F.lit(" "), "p_brand", F.lit(" "))).alias("p_brand")).distinct()
     return p.join(names, "p_brand", "left_semi").select("p_partkey")
+
+
+#: Names from when the shorter ones left rows out; both are whole now.
+query("g06_promoter_dataset_all", ORACLES["g06_promoter_dataset"])(g06)
+query("g10_variant_sequences_all", ORACLES["g10_variant_sequences"])(g10)
