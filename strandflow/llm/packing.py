@@ -1,30 +1,28 @@
 """Best-fit packing of token sequences into sequences of a fixed capacity.
 
 Documents become token ids and pieces of at most `capacity` tokens. Pieces are range-sorted by length; a piece's
-rank among those of its length comes from its place in the sorted partitions and a prefix sum of (partition,
-length) counts, so a length that a third of all rows share is spread over many tasks.
-
-Pieces of one length are interchangeable and so are gaps of one size, so a superstep matches whole length classes:
-the longest unplaced class takes its successors, the smallest gaps that hold it, in order of size; conflicts (more
-pieces than gaps) are resolved by rank, lower ranks first, and pieces without a gap open new sequences; then gaps are
-updated and the next class follows. This is best-fit decreasing, in at most `capacity` supersteps whose state
-(gap classes and rank ranges) is bounded by the capacity, not by the rows. Pieces then look up their rank range.
+place there numbers it.
+
+Packing is bulk-synchronous best-fit decreasing. A superstep sorts unplaced pieces and gaps into common ranges, sweeps each range for successors (the
+smallest gap that holds a piece), settles by rank what ranges leave over, updates the gaps and repeats. Ranges end within a length that many pieces share, so
+no task grows with it.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, split_words, staged, table
+from .common import discard, partitions, slices, split_words, staged, table
 
 CAPACITY, END_ID = 4096, 1
+ROWS = 1 << 17  # of a sweep's range
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_WORDS = 2_000_000
 _loaded: dict[str, WordTokenizer] = {}
@@ -124,93 +122,141 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
 
 
-def supersteps(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, end rank, first sequence, pieces in each sequence, offset) of best-fit decreasing, and the number of sequences.
-
-    Ranks r in [first, end) of a length go to sequence `first sequence + (r - first) // each` at `offset + (r - first) % each * length`."""
-    plan: list[tuple[int, int, int, int, int, int]] = []
-    gaps: list[int] = []  # sorted sizes
-    classes: dict[int, list[tuple[int, int]]] = {}  # gap size: runs (first sequence, number)
-    opened = 0
-
-    def give(gap: int, first: int, number: int) -> None:
-        if gap > 0 and number > 0:
-            if gap not in classes:
-                bisect.insort(gaps, gap)
-                classes[gap] = []
-            classes[gap].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        at = bisect.bisect_left(gaps, length)
-        taken = []
-        while left:
-            if at < len(gaps):
-                gap = gaps[at]
-                first, number = classes[gap].pop()
-                if not classes[gap]:
-                    del classes[gap]
-                    gaps.pop(at)
-                fresh = False
-            else:
-                each = capacity // length
-                gap, first, number, fresh = capacity, opened, -(-left // each), True
-                opened += number
-            each = gap // length
-            used = min(number, -(-left // each))
-            full = min(used, left // each)
-            plan.append((length, rank, rank + min(left, full * each), first, each, capacity - gap))
-            taken.append((gap - each * length, first, full))
-            rank += full * each
-            left -= full * each
-            if used > full:  # the last sequence takes fewer
-                plan.append((length, rank, rank + left, first + full, left, capacity - gap))
-                taken.append((gap - left * length, first + full, 1))
-                rank, left = rank + left, 0
-            if not fresh:
-                give(gap, first + used, number - used)
-        for x in taken:
-            give(*x)
-    return np.array([p for p in plan if p[2] > p[1]], np.int64).reshape(-1, 6), opened
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def bands(capacity: int) -> list[int]:
+    """Upper bounds of the bands of lengths that are packed one after another, longest first: capacity / 1 to / 4, then halves."""
+    bounds = [capacity // k for k in range(1, 5) if capacity // k]
+    while bounds[-1] > 1:
+        bounds.append(bounds[-1] // 2)
+    return sorted(set(bounds), reverse=True)
+
+
+def pair_up(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Successors within one stretch of rows sorted by size, largest first: 0 is a gap, 1 a piece. Each piece takes the last gap before it that no
+    piece between them takes, which is the smallest free one that holds it. Returns (rows of gaps, rows of their pieces, level of each row).
+
+    A gap's level is the number of free gaps after it, a piece's that before it, both counted from the stretch's start; so a piece belongs
+    to the gap before it on its level, also where the two are in different stretches and what came before is added to the levels."""
+    level = np.cumsum(np.where(kind == 0, 1, -1)) + (kind == 1)
+    order = np.argsort(level, kind="stable")
+    hit = np.flatnonzero((level[order][1:] == level[order][:-1]) & (kind[order][1:] == 1) & (kind[order][:-1] == 0))
+    return order[hit], order[hit + 1], level
+
+
+_MATCH = "task int, kind int, id long, seq long, size long, level long"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches a range of sorted gaps and pieces. Kind 2 is a piece with its sequence, 0 and 1 are what stays without partner in this range."""
+    from pyspark import TaskContext
+
+    rows = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
+    if not rows:
+        return
+    size, kind, key = (np.concatenate(x) for x in zip(*rows, strict=True))
+    gap, piece, level = pair_up(kind)
+    seq = np.where(kind == 0, key, -1)
+    seq[piece] = key[gap]
+    kind = kind.astype(np.int32)
+    kind[piece] = 2
+    keep = np.ones(len(kind), bool)
+    keep[gap] = False
+    task = np.full(keep.sum(), TaskContext.get().partitionId(), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (task, kind[keep], key[keep], seq[keep], size[keep], level[keep])], names=["task", "kind", "id", "seq", "size", "level"])
+
+
+def _across(match: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame | None:
+    """The pieces without partner in their range, with a gap of an earlier range where one is free (kind 2); None where no range has gaps to give.
+    A level has at most a gap and a piece of each range, so the windows are bounded by the number of ranges."""
+    base, free, found = {}, 0, False
+    total = 0
+    for t in sorted({t for t, _ in counts}):
+        base[t] = total
+        gaps, pieces = counts.get((t, 0), 0), counts.get((t, 1), 0)
+        found |= bool(free and pieces)
+        free = max(0, free - pieces) + gaps
+        total += gaps - pieces
+    if not found:
+        return None
+    before = F.broadcast(match.sparkSession.createDataFrame(sorted(base.items()), "task int, base long"))  # a row for each range
+    w = Window.partitionBy("level").orderBy("task", F.desc("kind"))
+    rows = match.where("kind < 2").join(before, "task").withColumn("level", F.col("level") + F.col("base")).withColumn("of", F.when(F.lag("kind").over(w) == 0, F.lag("seq").over(w)))
+    return rows.where("kind = 1").select("task", F.when(F.col("of").isNull(), 1).otherwise(2).cast("int").alias("kind"), "id", F.coalesce("of", "seq").alias("seq"), "size", "level")
+
+
+def best_fit(pieces: DataFrame, capacity: int, rows: int = ROWS) -> list[DataFrame]:
+    """Places pieces (id, size) in sequences of the capacity; returns written tables, one or two a superstep, whose rows of kind 2 are (id, seq, size).
+
+    Bands of lengths follow one another, longest first. A superstep range-sorts the band's unplaced pieces with the gaps that could hold one, largest first;
+    a gap that holds several of the band's longest piece stands there as often. A sweep over each range gives pieces their successors; what it leaves is
+    matched between ranges by level, that is by rank. Then gaps are updated and the rest tries again. Where no gap holds any of them, as many sequences are opened as
+    the rest needs at least. The driver holds counters of ranges and bands."""
+    spark = pieces.sparkSession
+    bounds = bands(capacity)
+    band = sum((F.when(F.col("size") <= b, 1).otherwise(0) for b in bounds[1:]), F.lit(0)).alias("band")
+    measures = [F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("tokens")]
+    found = {r["band"]: r for r in pieces.groupBy(band).agg(*measures).collect()}
+    gaps, stored, opened, placed, out = None, None, 0, 0, []
+    for k in sorted(found):
+        left = pieces.where(F.col("size").between(bounds[k + 1] + 1 if k + 1 < len(bounds) else 1, bounds[k]))
+        n, low, high, tokens = (found[k][x] for x in ("n", "low", "high", "tokens"))
+        while n:
+            free, hits = opened * capacity - placed, 0
+            if free >= low:
+                slots = gaps.where(F.col("gap") >= low).select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("gap") / high).cast("int")))))
+                both = slots.drop("col").union(left.select("size", F.lit(1).alias("kind"), F.col("id").alias("key")))
+                ranges = 1 + (n + min(opened, free // low) + free // high) // rows
+                order = (F.desc("size"), F.asc("kind"), F.asc("key"))
+                match = staged(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _MATCH), "packing-sweep")
+                seen = match.groupBy("task", "kind").agg(*measures).collect()
+                new = [match]
+                rest = [r for r in seen if r["kind"] == 1]
+                across = _across(match, {(r["task"], r["kind"]): r["n"] for r in seen if r["kind"] < 2})
+                done = [r for r in seen if r["kind"] == 2]
+                if across is not None:
+                    new.append(staged(across, "packing-across"))
+                    more = new[1].groupBy("kind").agg(*measures).collect()
+                    rest = [r for r in more if r["kind"] == 1]
+                    done += [r for r in more if r["kind"] == 2]
+                hits = sum(r["n"] for r in done)
+                if hits:
+                    placed += sum(r["tokens"] for r in done)
+                    taken = [m.where("kind = 2").select("seq", (-F.col("size")).alias("gap")) for m in new]
+                    before, gaps = stored, staged(reduce(DataFrame.union, taken, gaps).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), "packing-gaps")
+                    stored = gaps
+                    if before is not None:
+                        discard(before)
+                    out += new
+                    left = new[-1].where("kind = 1").select("id", "size")
+                    n = sum(r["n"] for r in rest)
+                    low, high, tokens = min((r["low"] for r in rest), default=0), max((r["high"] for r in rest), default=0), sum(r["tokens"] for r in rest)
+                else:
+                    for x in new:
+                        discard(x)
+            if n and not hits:
+                fresh = max(-(-tokens // capacity), -(-n // (capacity // low)))
+                empty = spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+                opened += fresh
+                gaps = empty if gaps is None else gaps.union(empty)
+    return out
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows: int = ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `capacity` tokens: the pieces of a sequence lie one after another
-    from 0. Shorter or longer pieces raise. An empty table stays empty. Columns that pieces already has keep their values."""
+    from 0. Shorter or longer pieces raise. An empty table stays empty. Columns that pieces already has keep their values. `rows` is the size of a sweep's ranges."""
     spark = pieces.sparkSession
     columns = pieces.columns
-    ok = F.assert_true(F.coalesce(F.col(length).between(1, capacity), F.lit(False)), F.lit("a piece's length must be from 1 to the capacity"))
+    plain = [f"c{k}" for k in range(len(columns))]
+    size, keys = F.col(plain[columns.index(length)]), [plain[columns.index(c)] for c in order if c in columns]
+    ok = F.assert_true(F.coalesce(size.between(1, capacity), F.lit(False)), F.lit("a piece's length must be from 1 to the capacity"))
     # range partitioning reads its input twice, so the pieces are written first
-    ranged = staged(pieces, "pieces").withColumn("_ok", ok).where("_ok is null").drop("_ok").repartitionByRange(partitions(spark), length, *order).sortWithinPartitions(length, *order)
-    row = F.monotonically_increasing_id()
-    ranged = staged(ranged.withColumn("_task", F.shiftright(row, 33).cast("int")).withColumn("_row", row.bitwiseAND((1 << 33) - 1)), "ranged-pieces")
-    # range-sorted, so at most (tasks + lengths) rows from here
-    runs = ranged.groupBy("_task", F.col(length).alias("_length")).agg(F.count("*").alias("n"), F.min("_row").alias("low")).collect()
-    counts: dict[int, int] = {}
-    shift: dict[tuple[int, int], int] = {}
-    for r in sorted(runs, key=lambda r: (r["_length"], r["_task"])):
-        n = counts.get(r["_length"], 0)
-        shift[(r["_task"], r["_length"])] = n - r["low"]
-        counts[r["_length"]] = n + r["n"]
-    plan, _ = supersteps(counts, capacity)
-    plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    known = np.array([(k[0], k[1], v) for k, v in sorted(shift.items())], np.int64).reshape(-1, 3)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_key, plan_key = (known[:, 0] << 20) | known[:, 1], (plan[:, 0] << 40) | plan[:, 1]
-        for b in batches:
-            get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
-            size, task, at = get(length), get("_task"), get("_row")
-            rank = at + known[np.searchsorted(run_key, (task << 20) | size), 2]
-            p = plan[np.searchsorted(plan_key, (size << 40) | rank, side="right") - 1]
-            step = rank - p[:, 1]
-            cols = [b.column(b.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p[:, 3] + step // p[:, 4]), pa.array(p[:, 5] + step % p[:, 4] * size)], names=[*columns, "sequence_id", "offset"])
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*pieces.schema.fields]).add("sequence_id", LongType()).add("offset", LongType())
-    return ranged.mapInArrow(place, schema)
+    ranged = staged(pieces.toDF(*plain), "pieces").withColumn("ok", ok).where("ok is null").drop("ok").repartitionByRange(partitions(spark), size, *keys).sortWithinPartitions(size, *keys)
+    ranged = staged(ranged.withColumn("id", F.monotonically_increasing_id()), "ranged-pieces")
+    steps = best_fit(ranged.select("id", size.cast("long").alias("size")), capacity, rows)
+    # a sequence has at most `capacity` pieces
+    own = Window.partitionBy("seq").orderBy("id")
+    found = spark.read.schema(_MATCH).parquet(*[m._staged_path for m in steps]) if steps else spark.createDataFrame([], _MATCH)
+    places = found.where("kind = 2").select("id", F.col("seq").alias("sequence_id"), (F.sum("size").over(own) - F.col("size")).alias("offset"))
+    return ranged.join(places, "id").select(*[F.col(x).alias(c) for x, c in zip(plain, columns, strict=True)], "sequence_id", "offset")
 
 
 def default_tokenizer() -> str:

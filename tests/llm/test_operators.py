@@ -378,32 +378,55 @@ def test_a_very_long_text(spark):
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(d).collect()} == {1: 1, 2: 2, 3: 3}
 
 
-def test_supersteps_equal_best_fit_decreasing():
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        g = min(fit) if fit else capacity
+        if fit:
+            gaps.remove(g)
+        gaps.append(g - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("rows", [16, 1 << 17])
+def test_sweeps_against_best_fit_decreasing(spark, rows):
+    """Random lengths, one length for a third of all, many ranges a sweep: gapless sequences, at most one in fifty more than best-fit decreasing takes."""
     import random
 
-    for seed in range(30):
-        r = random.Random(seed)
-        counts = Counter(r.randint(1, 40) for _ in range(r.randint(0, 200)))
-        plan, opened = packing.supersteps(dict(counts), 40)
-        gaps = []
-        for n in sorted(counts.elements(), reverse=True):
-            fit = [g for g in gaps if g >= n]
-            g = min(fit) if fit else 40
-            if fit:
-                gaps.remove(g)
-            gaps.append(g - n)
-        assert opened == len(gaps)
-        filled = defaultdict(list)
-        for length, first, end, sequence, each, offset in plan.tolist():
-            for rank in range(first, end):
-                filled[sequence + (rank - first) // each].append((offset + (rank - first) % each * length, length))
-        assert sum(len(x) for x in filled.values()) == counts.total()
-        for x in filled.values():
-            at = 0
-            for o, n in sorted(x):
-                assert o == at
-                at += n
-            assert at <= 40
+    r = random.Random(rows)
+    lengths = [r.randint(1, 40) for _ in range(120)] + [7] * 80 + [40] * 5 + [1] * 30
+    got = packing.pack(spark.createDataFrame([(k, 0, n, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long, _id long"), 40, rows=rows).collect()
+    assert sorted((x.doc_id, x.length, x["_id"]) for x in got) == [(k, n, n) for k, n in enumerate(lengths)]
+    filled = defaultdict(list)
+    for x in got:
+        filled[x.sequence_id].append((x.offset, x.length))
+    for x in filled.values():
+        at = 0
+        for o, n in sorted(x):
+            assert o == at
+            at += n
+        assert at <= 40
+    assert len(filled) <= 1.02 * best_fit_decreasing(lengths, 40)
+
+
+def test_successors_by_stack():
+    """Pairs and levels of a stretch against a stack that is swept row by row; levels join stretches as one sweep would."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        kind = rng.integers(0, 2, rng.integers(1, 60))
+        stack, want = [], set()
+        for i, k in enumerate(kind):
+            if k == 0:
+                stack.append(i)
+            elif stack:
+                want.add((stack.pop(), i))
+        gap, piece, level = packing.pair_up(kind)
+        assert set(zip(gap.tolist(), piece.tolist())) == want
+        cut = len(kind) // 2
+        before = int((kind[:cut] == 0).sum() - (kind[:cut] == 1).sum())
+        parts = np.concatenate([packing.pair_up(kind[:cut])[2], packing.pair_up(kind[cut:])[2] + before])
+        assert (parts == level).all()
 
 
 def test_packing_rejects_bad_lengths(spark):
