@@ -123,9 +123,9 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id
 
 
 def bands(capacity: int) -> list[int]:
-    """Upper bounds of the bands of lengths that are packed one after another, longest first: capacity / 1 to / 4, then halves."""
+    """Upper bounds of the bands of lengths that are packed one after another, longest first: capacity / 1 to / 4, then halves down to capacity / 128."""
     bounds = [capacity // k for k in range(1, 5) if capacity // k]
-    while bounds[-1] > 1:
+    while bounds[-1] > max(1, capacity // 128):
         bounds.append(bounds[-1] // 2)
     return sorted(set(bounds), reverse=True)
 
@@ -195,13 +195,13 @@ def best_fit(pieces: DataFrame, capacity: int, rows: int = ROWS) -> list[DataFra
     band = sum((F.when(F.col("size") <= b, 1).otherwise(0) for b in bounds[1:]), F.lit(0)).alias("band")
     measures = [F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("tokens")]
     found = {r["band"]: r for r in pieces.groupBy(band).agg(*measures).collect()}
-    gaps, stored, opened, placed, out = None, None, 0, 0, []
+    gaps, stored, opened, placed, widest, out = None, None, 0, 0, capacity, []
     for k in sorted(found):
         left = pieces.where(F.col("size").between(bounds[k + 1] + 1 if k + 1 < len(bounds) else 1, bounds[k]))
         n, low, high, tokens = (found[k][x] for x in ("n", "low", "high", "tokens"))
         while n:
             free, hits = opened * capacity - placed, 0
-            if free >= low:
+            if min(free, widest) >= low:
                 slots = gaps.where(F.col("gap") >= low).select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("gap") / high).cast("int")))))
                 both = slots.drop("col").union(left.select("size", F.lit(1).alias("kind"), F.col("id").alias("key")))
                 ranges = 1 + (n + min(opened, free // low) + free // high) // rows
@@ -228,6 +228,7 @@ def best_fit(pieces: DataFrame, capacity: int, rows: int = ROWS) -> list[DataFra
                     out += new
                     left = new[-1].where("kind = 1").select("id", "size")
                     n = sum(r["n"] for r in rest)
+                    widest = (gaps.agg(F.max("gap")).first()[0] or 0) if n else widest
                     low, high, tokens = min((r["low"] for r in rest), default=0), max((r["high"] for r in rest), default=0), sum(r["tokens"] for r in rest)
                 else:
                     for x in new:
@@ -235,7 +236,7 @@ def best_fit(pieces: DataFrame, capacity: int, rows: int = ROWS) -> list[DataFra
             if n and not hits:
                 fresh = max(-(-tokens // capacity), -(-n // (capacity // low)))
                 empty = spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-                opened += fresh
+                opened, widest = opened + fresh, capacity
                 gaps = empty if gaps is None else gaps.union(empty)
     return out
 
