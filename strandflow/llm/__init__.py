@@ -1 +1 @@
-"""Training-data operators: ten corpus operators, each with a thin registered query."""
+"""Training-data operators: thirteen corpus operators, each with a thin registered query."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, minhash_dedup, ngram_lm, packing, quality, substring_dedup, toxicity, url_filter, warc
+from . import conversations, decontaminate, embedding_dedup, minhash_dedup, ngram_lm, packing, phrases, piece_codec, quality, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_lm_scoring": ngram_lm.op10_lm_scoring,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_pieces": piece_codec.op12_pieces,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_url_filters": url_filter.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op11_conversations": conversations.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
