@@ -188,6 +188,57 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = 2 << 20) -> It
         at = to
 
 
+_CACHE_WORDS = 2_000_000
+
+
+class WordCache:
+    """Ids of words, each different one encoded once a worker; a subclass has `kind` (of its ids) and encode_words(words) -> (ids of all, number of each).
+
+    Words are known by a 64-bit hash of their bytes and length, in sorted arrays. The cache is emptied when it would pass
+    _CACHE_WORDS words, which bounds its memory and changes no result."""
+
+    kind: type = np.uint32
+
+    def reset(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.offsets = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.keys) + len(words) > _CACHE_WORDS:
+            self.reset()
+        flat, sizes = self.encode_words(words)
+        at = np.searchsorted(self.keys, hashes)
+        self.slots = np.insert(self.slots, at, np.arange(len(words), dtype=np.int32) + (len(self.offsets) - 1))
+        self.keys = np.insert(self.keys, at, hashes)
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, flat.astype(self.kind)])
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+
+    def encode_split(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, bounds of each row's ids)."""
+        if not len(w.start):
+            return np.zeros(0, np.uint32), np.zeros(len(w.first), np.int64)
+        uniq, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        new = ~self.known(uniq)
+        if len(self.keys) + new.sum() > _CACHE_WORDS:
+            self.reset()
+            new[:] = True
+        data = w.data.tobytes()
+        self.learn(uniq[new], [data[s:e] for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+        slot = self.slots[np.searchsorted(self.keys, uniq)]
+        begin, size = self.offsets[slot][inverse], (self.offsets[slot + 1] - self.offsets[slot])[inverse]
+        total = np.concatenate([[0], np.cumsum(size)])
+        index = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
+        return self.ids[index].astype(np.uint32), total[w.first]
+
+
 _LIBC = ctypes.CDLL(None)
 
 

@@ -3,84 +3,50 @@
 Documents become token ids and pieces of at most `capacity` tokens. Pieces are range-sorted by length; a piece's
 place there numbers it.
 
-Packing is bulk-synchronous best-fit decreasing. A superstep sorts unplaced pieces and gaps into common ranges, sweeps each range for successors (the
-smallest gap that holds a piece), settles by rank what ranges leave over, updates the gaps and repeats. Ranges end within a length that many pieces share, so
-no task grows with it.
+Packing is bulk-synchronous best-fit. A superstep range-sorts unplaced pieces and gaps and deals them by rank to shares of bounded size, so that no two shares
+want one gap; each share is swept for successors (the smallest gap that holds a piece, larger pieces first), gaps are updated, and what no share could place goes on to the
+next superstep.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, slices, split_words, staged, table
+from .common import WordCache, lean, partitions, slices, split_words, staged, table
 
 CAPACITY, END_ID = 4096, 1
-ROWS = 1 << 17  # of a sweep's range
+ROWS = 1 << 15  # of a share
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 2_000_000
 _loaded: dict[str, WordTokenizer] = {}
 
 
-class WordTokenizer:
-    """Token ids of whole texts by a tokenizer whose pieces never span white space; each different word is encoded once.
-
-    Words are known by a 64-bit hash of their bytes and length, in sorted arrays. The cache is emptied when it would pass
-    _CACHE_WORDS words, which bounds its memory and changes no result."""
+class WordTokenizer(WordCache):
+    """Token ids of whole texts by a tokenizer whose pieces never span white space."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        self.kind = np.uint16 if self.model.get_vocab_size() < 1 << 16 else np.uint32
         self.reset()
 
-    def reset(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.ids, self.offsets = np.zeros(0, np.uint16 if self.model.get_vocab_size() < 1 << 16 else np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        if len(self.keys) + len(words) > _CACHE_WORDS:
-            self.reset()
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         encoded = []
         for at in range(0, len(words), 4096):
             encoded += [e.ids for e in self.model.encode_batch_fast([x.decode() for x in words[at : at + 4096]], add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((x for e in encoded for x in e), self.ids.dtype, int(sizes.sum()))
-        at = np.searchsorted(self.keys, hashes)
-        self.slots = np.insert(self.slots, at, np.arange(len(words), dtype=np.int32) + (len(self.offsets) - 1))
-        self.keys = np.insert(self.keys, at, hashes)
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        return np.fromiter((x for e in encoded for x in e), self.kind, int(sizes.sum())), sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's ids)."""
-        w = split_words(texts)
-        if not len(w.start):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        uniq, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        new = ~self.known(uniq)
-        if len(self.keys) + new.sum() > _CACHE_WORDS:
-            self.reset()
-            new[:] = True
-        data = w.data.tobytes()
-        self.learn(uniq[new], [data[s:e] for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
-        slot = self.slots[np.searchsorted(self.keys, uniq)]
-        begin, size = self.offsets[slot][inverse], (self.offsets[slot + 1] - self.offsets[slot])[inverse]
-        total = np.concatenate([[0], np.cumsum(size)])
-        index = np.arange(total[-1]) + np.repeat(begin - total[:-1], size)
-        return self.ids[index].astype(np.uint32), total[w.first]
+        return self.encode_split(split_words(texts))
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -122,14 +88,6 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id
     return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pieces, schema)
 
 
-def bands(capacity: int) -> list[int]:
-    """Upper bounds of the bands of lengths that are packed one after another, longest first: capacity / 1 to / 4, then halves down to capacity / 128."""
-    bounds = [capacity // k for k in range(1, 5) if capacity // k]
-    while bounds[-1] > max(1, capacity // 128):
-        bounds.append(bounds[-1] // 2)
-    return sorted(set(bounds), reverse=True)
-
-
 def pair_up(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Successors within one stretch of rows sorted by size, largest first: 0 is a gap, 1 a piece. Each piece takes the last gap before it that no
     piece between them takes, which is the smallest free one that holds it. Returns (rows of gaps, rows of their pieces, level of each row).
@@ -142,108 +100,86 @@ def pair_up(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[hit], order[hit + 1], level
 
 
-_MATCH = "task int, kind int, id long, seq long, size long, level long"
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches a range of sorted gaps and pieces. Kind 2 is a piece with its sequence, 0 and 1 are what stays without partner in this range."""
-    from pyspark import TaskContext
-
-    rows = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches]
-    if not rows:
-        return
-    size, kind, key = (np.concatenate(x) for x in zip(*rows, strict=True))
-    gap, piece, level = pair_up(kind)
-    seq = np.where(kind == 0, key, -1)
-    seq[piece] = key[gap]
-    kind = kind.astype(np.int32)
-    kind[piece] = 2
-    keep = np.ones(len(kind), bool)
-    keep[gap] = False
-    task = np.full(keep.sum(), TaskContext.get().partitionId(), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (task, kind[keep], key[keep], seq[keep], size[keep], level[keep])], names=["task", "kind", "id", "seq", "size", "level"])
-
-
-def _across(match: DataFrame, counts: dict[tuple[int, int], int]) -> DataFrame | None:
-    """The pieces without partner in their range, with a gap of an earlier range where one is free (kind 2); None where no range has gaps to give.
-    A level has at most a gap and a piece of each range, so the windows are bounded by the number of ranges."""
-    base, free, found = {}, 0, False
-    total = 0
-    for t in sorted({t for t, _ in counts}):
-        base[t] = total
-        gaps, pieces = counts.get((t, 0), 0), counts.get((t, 1), 0)
-        found |= bool(free and pieces)
-        free = max(0, free - pieces) + gaps
-        total += gaps - pieces
-    if not found:
-        return None
-    before = F.broadcast(match.sparkSession.createDataFrame(sorted(base.items()), "task int, base long"))  # a row for each range
-    w = Window.partitionBy("level").orderBy("task", F.desc("kind"))
-    rows = match.where("kind < 2").join(before, "task").withColumn("level", F.col("level") + F.col("base")).withColumn("of", F.when(F.lag("kind").over(w) == 0, F.lag("seq").over(w)))
-    return rows.where("kind = 1").select("task", F.when(F.col("of").isNull(), 1).otherwise(2).cast("int").alias("kind"), "id", F.coalesce("of", "seq").alias("seq"), "size", "level")
+def sweep(size: np.ndarray, gap: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places pieces in gaps and in new sequences: (for each piece the place of its gap or -1, what is left of all gaps, new ones at the end).
+
+    Waves follow one another. A wave sorts pieces and gaps together, longest first, and gives pieces their successors; a gap that holds the longest piece
+    several times stands there as often. Then gaps are updated. Where no gap holds a piece, sequences are opened: one for each piece of over half the capacity, and as
+    many at least as the rest fills. `last` opens one for a rest that fills none, else that rest stays."""
+    place, gap = np.full(len(size), -1), gap.astype(np.int64)
+    left = np.argsort(-size, kind="stable")
+    while len(left):
+        s = size[left]
+        can = np.flatnonzero(gap >= s[-1])
+        slot = np.repeat(can, np.maximum(gap[can] // s[0], 1))
+        kind = np.repeat([0, 1], [len(slot), len(s)])
+        order = np.lexsort((kind, -np.concatenate([gap[slot], s])))
+        g, p, _ = pair_up(kind[order])
+        if len(p):
+            of, piece = slot[order[g]], order[p] - len(slot)
+            place[left[piece]] = of
+            np.subtract.at(gap, of, s[piece])
+            left = np.delete(left, piece)
+            continue
+        tokens = int(s.sum())
+        fresh = max(tokens // capacity, int((s > capacity // 2).sum()), int(last))
+        if not fresh:
+            break
+        gap = np.concatenate([gap, np.full(fresh, capacity)])
+    return place, gap
+
+
+_MATCH = "kind int, id long, seq long, size long"
+
+
+def _superstep(capacity: int, step: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    """Sweeps one share. Kind 2 is a piece with its sequence, 1 one without, 0 what is left of a sequence."""
+
+    def run(t: pa.Table) -> pa.Table:
+        share = t.column("share")[0].as_py()
+        kind, key, seq, size = (t.column(c).to_numpy() for c in ("kind", "id", "seq", "size"))
+        piece, open_ = kind == 1, kind == 0
+        place, gap = sweep(size[piece], size[open_], capacity, last)
+        own = np.concatenate([seq[open_], (step << 52) + (share << 30) + np.arange(len(gap) - open_.sum())])
+        of = np.where(place < 0, -1, own[place] if len(own) else -1)
+        some = np.flatnonzero(gap > 0)
+        columns = [np.where(place < 0, 1, 2), np.zeros(len(some), np.int64)], [key[piece], np.full(len(some), -1)], [of, own[some]], [size[piece], gap[some]]
+        return pa.table([pa.array(np.concatenate(c).astype(x)) for c, x in zip(columns, (np.int32, np.int64, np.int64, np.int64), strict=True)], names=["kind", "id", "seq", "size"])
+
+    return run
 
 
 def best_fit(pieces: DataFrame, capacity: int, rows: int = ROWS) -> list[DataFrame]:
-    """Places pieces (id, size) in sequences of the capacity; returns written tables, one or two a superstep, whose rows of kind 2 are (id, seq, size).
-
-    Bands of lengths follow one another, longest first. A superstep range-sorts the band's unplaced pieces with the gaps that could hold one, largest first;
-    a gap that holds several of the band's longest piece stands there as often. A sweep over each range gives pieces their successors; what it leaves is
-    matched between ranges by level, that is by rank. Then gaps are updated and the rest tries again. Where no gap holds any of them, as many sequences are opened as
-    the rest needs at least. The driver holds counters of ranges and bands."""
-    spark = pieces.sparkSession
-    bounds = bands(capacity)
-    band = sum((F.when(F.col("size") <= b, 1).otherwise(0) for b in bounds[1:]), F.lit(0)).alias("band")
-    measures = [F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.sum("size").alias("tokens")]
-    found = {r["band"]: r for r in pieces.groupBy(band).agg(*measures).collect()}
-    gaps, stored, opened, placed, widest, out = None, None, 0, 0, capacity, []
-    for k in sorted(found):
-        left = pieces.where(F.col("size").between(bounds[k + 1] + 1 if k + 1 < len(bounds) else 1, bounds[k]))
-        n, low, high, tokens = (found[k][x] for x in ("n", "low", "high", "tokens"))
-        while n:
-            free, hits = opened * capacity - placed, 0
-            if min(free, widest) >= low:
-                slots = gaps.where(F.col("gap") >= low).select(F.col("gap").alias("size"), F.lit(0).alias("kind"), F.col("seq").alias("key"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("gap") / high).cast("int")))))
-                both = slots.drop("col").union(left.select("size", F.lit(1).alias("kind"), F.col("id").alias("key")))
-                ranges = 1 + (n + min(opened, free // low) + free // high) // rows
-                order = (F.desc("size"), F.asc("kind"), F.asc("key"))
-                match = staged(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _MATCH), "packing-sweep")
-                seen = match.groupBy("task", "kind").agg(*measures).collect()
-                new = [match]
-                rest = [r for r in seen if r["kind"] == 1]
-                across = _across(match, {(r["task"], r["kind"]): r["n"] for r in seen if r["kind"] < 2})
-                done = [r for r in seen if r["kind"] == 2]
-                if across is not None:
-                    new.append(staged(across, "packing-across"))
-                    more = new[1].groupBy("kind").agg(*measures).collect()
-                    rest = [r for r in more if r["kind"] == 1]
-                    done += [r for r in more if r["kind"] == 2]
-                hits = sum(r["n"] for r in done)
-                if hits:
-                    placed += sum(r["tokens"] for r in done)
-                    taken = [m.where("kind = 2").select("seq", (-F.col("size")).alias("gap")) for m in new]
-                    before, gaps = stored, staged(reduce(DataFrame.union, taken, gaps).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0"), "packing-gaps")
-                    stored = gaps
-                    if before is not None:
-                        discard(before)
-                    out += new
-                    left = new[-1].where("kind = 1").select("id", "size")
-                    n = sum(r["n"] for r in rest)
-                    widest = (gaps.agg(F.max("gap")).first()[0] or 0) if n else widest
-                    low, high, tokens = min((r["low"] for r in rest), default=0), max((r["high"] for r in rest), default=0), sum(r["tokens"] for r in rest)
-                else:
-                    for x in new:
-                        discard(x)
-            if n and not hits:
-                fresh = max(-(-tokens // capacity), -(-n // (capacity // low)))
-                empty = spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-                opened, widest = opened + fresh, capacity
-                gaps = empty if gaps is None else gaps.union(empty)
+    """Places pieces (id, size) in sequences of the capacity; returns written tables, one a superstep, whose rows of kind 2 are (id, seq, size). Ids ascend with sizes.
+
+    A superstep range-sorts the pieces left and the gaps that hold one, and deals them by rank, so that every share of about `rows` rows has all sizes
+    as often as the whole and no gap is in two shares; each share is swept. What fills no sequence of its own stays and meets all gaps in the second superstep; what then
+    stays is packed alone. A share leaves less than a sequence of tokens, so the shares' number falls to one in a few supersteps, and that one opens what it needs."""
+    rows = max(rows, 2 * capacity)  # such a share fills a sequence at least, so each superstep places pieces
+    full = pieces.where(F.col("size") == capacity).select(F.lit(2).alias("kind"), "id", (-1 - F.col("id")).alias("seq"), "size")
+    out = [staged(full, "packing-full")]
+    left = pieces.where(F.col("size") < capacity).select(F.lit(1).alias("kind"), "id", F.lit(-1).cast("long").alias("seq"), "size")
+    n, step, gaps = left.count(), 0, 0
+    while n:
+        shares = -(-(n + gaps) // rows)
+        rank = F.col("id")
+        if step:
+            order = ("kind", F.desc("size"), "id", "seq")
+            left, rank = left.repartitionByRange(shares, *order).sortWithinPartitions(*order), F.monotonically_increasing_id()
+        dealt = left.withColumn("share", F.pmod(rank, F.lit(shares)).cast("int"))
+        out.append(staged(dealt.groupBy("share").applyInArrow(lean(_superstep(capacity, step, shares == 1)), _MATCH), "packing-sweep"))
+        n, low = out[-1].where("kind = 1").agg(F.count("*"), F.min("size")).first()
+        left = out[-1].where("kind = 1")
+        if n and not step:
+            left = left.union(out[-1].where("kind = 0").where(F.col("size") >= low))
+        gaps = left.count() - n if n else 0
+        step += 1
     return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows: int = ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `capacity` tokens: the pieces of a sequence lie one after another
-    from 0. Shorter or longer pieces raise. An empty table stays empty. Columns that pieces already has keep their values. `rows` is the size of a sweep's ranges."""
+    from 0. Shorter or longer pieces raise. An empty table stays empty. Columns that pieces already has keep their values. `rows` is the size of a share."""
     spark = pieces.sparkSession
     columns = pieces.columns
     plain = [f"c{k}" for k in range(len(columns))]
@@ -255,7 +191,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     steps = best_fit(ranged.select("id", size.cast("long").alias("size")), capacity, rows)
     # a sequence has at most `capacity` pieces
     own = Window.partitionBy("seq").orderBy("id")
-    found = spark.read.schema(_MATCH).parquet(*[m._staged_path for m in steps]) if steps else spark.createDataFrame([], _MATCH)
+    found = spark.read.schema(_MATCH).parquet(*[m._staged_path for m in steps])
     places = found.where("kind = 2").select("id", F.col("seq").alias("sequence_id"), (F.sum("size").over(own) - F.col("size")).alias("offset"))
     return ranged.join(places, "id").select(*[F.col(x).alias(c) for x, c in zip(plain, columns, strict=True)], "sequence_id", "offset")
 
