@@ -136,8 +136,18 @@ def test_decoding_of_any_ids_equals_the_library():
 
 def test_a_difference_from_the_library_raises():
     c = piece_codec.codec(piece_codec.default_model())
-    with pytest.raises(RuntimeError):
-        piece_codec.compare(c, ["a", "b c"], [c.encode("a"), c.encode("b d")], ["a", "b c"])
+    ids, bounds = c.encode(pa.array(["a", "b d"]))
+    piece_codec.compare(c, ["a", "b d"], ids, bounds, ["a", "b d"])
+    for texts, decoded in ((["a", "b c"], ["a", "b c"]), (["a", "b d"], ["a", "b c"])):
+        with pytest.raises(RuntimeError):
+            piece_codec.compare(c, texts, ids, bounds, decoded)
+
+
+def test_agendas_together_and_alone_give_the_same():
+    c, rng = piece_codec.codec(piece_codec.default_model()), random.Random(5)
+    words = ["".join(rng.choice("  thesandoringéñ.,x日😀") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    ids, sizes = c.encode_words([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [c.merge(w) for w in words]
 
 
 def test_query_pieces(spark, data):
