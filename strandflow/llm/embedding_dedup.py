@@ -48,14 +48,14 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, seed: int = 7) -> DataFrame:
-    """(key, n_links, component_id, kept) for each row of vectors. Keys are integers and name one row each; a row with a null key links like any other, with
-    a component of null where it has no partner."""
+    """(key, n_links, component_id, kept) for each row of vectors. Keys are integers. Rows are vectors of their own whatever their keys: a row with a null key links
+    like any other, with a component of null where no row of the component has a key; rows that share a key are counted and linked apart."""
     kind = vectors.schema[vector].dataType.elementType.simpleString()
     kept = F.col(vector) if kind in ("float", "double") else F.transform(vector, lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), kept.alias("v"))
     good = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0.0), F.lit(False))
     rows = rows.withColumn("digest", F.when(good, F.sha2(F.array_join(F.transform("v", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256)))
-    classes = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("v").alias("v")), "vector-classes")
+    classes = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     bits = plan_bits(n)
     tables = plan_tables(bits, cosine)
@@ -124,10 +124,11 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     found = staged(units.groupBy("unit").applyInArrow(compare, "rep long, links long, other long"), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-components")
-    per_class = classes.select("digest", "rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    # the smallest id of a class is its rep, so the smallest rep of a component is its smallest id
+    # classes are known by numbers, a component by the smallest key in it
+    least = joined.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    per_class = classes.select("digest", "rep", "first", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(least, "component", "left")
     out = rows.select("id", "digest").join(per_class, "digest", "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.coalesce("least", "first", "id")
     return out.select(F.col("id").alias(key), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
