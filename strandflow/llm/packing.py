@@ -103,13 +103,14 @@ def pair_up(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sweep(size: np.ndarray, gap: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places pieces in gaps and in new sequences: (for each piece the place of its gap or -1, what is left of all gaps, new ones at the end).
 
-    Waves follow one another. A wave sorts pieces and gaps together, longest first, and gives pieces their successors; a gap that holds the longest piece
-    several times stands there as often. Then gaps are updated. Where no gap holds a piece, sequences are opened: one for each piece of over half the capacity, and as
-    many at least as the rest fills. `last` opens one for a rest that fills none, else that rest stays."""
+    Waves follow one another. A wave sorts the pieces of over half the longest one's size and the gaps together, longest first, and gives pieces their successors; a
+    gap that holds the longest piece several times stands there as often. Then gaps are updated. Where no gap holds a piece of the wave, sequences are opened: one for each of over
+    half the capacity, and as many at least as the wave's fill. `last` opens one for a rest that fills none, else that rest stays."""
     place, gap = np.full(len(size), -1), gap.astype(np.int64)
     left = np.argsort(-size, kind="stable")
     while len(left):
         s = size[left]
+        s = s[: np.searchsorted(-s, -(s[0] // 2))]
         can = np.flatnonzero(gap >= s[-1])
         slot = np.repeat(can, np.maximum(gap[can] // s[0], 1))
         kind = np.repeat([0, 1], [len(slot), len(s)])
@@ -121,10 +122,9 @@ def sweep(size: np.ndarray, gap: np.ndarray, capacity: int, last: bool) -> tuple
             np.subtract.at(gap, of, s[piece])
             left = np.delete(left, piece)
             continue
-        tokens = int(s.sum())
-        fresh = max(tokens // capacity, int((s > capacity // 2).sum()), int(last))
-        if not fresh:
+        if not last and size[left].sum() < capacity:
             break
+        fresh = max(int(s.sum()) // capacity, int((s > capacity // 2).sum()), 1)
         gap = np.concatenate([gap, np.full(fresh, capacity)])
     return place, gap
 
