@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.operators import scan
+
 ONE = F.lit
 
 
@@ -29,10 +31,9 @@ def classification(c: DataFrame) -> DataFrame:
 def by_score(df: DataFrame, y: str, s: str, *keys: str) -> DataFrame:
     """(keys, s, pos, neg, tp, fp): counts at each different score and cumulated from the highest score down.
 
-    Rows are grouped by score before any window, so ties share a step and the windows see different scores only."""
-    g = df.groupBy(*keys, F.col(s).alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum((F.lit(1) - F.col(y)).cast("double")).alias("neg"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    Rows are grouped by score first, so ties share a step; a two-level scan cumulates the different scores, so no key's curve, nor the one of all rows, is one task's."""
+    g = df.groupBy(*keys, F.col(s).cast("double").alias("s")).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.sum((F.lit(1) - F.col(y)).cast("double")).alias("neg"))
+    return scan.prefix(g, {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, -scan.number_bucket(F.col("s")), (F.desc("s"),), keys)
 
 
 def auc(df: DataFrame, y: str, s: str, *keys: str, single: float | None = None) -> DataFrame:
@@ -51,21 +52,38 @@ def average_precision(df: DataFrame, y: str, s: str, *keys: str) -> DataFrame:
     return t.select(*keys, _ratio(F.col("a"), F.col("p")).alias("ap"))
 
 
+_MOMENTS = ("sxx", "syy", "sxy")
+
+
+def _moments(df: DataFrame, a: Column, b: Column, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows where a or b is null do not count. Squares are about the mean, so neither small values nor large means lose their variance."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    n = F.count(a).cast("double")
+    centred = [F.coalesce(e * n, F.lit(0.0)).alias(k) for k, e in zip(_MOMENTS, (F.var_pop(a), F.var_pop(b), F.covar_pop(a, b)), strict=True)]
+    return df.groupBy(*keys).agg(n.alias("n"), F.coalesce(F.sum(a), F.lit(0.0)).alias("sx"), F.coalesce(F.sum(b), F.lit(0.0)).alias("sy"), *centred, *more)
+
+
 def sums(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """Mergeable sufficient statistics of a correlation: n, sx, sy, sxx, syy, sxy."""
-    a, b = F.col(x), F.col(y)
-    return df.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
+    """Mergeable sufficient statistics of a correlation: n, sx, sy, and sxx, syy, sxy about the means."""
+    return _moments(df, F.col(x), F.col(y), *keys)
 
 
 def merge_sums(parts: DataFrame, *keys: str) -> DataFrame:
-    return parts.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    """The statistics of all parts of a key together: squares within parts and those of the parts' means about the mean of all."""
+    whole = parts.groupBy(*keys).agg(*(F.sum(c).alias(f"_{c}") for c in ("n", "sx", "sy")))
+    own = F.nullif(F.col("n"), F.lit(0.0))
+    dx, dy = (F.coalesce(F.col(c) / own - F.col(f"_{c}") / F.col("_n"), F.lit(0.0)) for c in ("sx", "sy"))
+    both = parts.join(whole, list(keys)) if keys else parts.crossJoin(F.broadcast(whole))  # one row
+    moved = (F.sum(F.col(k) + F.col("n") * d).alias(k) for k, d in zip(_MOMENTS, (dx * dx, dy * dy, dx * dy), strict=True))
+    return both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sy")), *moved)
 
 
 def correlation() -> Column:
-    """Pearson r of sums(); null where a variance is 0."""
-    n = F.nullif(F.col("n"), F.lit(0.0))
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    return F.when((vx > 1e-9) & (vy > 1e-9), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(F.when((vx > 1e-9) & (vy > 1e-9), vx * vy).otherwise(1.0)))
+    """Pearson r of sums(); null where a variance is 0, that is no more than rounding leaves of equal values."""
+    varies = lambda s, t: F.col(s) > F.pow(F.col(t) / F.nullif(F.col("n"), F.lit(0.0)), F.lit(2.0)) * F.col("n") * 1e-30
+    both = varies("sxx", "sx") & varies("syy", "sy")
+    return F.when(both, F.col("sxy") / F.sqrt(F.when(both, F.col("sxx")).otherwise(1.0)) / F.sqrt(F.when(both, F.col("syy")).otherwise(1.0)))
 
 
 def threshold_at_fpr(df: DataFrame, y: str, s: str, rate: float) -> DataFrame:
@@ -103,10 +121,9 @@ def masked_mean(x: Column, mask: Column) -> Column:
 def masked_pearson(df: DataFrame, x: str, y: str, mask: str, *keys: str) -> DataFrame:
     """(keys, mse, r) over masked rows; r is 0 with under two rows or without variance, mse 0 without rows."""
     m = F.col(mask)
-    use = df.select(*keys, m.alias("_m"), F.when(m, F.col(x)).alias("_x"), F.when(m, F.col(y)).alias("_y"))
-    s = use.groupBy(*keys).agg(F.count("_x").cast("double").alias("n"), *(F.coalesce(F.sum(e), F.lit(0.0)).alias(k) for k, e in (("sx", F.col("_x")), ("sy", F.col("_y")), ("sxx", F.col("_x") * F.col("_x")), ("syy", F.col("_y") * F.col("_y")), ("sxy", F.col("_x") * F.col("_y")))))
-    mse = F.coalesce((F.col("sxx") + F.col("syy") - 2 * F.col("sxy")) / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0))
-    return s.select(*keys, mse.alias("mse"), F.coalesce(correlation(), F.lit(0.0)).alias("r"))
+    use = df.select(*keys, F.when(m, F.col(x)).alias("_x"), F.when(m, F.col(y)).alias("_y"))
+    gap = F.coalesce(F.avg(F.pow(F.col("_x") - F.col("_y"), F.lit(2.0))), F.lit(0.0)).alias("mse")
+    return _moments(use, F.col("_x"), F.col("_y"), *keys, more=(gap,)).select(*keys, "mse", F.coalesce(correlation(), F.lit(0.0)).alias("r"))
 
 
 def cosine_pearson(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 BIN = 1 << 14
 STRETCH = 1 << 20
 
@@ -66,10 +68,11 @@ def neighbour_overlap(queries: DataFrame, intervals: DataFrame) -> DataFrame:
     i = intervals.select("chrom", F.col("start").alias("_is"), F.col("end").alias("_ie"), F.lit(0).alias("_kind"), F.col("start").alias("_at"))
     both = q.unionByName(i, allowMissingColumns=True)
     key = F.struct("_is", "_ie")
-    before = Window.partitionBy("chrom").orderBy("_at", F.col("_kind").desc(), "_ie").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("chrom").orderBy(F.col("_at").desc(), F.col("_kind"), F.col("_ie").desc()).rowsBetween(Window.unboundedPreceding, -1)
     only = F.when(F.col("_kind") == 0, key)
-    marked = both.withColumn("_p", F.last(only, True).over(before)).withColumn("_n", F.last(only, True).over(after)).where("_kind = 1")
+    stretch = F.floor(F.col("_at") / STRETCH)
+    # the last interval so far is the largest one, the next one the smallest
+    marked = scan.prefix(both, {"_p": ("max", only)}, stretch, (F.col("_at"), F.desc("_kind"), F.col("_ie")), ("chrom",), inclusive=False)
+    marked = scan.prefix(marked, {"_n": ("min", only)}, -stretch, (F.desc("_at"), F.col("_kind"), F.desc("_ie")), ("chrom",), inclusive=False).where("_kind = 1")
     meets = lambda x: F.coalesce((F.col("start") < F.col(f"{x}._ie")) & (F.col("end") > F.col(f"{x}._is")), F.lit(False))
     return marked.withColumn("near", meets("_p") | meets("_n")).select(*queries.columns, "near")
 
@@ -90,15 +93,16 @@ def tile(genome: DataFrame, width: int = 256) -> DataFrame:
 
 
 def get_fasta(df: DataFrame, tiles: DataFrame, width: int = 256, key: str = "name") -> DataFrame:
-    """df with `sequence`: the bases of each interval, read from the tiles it touches. Intervals on unknown contigs or past
-    the end give what there is; key names one interval."""
-    parts = df.where("end > start").withColumn("tile_idx", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
+    """df with `sequence`: the bases of each interval, read from the tiles it touches. Past the end there is what there is; intervals without
+    bases or on unknown contigs give no row. Equal intervals are read once and every row of df has its own result, repeated rows too."""
+    spans = df.where("end > start").select("chrom", "start", "end").distinct()
+    parts = spans.withColumn("tile_idx", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
     j = parts.join(tiles.select("chrom", "tile_idx", "seq"), ["chrom", "tile_idx"])
     lo = F.greatest(F.col("start") - F.col("tile_idx") * width, F.lit(0).cast("bigint"))
     hi = F.least(F.col("end") - F.col("tile_idx") * width, F.lit(width).cast("bigint"))
     piece = F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile_idx", piece.alias("s")))), lambda x: x["s"]), "")
-    return j.groupBy(*df.columns).agg(joined.alias("sequence"))
+    return df.join(j.groupBy("chrom", "start", "end").agg(joined.alias("sequence")), ["chrom", "start", "end"]).select(*df.columns, "sequence")
 
 
 def fetch_regions(regions: DataFrame, tiles: DataFrame, width: int = 256, region: str = "region") -> DataFrame:
@@ -117,10 +121,11 @@ def stitch(tiles: DataFrame) -> DataFrame:
 
 
 def span_mean(spans: DataFrame, signal: DataFrame) -> DataFrame:
-    """spans with `mean`: the signal's mean over each span; bases without a run count as 0."""
+    """spans with `mean`: the signal's mean over each span; bases without a run count as 0. Empty spans and those with a null bound have no mean, spans on
+    a null contig one of 0; repeated rows have each their own."""
     part = F.least("end", "end_b") - F.greatest("start", "start_b")
-    got = overlap_join(spans, signal).groupBy(*spans.columns).agg(F.sum(F.col("value_b") * part).alias("_v"))
-    return spans.join(got, list(spans.columns), "left").withColumn("mean", F.coalesce(F.col("_v"), F.lit(0.0)) / (F.col("end") - F.col("start"))).drop("_v")
+    got = overlap_join(spans.select("chrom", "start", "end").distinct(), signal).groupBy("chrom", "start", "end").agg(F.sum(F.col("value_b") * part).alias("_v"))
+    return spans.join(got, ["chrom", "start", "end"], "left").select(*spans.columns, (F.coalesce(F.col("_v"), F.lit(0.0)) / F.nullif(F.col("end") - F.col("start"), F.lit(0))).alias("mean"))
 
 
 def length_sum(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def percentile_rank(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """df with `percentile`: the tie-averaged rank of value in its group, in percent of the group's rows.
 
-    Ranks are of the different values of a group, so equal values cost one row in the window."""
+    Ranks are of the different values of a group, so equal values cost one row, and a two-level scan ranks them, so a group may be of any size."""
     g = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    r = g.withColumn("percentile", (upto - (F.col("_n") - 1) / F.lit(2.0)) / F.sum("_n").over(w) * 100).drop("_n")
+    r = scan.prefix(g, {"_upto": ("sum", F.col("_n"))}, scan.number_bucket(F.col(value)), (F.col(value),), keys)
+    total = g.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    r = r.join(total, list(keys)) if keys else r.crossJoin(F.broadcast(total))  # one row
+    r = r.withColumn("percentile", (F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)) / F.col("_all") * 100).drop("_n", "_upto", "_all")
     return df.join(r, [*keys, value])
 
 
@@ -33,7 +36,7 @@ def repair_offsets(tokens: DataFrame, keys: tuple[str, ...], order: str) -> Data
 def stratified_folds(df: DataFrame, label: str, order: str, folds: int = 5) -> DataFrame:
     """df with `fold` from 1: contiguous blocks of each class in row order, as large as striding the class-sorted labels gives.
 
-    Classes are numbered by first appearance. Only class sizes are sorted together; ranks are within a class."""
+    Classes are numbered by first appearance. Only class sizes are sorted together; ranks within a class, by a number, come from a two-level scan."""
     sizes = df.groupBy(label).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
     base = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1))  # a row for each class
     s = sizes.withColumn("base", F.coalesce(base, F.lit(0).cast("bigint")))
@@ -41,7 +44,7 @@ def stratified_folds(df: DataFrame, label: str, order: str, folds: int = 5) -> D
     alloc = F.array(*(below(F.col("base") + F.col("n"), f) - below(F.col("base"), f) for f in range(folds)))
     ends = F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda k: F.aggregate(F.slice("alloc", 1, k), F.lit(0).cast("bigint"), lambda a, x: a + x))
     s = s.withColumn("alloc", alloc).withColumn("ends", ends).select(label, "ends")
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+    ranked = scan.position(df, "_r", scan.number_bucket(F.col(order)), (F.col(order),), (label,))
     return ranked.join(s, label).withColumn("fold", (F.size(F.filter("ends", lambda e: e < F.col("_r"))) + 1).cast("int")).drop("_r", "ends")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import rng
 
-from . import intervals
+from . import intervals, scan
 
 
 def centre(start: Column, end: Column, summit: Column) -> Column:
@@ -52,5 +52,4 @@ def negatives(wanted: DataFrame, sizes: DataFrame, avoid: DataFrame, length: int
     start = rng.between(F.lit(0).cast("bigint"), F.col("len") - length, seed, F.col("chrom"), F.col("try").cast("string"))
     c = c.select("chrom", "n", "try", start.alias("start")).withColumn("end", F.col("start") + length)
     free = intervals.overlap_join(c, avoid.select("chrom", "start", "end"), how="left_anti")
-    w = Window.partitionBy("chrom").orderBy("try")
-    return free.withColumn("_k", F.row_number().over(w)).where("_k <= n").select("chrom", "start", "end", "try")
+    return scan.position(free, "_k", scan.number_bucket(F.col("try")), (F.col("try"),), ("chrom",)).where("_k <= n").select("chrom", "start", "end", "try")

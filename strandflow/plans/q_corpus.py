@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import seq
-from strandflow.operators import corpus, datasets, intervals
+from strandflow.operators import corpus, datasets, haplotypes, intervals
 from strandflow.operators import variants as V
 
 from . import proxies as P
@@ -62,6 +62,41 @@ def g03(s, d):
     return V.consensus(w, calls).select(C("doc").alias("chrom"), "sample", "haplotype", F.md5("seq").alias("digest"))
 
 
+#: A site every 40 bases, each fifth a deletion of two bases, others substitutions and insertions; each seventh has a second site that its deletion may cover.
+_SITES = """w0 AS (SELECT chrom, len, seq, unnest(range(0, (len - 8) // 40 + 1)) AS k FROM genome WHERE len >= 8),
+sites AS (SELECT chrom, 40 * k + 7 AS p, k, 0 AS b, substr(seq, (40 * k + 8)::BIGINT, CASE WHEN k % 5 = 0 THEN 3 ELSE 1 END) AS ref, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN substr(seq, (40 * k + 8)::BIGINT, 1) || 'GT' ELSE 'C' END AS alt FROM w0
+  UNION ALL SELECT chrom, 40 * k + 8, k, 1, substr(seq, (40 * k + 9)::BIGINT, 1), 'T' FROM w0 WHERE k % 7 = 0 AND 40 * k + 8 < len),
+calls AS (SELECT *, 's' || j AS sample, CASE WHEN (k + j) % 7 = 0 THEN -1 ELSE (k * j) % 2 END AS a1, (k + j) % 2 AS a2 FROM sites, (SELECT unnest([1, 2, 3]) AS j))"""
+_SMALL_WINDOWS = f"""q AS (SELECT chrom, len, seq, {hs("'g03d'", "'q'", 'chrom')} % 51 AS q0 FROM genome), i AS (SELECT *, unnest(range(0, (len - q0) // 50 + 1)) AS i FROM q WHERE q0 + 100 < len),
+n AS (SELECT chrom, len, seq, q0, i, 50 + {hs("'g03d'", "'s'", 'chrom', 'i::VARCHAR')} % 51 AS n FROM i), st AS (SELECT *, q0 + coalesce(sum(n) OVER (PARTITION BY chrom ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM n),
+sen AS (SELECT * FROM st WHERE s + n < len), dk AS (SELECT chrom, unnest(range(0, count(*) // 5 + 1)) AS d FROM sen GROUP BY chrom), du AS (SELECT *, 5 + {hs("'g03d'", "'d'", 'chrom', 'd::VARCHAR')} % 6 AS k FROM dk),
+db AS (SELECT chrom, d, sum(k) OVER (PARTITION BY chrom ORDER BY d ROWS UNBOUNDED PRECEDING) AS upto, k FROM du),
+win AS (SELECT sen.chrom, d, min(s)::BIGINT AS st, max(s + n)::BIGINT AS en, list(n ORDER BY i) AS lens, any_value(len) AS len, substr(any_value(seq), min(s)::BIGINT + 1, (max(s + n) - min(s))::BIGINT) AS ref FROM sen JOIN db ON sen.chrom = db.chrom AND i < upto AND i >= upto - k GROUP BY 1, 2 HAVING min(s) + 100 < any_value(len)),
+ok AS (SELECT * FROM win WHERE en - st - length(replace(ref, 'N', '')) <= 0.06 * (en - st))"""
+
+
+@query("g03_documents", v("genome", f"{_SITES}, {_SMALL_WINDOWS}," + """
+c AS (SELECT ok.chrom, d, st, en, lens, ok.ref AS text, p - st AS lp, length(calls.ref) AS n, calls.ref, alt, sample, a1, a2, b = 1 AND k % 5 = 0 AND p - 1 >= st AS covered FROM ok JOIN calls ON calls.chrom = ok.chrom AND p >= st AND p < en),
+u AS (SELECT chrom, d, sample, count(*) FILTER (a1 <> -1) AS vcs FROM c GROUP BY chrom, d, sample, en, st HAVING bool_or(a1 > 0) AND count(*) FILTER (a1 <> -1) >= 0.022 * (en - st)),
+h AS (SELECT c.*, vcs, unnest([1, 2]) AS h, unnest([CASE WHEN a1 > 0 THEN alt ELSE ref END, CASE WHEN a1 <> -1 AND a2 > 0 THEN alt ELSE ref END]) AS al FROM c JOIN u USING (chrom, d, sample) WHERE NOT covered),
+x AS (SELECT *, coalesce(lag(lp + n) OVER (PARTITION BY chrom, d, sample, h ORDER BY lp), 0) AS cur FROM h),
+f AS (SELECT chrom, d, sample, h, any_value(vcs) AS vcs, any_value(en - st) AS size, any_value(lens) AS lens, string_agg(substr(text, cur + 1, greatest(lp - cur, 0)) || al, '' ORDER BY lp) || substr(any_value(text), max(lp + n) + 1) AS s FROM x GROUP BY 1, 2, 3, 4),
+g AS (SELECT *, lag(s) OVER (PARTITION BY chrom, d, sample ORDER BY h) AS before FROM f),
+both_ AS (SELECT *, unnest(['+', '-']) AS strand, unnest([s, reverse(translate(s, 'ACTGN', 'TGACN'))]) AS t, unnest([lens, list_reverse(lens)]) AS l FROM g WHERE before IS NULL OR before <> s),
+cut AS (SELECT *, list_transform(range(1, len(l) + 1), lambda k: substr(t, (coalesce(list_sum(l[1 : k - 1]), 0) + 1)::BIGINT, l[k])) AS sentences FROM both_)
+SELECT chrom, d AS doc_idx, sample, h::INT AS haplotype, strand, md5(array_to_string(sentences, '|')) AS digest, vcs, size::BIGINT AS len, len(lens)::INT AS snt FROM cut"""))
+def g03_documents(s, d):
+    g = P.genome(s, d)
+    t = intervals.tile(g, 40).select("chrom", C("tile_idx").alias("k"), "seq").where("length(seq) >= 8")
+    one = t.select("chrom", "k", (C("k") * 40 + 8).alias("pos"), F.substring(C("seq"), F.lit(8), F.when(C("k") % 5 == 0, 3).otherwise(1)).alias("ref"), F.when(C("k") % 3 == 0, "A").when(C("k") % 3 == 1, F.concat(F.substring("seq", 8, 1), F.lit("GT"))).otherwise("C").alias("alt"))
+    two = t.where("k % 7 = 0 and length(seq) >= 9").select("chrom", "k", (C("k") * 40 + 9).alias("pos"), F.substring("seq", 9, 1).alias("ref"), F.lit("T").alias("alt"))
+    j = F.explode(F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3)))).alias("j")
+    x = one.unionByName(two).select("*", j)
+    calls = x.select("chrom", "pos", "ref", F.array("alt").alias("alts"), F.concat(F.lit("s"), C("j").cast("string")).alias("sample"), F.when((C("k") + C("j")) % 7 == 0, -1).otherwise((C("k") * C("j") % 2).cast("int")).alias("a1"), ((C("k") + C("j")) % 2).cast("int").alias("a2"))
+    docs = haplotypes.documents(g.select("chrom", "len"), intervals.tile(g, haplotypes.TILE), calls, "g03d", min_density=0.022, max_n=0.06, **_SMALL)
+    return docs.select("chrom", "doc_idx", "sample", "haplotype", "strand", F.md5(F.array_join("text", "|")).alias("digest"), "vcs", "len", "snt")
+
+
 _HR = 'hr AS (SELECT chrom, "start", "end", name FROM iv WHERE name % 3 = 0)'
 _HM = merged(200, "hl").replace("z AS", "hz AS").replace("FROM z)", "FROM hz)").replace("y AS", "hy AS").replace("FROM y ", "FROM hy ")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import rng
 from strandflow.operators import samples as S
+from strandflow.operators import scan
 from strandflow.operators import windows as W
 
 from . import proxies as P
@@ -94,11 +95,9 @@ def l12(s, d):
 
 @query("l13_suffix_order", "SELECT 'part-' || p_partkey || '.tfr' AS file, row_number() OVER (ORDER BY p_partkey) AS k FROM part")
 def l13(s, d):
-    from pyspark.sql import Window
-
     f = P.table(s, d, "part").select(F.concat(F.lit("part-"), C("p_partkey").cast("string"), F.lit(".tfr")).alias("file"))
     n = F.regexp_extract("file", r"([0-9]+)\.tfr$", 1).cast("int")
-    return f.select("file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(n)).cast("bigint").alias("k"))
+    return scan.position(f, "k", scan.number_bucket(n), (n,)).select("file", "k")
 
 
 @query("l14_distributed_sampler", v("peaks", "SELECT l_linenumber % 4 AS rank, count(*) AS n FROM lineitem GROUP BY 1"))
