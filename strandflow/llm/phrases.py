@@ -27,8 +27,8 @@ SUPPORT, LONGEST, SUBSUME, TOP = 10, 3, 50, 2000
 CELL_BITS, DEPTH = 20, 2  # cells of a sketch's row, rows of a shard
 LOAD = 3  # word runs for each cell of a row, at most, unless MAX_SHARDS forbids
 MAX_SHARDS = 1 << 15  # 8 GB of bits; beyond, more rare runs survive to be counted exactly
-_FLUSH = 1 << 22  # cells that a task gathers before it sends them
-_UNIT = 8 << 20  # bytes of text of which survivors are tallied together
+_FLUSH = 1 << 21  # cells that a task gathers before it sends them
+_UNIT = 4 << 20  # bytes of text of which survivors are tallied together
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _INSIDE = ~_BREAK
@@ -118,6 +118,7 @@ def sketch(rows: DataFrame, shards: int, support: int, longest: int) -> str:
     spark = rows.sparkSession
     folder = new_path(spark, "phrase-sketch")
     top = min(support, 255)
+    kind = np.uint32 if shards << (CELL_BITS + DEPTH - 1) <= 1 << 32 else np.uint64
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -127,7 +128,7 @@ def sketch(rows: DataFrame, shards: int, support: int, longest: int) -> str:
                 langs = lang_hashes(b.column(0))
                 for r in word_runs(words, piece, langs, longest):
                     shard, at = cells(r.hashes, shards)
-                    held += [(shard << (CELL_BITS + DEPTH - 1)) + x for x in at]
+                    held += [((shard << (CELL_BITS + DEPTH - 1)) + x).astype(kind) for x in at]
                     n += DEPTH * len(shard)
                 if n >= _FLUSH:
                     yield send(np.concatenate(held))
@@ -139,10 +140,10 @@ def sketch(rows: DataFrame, shards: int, support: int, longest: int) -> str:
     def send(x: np.ndarray) -> pa.RecordBatch:
         """A row for each shard of a batch of cells: the cells touched and how often, up to `top`."""
         x.sort()
-        new = np.concatenate([[True], x[1:] != x[:-1]])
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
         count = np.minimum(np.diff(at, append=len(x)), top).astype(np.uint8)
-        cell = x[at]
+        cell = x[at].astype(np.int64)
+        del at
         shard = cell >> (CELL_BITS + DEPTH - 1)
         cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         ends = [*cut[1:].tolist(), len(cell)]
