@@ -1,14 +1,14 @@
 """URL filter: per-host path-template tree with smoothed labelled purity, and explicit rules before it.
 
-The tree grows from each host, a segment a round, to the deepest path's last segment. Under one node the segments, with runs of
+The tree grows from each host to the deepest path's last segment. Under one node the segments, with runs of
 digits as `*`, are its branches. A node with FANOUT different branches or more is variable: they become one wildcard. Otherwise the
 branches with LEAST labelled rows or more are put in order of their bad share, and neighbours that a two-proportion test does not tell apart
 (ALIKE standard errors) are merged: they are one branch from there on, and so are their subtrees. A node's purity is its labelled
 rows' bad share, smoothed towards its parent's purity with a weight of WEIGHT rows, and a host's towards PRIOR; so a branch with few labels or none
 is judged as what stands above it. A url whose deepest node has a purity over PURITY is blocked.
 
-DataFrame functions only. Null or malformed urls have an empty host and path and fall to the method. Very long urls make deep paths or
-long segments, nothing else. Of rules that fit, the longest wins; rules of equal length cannot both fit unless they are equal or cut differently into
+DataFrame functions only. Null or malformed urls have an empty host and path and fall to the method. Very long urls make deep paths, which take no more
+rounds than short ones unless choices lie above one another, or long segments. Of rules that fit, the longest wins; rules of equal length cannot both fit unless they are equal or cut differently into
 host and path, and then the later text in order wins.
 """
 
@@ -96,17 +96,48 @@ def branches(tree: DataFrame) -> DataFrame:
     return named.unionByName(wide)
 
 
+def advance(tree: DataFrame) -> DataFrame:
+    """tree (host, masked, n, bad, parent, above, rest) with every row moved down to the first depth at which some node under its parent is variable or has branches
+    that may merge, and `more`, whether segments are left there.
+
+    Down to that depth nodes keep their branches apart, so counts of all prefixes, taken for all depths at once, give each node its purity. Prefixes are known by their hashes."""
+    t = tree.withColumn("segments", F.split("rest", "/")).withColumn("size", F.size("segments"))
+    heads = F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.xxhash64(F.array_join(F.slice("segments", 1, k), "/")))
+    t = t.withColumn("heads", heads)
+    above = F.concat(F.array(F.lit(0).cast("bigint")), F.slice("heads", 1, F.col("size") - 1))
+    steps = t.select("host", "parent", "masked", "n", "bad", F.posexplode(F.arrays_zip(above.alias("node"), F.col("heads").alias("head"))).alias("k", "x")).select("host", "parent", "masked", "n", "bad", "k", "x.node", "x.head")
+    kids = staged(steps.groupBy("host", "parent", "k", "node", "head").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-prefixes")
+    fans = kids.groupBy("host", "parent", "k", "node").agg(F.count("*").alias("fan"), F.count_if(F.col("n") >= LEAST).alias("enough"))
+    first = fans.where((F.col("fan") >= FANOUT) | (F.col("enough") > 1)).groupBy("host", "parent").agg(F.min("k").alias("first"))
+    known = kids.select("host", "parent", "k", "head", F.col("n").alias("kn"), F.col("bad").alias("kb"))
+    quiet = steps.join(first, ["host", "parent"], "left").where(F.col("first").isNull() | (F.col("k") < F.col("first")))
+    chains = quiet.join(known, ["host", "parent", "k", "head"]).groupBy("host", "masked").agg(F.array_sort(F.collect_list(F.struct("k", "kn", "kb"))).alias("chain"))
+    moved = t.join(first, ["host", "parent"], "left").join(chains, ["host", "masked"], "left").withColumn("a", F.least(F.coalesce("first", "size"), F.col("size")))
+    purity = F.aggregate(F.coalesce("chain", F.array().cast("array<struct<k:int,kn:double,kb:double>>")), F.col("above"), lambda p, x: _purity(x["kb"], x["kn"], p))
+    passed = F.when(F.col("a") > 0, F.concat("parent", F.lit("/"), F.array_join(F.slice("segments", 1, F.col("a")), "/"))).otherwise(F.col("parent"))
+    rest = F.array_join(F.slice("segments", F.col("a") + 1, F.greatest(F.col("size") - F.col("a"), F.lit(0))), "/")
+    return staged(moved.select("host", "masked", "n", "bad", passed.alias("parent"), purity.alias("above"), rest.alias("rest"), (F.col("a") < F.col("size")).alias("more")), "url-tree")
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(host, path, template, purity) of distinct (host, path, n, bad): the deepest node of each path and its purity.
 
-    A row leaves the tree where its path ends, so each depth reads the longer paths only."""
+    Rounds alternate between moving down to the next depth with a choice to make and making it, so their number is that of such depths above one another, not that of
+    a path's segments. A row leaves the tree where its path ends."""
     t = paths.select("host", "path", F.regexp_replace("path", "[0-9]+", "*").alias("masked"), F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"))
     shapes = t.groupBy("host", "masked").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = shapes.groupBy("host").agg(_purity(F.sum("bad"), F.sum("n"), F.lit(PRIOR)).alias("above"))
-    tree = staged(shapes.join(hosts, "host").withColumn("parent", F.lit("")).withColumn("rest", F.expr("substring(masked, 2)")), "url-tree")
-    deepest = tree.agg(F.max(F.size(F.split("rest", "/")))).first()[0] or 1
+    tree = staged(shapes.join(hosts, "host").select("host", "masked", "n", "bad", F.lit("").alias("parent"), "above", F.expr("substring(masked, 2)").alias("rest")), "url-tree")
     ended = None
-    for _ in range(deepest):
+
+    def leave(tree: DataFrame) -> DataFrame:
+        nonlocal ended
+        done = tree.where(~F.col("more")).select("host", "masked", F.col("parent").alias("template"), F.col("above").alias("purity"))
+        ended = done if ended is None else ended.unionByName(done)
+        return tree.where("more").drop("more")
+
+    tree = leave(advance(tree))
+    while not tree.isEmpty():
         tree = tree.withColumn("segment", F.substring_index("rest", "/", 1)).withColumn("more", F.instr("rest", "/") > 0)
         found = staged(branches(tree), "url-branches")
         whole = found.where("wide").select("host", "parent", F.lit(True).alias("wide"), F.col("name").alias("wide_name"), F.col("purity").alias("wide_purity"))
@@ -114,9 +145,9 @@ def templates(paths: DataFrame) -> DataFrame:
         tree = tree.join(whole, ["host", "parent"], "left").join(single, ["host", "parent", "segment"], "left")
         node = F.concat("parent", F.lit("/"), F.coalesce("wide_name", "name"))
         tree = staged(tree.select("host", "masked", "n", "bad", node.alias("parent"), F.coalesce("wide_purity", "purity").alias("above"), F.expr("substring(rest, instr(rest, '/') + 1)").alias("rest"), "more"), "url-tree")
-        done = tree.where(~F.col("more")).select("host", "masked", F.col("parent").alias("template"), F.col("above").alias("purity"))
-        ended = done if ended is None else ended.unionByName(done)
-        tree = tree.where("more").drop("more")
+        tree = leave(tree)
+        if not tree.isEmpty():
+            tree = leave(advance(tree))
     return t.join(ended, ["host", "masked"]).select("host", "path", "template", "purity")
 
 

@@ -320,6 +320,75 @@ def test_url_templates_reach_the_deepest_segment(spark):
     assert all(v == ("block" if k % 2 else "allow") for k, v in got.items()) and len(got) == 200
 
 
+def plain_tree(shapes):
+    """Node and purity of each (host, masked) -> (n, bad), level by level over dictionaries."""
+    u, out = url_filter, {}
+    pure = lambda bad, n, above: (bad + u.WEIGHT * above) / (n + u.WEIGHT)
+
+    def grow(node, above, rows):
+        for key, left, n, bad in [r for r in rows if not r[1]]:
+            out[key] = (node, above)
+        kids = defaultdict(list)
+        for key, left, n, bad in rows:
+            if left:
+                kids[left[0]].append((key, left[1:], n, bad))
+        count = {s: (sum(r[2] for r in v), sum(r[3] for r in v)) for s, v in kids.items()}
+        if len(kids) >= u.FANOUT:
+            groups = [("*", list(kids))]
+        else:
+            groups, last = [(s, [s]) for s in kids if count[s][0] < u.LEAST], None
+            for s in sorted((s for s in kids if count[s][0] >= u.LEAST), key=lambda s: (count[s][1] / count[s][0], s)):
+                n, bad = count[s]
+                if last is not None:
+                    n0, bad0 = count[last]
+                    p = (bad + bad0) / (n + n0)
+                    if (bad / n - bad0 / n0) ** 2 <= u.ALIKE**2 * p * (1 - p) * (1 / n + 1 / n0):
+                        groups[-1][1].append(s)
+                        last = s
+                        continue
+                groups.append((s, [s]))
+                last = s
+        for name, members in groups:
+            n, bad = (sum(count[s][k] for s in members) for k in (0, 1))
+            grow(f"{node}/{name if name == '*' else min(members)}", pure(bad, n, above), [r for s in members for r in kids[s]])
+
+    hosts = defaultdict(list)
+    for (host, masked), (n, bad) in shapes.items():
+        hosts[host].append(((host, masked), masked[1:].split("/"), n, bad))
+    for host, rows in hosts.items():
+        grow("", pure(sum(r[3] for r in rows), sum(r[2] for r in rows), u.PRIOR), rows)
+    return out
+
+
+def test_url_tree_against_a_plain_one(spark):
+    import random
+
+    rng = random.Random(11)
+    given = {}
+    for host in ("a.x", "b.x"):
+        for _ in range(260):
+            path = "/" + "/".join(rng.choice(["", "p", "q", "r", "news", *(f"s{chr(97 + k)}" for k in range(25))][: rng.choice([3, 5, 30])]) for _ in range(rng.randrange(0, 9)))
+            n = rng.randrange(0, 9)
+            given[host, path] = (n, rng.randrange(0, n + 1))
+    df = spark.createDataFrame([(h, p, n, b) for (h, p), (n, b) in given.items()], "host string, path string, n long, bad long")
+    got = {(r.host, r.path): (r.template, r.purity) for r in url_filter.templates(df).collect()}
+    want = plain_tree(given)
+    assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+    assert all(got[k][1] == pytest.approx(p, abs=1e-12) for k, (_, p) in want.items())
+
+
+def test_a_url_of_five_thousand_segments(spark):
+    import time
+
+    deep = "http://h.com/en" + "/x" * 5000
+    pages = spark.createDataFrame([(1, deep), (2, deep + "/y"), (3, "http://h.com/en/x"), (4, "http://g.org/z" + "/1/a" * 2500), (5, None)], "page_id long, url string")
+    began = time.perf_counter()
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.RULES).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].template == "/en" + "/x" * 5000 and got[2].template == "/en" + "/x" * 5000 + "/y" and got[4].template == "/z" + "/*/a" * 2500
+    assert [got[k].verdict for k in (1, 3, 4, 5)] == ["block", "block", "allow", "allow"]
+
+
 # --- 7 packing ---
 
 
