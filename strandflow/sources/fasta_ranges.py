@@ -35,8 +35,10 @@ class FragmentReader(DataSourceReader):
         size = files.size_of(self.path)
         return [Range(a, min(a + self.chunk, size)) for a in range(0, size, self.chunk)]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         """A row for the record that the range starts in (no name) and one for each header that starts in it."""
+        if part is None:  # an empty file
+            return
         before = max(part.start - 1, 0)
         raw = files.read_range(self.path, before, part.end)
         fresh = part.start == 0 or raw[0] == 10  # the range starts a line
@@ -128,7 +130,9 @@ class TileReader(DataSourceReader):
                 out += [Tiles(name, length, offset, bases, width, a, min(a + step, length)) for a in range(0, length, step)]
         return out
 
-    def read(self, p: Tiles) -> Iterator[pa.RecordBatch]:
+    def read(self, p: Tiles | None) -> Iterator[pa.RecordBatch]:
+        if p is None:  # no contigs
+            return
         byte = lambda base: p.offset + base // p.bases * p.width + base % p.bases
         raw = files.read_range(self.path, byte(p.start), byte(p.end - 1) + 1)
         seq = raw.translate(None, b"\r\n").decode("ascii")

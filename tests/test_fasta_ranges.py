@@ -58,3 +58,9 @@ def test_irregular_lines_and_stale_indexes_raise(spark, tmp_path):
     open(path, "w").write(">a\nAC\nACGT\nACGT\n")
     with pytest.raises(Exception, match="index"):
         X.tiles(spark, path, 4).collect()
+
+
+def test_empty_files(spark, tmp_path):
+    path = str(tmp_path / "e.fa")
+    open(path, "w").close()
+    assert X.index(spark, path).count() == 0 and X.tiles(spark, path).count() == 0 and X.contigs(spark, path).count() == 0
