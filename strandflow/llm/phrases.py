@@ -282,9 +282,15 @@ def collocations(counts: DataFrame, support: int = SUPPORT, subsume: int = SUBSU
 
 
 def best(found: DataFrame, top: int = TOP) -> DataFrame:
-    """The first `top` phrases of each language with their rank; partitions keep their own first ones before languages meet."""
+    """The first `top` phrases of each language with their rank. Counts of each score (whole numbers up to a million) tell the least score that a language needs, so only
+    phrases from there on are ranked."""
+    found = staged(found, "phrases")
+    higher = Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    scores = found.groupBy("lang", "score").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(higher), F.lit(0)))
+    least = scores.where(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("least"))  # a row for each language
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    few = found.join(least, "lang").where(F.col("score") >= F.col("least"))
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
