@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import corpus, variants
-from strandflow.sources import readers, writers
+from strandflow.operators import corpus, haplotypes, intervals, variants
+from strandflow.sources import fasta_ranges, files, readers, vcf_indexed, writers
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,10 +21,16 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--io-mode", choices=sorted(writers.MODES), default="single_txt")
     c.add_argument("--min-len", type=int, default=10_000, help="least length of a contig")
     c.add_argument("--n_augmentations", type=int, default=10, help="how often each contig is cut anew, from another start")
-    a = commands.add_parser("alleles", help="haplotypes of a VCF file's samples")
+    a = commands.add_parser("alleles", help="documents of sentences from both haplotypes of a VCF file's samples, on both strands")
     a.add_argument("--reference", required=True)
     a.add_argument("--vcf", required=True)
     a.add_argument("--samples", help="comma-separated; all where it is missing")
+    a.add_argument("--whole", action="store_true", help="whole contigs in place of documents: for short ones only, as a haplotype is one cell then")
+    a.add_argument("--min-density", type=float, default=0.01, help="least genotyped sites a base of a document")
+    a.add_argument("--max-n", type=float, default=0.5, help="largest share of N of a document")
+    a.add_argument("--sentence", type=int, nargs=2, default=(500, 1000), help="least and largest length of a sentence")
+    a.add_argument("--document", type=int, nargs=2, default=(50, 100), help="least and largest number of a document's sentences")
+    a.add_argument("--start", type=int, default=5000, help="the first document starts at a draw up to this place")
     a.add_argument("--output-dir", required=True)
     a.add_argument("--io-mode", choices=sorted(writers.MODES), default="jsonl")
     return p
@@ -46,10 +52,21 @@ def build_corpus(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def build_alleles(spark: SparkSession, a: argparse.Namespace) -> None:
-    g = readers.fasta(spark, a.reference)
-    windows = g.select(F.col("id").alias("doc"), F.col("id").alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.length("seq").cast("bigint").alias("end"), F.upper("seq").alias("seq"))
-    calls = readers.vcf(spark, a.vcf, a.samples.split(",") if a.samples else None).select("chrom", "pos", "ref", "alts", F.explode("gts").alias("g")).select("chrom", "pos", "ref", "alts", "g.sample", "g.a1", "g.a2")
-    writers.variation_corpus(variants.consensus(windows, calls), a.output_dir, a.io_mode)
+    samples = a.samples.split(",") if a.samples else None
+    sites = vcf_indexed.vcf(spark, a.vcf, samples) if files.exists(f"{a.vcf}.tbi") else readers.vcf(spark, a.vcf, samples)
+    calls = sites.select("chrom", "pos", "ref", "alts", F.explode("gts").alias("g")).select("chrom", "pos", "ref", "alts", "g.sample", "g.a1", "g.a2")
+    if a.whole:
+        g = readers.fasta(spark, a.reference)
+        windows = g.select(F.col("id").alias("doc"), F.col("id").alias("chrom"), F.lit(0).cast("bigint").alias("start"), F.length("seq").cast("bigint").alias("end"), F.upper("seq").alias("seq"))
+        writers.variation_corpus(variants.consensus(windows, calls), a.output_dir, a.io_mode)
+        return
+    if a.reference.endswith(".gz"):
+        g = readers.fasta(spark, a.reference).select(F.col("id").alias("chrom"), "seq", F.length("seq").cast("bigint").alias("len"))
+        contigs, tiles = g.select("chrom", "len"), intervals.tile(g, haplotypes.TILE)
+    else:
+        contigs, tiles = fasta_ranges.contigs(spark, a.reference), fasta_ranges.tiles(spark, a.reference, haplotypes.TILE)
+    docs = haplotypes.documents(contigs, tiles, calls, "alleles", a.min_density, a.max_n, start=a.start, sentence=tuple(a.sentence), document=tuple(a.document))
+    writers.variation_documents(docs, a.output_dir, a.io_mode)
 
 
 def main(arguments: list[str] | None = None) -> None:

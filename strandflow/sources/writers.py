@@ -42,6 +42,16 @@ def variation_corpus(haplotypes: DataFrame, path: str, mode: str = "jsonl", both
     MODES[mode](x if mode == "jsonl" else x.select("chrom", "doc_idx", "text"), path)
 
 
+def variation_documents(docs: DataFrame, path: str, mode: str = "jsonl") -> None:
+    """Documents of haplotypes.documents: jsonl keeps everything beside the sentences, with VF the genotyped sites a base in two decimals; the text modes have a line a
+    sentence. Chromosomes are folders, a document's name holds its sample, haplotype and strand."""
+    name = F.concat_ws("_", "sample", F.col("doc_idx").cast("string"), F.col("haplotype").cast("string"), F.when(F.col("strand") == "+", "fw").otherwise("rc"))
+    if mode == "jsonl":
+        jsonl(docs.withColumn("VF", F.format_number(F.col("vcs") / F.col("len"), 2)), path)
+    else:
+        MODES[mode](docs.select("chrom", name.alias("doc_idx"), "text"), path)
+
+
 def delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True, compression: str | None = None, mode: str = "overwrite") -> None:
     """CSV or TSV, optionally gzipped, columns in the order of df."""
     w = df.write.mode(mode).option("header", header).option("sep", sep)

@@ -109,7 +109,7 @@ def test_command_lines(spark, tmp_path):
     d = spark.read.json(f"{tmp_path}/c")
     assert {r.chrom for r in d.select("chrom").distinct().collect()} == {"c1", "rc_c1"} and d.where("doc_idx like '1_%'").count() > 0
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\nshort\t2\t.\tC\tT\t.\t.\t.\tGT\t1|0\t0|0\n")
-    cli.main(["alleles", "--reference", f"{tmp_path}/g.fa", "--vcf", f"{tmp_path}/v.vcf", "--output-dir", f"{tmp_path}/a"])
+    cli.main(["alleles", "--reference", f"{tmp_path}/g.fa", "--vcf", f"{tmp_path}/v.vcf", "--output-dir", f"{tmp_path}/a", "--whole"])
     got = {(r.sample, r.haplotype, r.strand): r.text for r in spark.read.json(f"{tmp_path}/a").collect()}
     assert got == {("S1", 1, "+"): ["ATGT"], ("S1", 1, "-"): ["ACAT"], ("S1", 2, "+"): ["ACGT"], ("S1", 2, "-"): ["ACGT"]}
     with pytest.raises(SystemExit):
