@@ -163,3 +163,23 @@ def m18(s, d):
     c = e.groupBy("label", "i").agg(F.avg("x").alias("c"))
     per = e.join(c, ["label", "i"]).groupBy("label", "vec_id").agg((F.sum(C("x") * C("c")) / F.sqrt(F.sum(C("x") * C("x")) * F.sum(C("c") * C("c")))).alias("cs"))
     return per.groupBy("label").agg(F.round(F.avg("cs"), 6).alias("cohesion"))
+
+
+@query("n07_attribution", "SELECT vec_id, round(list_sum(a), 4) AS total, round(list_sum(a) / sqrt(list_sum(list_transform(a, lambda x: x * x))), 5) AS z, 0.0::DOUBLE AS missed FROM (SELECT vec_id, list_transform(range(1, len(embedding) + 1), lambda k: k * embedding[k]::DOUBLE * embedding[k]::DOUBLE) AS a FROM embeddings)")
+def n07(s, d):
+    """Attributions of a stand-in model whose path integrals are known, summed and normalised as f23 does."""
+    from strandflow.functions import attribution
+
+    a = attribution.attribute(P.table(s, d, "embeddings"), "strandflow.functions.attribution:quadratic", "vec_id", "embedding", tolerance=1e-6)
+    total = F.aggregate("attribution", F.lit(0.0), lambda t, x: t + x)
+    square = F.aggregate("attribution", F.lit(0.0), lambda t, x: t + x * x)
+    return a.select("vec_id", F.round(total, 4).alias("total"), F.round(total / F.sqrt(square), 5).alias("z"), F.abs(F.round("delta", 6)).alias("missed"))
+
+
+@query("m18_components")
+def m18_components(s, d):
+    """Coordinates of all embeddings along their first two principal components. An eigenproblem has no SQL form; a test compares with a whole decomposition."""
+    from strandflow.operators import reduction
+
+    e = P.table(s, d, "embeddings")
+    return reduction.project(e, "vec_id", "embedding", reduction.fit(e, "embedding", 2)).select("vec_id", F.round(C("projection")[0], 5).alias("x"), F.round(C("projection")[1], 5).alias("y"))

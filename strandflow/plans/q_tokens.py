@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import seq
+from strandflow.functions import recurrent
 from strandflow.operators import tokens as T
 
 from . import proxies as P
@@ -219,3 +220,11 @@ def t27(s, d):
 def t28(s, d):
     c, e = T.special_bounds(F.concat("b", T.ints(T.CLS), "a", T.ints(T.SEP)))
     return tok(s, d).select("id", c.alias("c"), e.alias("s"))
+
+
+@query("n04_recurrent_state", W(_SEG + """, g AS (SELECT id, slot, list_reduce(list_transform(range(1, len(x) + 1), lambda k: k * x[k]), lambda a, b: a + b) AS s FROM z),
+h AS (SELECT id, slot, list(s) OVER (PARTITION BY id ORDER BY slot ROWS UNBOUNDED PRECEDING) AS l FROM g) SELECT id, slot, list_reduce(l, lambda a, b: (31 * a + b) % 1000003, 7::BIGINT)::BIGINT AS value FROM h"""))
+def n04(s, d):
+    """A stand-in model stepped over the segments of t21, without their padding."""
+    z = tok(s, d).select("id", F.explode(T.segment(C("a"), 23, 2, 3)).alias("z")).select("id", C("z.slot").alias("slot"), F.filter("z.ids", lambda x: x != 0).alias("ids"))
+    return recurrent.run(z, "strandflow.functions.recurrent:rolling", "id", "slot", "ids")
