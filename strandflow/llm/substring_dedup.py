@@ -6,10 +6,11 @@
    one in five words or so is one. Equal windows have equal anchors: an anchor that one document alone has
    needs no more work. A chunk sends each of its different anchors once and is told which are repeated.
 2. Segments. The windows of a repeated anchor form a segment of at most 2 * WINDOW - ANCHOR words. A chunk sends each of its different segments
-   once to the shard of its anchor, with the smallest and the largest document that has it.
-3. Index. Each shard builds a compressed FM-index of its different segments and streams the segments through it: backward search
-   gives the matching statistics, and for each window the smallest document that holds it. A chunk is told those of its segments that have a
-   window of a smaller document than its largest.
+   once to the shard of its anchor, with the smallest and the largest document that has it. An anchor with more than HEAVY places has its windows sent one by one, each
+   to the shard of its own hash.
+3. Index. Each shard builds a compressed FM-index of the half of its different segments that start in the earliest documents, and streams all segments through it: backward search
+   gives the matching statistics, and for each window that the index holds the smallest document. Later segments with windows that it does not hold are
+   indexed next, and streamed once more. A chunk is told those of its segments that have a window of a smaller document than its largest.
 4. Removal. The chunk looks its windows up in what it was told, and covered words go.
 
 All hashes are of 64 bits, of words and of runs of words. doc_id names one document; rows with the same id count as one. Rows with a null id and null
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, differences, give_back, lean, mix, ngrams, pack_arrays, partitions, runs, slices, split_words, staged, table, unpack_arrays
-from .fm_index import FmIndex
+from .fm_index import NOWHERE, FmIndex
 
 WINDOW, ANCHOR, GROUP_BYTES, SHARD_WORDS = 13, 5, 8 << 20, 400_000
+HEAVY = 4096  # places of an anchor, in all chunks, beyond which its windows are dealt one by one
 NO_ID = -(1 << 63)
 _RUNS = "shard long, kind int, run binary"
 
@@ -137,8 +139,9 @@ def repeated_anchors(packed: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(g, kind="stable")
                 first = runs(g[order])
                 several = np.minimum.reduceat(d[order], first) < np.maximum.reduceat(d[order], first)
+                often = np.diff(np.append(first, len(g)))
                 g = g[order][first]
-                rows = [(part, 1, pack_arrays(np.array([chunk]), differences(g[at]), several[at])) for part, at in _split(((g >> U64(20)) % U64(parts)).astype(np.int64))]
+                rows = [(part, 1, pack_arrays(np.array([chunk]), differences(g[at]), several[at], often[at])) for part, at in _split(((g >> U64(20)) % U64(parts)).astype(np.int64))]
                 yield from _table(rows).to_batches()
         give_back()
 
@@ -147,12 +150,18 @@ def repeated_anchors(packed: DataFrame, parts: int) -> DataFrame:
         g = np.concatenate([np.cumsum(p[1]) for p in found])
         chunk = np.repeat([p[0].astype(np.int64)[0] for p in found], [len(p[1]) for p in found])
         several = np.concatenate([p[2] for p in found]) > 0
+        often = np.concatenate([p[3] for p in found]).astype(np.int64)
         order = np.argsort(g, kind="stable")
         first = runs(g[order])
         many = np.logical_or.reduceat(several[order], first) | (np.diff(np.append(first, len(g))) > 1)
-        at = order[np.repeat(many, np.diff(np.append(first, len(g))))]
-        told = [(s, g[at[i]]) for s, i in _split(chunk[at])] if len(at) else []
-        return _table([(s, 1, pack_arrays(differences(np.sort(x)))) for s, x in told], n=[len(x) for _, x in told])
+        size = np.diff(np.append(first, len(g)))
+        at = order[np.repeat(many, size)]
+        heavy = np.repeat((np.add.reduceat(often[order], first) > HEAVY)[many], size[many])
+        told = []
+        for s, i in _split(chunk[at]) if len(at) else ():
+            i = i[np.argsort(g[at[i]])]
+            told.append((s, g[at[i]], heavy[i]))
+        return _table([(s, 1, pack_arrays(differences(x), y)) for s, x, y in told], n=[len(x) for _, x, _ in told])
 
     return packed.mapInArrow(find, _RUNS).groupBy("shard").applyInArrow(lean(meet), _RUNS + ", n long")
 
@@ -169,26 +178,37 @@ def _gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1]) + np.repeat(starts - total[:-1], lengths)
 
 
-def _told(t: pa.Table) -> tuple[list[pa.BinaryScalar], np.ndarray, list[list[np.ndarray]]]:
-    """(documents, repeated anchors in order, what the index says) of a chunk."""
+def _told(t: pa.Table) -> tuple[list[pa.BinaryScalar], tuple[np.ndarray, np.ndarray], list[list[np.ndarray]]]:
+    """(documents, repeated anchors in order and whether each is heavy, what the index says) of a chunk."""
     by_kind: dict[int, list] = {0: [], 1: [], 3: []}
     for kind, raw in zip(t.column("kind").to_pylist(), t.column("run"), strict=True):
         by_kind[kind].append(raw)
-    anchors = [np.cumsum(unpack_arrays(x.as_py())[0]) for x in by_kind[1]]
-    return by_kind[0], np.sort(np.concatenate([np.zeros(0, U64), *anchors])), [unpack_arrays(x.as_py()) for x in by_kind[3]]
+    told = [unpack_arrays(x.as_py()) for x in by_kind[1]]
+    anchors, heavy = np.concatenate([np.zeros(0, U64), *(np.cumsum(x) for x, _ in told)]), np.concatenate([np.zeros(0, bool), *(y > 0 for _, y in told)])
+    order = np.argsort(anchors)
+    return by_kind[0], (anchors[order], heavy[order]), [unpack_arrays(x.as_py()) for x in by_kind[3]]
 
 
-def _repeated_segments(b: pa.RecordBatch, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, document, first word, words, anchor, hash) of the segments of a batch whose anchors are among those given, and all words' hashes."""
+def _repeated_segments(b: pa.RecordBatch, told: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(row, document, first word, words, what deals it to a shard, hash) of the segments of a batch whose anchors are among those given, and all words' hashes.
+
+    A segment is dealt by its anchor. Each window of a heavy anchor is a segment of its own, dealt by its own hash, so no shard has all contexts of a frequent run of words."""
+    anchors, heavy = told
     w = split_words(b.column(1))
     h, ids = w.hashes(), _ids(b)
     first, number, place, g = window_runs(h, w.row)
     row = w.row[place]
     at = np.minimum(np.searchsorted(anchors, g), max(len(anchors) - 1, 0))
     ok = (anchors[at] == g) & (ids[row] != NO_ID) if len(anchors) else np.zeros(len(g), bool)
-    first, length, g, row = first[ok], number[ok] + (WINDOW - 1), g[ok], row[ok]
+    hot = heavy[at[ok]] if len(anchors) else ok[ok]
+    times = np.where(hot, number[ok], 1)
+    first = _gather(first[ok], times)
+    hot = np.repeat(hot, times)
+    length = np.where(hot, 1, np.repeat(number[ok], times)) + (WINDOW - 1)
+    g, row = np.repeat(g[ok], times), np.repeat(row[ok], times)
     own = h[_gather(first, length)]
-    return row, ids[row], first, length, g, _segment_keys(own, np.cumsum(length) - length, length), h
+    keys = _segment_keys(own, np.cumsum(length) - length, length)
+    return row, ids[row], first, length, np.where(hot, keys, g), keys, h
 
 
 def segments(told: DataFrame, shards: int) -> DataFrame:
@@ -197,7 +217,7 @@ def segments(told: DataFrame, shards: int) -> DataFrame:
     def cut(t: pa.Table) -> pa.Table:
         documents, anchors, _ = _told(t)
         chunk, kept = t.column("shard")[0].as_py(), []
-        if len(anchors):
+        if len(anchors[0]):
             for raw in documents:
                 for b in unpack_documents(raw):
                     _, doc, first, length, g, key, h = _repeated_segments(b, anchors)
@@ -245,9 +265,31 @@ def earlier_windows(cut: DataFrame) -> DataFrame:
         text = np.zeros(int(size.sum()) + len(one), np.int64)
         first = np.cumsum(size + 1) - (size + 1)
         text[_gather(first, size)] = symbols + 1
-        found = FmIndex(text, len(vocabulary) + 1, np.repeat(least, size + 1), WINDOW).match(text, first, size)
         windows = size - (WINDOW - 1)
         at = np.cumsum(windows) - windows
+        found = np.full(int(windows.sum()), NOWHERE)
+
+        def indexed(some: np.ndarray) -> FmIndex:
+            own = text[_gather(first[some], size[some] + 1)]
+            return FmIndex(own, len(vocabulary) + 1, np.repeat(least[some], size[some] + 1), WINDOW)
+
+        def stream(index: FmIndex, some: np.ndarray) -> None:
+            """Windows of segments that are still open take the least document that the index has for them."""
+            place = _gather(at[some], windows[some])
+            found[place] = np.minimum(found[place], index.match(text, first[some], size[some]))
+
+        # the earlier half of the segments is indexed and the later half streamed against it: windows that match have their least document there, as no
+        # later segment has a smaller one; those that do not match are open, and segments with such windows are indexed themselves
+        rank = np.argsort(least, kind="stable")
+        early, late = rank[: len(rank) // 2], rank[len(rank) // 2 :]
+        if len(early):
+            index_ = indexed(early)
+            stream(index_, early)
+            stream(index_, late)
+            del index_
+        late = late[np.maximum.reduceat(found, at)[late] == NOWHERE]
+        if len(late):
+            stream(indexed(late), late)
         tell = np.flatnonzero(np.minimum.reduceat(found, at)[which] < highs)
         rows: list[tuple[int, int, bytes]] = []
         if len(tell):
@@ -259,7 +301,7 @@ def earlier_windows(cut: DataFrame) -> DataFrame:
     return cut.groupBy("shard").applyInArrow(lean(index), _RUNS)
 
 
-def _covered(b: pa.RecordBatch, anchors: np.ndarray, keys: np.ndarray, begin: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _covered(b: pa.RecordBatch, anchors: tuple[np.ndarray, np.ndarray], keys: np.ndarray, begin: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each word of a batch, whether a window that an earlier document has covers it."""
     _, doc, first, length, _, key, h = _repeated_segments(b, anchors)
     change = np.zeros(len(h) + 1, np.int64)

@@ -72,6 +72,40 @@ def test_substring_dedup_brute_force(spark):
     assert got == removed(texts)
 
 
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_substring_dedup_with_heavy_anchors(spark, monkeypatch, heavy):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(list("abcdefgh"), r.integers(10, 40))) for _ in range(60)]
+    texts += [" ".join([*r.choice(list("xyz"), 12), "p", "q", "r", "s", "t", *r.choice(list("xyz"), 12)]) for _ in range(60)] + texts[:5]
+    got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs(spark, texts)).select("doc_id", F.col("n_words"), "n_removed", "kept_sha256").collect())
+    assert got == removed(texts)
+
+
+def test_contexts_of_a_frequent_run_are_spread(spark, monkeypatch):
+    """2,000 different contexts of one run of five words whose hash is the smallest around: no shard has more than a small share of them."""
+    r = np.random.default_rng(6)
+    for k in range(100_000):
+        run = [f"run{k}", "of", "five", "words", "here"]
+        w = common.split_words(pa.array([" ".join(run)]))
+        if common.ngrams(w.hashes(), 5)[0] < np.uint64(1 << 49):
+            break
+    other = lambda n: [f"w{i}" for i in r.integers(0, 1 << 40, n)]
+    texts = [" ".join([*other(12), *run, *other(12)]) for _ in range(2000)]
+    d = docs(spark, texts).repartition(4)
+    sizes = {}
+    for heavy in (100, 1 << 60):
+        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+        packed = common.staged(substring_dedup.pack_documents(d.select("doc_id", "text")), "chunks")
+        told = packed.union(common.staged(substring_dedup.repeated_anchors(packed, 8), "anchors").select("shard", "kind", "run"))
+        words = defaultdict(int)
+        for row in substring_dedup.segments(told, 16).collect():
+            words[row.shard] += int(common.unpack_arrays(bytes(row.run))[3].sum())
+        sizes[heavy] = max(words.values()) / sum(words.values())
+    assert sizes[1 << 60] > 0.9 and sizes[100] < 0.12
+    assert sum(x.n_removed for x in substring_dedup.remove_repeats(d).collect()) == 0
+
+
 def test_substring_dedup_carries_columns_and_text(spark):
     d = docs(spark, [ODD[0], ODD[10], None]).select("doc_id", "text", "score", "key")
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(d, with_text=True, also=("score", "key")).collect()}
