@@ -70,9 +70,10 @@ def f10(s, d):
     return P.genome(s, d).select("chrom", F.posexplode(seq.bins_from_right(C("seq"), 100)).alias("bin", "piece"))
 
 
-@query("f12_substitute", v("tiles", "x AS (SELECT chrom, tile_idx, seq, tile_idx % 200 + 1 AS p, tile_idx % 3 + 1 AS n, CASE WHEN tile_idx % 2 = 0 THEN '-' ELSE 'TT' END AS alt FROM tiles) SELECT chrom, tile_idx, substr(seq, 1, p - 1) || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p + n) AS x FROM x WHERE p + n <= length(seq)"))
+@query("f12_substitute", v("tiles", "x AS (SELECT chrom, tile_idx, seq, tile_idx % 200 + 1 AS p, tile_idx % 3 + 1 AS n, CASE WHEN tile_idx % 2 = 0 THEN '-' ELSE 'TT' END AS alt FROM tiles) SELECT chrom, tile_idx, substr(seq, 1, least(p, length(seq)) - 1) || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, least(p, length(seq)) + n) AS x FROM x"))
 def f12(s, d):
-    t = P.tiles(s, d).withColumns({"p": C("tile_idx") % 200 + 1, "n": C("tile_idx") % 3 + 1, "alt": F.when(C("tile_idx") % 2 == 0, "-").otherwise("TT")}).where("p + n <= length(seq)")
+    """Every tile: the place is within it, and what is replaced ends with it at the latest."""
+    t = P.tiles(s, d).withColumns({"p": F.least(C("tile_idx") % 200 + 1, F.length("seq").cast("bigint")), "n": C("tile_idx") % 3 + 1, "alt": F.when(C("tile_idx") % 2 == 0, "-").otherwise("TT")})
     return t.select("chrom", "tile_idx", seq.substitute(C("seq"), C("p"), F.substring("seq", C("p").cast("int"), C("n").cast("int")), C("alt")).alias("x"))
 
 
@@ -142,14 +143,18 @@ def f23(s, d):
     return P.table(s, d, "embeddings").select("vec_id", F.round(total / F.sqrt(square), 5).alias("z"))
 
 
-@query("f24_relative_bucket", "SELECT x::BIGINT AS dist, (CASE WHEN x > 0 THEN 16 ELSE 0 END + CASE WHEN abs(x) < 8 THEN abs(x) ELSE least(8 + floor(ln(abs(x)::DOUBLE / 8) / ln(16.0::DOUBLE) * 8)::INT, 15) END)::INT AS b FROM range(-300, 301) t(x)")
+@query("f24_relative_bucket", v("variants", "SELECT id, x::BIGINT AS dist, (CASE WHEN x > 0 THEN 16 ELSE 0 END + CASE WHEN abs(x) < 8 THEN abs(x) ELSE least(8 + floor(ln(abs(x)::DOUBLE / 8) / ln(16.0::DOUBLE) * 8)::INT, 15) END)::INT AS b FROM (SELECT id, pos % 601 - 300 AS x FROM variants)"))
 def f24(s, d):
-    return s.range(-300, 301).select(C("id").alias("dist"), seq.relative_bucket(C("id")).alias("b"))
+    """Distances from variants to the middles of windows of 601 bases."""
+    x = P.variants(s, d).select("id", (C("pos") % 601 - 300).alias("dist"))
+    return x.select("id", "dist", seq.relative_bucket(C("dist")).alias("b"))
 
 
-@query("f25_acceptor_axis", "SELECT x::BIGINT AS dist, (CASE WHEN x BETWEEN -20 AND -1 THEN x - 1 WHEN x = 1 THEN -1 WHEN x BETWEEN 2 AND 20 THEN x - 2 END)::BIGINT AS axis FROM range(-25, 26) t(x)")
+@query("f25_acceptor_axis", v("variants", "SELECT id, x::BIGINT AS dist, (CASE WHEN x BETWEEN -20 AND -1 THEN x - 1 WHEN x = 1 THEN -1 WHEN x BETWEEN 2 AND 20 THEN x - 2 END)::BIGINT AS axis FROM (SELECT id, pos % 51 - 25 AS x FROM variants)"))
 def f25(s, d):
-    return s.range(-25, 26).select(C("id").alias("dist"), seq.acceptor_axis(C("id")).cast("bigint").alias("axis"))
+    """Distances from variants to the middles of windows of 51 bases."""
+    x = P.variants(s, d).select("id", (C("pos") % 51 - 25).alias("dist"))
+    return x.select("id", "dist", seq.acceptor_axis(C("dist")).cast("bigint").alias("axis"))
 
 
 @query("f26_two_decimals", v("pairs", "SELECT DISTINCT x, printf('%.2f', x / 8) AS t FROM pairs"))

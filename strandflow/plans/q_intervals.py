@@ -197,10 +197,10 @@ def j25(s, d):
     return x.where("id % 2 = 0").join(x.select((C("id") - 1).alias("id"), C("pos").alias("p2")), "id").select("id", (C("p2") - C("pos")).alias("delta"))
 
 
-@query("j26_mutation_grid", v("promoters", "SELECT name, dist, alt FROM promoters, (SELECT unnest(range(-20, 21)) AS dist) g, (SELECT unnest(['A', 'C', 'G']) AS alt) h WHERE dist <> 0 AND strand = '+'"))
+@query("j26_mutation_grid", v("promoters", "SELECT name, dist, alt FROM promoters, (SELECT unnest(range(-20, 21)) AS dist) g, (SELECT unnest(['A', 'C', 'G']) AS alt) h WHERE dist <> 0"))
 def j26(s, d):
     dist = F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(-20, 21) if k))).alias("dist")
-    return P.promoters(s, d).where("strand = '+'").select("name", dist).select("name", "dist", F.explode(F.array(*map(F.lit, "ACG"))).alias("alt"))
+    return P.promoters(s, d).select("name", dist).select("name", "dist", F.explode(F.array(*map(F.lit, "ACG"))).alias("alt"))
 
 
 @query("j27_species_files", "SELECT n_name AS genome, r_name || '/' || n_name || '.fa' AS file FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -1,4 +1,4 @@
-"""Tokenizer and model surfaces. What SQL checks of them is exact: pieces must spell the text, offsets must tile it."""
+"""Tokenizer and model surfaces. SQL encodes too: it writes a letter for each merged pair, in the merges' order, so ids and offsets are compared one by one."""
 
 from __future__ import annotations
 
@@ -31,17 +31,35 @@ def t01(s, d):
     return s.createDataFrame([(k, x[0], x[1]) for x, k in b.ranks.items()], "rank int, first string, second string")
 
 
-@query("t02_bpe_encode", v("tiles", "SELECT chrom, tile_idx, md5(seq) AS spelled FROM tiles"))
+#: Each symbol of the model as a letter, in the order of its ids, which start after the five special tokens.
+_LETTERS = "ACGTNabcdefghijklmnopqrst"
+
+
+def _coded(text: str) -> str:
+    """SQL of a text with a letter for each token: merges in order, each from left to right."""
+    known = dict(zip("ACGT", "ACGT", strict=True))
+    for (a, b), letter in zip(MERGES, _LETTERS[5:], strict=True):
+        text = f"replace({text}, '{known[a]}{known[b]}', '{letter}')"
+        known[a + b] = letter
+    return text
+
+
+def _ids(coded: str) -> str:
+    return f"array_to_string(list_transform(string_split({coded}, ''), lambda c: strpos('{_LETTERS}', c) + 4), ' ')"
+
+
+@query("t02_bpe_encode", v("tiles", f"SELECT chrom, tile_idx, md5(seq) AS spelled, md5({_ids(_coded('seq'))}) AS ids FROM tiles"))
 def t02(s, d):
-    return P.tiles(s, d).select("chrom", "tile_idx", F.md5(spelled(model().column(C("seq"))["ids"])).alias("spelled"))
+    e = P.tiles(s, d).select("chrom", "tile_idx", model().column(C("seq"))["ids"].alias("ids"))
+    return e.select("chrom", "tile_idx", F.md5(spelled(C("ids"))).alias("spelled"), F.md5(F.array_join("ids", " ")).alias("ids"))
 
 
-@query("t03_bpe_offsets", v("tiles", "SELECT chrom, tile_idx, length(seq)::BIGINT AS covered, true AS joined FROM tiles"))
+@query("t03_bpe_offsets", v("tiles", f"SELECT chrom, tile_idx, length(seq)::BIGINT AS covered, true AS joined, md5(array_to_string(list_transform(range(1, length(c) + 1), lambda k: list_sum(list_transform(string_split(c[1 : k], ''), lambda x: CASE WHEN strpos('{_LETTERS}', x) <= 5 THEN 1 WHEN strpos('{_LETTERS}', x) <= 21 THEN 2 ELSE 4 END))), ' ')) AS ends FROM (SELECT *, {_coded('seq')} AS c FROM tiles)"))
 def t03(s, d):
     e = P.tiles(s, d).select("chrom", "tile_idx", model().column(C("seq")).alias("e"))
     total = F.aggregate(F.zip_with("e.starts", "e.ends", lambda a, b: (b - a).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     meets = F.slice("e.starts", 2, F.size("e.starts")) == F.slice("e.ends", 1, F.size("e.ends") - 1)
-    return e.select("chrom", "tile_idx", total.alias("covered"), meets.alias("joined"))
+    return e.select("chrom", "tile_idx", total.alias("covered"), meets.alias("joined"), F.md5(F.array_join("e.ends", " ")).alias("ends"))
 
 
 @query("t04_bpe_dropout", v("tiles", "SELECT chrom, tile_idx, md5(seq) AS spelled FROM tiles"))

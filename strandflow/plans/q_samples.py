@@ -74,9 +74,11 @@ def l09(s, d):
 _UC = hs(repr("wc"), "i::VARCHAR")
 
 
-@query("l10_weighted_contigs", v("sizes", f"c AS (SELECT chrom, len, sum(len) OVER (ORDER BY chrom ROWS UNBOUNDED PRECEDING) AS upto, sum(len) OVER () AS total FROM sizes), d AS (SELECT i AS draw, {_UC} AS u FROM range(0, 2000) t(i)) SELECT draw, chrom FROM d JOIN c ON floor(u::DOUBLE / 4294967296.0::DOUBLE * total) >= upto - len AND floor(u::DOUBLE / 4294967296.0::DOUBLE * total) < upto"))
+@query("l10_weighted_contigs", v("genome", f"c AS (SELECT chrom, len, sum(len) OVER (ORDER BY chrom ROWS UNBOUNDED PRECEDING) AS upto, sum(len) OVER () AS total FROM genome WHERE len > 0), d AS (SELECT i AS draw, {_UC} AS u FROM (SELECT unnest(range(0, (SELECT 2 * count(*) FROM genome))) AS i)) SELECT draw, chrom FROM d JOIN c ON floor(u::DOUBLE / 4294967296.0::DOUBLE * total) >= upto - len AND floor(u::DOUBLE / 4294967296.0::DOUBLE * total) < upto"))
 def l10(s, d):
-    return S.weighted_contigs(P.sizes(s, d), 2000, "wc")
+    """Twice as many draws as there are contigs."""
+    g = P.genome(s, d).select("chrom", "len")
+    return S.weighted_contigs(g, 2 * g.count(), "wc")
 
 
 def _chunk(n, length, seed):

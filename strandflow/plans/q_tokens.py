@@ -192,11 +192,12 @@ def t23(s, d):
     return tok(s, d).select("id", F.posexplode(T.segment_bins(a, 3)).alias("seg", "x")).select("id", "seg", joined(C("x")).alias("x"))
 
 
-@query("t24_mutagenesis", P.with_views("tiles", "SELECT chrom, tile_idx, dist, alt, substr(seq, 1, (128 + dist)::BIGINT) || alt || substr(seq, (130 + dist)::BIGINT) AS x FROM tiles, (SELECT unnest(range(-3, 4)) AS dist), (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE length(seq) = 256 AND dist <> 0 AND substr(seq, (129 + dist)::BIGINT, 1) <> alt"))
+@query("t24_mutagenesis", P.with_views("tiles", "SELECT chrom, tile_idx, dist, alt, md5(substr(seq, 1, (128 + dist)::BIGINT) || alt || substr(seq, (130 + dist)::BIGINT)) AS x FROM tiles, (SELECT unnest(range(-20, 21)) AS dist), (SELECT unnest(['A', 'C', 'G', 'T']) AS alt) WHERE length(seq) >= 129 + dist AND dist <> 0 AND substr(seq, (129 + dist)::BIGINT, 1) <> alt"))
 def t24(s, d):
-    t = P.tiles(s, d).where("length(seq) = 256").select("chrom", "tile_idx", "seq", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(-3, 4) if k))).alias("dist"))
+    """All forty distances around each tile's middle, shorter tiles as far as they reach."""
+    t = P.tiles(s, d).select("chrom", "tile_idx", "seq", F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(-20, 21) if k))).alias("dist")).where("length(seq) >= 129 + dist")
     t = t.select("*", F.explode(F.array(*map(F.lit, "ACGT"))).alias("alt")).withColumn("ref", F.substring("seq", (C("dist") + 129).cast("int"), F.lit(1))).where("ref <> alt")
-    return t.select("chrom", "tile_idx", "dist", "alt", seq.substitute(C("seq"), C("dist") + 129, C("ref"), C("alt")).alias("x"))
+    return t.select("chrom", "tile_idx", "dist", "alt", F.md5(seq.substitute(C("seq"), C("dist") + 129, C("ref"), C("alt"))).alias("x"))
 
 
 @query("t25_centre_tokens", W("k AS (SELECT id, unnest(range(0, len(a))) AS pos, unnest(a) AS t FROM tok), q AS (SELECT *, sum(t) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi FROM k) SELECT id, max(t)::INT AS top FROM q WHERE hi - t <= 101 AND hi > 99 GROUP BY id"))

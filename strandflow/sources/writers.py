@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import seq
 
+from . import files
+
 
 def single_txt(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder for each chromosome, a line for each sentence."""
@@ -69,18 +71,20 @@ def folds(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("split", "role").option("header", True).csv(path)
 
 
-def append_predictions(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_predictions(df: DataFrame, path: str, part: str | None = None) -> None:
+    """Adds rows to a store of predictions. Rows of a named part take the place of that part's earlier rows, so a job that is run again adds nothing twice."""
+    if part is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
 def merge_metrics(path: str, key: str, values: Mapping[str, float]) -> dict:
-    """Sets one key of a JSON file that a driver keeps, and returns the whole."""
-    try:
-        with open(path) as f:
-            known = json.load(f)
-    except FileNotFoundError:
-        known = {}
+    """Sets one key of a JSON file, at a local path or in a store, that one driver keeps, and returns the whole. The file is replaced at once, so readers see it before or after."""
+    known = json.loads(files.read_all(path)) if files.exists(path) else {}
     known[key] = dict(values)
-    with open(path, "w") as f:
-        json.dump(known, f, indent=1, sort_keys=True)
+    store, own = files.opened(path)
+    with store.open_output_stream(f"{own}.new") as f:
+        f.write(json.dumps(known, indent=1, sort_keys=True).encode())
+    store.move(f"{own}.new", own)
     return known

@@ -114,3 +114,26 @@ def test_command_lines(spark, tmp_path):
     assert got == {("S1", 1, "+"): ["ATGT"], ("S1", 1, "-"): ["ACAT"], ("S1", 2, "+"): ["ACGT"], ("S1", 2, "-"): ["ACGT"]}
     with pytest.raises(SystemExit):
         cli.main(["corpus"])
+
+
+def test_dropout_drops_some_merges(spark):
+    from strandflow.plans import q_models
+
+    m = q_models.model()
+    texts = ["".join(np.random.default_rng(k).choice(list("ACGTN"), 200)) for k in range(50)]
+    whole, some, none = ([m.pieces(t, p, f"s|{t}") for t in texts] for p in (0.0, 0.1, 1.0))
+    assert all("".join(p) == t for x in (whole, some, none) for p, t in zip(x, texts, strict=True)) and none == [list(t) for t in texts]
+    n = [sum(map(len, x)) for x in (whole, some)]
+    assert n[0] < n[1] < 1.3 * n[0] and sum(a != b for a, b in zip(whole, some, strict=True)) > 40
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(m.column(F.col("t"), 0.1, "s")["ids"].alias("ids")).collect()
+    assert [r.ids for r in got] == [[m.vocabulary[x] for x in p] for p in some]
+
+
+def test_predictions_of_a_part_are_replaced(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id int, p double")
+    for part in ("a", "b", "a"):
+        writers.append_predictions(df, f"{tmp_path}/p", part)
+    assert sorted((r.part, r.id) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    for uri in (f"{tmp_path}/m.json", f"file://{tmp_path}/m.json"):
+        writers.merge_metrics(uri, uri[:4], {"f1": 0.5})
+    assert set(writers.merge_metrics(f"{tmp_path}/m.json", "x", {"f1": 1})) == {uri[:4] for uri in (f"{tmp_path}/m.json", "file")} | {"x"}
