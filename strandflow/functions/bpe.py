@@ -105,18 +105,18 @@ def _merge_symbols(x: np.ndarray, ends: np.ndarray, pairs: list[tuple[int, int,
     return x, np.flatnonzero(last)
 
 
-def train(sequences: DataFrame, text: str, merges: int, piece: int = 256, batch: int = 64, rewrite: int = 16) -> Bpe:
+def train(sequences: DataFrame, text: str, merges: int, piece: int | None = None, batch: int = 64, rewrite: int = 16) -> Bpe:
     """Merges by the most frequent neighbouring pair over all sequences, ties by text.
 
-    Sequences are cut into pieces so that long contigs spread, and pieces become symbol numbers once. A job merges what the round before chose and
+    Sequences are whole unless `piece` cuts them, which loses the pairs across cuts: a corpus of sentences needs no cut, contigs of many megabases may. They become symbol numbers once. A job merges what the round before chose and
     counts the pairs left, adding up in each task first; only the most frequent pairs reach the driver. Of these a
     round takes as many as must come next in any case: pairs without a common symbol, each more frequent than every pair that shares a symbol
     with one before it (no new pair can be more frequent than that). Every `rewrite` rounds the merged pieces are written
     to the shared folder, which cuts the lineage. Pairs that occur once are not merged."""
     spark = sequences.sparkSession
-    n = F.ceil(F.length(text) / F.lit(piece)).cast("int")
-    cuts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
-    s = sequences.where(n > 0).select(F.explode(cuts).alias("s"))
+    s = sequences.where(F.length(text) > 0).select(F.col(text).alias("s"))
+    if piece:
+        s = s.select(F.explode(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).alias("s"))
     alphabet = sorted(r[0] for r in s.select(F.explode(F.array_distinct(F.split("s", ""))).alias("c")).distinct().where("c <> ''").collect())
     names = list(alphabet)
     code = {c: k for k, c in enumerate(alphabet)}
@@ -180,9 +180,12 @@ def train(sequences: DataFrame, text: str, merges: int, piece: int = 256, batch:
         for k, (count, a, b, i, j) in enumerate(rows):
             if k and (i in used or j in used or count <= touching or count <= floor or len(used) >= 2 * batch or len(found) >= merges):
                 break
-            if k == 0 and count <= floor:  # ties beyond the limit: take all pairs with this count
-                rows_ = [(names[r["pair"] >> 32], names[r["pair"] & 0xFFFFFFFF], r["pair"] >> 32, r["pair"] & 0xFFFFFFFF) for r in top.where(F.col("n") == count).collect()]
-                a, b, i, j = min(rows_)
+            if k == 0 and count <= floor:  # ties beyond the limit: the first by text of all pairs with this count
+                known = F.broadcast(spark.createDataFrame(list(enumerate(names)), "id long, name string"))  # the vocabulary so far
+                left, right = known.toDF("i", "a"), known.toDF("j", "b")
+                pairs = top.where(F.col("n") == count).select(F.shiftright("pair", 32).alias("i"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("j"))
+                r = pairs.join(left, "i").join(right, "j").orderBy("a", "b").first()
+                a, b, i, j = r["a"], r["b"], r["i"], r["j"]
             used |= {i, j}
             touching = max((r[0] for r in rows[k + 1 :] if r[3] in used or r[4] in used), default=0)
             found.append((a, b))

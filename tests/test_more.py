@@ -54,7 +54,16 @@ def test_registered_training_brute_force(spark, data):
 
     texts = [r.seq for r in proxies.genome(spark, data).collect()]
     got = registry.QUERIES["t01_bpe_train"](spark, data).orderBy("rank").collect()
-    assert [(r.first, r.second) for r in got] == naive_bpe(texts, 4, 256)
+    # whole sequences, so no pair is lost at a cut
+    assert [(r.first, r.second) for r in got] == naive_bpe(texts, 12, max(map(len, texts)))
+
+
+def test_bpe_training_takes_ties_by_text(spark):
+    """Every pair occurs twice, so all are tied: the first by text comes next, beyond what a round looks at too."""
+    letters = [chr(0x100 + k) for k in range(600)]
+    texts = ["".join(letters)] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "s string").repartition(2)
+    assert sorted((r := bpe.train(df, "s", 6, batch=4)).ranks, key=r.ranks.get) == naive_bpe(texts, 6, 1000)
 
 
 def test_records(spark, tmp_path):
