@@ -4,7 +4,9 @@ A document's features are the different hashed character n-grams of its lower-ca
 buckets). On at most SAMPLE labelled documents, document counts per bucket and class give log-count ratios. A regularised logistic
 regression is fitted on presence times ratio of the FEATURES buckets whose class shares differ most significantly, each with a weight of its own,
 and on one more feature for all other buckets that SUPPORT labelled documents have: the sum of their ratios over the text's positions by
-the root of the number of positions. So every n-gram with support counts. Texts that are equal score equal; null and empty texts have no features.
+the root of the number of positions. So every n-gram with support counts. A model of this kind is too sure of the documents that it was fitted on
+and too timid elsewhere, so its log odds are rescaled: for FOLDS parts of the labelled documents (equal texts in one), features, ratios and weights are learnt without the part and judge it, and a line through
+these log odds is fitted to the labels. Texts that are equal score equal; null and empty texts have no features.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .common import slices, staged, table
 from .labelled import remainder, sample_labels
 
 LENGTHS, BUCKETS, FEATURES, SUPPORT, SAMPLE, SLICES = (4, 5, 6), 1 << 20, 4096, 20, 12_000, 64
-THRESHOLD, RIDGE, ROUNDS = 0.5, 1e-3, 300
+THRESHOLD, RIDGE, ROUNDS, FOLDS = 0.5, 1e-3, 300, 2
 _A = np.uint32(0x01000193)
 
 
@@ -80,6 +82,8 @@ class Model:
     bias: float
     rest: np.ndarray  # log-count ratio of each other bucket
     slope: float
+    scale: float = 1.0  # what the log odds are rescaled by
+    shift: float = 0.0
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         z = np.full(len(texts), self.bias)
@@ -90,7 +94,7 @@ class Model:
             z += np.bincount(row, self.weights[feature], len(texts))
         if self.slope:
             z += self.slope * rest_sums(texts, self.rest)
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -500, 500)))
 
 
 def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS, dense: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
@@ -116,65 +120,110 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge
     return w[:k] * ratio, float(w[-1]), float(w[k])
 
 
+def rescaling(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) so that the log odds a * z + b fit the labels best, by Newton's steps; a is positive. With one class nothing changes."""
+    if not 0 < y.sum() < len(y):
+        return 1.0, 0.0
+    x = np.stack([z, np.ones(len(z))], 1)
+    # labels a little inside of 0 and 1, so that separable ones have an answer
+    t = np.where(y > 0.5, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - t))
+        w = w - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable: Column | None = None, sample: int = SAMPLE) -> Model:
     """Fitted on about `sample` labelled documents at most. With no labelled row the score is 0.5, with one class its share."""
     spark = documents.sparkSession
     chosen = sample_labels(labels, label, F.lit(True) if usable is None else usable, sample)
-    docs = staged(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxicity-sample")
-    size = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = sum(n for y, n in size.items() if y > 0.5), sum(n for y, n in size.items() if y <= 0.5)
+    docs = staged(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
+    size = np.zeros((FOLDS, 2), np.int64)
+    for r in docs.groupBy("fold", (F.col("y") > 0.5).cast("int").alias("side")).agg(F.count("*").alias("n")).collect():
+        size[r["fold"], r["side"]] = r["n"]
+    neg, pos = size.sum(0).tolist()
     if not pos or not neg:
         share = (pos + 1) / (pos + neg + 2)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0), 0.0)
     wide = BUCKETS // SLICES
+    # each part's complement, where that has both classes, then all
+    without = [k for k in range(FOLDS) if (size.sum(0) - size[k]).min() > 0]
+    without = without if len(without) == FOLDS else []
+    chosen_by = [np.arange(FOLDS) != k for k in without] + [np.ones(FOLDS, bool)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, all_buckets = np.zeros((2, BUCKETS), np.int32), np.arange(BUCKETS, dtype=np.int32)
+        total, all_buckets = np.zeros((FOLDS, 2, BUCKETS), np.int32), np.arange(BUCKETS, dtype=np.int32)
         some = False
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                y = b.column(1).to_numpy()
+                y, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
                 row, bucket = present(b.column(0), all_buckets)
                 for side in (0, 1):
-                    total[side] += np.bincount(bucket[(y[row] > 0.5) == side], minlength=BUCKETS).astype(np.int32)
+                    for k in range(FOLDS):
+                        total[k, side] += np.bincount(bucket[((y[row] > 0.5) == side) & (fold[row] == k)], minlength=BUCKETS).astype(np.int32)
                 some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[:, k * wide : (k + 1) * wide].tobytes() for k in range(SLICES)], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[:, :, k * wide : (k + 1) * wide].tobytes() for k in range(SLICES)], pa.binary())], names=["part", "counts"])
 
     def rank(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
-        n, p = sum(np.frombuffer(x.as_py(), np.int32).reshape(2, wide).astype(np.int64) for x in t.column("counts"))
-        ratio = np.log((p + 1) / (pos + 2)) - np.log((n + 1) / (neg + 2))
-        mean = (p + n + 1) / (pos + neg + 2)
-        z = np.abs((p + 0.5) / (pos + 1) - (n + 0.5) / (neg + 1)) / np.sqrt(mean * (1 - np.minimum(mean, 0.999)) * (1 / pos + 1 / neg))
-        z[p + n < 2] = 0
-        top = np.argsort(-z, kind="stable")[:FEATURES]
-        some = np.union1d(top[z[top] > 0], np.flatnonzero(p + n >= SUPPORT))
-        return pa.table({"bucket": pa.array(some + part * wide, pa.int32()), "ratio": ratio[some], "z": z[some], "n": (p + n)[some]})
-
-    ranked = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "bucket int, ratio double, z double, n long").toPandas()  # BUCKETS rows at most
-    ranked = ranked.sort_values(["z", "bucket"], ascending=[False, True])
-    best = ranked[: FEATURES][lambda d: d["z"] > 0]
-    buckets, ratio = best["bucket"].to_numpy(), best["ratio"].to_numpy()
-    rest = np.zeros(BUCKETS, np.float32)
-    known = ranked[ranked["n"] >= SUPPORT]
-    rest[known["bucket"]] = known["ratio"]
-    rest[buckets] = 0
-    number = np.full(BUCKETS, -1, np.int16)
-    number[buckets] = np.arange(len(buckets))
+        counts = sum(np.frombuffer(x.as_py(), np.int32).reshape(FOLDS, 2, wide).astype(np.int64) for x in t.column("counts"))
+        found = []
+        for c, own in enumerate(chosen_by):
+            n, p = counts[own].sum(0)
+            neg, pos = size[own].sum(0)
+            ratio = np.log((p + 1) / (pos + 2)) - np.log((n + 1) / (neg + 2))
+            mean = (p + n + 1) / (pos + neg + 2)
+            z = np.abs((p + 0.5) / (pos + 1) - (n + 0.5) / (neg + 1)) / np.sqrt(mean * (1 - np.minimum(mean, 0.999)) * (1 / pos + 1 / neg))
+            z[p + n < 2] = 0
+            top = np.argsort(-z, kind="stable")[:FEATURES]
+            some = np.union1d(top[z[top] > 0], np.flatnonzero(p + n >= SUPPORT))
+            found.append(pa.table({"choice": pa.array(np.full(len(some), c, np.int32)), "bucket": pa.array(some + part * wide, pa.int32()), "ratio": ratio[some], "z": z[some], "n": (p + n)[some]}))
+        return pa.concat_tables(found)
+
+    every = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "choice int, bucket int, ratio double, z double, n long").toPandas()  # BUCKETS rows a choice at most
+    chosen_features = []
+    for c in range(len(chosen_by)):
+        ranked = every[every["choice"] == c].sort_values(["z", "bucket"], ascending=[False, True])
+        best = ranked[:FEATURES][lambda d: d["z"] > 0]
+        buckets, ratio = best["bucket"].to_numpy(), best["ratio"].to_numpy()
+        rest = np.zeros(BUCKETS, np.float32)
+        known = ranked[ranked["n"] >= SUPPORT]
+        rest[known["bucket"]] = known["ratio"]
+        rest[buckets] = 0
+        number = np.full(BUCKETS, -1, np.int16)
+        number[buckets] = np.arange(len(buckets))
+        chosen_features.append((buckets, ratio, rest, number))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                row, feature = present(b.column(0), number)
-                parts = np.split(feature.astype(np.uint16), np.searchsorted(row, np.arange(1, b.num_rows)))
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(rest_sums(b.column(0), rest))], names=["y", "features", "rest"])
-
-    rows = docs.mapInArrow(featurise, "y double, features binary, rest double").collect()  # at most about `sample` rows of at most FEATURES numbers
-    order = sorted(rows, key=lambda r: (bytes(r["features"]), r["rest"], r["y"]))
-    dense = np.array([r["rest"] for r in order])
-    weights, bias, slope = fit_logistic([np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in order], np.array([float(r["y"] > 0.5) for r in order]), ratio, dense=dense)
-    return Model(buckets, weights, bias, rest, slope)
+                for c, (_, _, rest, number) in enumerate(chosen_features):
+                    row, feature = present(b.column(0), number)
+                    parts = np.split(feature.astype(np.uint16), np.searchsorted(row, np.arange(1, b.num_rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), b.column(2), b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(rest_sums(b.column(0), rest))], names=["choice", "fold", "y", "features", "rest"])
+
+    rows = docs.mapInArrow(featurise, "choice int, fold int, y double, features binary, rest double").collect()  # at most about `sample` rows a choice of at most FEATURES numbers
+
+    def fitted(c: int, left_out: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """The weights of a choice, fitted without a part, and that part's log odds and labels."""
+        order = sorted((r for r in rows if r["choice"] == c), key=lambda r: (bytes(r["features"]), r["rest"], r["y"]))
+        inside = np.array([r["fold"] != left_out for r in order])
+        features = [np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in order]
+        y, dense = np.array([float(r["y"] > 0.5) for r in order]), np.array([r["rest"] for r in order])
+        w, bias, slope = fit_logistic([f for f, own in zip(features, inside, strict=True) if own], y[inside], chosen_features[c][1], dense=dense[inside])
+        z = np.array([w[f].sum() for f, own in zip(features, inside, strict=True) if not own]) + slope * dense[~inside] + bias
+        return (w, bias, slope), z, y[~inside]
+
+    apart = [fitted(c, k)[1:] for c, k in enumerate(without)]
+    a, b = rescaling(*(np.concatenate(x) for x in zip(*apart, strict=True))) if apart else (1.0, 0.0)
+    (weights, bias, slope), *_ = fitted(len(without), -1)
+    buckets, _, rest, _ = chosen_features[-1]
+    return Model(buckets, weights, bias, rest, slope, a, b)
 
 
 def score(documents: DataFrame, model: Model, also: tuple[str, ...] = ()) -> DataFrame:

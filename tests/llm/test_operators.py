@@ -242,7 +242,7 @@ def test_toxicity_brute_force(spark):
 
     gradient = full.T @ (1 / (1 + np.exp(-(full @ theta + m.bias))) - yy) / len(yy) + toxicity.RIDGE * theta
     assert loss(theta, m.bias) < loss(0 * theta, np.log(pos / neg)) / 4 and np.abs(gradient).max() < 0.02
-    assert np.allclose(m.scores(pa.array(texts)), 1 / (1 + np.exp(-(full @ theta + m.bias))), atol=1e-6)
+    assert np.allclose(m.scores(pa.array(texts)), 1 / (1 + np.exp(-(m.scale * (full @ theta + m.bias) + m.shift))), atol=1e-6)
 
 
 def test_isotonic_pools_violators():
@@ -250,6 +250,25 @@ def test_isotonic_pools_violators():
     assert value.tolist() == [0.0, 0.5, 1.0] and at.tolist() == [1.0, 2.5, 4.0]
 
 
+def test_toxicity_rescaling():
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=4000) * 3
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * z - 1)))).astype(float)
+    a, b = toxicity.rescaling(z, y)
+    assert abs(a - 2) < 0.3 and abs(b + 1) < 0.3
+    assert toxicity.rescaling(z, np.zeros(4000)) == (1.0, 0.0) and toxicity.rescaling(-z, y) == (1.0, 0.0)
+    sure = toxicity.rescaling(np.sign(z), (z > 0).astype(float))
+    assert np.isfinite(sure).all() and sure[0] > 1
+
+
+def test_toxicity_recall_on_held_out_documents(spark):
+    data = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in common.table(spark, data, "labels").collect()}
+    got = [(r.predicted, labels[r.doc_id]) for r in toxicity.op6_toxicity(spark, data).where("held_out").collect() if r.doc_id in labels]
+    caught, false = sum(p for p, y in got if y), sum(p for p, y in got if not y)
+    assert caught / sum(y for _, y in got) > 0.86 and false / len(got) < 0.01
+
+
 # --- 3 decontamination ---
 
 
