@@ -11,6 +11,7 @@ repeated ones change nothing; an empty table gives no rows; other columns than t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandflow.operators import scan
+
 from .common import _LOWER, U64, Words, give_back, lean, mix, new_path, ngrams, slices, staged, table
 from .ngram_lm import open_fs
 
@@ -247,12 +250,19 @@ def survivors(rows: DataFrame, folder: str, shards: int, longest: int) -> DataFr
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Has the driver forget what it no longer uses, upon which Spark deletes the files of those shuffles: the sketches' need not lie beside the survivors'."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def counted(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, words, n) of all runs of 1 to `longest` words with n >= support, exactly; words = 0 has the number of all words of a language."""
     rows = documents.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = plan_shards(size, longest)
     folder = sketch(rows, shards, support, longest)
+    _let_go(rows.sparkSession)
     return staged(survivors(rows, folder, shards, longest).where((F.col("n") >= support) | (F.col("words") == 0)), "phrase-counts")
 
 
@@ -285,8 +295,8 @@ def best(found: DataFrame, top: int = TOP) -> DataFrame:
     """The first `top` phrases of each language with their rank. Counts of each score (whole numbers up to a million) tell the least score that a language needs, so only
     phrases from there on are ranked."""
     found = staged(found, "phrases")
-    higher = Window.partitionBy("lang").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    scores = found.groupBy("lang", "score").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(higher), F.lit(0)))
+    scores = found.groupBy("lang", "score").agg(F.count("*").alias("m"))
+    scores = scan.prefix(scores, {"before": ("sum", F.col("m"))}, -scan.number_bucket(F.col("score")), (F.desc("score"),), ("lang",), inclusive=False)
     least = scores.where(F.col("before") < top).groupBy("lang").agg(F.min("score").alias("least"))  # a row for each language
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     few = found.join(least, "lang").where(F.col("score") >= F.col("least"))
