@@ -199,21 +199,25 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
         number[buckets] = np.arange(len(buckets))
         chosen_features.append((buckets, ratio, rest, number))
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                for c, (_, _, rest, number) in enumerate(chosen_features):
+    del every
+
+    def featurise(rest: np.ndarray, number: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, "text", 1 << 20):
                     row, feature = present(b.column(0), number)
                     parts = np.split(feature.astype(np.uint16), np.searchsorted(row, np.arange(1, b.num_rows)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), b.column(2), b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(rest_sums(b.column(0), rest))], names=["choice", "fold", "y", "features", "rest"])
+                    yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(rest_sums(b.column(0), rest))], names=["fold", "y", "features", "rest"])
 
-    rows = docs.mapInArrow(featurise, "choice int, fold int, y double, features binary, rest double").collect()  # at most about `sample` rows a choice of at most FEATURES numbers
+        return run
 
     def fitted(c: int, left_out: int) -> tuple[tuple, np.ndarray, np.ndarray]:
         """The weights of a choice, fitted without a part, and that part's log odds and labels."""
-        order = sorted((r for r in rows if r["choice"] == c), key=lambda r: (bytes(r["features"]), r["rest"], r["y"]))
+        rows = docs.mapInArrow(featurise(*chosen_features[c][2:]), "fold int, y double, features binary, rest double").collect()  # at most about `sample` rows of at most FEATURES numbers
+        order = sorted(rows, key=lambda r: (bytes(r["features"]), r["rest"], r["y"]))
+        del rows
         inside = np.array([r["fold"] != left_out for r in order])
-        features = [np.frombuffer(r["features"], np.uint16).astype(np.int64) for r in order]
+        features = [np.frombuffer(r["features"], np.uint16) for r in order]
         y, dense = np.array([float(r["y"] > 0.5) for r in order]), np.array([r["rest"] for r in order])
         w, bias, slope = fit_logistic([f for f, own in zip(features, inside, strict=True) if own], y[inside], chosen_features[c][1], dense=dense[inside])
         z = np.array([w[f].sum() for f, own in zip(features, inside, strict=True) if not own]) + slope * dense[~inside] + bias
