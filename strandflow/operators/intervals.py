@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.functions import stages
+
 from . import scan
 
 BIN = 1 << 14
@@ -35,6 +37,27 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, how: str = "inner
     return a.join(hit, ["chrom", "start", "end"], how).select(*a.columns)
 
 
+def overlap_totals(queries: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("chrom",), width: int = BIN) -> DataFrame:
+    """(keys, start, end, n, bp): of each different interval of queries that some of b overlap on the same keys, how many do and the bases shared, one interval at a time.
+
+    No pair is made: equal bounds are counted first, running sums over them give how many start before an interval's end and how many end before its start, so work
+    grows with rows and not with depth. Empty intervals overlap nothing."""
+    bound = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("e")), F.struct(F.col("end").alias("at"), F.lit(0).cast("bigint").alias("s"), F.lit(1).cast("bigint").alias("e"))))
+    spans = b.where("end > start").groupBy(*keys, "start", "end").agg(F.count("*").alias("_n"))
+    bounds = spans.select(*keys, "_n", bound.alias("x")).groupBy(*keys, F.col("x.at").alias("at")).agg(F.sum(F.col("x.s") * F.col("_n")).alias("s"), F.sum(F.col("x.e") * F.col("_n")).alias("e"))
+    side = F.explode(F.array(F.lit(-1).cast("bigint"), F.lit(1).cast("bigint")))
+    asked = queries.where("end > start").select(*keys, "start", "end").distinct().select("*", side.alias("side")).withColumn("at", F.when(F.col("side") < 0, F.col("start")).otherwise(F.col("end")))
+    both = stages.written(bounds.unionByName(asked, allowMissingColumns=True), "bounds")
+    # at one place ends come before questions and starts after them; a null side is a bound
+    kind = F.when(F.col("side").isNotNull(), 1).when(F.col("e") > 0, 0).otherwise(2)
+    apart = both.where("side is not null or s = 0 or e = 0").unionByName(both.where("s > 0 and e > 0").select(*keys, "at", "start", "end", "side", F.explode(F.array(F.struct(F.col("s").alias("s"), F.lit(0).cast("bigint").alias("e")), F.struct(F.lit(0).cast("bigint").alias("s"), F.col("e").alias("e")))).alias("x")).select(*keys, "at", "start", "end", "side", "x.s", "x.e"))
+    runs = {"starts": ("sum", F.col("s")), "ends": ("sum", F.col("e")), "base": ("sum", F.col("at") * (F.col("s") - F.col("e")))}
+    at = scan.prefix(apart, runs, F.floor(F.col("at") / width), (F.col("at"), kind), keys).where("side is not null")
+    shared = F.col("at") * (F.col("starts") - F.col("ends")) - F.col("base")
+    n = F.when(F.col("side") > 0, F.col("starts")).otherwise(-F.col("ends"))
+    return at.groupBy(*keys, "start", "end").agg(F.sum(n).alias("n"), F.sum(F.col("side") * shared).alias("bp")).where("n > 0")
+
+
 def merge(df: DataFrame, gap: int = 0, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """(keys, start, end, n): intervals merged where the next starts at most `gap` after the furthest end so far.
 

@@ -18,8 +18,8 @@ _MEET = 'a."start" < b."end" AND a."end" > b."start"'
 
 @query("j01_interval_overlap", v("peaks promoters", f"SELECT b.name AS gene, count(*) AS n, sum(least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\"))::BIGINT AS bp FROM peaks a JOIN promoters b ON a.chrom = b.chrom AND {_MEET} GROUP BY b.name"))
 def j01(s, d):
-    j = I.overlap_join(P.peaks(s, d), P.promoters(s, d))
-    return j.groupBy(C("name_b").alias("gene")).agg(F.count("*").alias("n"), F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("bp"))
+    p = P.promoters(s, d)
+    return p.join(I.overlap_totals(p, P.peaks(s, d)), ["chrom", "start", "end"]).groupBy(C("name").alias("gene")).agg(F.sum("n").alias("n"), F.sum("bp").alias("bp"))
 
 
 @query("j02_interval_anti", v("variants promoters", "SELECT id FROM variants a WHERE NOT EXISTS (SELECT 1 FROM promoters b WHERE a.chrom = b.chrom AND a.pos - 1 < b.\"end\" AND a.pos > b.\"start\")"))
