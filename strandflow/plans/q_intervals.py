@@ -152,9 +152,11 @@ _GT = "gt AS (SELECT id, 's' || k AS sample, CASE WHEN (id + k) % 9 = 0 THEN -1
 @query("j14_window_variants", v("promoters variants", _GT + " SELECT p.name, sample, count(*) AS n FROM promoters p JOIN variants v ON p.chrom = v.chrom AND v.pos - 1 < p.\"end\" AND v.pos > p.\"start\" JOIN gt ON gt.id = v.id WHERE a1 > 0 GROUP BY 1, 2"))
 def j14(s, d):
     vs = P.variants(s, d).select("chrom", (C("pos") - 1).alias("start"), C("pos").alias("end"), "id")
-    g = genotypes(s, d)
-    j = I.overlap_join(P.promoters(s, d), vs).join(g, C("id_b") == g["id"]).where("a1 > 0")
-    return j.groupBy("name", "sample").agg(F.count("*").alias("n"))
+    calls = vs.join(genotypes(s, d).where("a1 > 0"), "id").select("chrom", "sample", "start", "end")
+    p = P.promoters(s, d)
+    asked = p.select("chrom", "start", "end").distinct().join(calls.select("chrom", "sample").distinct(), "chrom")
+    found = I.overlap_totals(asked, calls, ("chrom", "sample"))
+    return p.join(found, ["chrom", "start", "end"]).groupBy("name", "sample").agg(F.sum("n").alias("n"))
 
 
 def genotypes(s, d):
