@@ -6,6 +6,10 @@ those that some read has are kept. Reads and genome meet by seed, candidate plac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from strandflow.functions import seq, stages
 from . import intervals
 
 WIDTH = 256
+ROLL = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 1024  # texts whose runs are hashed at once
 
 
 def _seeds(text: Column, k: int, sample: int) -> Column:
@@ -32,14 +38,58 @@ def genome_seeds(tiles: DataFrame, k: int, sample: int, width: int = WIDTH) -> D
     return whole.select("chrom", "tile_idx", F.explode(_seeds(F.col("s"), k, sample)).alias("x")).select("chrom", (F.col("tile_idx") * width + F.col("x.at")).alias("pos"), F.col("x.h").alias("h"))
 
 
-def map_reads(reads: DataFrame, tiles: DataFrame, k: int = 21, sample: int = 8, hot: int = 256, max_edits: int = 20, band: int = 40, width: int = WIDTH) -> DataFrame:
-    """(id, chrom, start, end, strand, edits, loci, unique) of each read (id, seq): its best place, the number of places within `max_edits`, and whether it is the only one.
+def _runs(df: DataFrame, k: int, sample: int) -> DataFrame:
+    """(key, at, h): the runs of `k` bases of each (key, s) as `_seeds` takes them, hashed in Arrow batches; the hash is another one."""
+    code = np.full(256, 255, np.uint8)
+    code[list(b"ACGT")] = range(4)
 
-    Places are clusters of seed hits whose offsets lie within `band`; a place is checked over the read's length. Seeds with more than `hot` places in the genome bring no candidates; a read all of whose
-    seeds that the genome has are such is a repeat: not unique, its number of places null. Reads without a place have 0 and are not unique. Ids name one read; repeated rows count once; a null
-    sequence has no place. Of equally good places the first by chromosome, start and strand is named."""
-    given = reads.select("id", F.upper("seq").alias("seq")).distinct()
-    both = given.select("id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), seq.revcomp(F.col("seq")).alias("s")))).alias("x")).select("id", "x.strand", "x.s").where("s is not null")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                texts = [t.encode("ascii", "replace") for t in b.column(1).to_pylist()]
+                size = np.array([len(t) for t in texts])
+                x = code[np.frombuffer(b"".join(texts), np.uint8)]
+                n = len(x) - k + 1
+                if n < 1:
+                    continue
+                ends = np.cumsum(size)
+                row = np.repeat(np.arange(len(size)), size)[:n]
+                bad = np.concatenate([[0], np.cumsum(x == 255)])
+                h = np.zeros(n, np.uint64)
+                for j in range(k):
+                    h = h * ROLL + x[j : j + n]
+                keep = (np.arange(n) + k <= ends[row]) & (bad[k:] == bad[:n])
+                keep &= (h >> np.uint64(20)) % np.uint64(sample) == 0
+                at = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(at - (ends - size)[row[at]]), pa.array(h[at].view(np.int64))], names=["key", "at", "h"])
+
+    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, at long, h long")
+
+
+def _exact(reads: DataFrame, tiles: DataFrame, k: int, sample: int, hot: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, b, loci) and (id, repeat) of map_reads for places without an edit.
+
+    Such a place has all seeds of the read, so the rarest one finds it, and reads of one text have the same places: each text is looked up once."""
+    texts = stages.written(reads.select("s").distinct().select(F.unhex(F.md5("s")).alias("key"), "s"), "read-texts")
+    mine = stages.written(_runs(texts, k, sample), "read-seeds")
+    nxt = tiles.select("chrom", (F.col("tile_idx") - 1).alias("tile_idx"), F.substring("seq", 1, k - 1).alias("_more"))
+    whole = tiles.join(nxt, ["chrom", "tile_idx"], "left").select(F.struct("chrom", "tile_idx").alias("key"), F.upper(F.concat("seq", F.coalesce("_more", F.lit("")))).alias("s"))
+    theirs = _runs(whole, k, sample).select("key.chrom", (F.col("key.tile_idx") * width + F.col("at")).alias("pos"), "h")
+    theirs = stages.written(theirs.join(mine.select("h").distinct(), "h", "left_semi"), "genome-seeds")
+    count = theirs.groupBy("h").agg(F.count("*").alias("n"))
+    rarest = stages.written(mine.join(count, "h").groupBy("key").agg(F.min(F.struct("n", "at", "h")).alias("x")).select("key", "x.*"), "rarest")
+    places = rarest.where(F.col("n") <= hot).join(theirs, "h").select("key", "chrom", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0").join(texts, "key")
+    spans = places.withColumn("end", F.col("start") + F.length("s"))
+    met = intervals.get_fasta(spans, tiles, width).where(F.upper("sequence") == F.col("s")).groupBy("key").agg(F.min(F.struct("chrom", "start", "end")).alias("p"), F.count("*").alias("n"))
+    keyed = reads.select("id", "strand", F.unhex(F.md5("s")).alias("key"))
+    best = F.min(F.struct(F.lit(0).alias("edits"), F.col("p.chrom").alias("chrom"), F.col("p.start").alias("start"), "strand", F.col("p.end").alias("end")))
+    found = keyed.join(met, "key").groupBy("id").agg(best.alias("b"), F.sum("n").alias("loci"))
+    known = keyed.join(rarest.select("key", "n"), "key").groupBy("id").agg((F.min("n") > hot).alias("repeat"))
+    return found, known
+
+
+def _near(both: DataFrame, tiles: DataFrame, k: int, sample: int, hot: int, max_edits: int, band: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, b, loci) and (id, repeat) of map_reads for places with edits: clusters of the hits of all seeds."""
     mine = stages.written(both.select("id", "strand", F.explode(_seeds(F.col("s"), k, sample)).alias("x")).select("id", "strand", "x.at", "x.h"), "read-seeds")
     theirs = stages.written(genome_seeds(tiles, k, sample, width).join(mine.select("h").distinct(), "h", "left_semi"), "genome-seeds")
     count = theirs.groupBy("h").agg(F.count("*").alias("n"))
@@ -54,6 +104,21 @@ def map_reads(reads: DataFrame, tiles: DataFrame, k: int = 21, sample: int = 8,
     best = F.min(F.struct("edits", "chrom", "start", "strand", (F.col("start") + F.length("sequence")).alias("end")))
     found = checked.groupBy("id").agg(best.alias("b"), F.count("*").alias("loci"))
     known = mine.join(count, "h").groupBy("id").agg((F.min("n") > hot).alias("repeat"))
+    return found, known
+
+
+def map_reads(reads: DataFrame, tiles: DataFrame, k: int = 21, sample: int = 8, hot: int = 256, max_edits: int = 20, band: int = 40, width: int = WIDTH) -> DataFrame:
+    """(id, chrom, start, end, strand, edits, loci, unique) of each read (id, seq): its best place, the number of places within `max_edits`, and whether it is the only one.
+
+    Places are clusters of seed hits whose offsets lie within `band`; a place is checked over the read's length. Seeds with more than `hot` places in the genome bring no candidates; a read all of whose
+    seeds that the genome has are such is a repeat: not unique, its number of places null. Reads without a place have 0 and are not unique. Ids name one read; repeated rows count once; a null
+    sequence has no place. Of equally good places the first by chromosome, start and strand is named."""
+    given = reads.select("id", F.upper("seq").alias("seq")).distinct()
+    both = given.select("id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("s")), F.struct(F.lit("-").alias("strand"), seq.revcomp(F.col("seq")).alias("s")))).alias("x")).select("id", "x.strand", "x.s").where("s is not null")
+    if max_edits == 0 and band == 0:
+        found, known = _exact(both, tiles, k, sample, hot, width)
+    else:
+        found, known = _near(both, tiles, k, sample, hot, max_edits, band, width)
     out = given.select("id").distinct().join(found, "id", "left").join(known, "id", "left")
     repeat = F.coalesce("repeat", F.lit(False))
     loci = F.when(repeat, F.lit(None)).otherwise(F.coalesce("loci", F.lit(0)))

@@ -61,3 +61,17 @@ def test_registered_mapping_against_all_places(spark, data):
             other = x[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
             loci = sum(s.startswith(y, k) for s in genome.values() for y in (x, other) for k in [i for i in range(len(s)) if s[i : i + 8] == y[:8]])
             assert (got[c].loci, got[c].unique) == (loci, loci == 1)
+
+
+def test_copies_are_looked_up_once(spark):
+    """Each of 2,000 equal reads has 2,000 places; meeting by every seed gave half a billion rows."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    seq = "".join(random.Random(8).choices("ACGT", k=150))
+    g = spark.range(2000).select(F.format_string("c%04d", F.col("id")).alias("chrom"), F.lit(seq).alias("seq"), F.lit(150).cast("bigint").alias("len"))
+    begun = time.time()
+    got = map_reads(g.select(F.col("chrom").alias("id"), "seq"), intervals.tile(g), sample=1, hot=1 << 20, max_edits=0, band=0).collect()
+    assert len(got) == 2000 and all((r.loci, r.chrom, r.start, r.unique) == (2000, "c0000", 0, False) for r in got)
+    assert time.time() - begun < 60
