@@ -5,6 +5,8 @@ Service ids: UNK 0, CLS 1, SEP 2, PAD 3, MASK 4. Labels are null where the consu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def part(a: Column, start: Column, end: Column) -> Column:
     return F.slice(a, lo + 1, F.greatest(end - lo, F.lit(0)))
 
 
+def held(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once a row; a column that an expression names several times, or inside a lambda, may be computed each time."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def padded(a: Column, length: int, value: int = PAD) -> Column:
     return F.concat(a, F.array_repeat(F.lit(value).cast("int"), F.greatest(F.lit(length) - F.size(a), F.lit(0))))
 
@@ -157,47 +164,62 @@ def segment(ids: Column, input_size: int, memory: int, max_segments: int, pad: i
     """Segments of a sequence, each CLS, `memory` places, SEP, piece, SEP and padding; nearly equal pieces, right-aligned
     in max_segments slots. Rows are (slot, ids)."""
     seg = input_size - memory - 3
-    body = F.slice(F.filter(ids, lambda x: ~x.isin(CLS, SEP, PAD)), 1, seg * max_segments)
-    n = F.ceil(F.size(body) / F.lit(seg)).cast("int")
-    size = F.ceil(F.size(body) / F.greatest(n, F.lit(1))).cast("int")
+    fill = F.concat(ints(CLS), F.array_repeat(F.lit(MASK).cast("int"), memory), ints(SEP))
+
+    def cut(body: Column, n: Column, size: Column) -> Column:
+        def one(i: Column) -> Column:
+            row = F.concat(fill, F.slice(body, i * size + 1, F.greatest(size, F.lit(1))), ints(SEP))
+            return F.struct((F.lit(max_segments) - n + i).alias("slot"), padded(row, input_size, pad).alias("ids"))
 
-    def one(i: Column) -> Column:
-        piece = F.slice(body, i * size + 1, F.greatest(size, F.lit(1)))
-        row = F.concat(ints(CLS), F.array_repeat(F.lit(MASK).cast("int"), memory), ints(SEP), piece, ints(SEP))
-        return F.struct((F.lit(max_segments) - n + i).alias("slot"), padded(row, input_size, pad).alias("ids"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<slot:int,ids:array<int>>>"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<slot:int,ids:array<int>>>"))
+    kept = F.slice(F.filter(ids, lambda x: ~x.isin(CLS, SEP, PAD)), 1, seg * max_segments)
+    return held(kept, lambda body: _pieces(body, seg, lambda n, size: cut(body, n, size)))
+
+
+def _pieces(body: Column, seg: int, f: Callable[[Column, Column], Column]) -> Column:
+    """f of the number of nearly equal pieces of at most `seg` and their size."""
+    n = F.ceil(F.size(body) / F.lit(seg)).cast("int")
+    return held(F.struct(n.alias("n"), F.ceil(F.size(body) / F.greatest(n, F.lit(1))).cast("int").alias("size")), lambda x: f(x["n"], x["size"]))
 
 
 def segment_labelled(ids: Column, labels: Column, input_size: int, memory: int, max_segments: int) -> Column:
     """As segment(), with each piece's labels beside it; service and padding places have null labels."""
     seg = input_size - memory - 3
-    zipped = F.slice(F.filter(F.arrays_zip(ids.alias("i"), labels.alias("l")), lambda x: ~x["i"].isin(CLS, SEP, PAD)), 1, seg * max_segments)
-    n = F.ceil(F.size(zipped) / F.lit(seg)).cast("int")
-    size = F.ceil(F.size(zipped) / F.greatest(n, F.lit(1))).cast("int")
+    fill = F.concat(ints(CLS), F.array_repeat(F.lit(MASK).cast("int"), memory), ints(SEP))
     nothing = lambda k: F.array_repeat(F.lit(None).cast("int"), k)
 
-    def one(i: Column) -> Column:
-        piece = F.slice(zipped, i * size + 1, F.greatest(size, F.lit(1)))
-        row = F.concat(ints(CLS), F.array_repeat(F.lit(MASK).cast("int"), memory), ints(SEP), F.transform(piece, lambda x: x["i"]), ints(SEP))
-        lab = F.concat(nothing(F.lit(memory + 2)), F.transform(piece, lambda x: x["l"]), nothing(F.lit(1)))
-        return F.struct((F.lit(max_segments) - n + i).alias("slot"), padded(row, input_size, PAD).alias("ids"), F.concat(lab, nothing(F.greatest(F.lit(input_size) - F.size(lab), F.lit(0)))).alias("labels"))
+    def cut(body: Column, n: Column, size: Column) -> Column:
+        def one(i: Column) -> Column:
+            def row(piece: Column) -> Column:
+                some = F.concat(fill, F.transform(piece, lambda x: x["i"]), ints(SEP))
+                lab = F.concat(nothing(F.lit(memory + 2)), F.transform(piece, lambda x: x["l"]), nothing(F.lit(1)))
+                return F.struct((F.lit(max_segments) - n + i).alias("slot"), padded(some, input_size, PAD).alias("ids"), F.concat(lab, nothing(F.greatest(F.lit(input_size) - F.size(lab), F.lit(0)))).alias("labels"))
+
+            return held(F.slice(body, i * size + 1, F.greatest(size, F.lit(1))), row)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<slot:int,ids:array<int>,labels:array<int>>>"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<slot:int,ids:array<int>,labels:array<int>>>"))
+
+    kept = F.slice(F.filter(F.arrays_zip(ids.alias("i"), labels.alias("l")), lambda x: ~x["i"].isin(CLS, SEP, PAD)), 1, seg * max_segments)
+    return held(kept, lambda body: _pieces(body, seg, lambda n, size: cut(body, n, size)))
 
 
 def segment_bins(ids: Column, per_segment: int) -> Column:
     """Bins (runs that SEP ends) grouped per_segment at a time: arrays of tokens that keep their SEPs."""
-    body = F.filter(ids, lambda x: ~x.isin(CLS, PAD))
-    start = F.struct(F.array().cast("array<array<int>>").alias("done"), ints().alias("now"), F.lit(0).alias("k"))
-
-    def step(a: Column, x: Column) -> Column:
-        now = F.concat(a["now"], F.array(x))
-        k = a["k"] + (x == SEP).cast("int")
-        full = k == per_segment
-        return F.struct(F.when(full, F.concat(a["done"], F.array(now))).otherwise(a["done"]).alias("done"), F.when(full, ints()).otherwise(now).alias("now"), F.when(full, 0).otherwise(k).alias("k"))
 
-    return F.aggregate(body, start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    def cut(x: Column) -> Column:
+        body, stops = x["body"], x["stops"]
+        whole = F.size(stops).cast("int")
+        n = F.ceil(whole / F.lit(per_segment)).cast("int")
+        # a segment ends at each per_segment-th SEP, the last one with the body
+        place = lambda k: F.when(k < 1, 0).when(k * per_segment <= whole, F.get(stops, k * per_segment - 1)).otherwise(F.size(body))
+        last = F.when(F.coalesce(F.get(stops, n * per_segment - 1), F.size(body)) < F.size(body), n).otherwise(F.greatest(n - 1, F.lit(0)))
+        found = F.transform(F.sequence(F.lit(0), F.greatest(last, n - 1, F.lit(0))), lambda k: held(F.struct(place(k).alias("a"), place(k + 1).alias("b")), lambda y: F.slice(body, y["a"] + 1, y["b"] - y["a"])))
+        return F.when(F.size(body) > 0, found).when(F.size(body) == 0, F.array().cast("array<array<int>>"))
+
+    kept = F.filter(ids, lambda x: ~x.isin(CLS, PAD))
+    stops = lambda body: F.filter(F.transform(body, lambda x, k: F.when(x == SEP, k + 1)), lambda k: k.isNotNull())
+    return held(held(kept, lambda body: F.struct(body.alias("body"), stops(body).alias("stops"))), cut)
 
 
 def special_bounds(ids: Column) -> tuple[Column, Column]:
