@@ -71,8 +71,8 @@ def one_hot_decode(rows: Column) -> Column:
 
 def bins(s: Column, width: int) -> Column:
     """Successive pieces of `width` symbols; the last may be shorter, an empty sequence has none."""
-    n = F.ceil(F.length(s) / F.lit(width)).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(s, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+    # one pass: a substring counts symbols from the start each time
+    return F.coalesce(F.regexp_extract_all(s, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def bins_from_right(s: Column, width: int) -> Column:
