@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import rng
 
 from . import intervals
+from .tokens import held
 
 
 def shuffle(df: DataFrame, seed: str, *keys: Column) -> DataFrame:
@@ -79,11 +80,14 @@ def block_shuffle(s: Column, key: Column, seed: str, blocks: int = 20, moved: in
     """s in `blocks` equal blocks, of which `moved` hash-chosen ones are permuted among their own places.
 
     s must divide into the blocks; a remainder raises."""
-    width = (F.length(s) / blocks).cast("int")
     ok = F.when(F.length(s) % blocks != 0, F.raise_error(F.lit("the length must divide into the blocks")).cast("string")).otherwise(s)
     draws = F.array(*(F.struct(rng.u(seed, "pick", key, k).alias("u"), F.lit(k).alias("k")) for k in range(blocks)))
     picked = F.transform(F.slice(F.array_sort(draws), 1, moved), lambda x: x["k"])
-    places = F.array_sort(picked)
-    block = lambda k: F.substring(ok, k * width + 1, width)
-    # the places in order take the chosen blocks in the order of their draws
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.when(F.array_position(places, k) > 0, block(F.element_at(picked, F.greatest(F.array_position(places, k), F.lit(1)).cast("int")))).otherwise(block(k))), "")
+
+    def order(x: Column) -> Column:
+        # the places in order take the chosen blocks in the order of their draws
+        source = lambda k, p: F.when(p > 0, F.element_at(x, F.greatest(p, F.lit(1)).cast("int"))).otherwise(k)
+        return held(F.array_sort(x), lambda places: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: held(F.array_position(places, k), lambda p: source(k, p))))
+
+    whole = F.struct(ok.alias("s"), (F.length(s) / blocks).cast("int").alias("width"), held(picked, order).alias("order"))
+    return held(whole, lambda x: F.array_join(F.transform(x["order"], lambda k: F.substring(x["s"], k * x["width"] + 1, x["width"])), ""))
