@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from . import stages
 
+SLICE = 1024  # texts encoded at once
+DENSE = 1024  # symbols whose pairs are counted in a table
 SPECIAL = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 
 
@@ -34,6 +36,8 @@ class Bpe:
         after, before, live = [*range(1, n), -1] if n else [], list(range(-1, n - 1)), [True] * n
         heap: list[tuple[int, int, str, str]] = []
         draws = 0
+        # the number of a draw is hashed after what all draws share, the text among it
+        base, limit = hashlib.md5(f"{seed}|".encode()), dropout * 2**32
 
         def offer(i: int) -> None:
             nonlocal draws
@@ -41,7 +45,9 @@ class Bpe:
             if j >= 0 and (r := self.ranks.get((parts[i], parts[j]))) is not None:
                 if dropout:
                     draws += 1
-                    if int(hashlib.md5(f"{seed}|{draws}".encode()).hexdigest()[:8], 16) < dropout * 2**32:
+                    drawn = base.copy()
+                    drawn.update(b"%d" % draws)
+                    if int.from_bytes(drawn.digest()[:4]) < limit:
                         return
                 heapq.heappush(heap, (r, i, parts[i], parts[j]))
 
@@ -70,8 +76,51 @@ class Bpe:
             ends.append(at)
         return [self.vocabulary.get(x, 0) for x in p], [e - len(x) for e, x in zip(ends, p, strict=True)], ends
 
+    def in_order(self) -> bool:
+        """Whether a pair always ranks after all pairs that make its parts, as training gives them; then merges one after another give the pieces of `pieces`."""
+        made: dict[str, int] = {}
+        for (a, b), k in self.ranks.items():
+            made[a + b] = max(k, made.get(a + b, -1))
+        return all(made.get(x, -1) < k for pair, k in self.ranks.items() for x in pair)
+
+    def encode_many(self, texts: pa.Array) -> pa.Array:
+        """(ids, starts, ends) of each text of an Arrow array, as `encode` gives them, all texts of it in one array of symbols."""
+        given = texts.to_pylist()
+        size = np.array([len(t) if t else 0 for t in given], np.int64)
+        points, x = np.unique(np.frombuffer("".join(t for t in given if t).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        names = [chr(p) for p in points]
+        number = {c: k for k, c in enumerate(names)}
+        pairs = []
+        for (a, b), _ in sorted(self.ranks.items(), key=lambda r: r[1]):
+            if a in number and b in number:
+                if a + b not in number:
+                    number[a + b] = len(names)
+                    names.append(a + b)
+                pairs.append((number[a], number[b], number[a + b]))
+        row = np.repeat(np.arange(len(size)), size)
+        if len(x):
+            last = np.cumsum(size[size > 0]) - 1
+            x, last = _merge_symbols(x.astype(np.int32), last, pairs)
+            row = np.repeat(np.flatnonzero(size), np.diff(last, prepend=-1))
+        offsets = pa.array(np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32))
+        length = np.array([len(c) for c in names] or [0])[x]
+        ends = np.cumsum(length) - np.concatenate([[0], np.cumsum(size)])[row]
+        ids = np.array([self.vocabulary.get(c, 0) for c in names] or [0])[x]
+        null = pa.array([t is None for t in given], pa.bool_())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32)), mask=null) for v in (ids, ends - length, ends)]
+        return pa.StructArray.from_arrays(lists, names=["ids", "starts", "ends"])
+
     def column(self, text: Column, dropout: float = 0.0, seed: str = "") -> Column:
-        """struct(ids, starts, ends) of a text column; null texts give null."""
+        """struct(ids, starts, ends) of a text column; null texts give null fields."""
+        if not dropout and self.in_order():
+
+            @F.arrow_udf("ids array<int>, starts array<int>, ends array<int>")
+            def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+                for b in batches:
+                    done = [self.encode_many(b.slice(i, SLICE)) for i in range(0, len(b), SLICE)]
+                    yield pa.concat_arrays(done or [self.encode_many(b)])
+
+            return whole(text)
 
         @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -117,13 +166,26 @@ def train(sequences: DataFrame, text: str, merges: int, piece: int | None = None
     s = sequences.where(F.length(text) > 0).select(F.col(text).alias("s"))
     if piece:
         s = s.select(F.explode(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).alias("s"))
-    alphabet = sorted(r[0] for r in s.select(F.explode(F.array_distinct(F.split("s", ""))).alias("c")).distinct().where("c <> ''").collect())
+
+    def points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update(t)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["c"])
+
+    # written once: the alphabet and the numbers both read it
+    s = stages.written(s, "bpe-texts")
+    alphabet = sorted(r[0] for r in s.mapInArrow(symbols, "c string").distinct().collect())
     names = list(alphabet)
-    code = {c: k for k, c in enumerate(alphabet)}
+    code = np.array(sorted(map(ord, alphabet)), np.uint32)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array([code[c] for c in t], np.int32).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.searchsorted(code, points(t)).astype(np.int32).tobytes() for t in b.column(0).to_pylist()], pa.binary())], names=["x"])
 
     def applied(pairs: list[tuple[int, int, int]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,10 +209,17 @@ def train(sequences: DataFrame, text: str, merges: int, piece: int | None = None
                 run_of = np.concatenate([[0], np.cumsum((np.diff(same) > 1) | (x[same][1:] != x[same][:-1]))]) if len(same) else same
                 first = np.flatnonzero(np.diff(run_of, prepend=-1))
                 odd = same[(np.arange(len(same)) - first[run_of]) % 2 == 1] if len(same) else same
-                at = np.setdiff1d(at, odd, assume_unique=True)
-                k = x[at].astype(np.int64) << 32 | x[at + 1]
+                inner[odd] = False
+                at = np.flatnonzero(inner)
+                most = int(x.max()) + 1
+                if most <= DENSE:  # few symbols are counted in a table, without sorting
+                    table = np.bincount(x[at].astype(np.int64) * most + x[at + 1], minlength=1)
+                    k = np.flatnonzero(table)
+                    n, k = table[k], k // most << 32 | k % most
+                else:
+                    k, n = np.unique(x[at].astype(np.int64) << 32 | x[at + 1], return_counts=True)
                 key, which = np.unique(np.concatenate([key, k]), return_inverse=True)
-                total = np.bincount(which, np.concatenate([total, np.ones(len(k), np.int64)]), len(key)).astype(np.int64)
+                total = np.bincount(which, np.concatenate([total, n]), len(key)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], names=["pair", "n"])
 
         return run

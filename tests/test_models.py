@@ -80,3 +80,24 @@ def test_registered_components(spark, data):
     u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     want = np.abs((u * s)[:, :2])
     assert np.allclose(np.abs([got[k] for k in sorted(e)]), want, atol=2e-2 * s[0] / np.sqrt(len(x)))
+
+
+def test_many_texts_encoded_at_once(spark):
+    """All texts of a batch are merged together; the loop over one text gives the same ids and offsets."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    from strandflow.functions.bpe import Bpe
+
+    rng = random.Random(3)
+    pairs = [("a", "a"), ("aa", "a"), ("b", "a"), ("aaa", "b"), ("aa", "aa"), ("é", "a")]
+    m = Bpe(list("ab"), pairs)
+    texts = [None, "", "a", "x", *("".join(rng.choices("abé😀", k=rng.randrange(60))) for _ in range(500)), None]
+    for t, e in zip(texts, m.encode_many(pa.array(texts)).to_pylist(), strict=True):
+        assert (e["ids"], e["starts"], e["ends"]) == ((None, None, None) if t is None else m.encode(t))
+    assert m.in_order() and not Bpe(list("ab"), [("ab", "a"), ("a", "b")]).in_order()
+    long = pa.array(["".join(rng.choices("ab", k=256)) for _ in range(2000)] * 10)
+    begun = time.time()
+    assert len(m.encode_many(long)) == 20_000 and time.time() - begun < 4
