@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 UNK, CLS, SEP, PAD, MASK, IGNORE = 0, 1, 2, 3, 4, -100
 
@@ -32,6 +36,17 @@ def padded(a: Column, length: int, value: int = PAD) -> Column:
     return F.concat(a, F.array_repeat(F.lit(value).cast("int"), F.greatest(F.lit(length) - F.size(a), F.lit(0))))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def starts(a: pa.Array) -> pa.Array:
+    """Where each token of a row starts, if they follow one another with these lengths from 0: running sums within the row."""
+    bounds = np.asarray(a.offsets)
+    lengths = a.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = bounds - bounds[0]
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds))))
+    return pc.if_else(a.is_valid(), out, None) if a.null_count else out
+
+
 def truncate(a: Column, budget: int, side: str = "right") -> Column:
     """At most `budget` tokens: the first (right), the last (left) or those around the middle (mid)."""
     n = F.size(a)
