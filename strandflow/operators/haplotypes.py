@@ -5,14 +5,20 @@ Windows are cut from contig lengths alone. Texts are built from tiles, window by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from strandflow.functions import rng, seq, stages
 
 from . import intervals, scan
 
 TILE = 1024
+BATCH = 4 << 20  # symbols of documents that leave a task at once
+_COMPLEMENT = str.maketrans(seq.IUPAC_FROM, seq.IUPAC_TO)
 
 
 def windows(contigs: DataFrame, seed: str, start: int = 5000, sentence: tuple[int, int] = (500, 1000), document: tuple[int, int] = (50, 100)) -> DataFrame:
@@ -39,32 +45,27 @@ def windows(contigs: DataFrame, seed: str, start: int = 5000, sentence: tuple[in
     return d.where(F.col("start") + hi < F.col("len")).drop("len")
 
 
-def symbol_count(df: DataFrame, tiles: DataFrame, symbol: str, name: str, width: int = TILE) -> DataFrame:
-    """df with `name`: how often a symbol, in either case, stands in each interval; counted tile by tile."""
-    spans = df.select("chrom", "start", "end").where("end > start").distinct()
-    parts = spans.withColumn("tile_idx", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))))
-    j = parts.join(tiles.select("chrom", "tile_idx", F.upper("seq").alias("seq")), ["chrom", "tile_idx"])
-    lo = F.greatest(F.col("start") - F.col("tile_idx") * width, F.lit(0).cast("bigint"))
-    piece = F.substring("seq", (lo + 1).cast("int"), (F.least(F.col("end") - F.col("tile_idx") * width, F.lit(width).cast("bigint")) - lo).cast("int"))
-    found = j.groupBy("chrom", "start", "end").agg(F.sum(seq.count_of(piece, symbol)).alias("_n"))
-    return df.join(found, ["chrom", "start", "end"], "left").select(*df.columns, F.coalesce("_n", F.lit(0).cast("bigint")).alias(name))
-
-
-def applied(sites: Column) -> Column:
-    """Of an array of (lp, n, ...) in order, those that do not start before the end of the one applied before them."""
-    start = F.struct(F.lit(0).cast("bigint").alias("done"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
-
-    def step(a: Column, v: Column) -> Column:
-        ok = v["lp"] >= a["done"]
-        return F.struct(F.when(ok, v["lp"] + v["n"]).otherwise(a["done"]).alias("done"), F.when(ok, F.array_append(a["kept"], a["i"])).otherwise(a["kept"]).alias("kept"), (a["i"] + 1).alias("i"))
+def alleles_in(text: str, sites: list[tuple[int, str]], calls: dict[tuple[int, str], tuple[str, str]]) -> tuple[str, str]:
+    """Both haplotypes of a window: at each site (place, reference) the alleles that calls has, else the reference. In order of place, then length, a site that starts before
+    the end of the one applied before it is left out."""
+    first, second, done = [], [], 0
+    for lp, ref in sorted(sites, key=lambda x: (x[0], len(x[1]), x[1])):
+        if lp >= done:
+            a, b = calls.get((lp, ref), (ref, ref))
+            between = text[done:lp]
+            first += (between, a)
+            second += (between, b)
+            done = lp + len(ref)
+    return "".join([*first, text[done:]]), "".join([*second, text[done:]])
 
-    return F.transform(F.aggregate(sites, start, step)["kept"], lambda i: F.get(sites, i))
 
-
-def cut(text: Column, lengths: Column) -> Column:
+def cut(text: str, lengths: list[int]) -> list[str]:
     """Sentences of the given lengths, in order; where the text ends they are shorter or empty."""
-    place = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x))
-    return F.zip_with(place, lengths, lambda p, n: F.substring(text, (p + 1).cast("int"), n.cast("int")))
+    out, at = [], 0
+    for n in lengths:
+        out.append(text[at : at + n])
+        at += n
+    return out
 
 
 def documents(contigs: DataFrame, tiles: DataFrame, calls: DataFrame, seed: str, min_density: float = 0.01, max_n: float = 0.5, both: bool = True, width: int = TILE, **options) -> DataFrame:
@@ -76,39 +77,45 @@ def documents(contigs: DataFrame, tiles: DataFrame, calls: DataFrame, seed: str,
     Windows with more than `max_n` of N or without sites have no documents, nor have samples without a non-reference first allele in the window or with fewer genotyped sites
     than `min_density` a base. The second haplotype is there where it differs. Sentence lengths are those of the window, so a longer haplotype is cut short and a shorter one has short last
     sentences; the other strand's sentences follow the lengths from the last to the first. vcs counts genotyped sites, len is the window's, snt its number of sentences."""
-    w = symbol_count(windows(contigs, seed, **options), tiles, "N", "_n", width).where(F.col("_n") <= (F.col("end") - F.col("start")) * max_n).drop("_n")
-    w = stages.written(w, "windows")
-    at = calls.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "ref").distinct()
-    met = stages.written(intervals.overlap_join(w.select("chrom", "doc_idx", "start", "end"), at), "sites")
-    per_doc = met.groupBy("chrom", "doc_idx", "start", "end").agg(F.array_sort(F.collect_list(F.struct((F.col("start_b") - F.col("start")).alias("lp"), F.length("ref_b").cast("bigint").alias("n"), F.col("ref_b").alias("ref")))).alias("sites"))
-    # pieces of a window: what lies between the site before and a site, and the site; the last has no site
-    kept = per_doc.withColumn("sites", applied(F.col("sites")))
-    size = F.col("end") - F.col("start")
-    last = F.struct(size.alias("lp"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("ref"))
-    pieces = kept.select("chrom", "doc_idx", F.col("start").alias("s0"), F.posexplode(F.concat("sites", F.array(last))).alias("k", "site"), "sites")
-    done = F.when(F.col("k") > 0, F.get("sites", F.col("k") - 1)["lp"] + F.get("sites", F.col("k") - 1)["n"]).otherwise(F.lit(0).cast("bigint"))
-    pieces = pieces.select("chrom", "doc_idx", "k", F.col("site.ref").alias("ref"), (F.col("s0") + F.col("site.lp")).alias("p"), (F.col("s0") + done).alias("start"), F.greatest(F.col("s0") + F.col("site.lp"), F.col("s0") + done).alias("end"))
-    read = intervals.get_fasta(pieces.where("end > start"), tiles, width).unionByName(pieces.where("end <= start").withColumn("sequence", F.lit("")))
-    # each sample's calls in windows, kept or not, decide whether it is used
-    given = calls.select("chrom", (F.col("pos") - 1).alias("p"), "ref", "alts", "sample", "a1", "a2")
-    inside = met.select("chrom", "doc_idx", F.col("start_b").alias("p"), F.col("ref_b").alias("ref")).join(given, ["chrom", "p", "ref"])
-    inside = stages.written(inside, "calls")
-    genotyped = F.count_if(F.coalesce(F.col("a1"), F.lit(-1)) != -1)
-    use = inside.groupBy("chrom", "doc_idx", "sample").agg(genotyped.alias("vcs"), F.bool_or(F.coalesce(F.col("a1") > 0, F.lit(False))).alias("used")).where("used").drop("used")
-    use = use.join(w, ["chrom", "doc_idx"]).where(F.col("vcs") >= (F.col("end") - F.col("start")) * min_density).select("chrom", "doc_idx", "sample", "vcs", size.alias("len"), "lengths")
+    w = intervals.get_fasta(stages.written(windows(contigs, seed, **options), "windows"), tiles, width)
+    w = w.withColumn("sequence", F.upper("sequence")).where(seq.count_of(F.col("sequence"), "N") <= (F.col("end") - F.col("start")) * max_n)
+    w = stages.written(w, "texts")
+    at = calls.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), "ref", "alts", "sample", "a1", "a2")
+    met = intervals.overlap_join(w.select("chrom", "doc_idx", "start", "end"), at)
+    met = stages.written(met.select("chrom", "doc_idx", "sample_b", (F.col("start_b") - F.col("start")).alias("lp"), "ref_b", "alts_b", "a1_b", "a2_b").toDF("chrom", "doc_idx", "sample", "lp", "ref", "alts", "a1", "a2"), "calls")
     missing = F.coalesce(F.col("a1"), F.lit(-1)) == -1
-    first = F.when(missing, F.col("ref")).otherwise(seq.allele(F.col("ref"), F.col("alts"), F.col("a1")))
-    second = F.when(missing, F.col("ref")).otherwise(seq.allele(F.col("ref"), F.col("alts"), F.col("a2")))
-    grid = use.select("chrom", "doc_idx", "sample").join(read.select("chrom", "doc_idx", "k", "p", "ref", F.upper("sequence").alias("sequence")), ["chrom", "doc_idx"])
-    full = grid.join(inside.select("chrom", "doc_idx", "p", "ref", "sample", "alts", "a1", "a2"), ["chrom", "doc_idx", "p", "ref", "sample"], "left")
-    end = F.col("ref").isNull()
-    said = [F.concat("sequence", F.when(end, F.lit("")).otherwise(x)).alias(f"h{k}") for k, x in ((1, first), (2, second))]
-    whole = full.groupBy("chrom", "doc_idx", "sample").agg(F.array_sort(F.collect_list(F.struct("k", *said))).alias("parts"))
-    whole = whole.select("chrom", "doc_idx", "sample", F.array_join("parts.h1", "").alias("h1"), F.array_join("parts.h2", "").alias("h2"))
-    haps = F.when(F.col("h1") == F.col("h2"), F.array(F.struct(F.lit(1).alias("haplotype"), F.col("h1").alias("s")))).otherwise(F.array(F.struct(F.lit(1).alias("haplotype"), F.col("h1").alias("s")), F.struct(F.lit(2).alias("haplotype"), F.col("h2").alias("s"))))
-    each = whole.join(use, ["chrom", "doc_idx", "sample"]).select("chrom", "doc_idx", "sample", "vcs", "len", "lengths", F.explode(haps).alias("x"))
-    strands = [F.struct(F.lit("+").alias("strand"), cut(F.col("x.s"), F.col("lengths")).alias("text"))]
-    if both:
-        strands.append(F.struct(F.lit("-").alias("strand"), cut(seq.revcomp_iupac(F.col("x.s")), F.reverse("lengths")).alias("text")))
-    out = each.select("chrom", "doc_idx", "sample", F.col("x.haplotype").alias("haplotype"), F.explode(F.array(*strands)).alias("y"), "vcs", "len", F.size("lengths").alias("snt"))
-    return out.select("chrom", "doc_idx", "sample", "haplotype", "y.strand", "y.text", "vcs", "len", "snt")
+    alleles = [F.when(missing, F.col("ref")).otherwise(seq.allele(F.col("ref"), F.col("alts"), F.col(c))).alias(x) for c, x in (("a1", "x1"), ("a2", "x2"))]
+    # a window's sites are all samples'; each sample's own calls decide whether it is used
+    sites = met.select("chrom", "doc_idx", "lp", "ref").distinct().groupBy("chrom", "doc_idx").agg(F.collect_list(F.struct("lp", "ref")).alias("sites"))
+    use = met.groupBy("chrom", "doc_idx", "sample").agg(F.count_if(~missing).alias("vcs"), F.bool_or(F.coalesce(F.col("a1") > 0, F.lit(False))).alias("used"), F.collect_list(F.struct("lp", "ref", *alleles)).alias("calls"))
+    size = F.col("end") - F.col("start")
+    use = use.where("used").join(sites, ["chrom", "doc_idx"]).join(w, ["chrom", "doc_idx"]).where(F.col("vcs") >= size * min_density)
+    given = use.select("chrom", "doc_idx", "sample", "vcs", size.alias("len"), "lengths", "sequence", "sites.lp", "sites.ref", *(F.col(f"calls.{x}").alias(f"own_{x}") for x in ("lp", "ref", "x1", "x2")))
+    kinds = given.schema
+    schema = StructType([kinds["chrom"], kinds["doc_idx"], kinds["sample"], StructField("haplotype", IntegerType()), StructField("strand", StringType()), StructField("text", ArrayType(StringType())), StructField("vcs", LongType()), kinds["len"], StructField("snt", IntegerType())])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            own = pa.array([r[0] for r in rows])
+            haplotype, strand, text, snt = (pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.string()), (3, pa.list_(pa.string())), (4, pa.int32())))
+            c = {n: batch.column(n).take(own) for n in ("chrom", "doc_idx", "sample", "vcs", "len")}
+            return pa.RecordBatch.from_arrays([c["chrom"], c["doc_idx"], c["sample"], haplotype, strand, text, c["vcs"], c["len"], snt], names=schema.names)
+
+        for batch in batches:
+            rows, held = [], 0
+            for a in range(0, batch.num_rows, 64):
+                part = [batch.column(k).slice(a, 64).to_pylist() for k in range(5, batch.num_columns)]
+                for k, (lengths, text, lp, ref, own_lp, own_ref, x1, x2) in enumerate(zip(*part, strict=True), a):
+                    one, two = alleles_in(text, list(zip(lp, ref, strict=True)), dict(zip(zip(own_lp, own_ref, strict=True), zip(x1, x2, strict=True), strict=True)))
+                    for h, s in enumerate((one,) if one == two else (one, two), 1):
+                        rows.append((k, h, "+", cut(s, lengths), len(lengths)))
+                        if both:
+                            rows.append((k, h, "-", cut(s.translate(_COMPLEMENT)[::-1], lengths[::-1]), len(lengths)))
+                        held += 2 * len(s)
+                    if held > BATCH:
+                        yield sent()
+                        rows, held = [], 0
+            if rows:
+                yield sent()
+
+    return given.mapInArrow(written, schema)
