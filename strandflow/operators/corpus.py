@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.functions import rng, seq
+from strandflow.functions import rng, seq, stages
 
 from . import intervals
 
@@ -14,8 +14,9 @@ TILE = 1024
 
 def both_strands(genome: DataFrame) -> DataFrame:
     """Each contig and its reverse complement, named rc_<contig>: one scan of the genome."""
-    both = F.explode(F.array(F.struct(F.col("chrom").alias("c"), F.col("seq").alias("s")), F.struct(F.concat(F.lit("rc_"), "chrom").alias("c"), seq.revcomp_iupac(F.col("seq")).alias("s"))))
-    return genome.select(both.alias("x"), "len").select(F.col("x.c").alias("chrom"), F.col("x.s").alias("seq"), "len")
+    # bases stay outside what is exploded, so that they are not read where only lengths are asked for
+    both = genome.select("chrom", "seq", "len", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"))
+    return both.select(F.when(F.col("back"), F.concat(F.lit("rc_"), "chrom")).otherwise(F.col("chrom")).alias("chrom"), F.when(F.col("back"), seq.revcomp_iupac(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), "len")
 
 
 def sentences(genome: DataFrame, seed: str, start: int = 5000, sentence: tuple[int, int] = (500, 1000), document: tuple[int, int] = (50, 100)) -> DataFrame:
@@ -44,6 +45,6 @@ def sentences(genome: DataFrame, seed: str, start: int = 5000, sentence: tuple[i
 
 def documents(genome: DataFrame, seed: str, **options) -> DataFrame:
     """(chrom, doc_idx, text): documents as arrays of upper-case sentences. Bases come from tiles, so no sentence carries its contig."""
-    s = sentences(genome.select("chrom", "len"), seed, **options).withColumn("end", F.col("start") + F.col("n"))
+    s = stages.written(sentences(genome.select("chrom", "len"), seed, **options).withColumn("end", F.col("start") + F.col("n")), "sentences")
     j = intervals.get_fasta(s, intervals.tile(genome, TILE), TILE).select("chrom", "doc_idx", "sentence_idx", F.upper("sequence").alias("s"))
     return j.groupBy("chrom", "doc_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sentence_idx", "s"))), lambda x: x["s"]).alias("text"))

@@ -28,6 +28,13 @@ def genome(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), bases("text").alias("seq")).withColumn("len", F.length("seq").cast("bigint"))
 
 
+def genome_written(spark: SparkSession, d: str) -> DataFrame:
+    """genome() as a table in the shared folder, for queries that read it more than once: letters are translated once, and lengths are read without bases."""
+    from strandflow.functions import stages
+
+    return stages.written(genome(spark, d), "genome")
+
+
 _CODE = bytes.maketrans(LETTERS.encode(), CODES.encode())
 _OTHER = bytes(set(range(256)) - set(LETTERS.encode()))
 
