@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.functions import rng
+from strandflow.functions import rng, stages
 
 from . import intervals, scan
 
@@ -51,5 +51,5 @@ def negatives(wanted: DataFrame, sizes: DataFrame, avoid: DataFrame, length: int
     c = c.withColumn("try", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.lit(tries[0]).cast("bigint"), F.col("n") * tries[1]))))
     start = rng.between(F.lit(0).cast("bigint"), F.col("len") - length, seed, F.col("chrom"), F.col("try").cast("string"))
     c = c.select("chrom", "n", "try", start.alias("start")).withColumn("end", F.col("start") + length)
-    free = intervals.overlap_join(c, avoid.select("chrom", "start", "end"), how="left_anti")
+    free = stages.written(intervals.overlap_join(c, avoid.select("chrom", "start", "end"), how="left_anti"), "free")
     return scan.position(free, "_k", scan.number_bucket(F.col("try")), (F.col("try"),), ("chrom",)).where("_k <= n").select("chrom", "start", "end", "try")

@@ -41,7 +41,7 @@ def g01(s, d):
 
 @query("g02_genome_corpus", v("genome", "both_ AS (SELECT chrom, seq, len FROM genome WHERE len >= 600 UNION ALL SELECT 'rc_' || chrom, reverse(translate(seq, 'ACTGN', 'TGACN')), len FROM genome WHERE len >= 600), " + _sentences("both_", "g02") + _DOCS))
 def g02(s, d):
-    return _digest(corpus.documents(corpus.both_strands(P.genome(s, d).where("len >= 600")), "g02", **_SMALL))
+    return _digest(corpus.documents(corpus.both_strands(P.genome_written(s, d).where("len >= 600")), "g02", **_SMALL))
 
 
 _VAR = "vr AS (SELECT chrom, len, seq, unnest(range(0, len // 40)) * 40 + 7 AS p0, substr(seq, p0 + 1, 1) AS ref FROM genome WHERE len >= 200), vv AS (SELECT *, CASE WHEN ref = 'A' THEN 'GT' ELSE 'A' END AS alt, p0 // 40 AS k FROM vr), sa AS (SELECT unnest(range(1, 4)) AS j), gg AS (SELECT chrom, p0, ref, alt, 's' || j AS sample, CASE WHEN (k + j) % 7 = 0 THEN -1 ELSE (k * j) % 2 END AS a1, (k + j) % 2 AS a2 FROM vv, sa)"
@@ -53,7 +53,7 @@ x AS (SELECT chrom, sample, h, p0, CASE WHEN a > 0 THEN alt ELSE ref END AS al,
 b AS (SELECT x.chrom, x.sample, x.h, string_agg(substr(seq, cur + 1, p0 - cur) || al, '' ORDER BY p0) || substr(any_value(seq), max(p0) + 2) AS s FROM x JOIN u USING (chrom, sample) JOIN genome USING (chrom) GROUP BY 1, 2, 3),
 c AS (SELECT *, lag(s) OVER (PARTITION BY chrom, sample ORDER BY h) AS p FROM b) SELECT chrom, sample, h::INT AS haplotype, md5(s) AS digest FROM c WHERE p IS NULL OR p <> s"""))
 def g03(s, d):
-    g = P.genome(s, d).where("len >= 200")
+    g = P.genome_written(s, d).where("len >= 200")
     vs = intervals.tile(g, 40).where("length(seq) = 40").select("chrom", C("tile_idx").alias("k"), (C("tile_idx") * 40 + 8).alias("pos"), F.substring("seq", 8, 1).alias("ref"))
     j = F.explode(F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3)))).alias("j")
     calls = vs.select("chrom", "pos", "ref", F.array(F.when(C("ref") == "A", "GT").otherwise("A")).alias("alts"), "k", j)
@@ -86,7 +86,7 @@ both_ AS (SELECT *, unnest(['+', '-']) AS strand, unnest([s, reverse(translate(s
 cut AS (SELECT *, list_transform(range(1, len(l) + 1), lambda k: substr(t, (coalesce(list_sum(l[1 : k - 1]), 0) + 1)::BIGINT, l[k])) AS sentences FROM both_)
 SELECT chrom, d AS doc_idx, sample, h::INT AS haplotype, strand, md5(array_to_string(sentences, '|')) AS digest, vcs, size::BIGINT AS len, len(lens)::INT AS snt FROM cut"""))
 def g03_documents(s, d):
-    g = P.genome(s, d)
+    g = P.genome_written(s, d)
     t = intervals.tile(g, 40).select("chrom", C("tile_idx").alias("k"), "seq").where("length(seq) >= 8")
     one = t.select("chrom", "k", (C("k") * 40 + 8).alias("pos"), F.substring(C("seq"), F.lit(8), F.when(C("k") % 5 == 0, 3).otherwise(1)).alias("ref"), F.when(C("k") % 3 == 0, "A").when(C("k") % 3 == 1, F.concat(F.substring("seq", 8, 1), F.lit("GT"))).otherwise("C").alias("alt"))
     two = t.where("k % 7 = 0 and length(seq) >= 9").select("chrom", "k", (C("k") * 40 + 9).alias("pos"), F.substring("seq", 9, 1).alias("ref"), F.lit("T").alias("alt"))
@@ -106,10 +106,11 @@ UNION ALL SELECT chrom, max("end"), len FROM merged JOIN sizes USING (chrom) GRO
 a AS (SELECT 'sp_' || chrom || '_' || "start" || '_' || "end" || '_test' AS name, chrom, "start" AS s, "end" AS e FROM merged UNION ALL SELECT 'sp_' || chrom || '_' || s || '_' || e || '_train', chrom, s, e FROM g WHERE s < e)
 SELECT name, md5(substr(seq, s + 1, e - s)) AS digest FROM a JOIN genome USING (chrom)"""))
 def g05(s, d):
-    sizes = P.genome(s, d).where("len >= 100").select("chrom", "len")
-    ref = _iv(s, d).where(F.split_part("name", F.lit(":"), F.lit(2)).cast("int") % 3 == 0).select("chrom", "start", "end", "name")
+    g = P.genome_written(s, d)
+    sizes = g.where("len >= 100").select("chrom", "len")
+    ref = _iv(s, d, g).where(F.split_part("name", F.lit(":"), F.lit(2)).cast("int") % 3 == 0).select("chrom", "start", "end", "name")
     blocks = sizes.select("chrom", F.lit(0).cast("bigint").alias("start"), C("len").alias("end"), C("chrom").alias("to_chrom"), F.lit(0).cast("bigint").alias("to_start"), F.lit("+").alias("to_strand"))
-    _, records = datasets.holdout(ref, blocks, sizes, P.tiles(s, d), "sp", 200)
+    _, records = datasets.holdout(ref, blocks, sizes, intervals.tile(g, 2048), "sp", 200, 2048)
     return records.select("name", F.md5("sequence").alias("digest"))
 
 
@@ -126,8 +127,8 @@ def g06(s, d):
 _GP = 'gp AS (SELECT chrom, (len // 5)::BIGINT AS "start", (len // 5 + 80)::BIGINT AS "end", chrom AS name FROM genome WHERE len > 300)'
 
 
-def _gp(s, d):
-    return P.genome(s, d).where("len > 300").select("chrom", F.expr("len div 5").alias("start"), (F.expr("len div 5") + 80).alias("end"), C("chrom").alias("name"))
+def _gp(g):
+    return g.where("len > 300").select("chrom", F.expr("len div 5").alias("start"), (F.expr("len div 5") + 80).alias("end"), C("chrom").alias("name"))
 
 
 _NEG = """cd AS (SELECT chrom, n, len, unnest(range(1, greatest(4, n * 4) + 1)) AS t FROM wn JOIN genome USING (chrom) WHERE len > {L}), ck AS (SELECT chrom, n, t, {u} % (len - {L} + 1) AS s FROM cd),
@@ -142,13 +143,14 @@ def _win(c: str, L: int) -> str:
 
 @query("g07_peak_dataset", v("genome", f"{_GP}, w AS (SELECT DISTINCT chrom, {_win('(\"start\" + \"end\") // 2', 120)} FROM gp JOIN genome USING (chrom)), ps AS (SELECT chrom, s, e, substr(seq, s + 1, 120) AS q FROM w JOIN genome USING (chrom) WHERE e - s = 120), po AS (SELECT * FROM ps WHERE strpos(q, 'N') = 0), wn AS (SELECT chrom, count(*) AS n FROM po GROUP BY chrom), " + _NEG.format(L=120, u=hs("'g07'", "chrom", "t::VARCHAR")) + f", al AS (SELECT chrom, s, e, q, 1 AS label FROM po UNION ALL SELECT chrom, s, e, substr(seq, s + 1, 120), 0 FROM ng JOIN genome USING (chrom) WHERE strpos(substr(seq, s + 1, 120), 'N') = 0) SELECT chrom, s AS \"start\", e AS \"end\", q AS sequence, label, {_SPLIT} FROM al"))
 def g07(s, d):
-    g = P.genome(s, d)
-    return datasets.peak_classification(_gp(s, d), intervals.tile(g), g.select("chrom", "len"), 120, (4, 4), "g07", _TEST, _VALID)
+    g = P.genome_written(s, d)
+    return datasets.peak_classification(_gp(g), intervals.tile(g, 2048), g.select("chrom", "len"), 120, (4, 4), "g07", _TEST, _VALID, 2048)
 
 
 @query("g08_peak_regression", v("genome", f"{_GP}, w AS (SELECT DISTINCT chrom, {_win('((\"start\" + \"end\") // 2 - 16 + ' + hs(repr('g08'), 'name') + ' % 33)', 150)} FROM gp JOIN genome USING (chrom)), po AS (SELECT * FROM w WHERE e - s = 150 AND EXISTS (SELECT 1 FROM gp b WHERE b.chrom = w.chrom AND w.s < b.\"end\" AND w.e > b.\"start\")), wn AS (SELECT chrom, count(*) AS n FROM po GROUP BY chrom), " + _NEG.format(L=150, u=hs("'g08'", "chrom", "t::VARCHAR")) + f", al AS (SELECT chrom, s, e, 1 AS label FROM po UNION ALL SELECT chrom, s, e, 0 FROM ng) SELECT chrom, s AS \"start\", e AS \"end\", label, {_SPLIT} FROM al"))
 def g08(s, d):
-    return datasets.peak_regression(_gp(s, d), P.genome(s, d).select("chrom", "len"), 150, 16, (4, 4), "g08", _TEST, _VALID)
+    g = P.genome_written(s, d)
+    return datasets.peak_regression(_gp(g), g.select("chrom", "len"), 150, 16, (4, 4), "g08", _TEST, _VALID)
 
 
 @query("g09_context_extension", v("genome", "SELECT chrom AS id, CASE WHEN length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len THEN substr(seq, greatest(len // 2 - 100, 0) + 1, 200) ELSE seq END AS seq, length(chrom) % 2 = 0 AND greatest(len // 2 - 100, 0) + 200 <= len AS mapped FROM genome"))
@@ -168,13 +170,13 @@ def g09_unique_mapping(s, d):
 
 @query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))
 def g10(s, d):
-    g = P.genome(s, d)
+    g = P.genome_written(s, d)
     n = F.split_part("name", F.lit(":"), F.lit(2)).cast("int")
-    rg = _iv(s, d).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
+    rg = _iv(s, d, g).withColumn("strand", F.when(n % 2 == 0, "+").otherwise("-"))
     p = intervals.tile(g, 150).where("length(seq) = 150").select("chrom", "seq", (C("tile_idx") * 150 + 70).alias("p0"))
     ref = F.substring("seq", 71, 1)
     vs = p.select("chrom", (C("p0") + 1).alias("pos"), ref.alias("ref"), F.when(C("p0") % 4 == 0, "-").when(ref == "C", "G").otherwise("C").alias("alt"), C("p0").alias("id"))
-    x = datasets.variant_sequences(vs, rg, intervals.tile(g))
+    x = datasets.variant_sequences(vs, rg, intervals.tile(g, 2048), 2048)
     return x.select("name", "id", F.md5("ref_seq").alias("r"), F.md5("alt_seq").alias("a"))
 
 

@@ -90,8 +90,8 @@ def j07(s, d):
 _IV = "iv AS (SELECT chrom, i AS name, i * 301 AS \"start\", least(i * 301 + 400, len) AS \"end\" FROM (SELECT *, unnest(range(0, len // 301)) AS i FROM genome))"
 
 
-def _iv(s, d):
-    g = P.genome(s, d).where("len >= 301").select("chrom", "len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("len div 301 - 1"))).alias("i"))
+def _iv(s, d, genome=None):
+    g = (P.genome(s, d) if genome is None else genome).where("len >= 301").select("chrom", "len", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("len div 301 - 1"))).alias("i"))
     return g.select("chrom", F.concat_ws(":", "chrom", C("i").cast("string")).alias("name"), (C("i") * 301).alias("start"), F.least(C("i") * 301 + 400, C("len")).alias("end"))
 
 
