@@ -11,8 +11,8 @@ repeated ones change nothing; an empty table gives no rows; other columns than t
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,7 +164,9 @@ def sketch(rows: DataFrame, shards: int, support: int, longest: int) -> str:
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
     spark.createDataFrame([], "x int").write.parquet(folder)  # makes the folder
-    rows.mapInArrow(gather, "shard int, cells binary, counts binary").groupBy("shard").applyInArrow(lean(merge), "shard int").write.format("noop").mode("overwrite").save()
+    done = rows.mapInArrow(gather, "shard int, cells binary, counts binary").groupBy("shard").applyInArrow(lean(merge), "shard int")
+    with cleaned_shuffles(spark):
+        done.write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -250,10 +252,16 @@ def survivors(rows: DataFrame, folder: str, shards: int, longest: int) -> DataFr
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Has the driver forget what it no longer uses, upon which Spark deletes the files of those shuffles: the sketches' need not lie beside the survivors'."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of what is written here as soon as it is written, rather than when the driver forgets it: the sketches' need not lie beside the survivors'."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def counted(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -262,7 +270,6 @@ def counted(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = plan_shards(size, longest)
     folder = sketch(rows, shards, support, longest)
-    _let_go(rows.sparkSession)
     return staged(survivors(rows, folder, shards, longest).where((F.col("n") >= support) | (F.col("words") == 0)), "phrase-counts")
 
 
