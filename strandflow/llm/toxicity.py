@@ -24,6 +24,7 @@ from .labelled import remainder, sample_labels
 
 LENGTHS, BUCKETS, FEATURES, SUPPORT, SAMPLE, SLICES = (4, 5, 6), 1 << 20, 4096, 20, 12_000, 64
 THRESHOLD, RIDGE, ROUNDS, FOLDS = 0.5, 1e-3, 300, 2
+BLOCK = 1 << 18  # features that a gradient step looks at together
 _A = np.uint32(0x01000193)
 
 
@@ -100,21 +101,33 @@ class Model:
 def fit_logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS, dense: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
     """Weights of presence (ratio included), bias and the weight of the dense feature, by accelerated gradient steps on the regularised mean log loss."""
     sizes = np.array([len(r) for r in rows])
-    index = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    x = ratio[index]
+    index = np.concatenate([np.zeros(0, np.uint16), *rows]).astype(np.uint16 if len(ratio) <= 1 << 16 else np.int64, copy=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    # a step goes over the rows block by block, so what it holds beside the features stays small
+    edges = np.unique(np.concatenate([np.searchsorted(ends[:-1], np.arange(0, ends[-1], BLOCK)), [0, len(rows)]])).tolist()
+    blocks = list(zip(edges, edges[1:]))
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), values[index[ends[a] : ends[b]]], b - a) for a, b in blocks])
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratio))
+        for a, b in blocks:
+            out += np.bincount(index[ends[a] : ends[b]], np.repeat(values[a:b], sizes[a:b]), len(ratio))
+        return out
+
     dense = np.zeros(len(rows)) if dense is None else dense
     base = min(max(y.mean(), 1e-4), 1 - 1e-4)
     k = len(ratio)
     w = np.zeros(k + 2)  # then the dense feature's and the bias
     w[-1] = np.log(base / (1 - base))
     shrink = np.append(np.full(k + 1, ridge), 0.0)
-    bound = (np.bincount(owner, x * x, len(rows)) + dense * dense).mean() + 1  # of the mean loss' curvature, a quarter at most
+    bound = (by_row(ratio * ratio) + dense * dense).mean() + 1  # of the mean loss' curvature, a quarter at most
     step, m = 2.0 / bound, w.copy()
     for t in range(rounds):
-        z = np.bincount(owner, x * m[index], len(rows)) + m[k] * dense + m[-1]
+        z = by_row(ratio * m[:k]) + m[k] * dense + m[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(rows)
-        new = m - step * (np.concatenate([np.bincount(index, x * g[owner], k), [g @ dense, g.sum()]]) + shrink * m)
+        new = m - step * (np.concatenate([ratio * by_feature(g), [g @ dense, g.sum()]]) + shrink * m)
         m = new + t / (t + 3) * (new - w)
         w = new
     return w[:k] * ratio, float(w[-1]), float(w[k])
