@@ -24,6 +24,7 @@ from .labelled import remainder, sample_labels
 
 LENGTHS, BUCKETS, FEATURES, SUPPORT, SAMPLE, SLICES = (4, 5, 6), 1 << 20, 4096, 20, 12_000, 64
 THRESHOLD, RIDGE, ROUNDS, FOLDS = 0.5, 1e-3, 300, 2
+RANKED = np.dtype([("bucket", "<i4"), ("ratio", "<f8"), ("z", "<f8"), ("n", "<i8")])
 BLOCK = 1 << 18  # features that a gradient step looks at together
 _A = np.uint32(0x01000193)
 
@@ -195,15 +196,19 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
             z[p + n < 2] = 0
             top = np.argsort(-z, kind="stable")[:FEATURES]
             some = np.union1d(top[z[top] > 0], np.flatnonzero(p + n >= SUPPORT))
-            found.append(pa.table({"choice": pa.array(np.full(len(some), c, np.int32)), "bucket": pa.array(some + part * wide, pa.int32()), "ratio": ratio[some], "z": z[some], "n": (p + n)[some]}))
-        return pa.concat_tables(found)
+            packed = np.zeros(len(some), RANKED)
+            packed["bucket"], packed["ratio"], packed["z"], packed["n"] = some + part * wide, ratio[some], z[some], (p + n)[some]
+            found.append(packed.tobytes())
+        return pa.table({"choice": pa.array(range(len(found)), pa.int32()), "packed": pa.array(found, pa.binary())})
 
-    every = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "choice int, bucket int, ratio double, z double, n long").toPandas()  # BUCKETS rows a choice at most
+    every = docs.coalesce(16).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(rank, "choice int, packed binary").collect()  # SLICES cells a choice, of BUCKETS numbers in all at most; a row a bucket would fill the driver with objects
     chosen_features = []
     for c in range(len(chosen_by)):
-        ranked = every[every["choice"] == c].sort_values(["z", "bucket"], ascending=[False, True])
-        best = ranked[:FEATURES][lambda d: d["z"] > 0]
-        buckets, ratio = best["bucket"].to_numpy(), best["ratio"].to_numpy()
+        ranked = np.concatenate([np.frombuffer(r["packed"], RANKED) for r in every if r["choice"] == c])
+        ranked = ranked[np.lexsort((ranked["bucket"], -ranked["z"]))]
+        best = ranked[:FEATURES]
+        best = best[best["z"] > 0]
+        buckets, ratio = best["bucket"].copy(), best["ratio"].copy()
         rest = np.zeros(BUCKETS, np.float32)
         known = ranked[ranked["n"] >= SUPPORT]
         rest[known["bucket"]] = known["ratio"]
