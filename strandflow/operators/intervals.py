@@ -115,34 +115,38 @@ def liftover(df: DataFrame, blocks: DataFrame) -> DataFrame:
     return j.select("name", F.col("to_chrom_b").alias("chrom"), s.alias("start"), (s + hi - lo).alias("end"), F.col("to_strand_b").alias("strand"))
 
 
-def tile(genome: DataFrame, width: int = 256) -> DataFrame:
-    """(chrom, tile_idx, seq, len): contigs cut into tiles in one pass, so that no long contig is shuffled or copied for each tile. In an Arrow batch tiles are
-    new bounds over the same bytes."""
-    given = genome.where("len > 0 and seq is not null").select("chrom", "len", "seq")
+def cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(chrom, tile_idx, seq, len) of contigs (chrom, len, seq). Tiles are new bounds over the same bytes."""
     step = max(1, BATCH // width)
+    for batch in batches:
+        text = batch.column(2).cast(pa.large_string())
+        off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+        at, first = off - off[0], None
+        if len(data) and data.max() > 127:  # symbols of several bytes
+            first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            at = np.searchsorted(first, at)
+        tiles = -(-np.diff(at) // width)
+        row = np.repeat(np.arange(len(tiles)), tiles)
+        idx = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+        bounds = np.append(at[row] + idx * width, at[-1])
+        bounds = bounds if first is None else first[bounds]
+        for a in range(0, len(row), step):
+            b = min(a + step, len(row))
+            own = pa.array(row[a:b])
+            seqs = pa.StringArray.from_buffers(b - a, pa.py_buffer((bounds[a : b + 1] - bounds[a]).astype(np.int32)), pa.py_buffer(data[bounds[a] : bounds[b]].tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(idx[a:b]), seqs, batch.column(1).take(own)], names=["chrom", "tile_idx", "seq", "len"])
+
+
+def whole_contigs(genome: DataFrame) -> DataFrame:
+    return genome.where("len > 0 and seq is not null").select("chrom", "len", "seq")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(2).cast(pa.large_string())
-            off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
-            at, first = off - off[0], None
-            if len(data) and data.max() > 127:  # symbols of several bytes
-                first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-                at = np.searchsorted(first, at)
-            tiles = -(-np.diff(at) // width)
-            row = np.repeat(np.arange(len(tiles)), tiles)
-            idx = np.arange(len(row)) - np.repeat(np.cumsum(tiles) - tiles, tiles)
-            bounds = np.append(at[row] + idx * width, at[-1])
-            bounds = bounds if first is None else first[bounds]
-            for a in range(0, len(row), step):
-                b = min(a + step, len(row))
-                own = pa.array(row[a:b])
-                seqs = pa.StringArray.from_buffers(b - a, pa.py_buffer((bounds[a : b + 1] - bounds[a]).astype(np.int32)), pa.py_buffer(data[bounds[a] : bounds[b]].tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(idx[a:b]), seqs, batch.column(1).take(own)], names=["chrom", "tile_idx", "seq", "len"])
 
+def tile(genome: DataFrame, width: int = 256) -> DataFrame:
+    """(chrom, tile_idx, seq, len): contigs cut into tiles in one pass, so that no long contig is shuffled or copied for each tile."""
+    given = whole_contigs(genome)
     schema = StructType([given.schema["chrom"], StructField("tile_idx", LongType()), StructField("seq", StringType()), given.schema["len"]])
-    return given.mapInArrow(cut, schema)
+    return given.mapInArrow(lambda batches: cut(batches, width), schema)
 
 
 def get_fasta(df: DataFrame, tiles: DataFrame, width: int = 256, key: str = "name") -> DataFrame:

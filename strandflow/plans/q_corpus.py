@@ -163,9 +163,9 @@ def g09(s, d):
 @query("g09_unique_mapping")
 def g09_unique_mapping(s, d):
     """The middle 150 bases of each contig mapped back to all contigs, every run of 21 a seed. Counting all places of all reads is too slow in SQL; a test does it on small tables."""
-    g = P.genome(s, d)
+    g = P.genome_written(s, d)
     reads = g.select(C("chrom").alias("id"), F.expr("substring(seq, int(len div 2 + 1), 150)").alias("seq"))
-    return mapping.map_reads(reads, intervals.tile(g), sample=1, hot=1 << 20, max_edits=0, band=0).select("id", "chrom", "start", "strand", "loci", "unique")
+    return mapping.map_reads(reads, intervals.tile(g), sample=1, hot=1 << 20, max_edits=0, band=0, contigs=g).select("id", "chrom", "start", "strand", "loci", "unique")
 
 
 @query("g10_variant_sequences", v("genome", f"{_IV}, rg AS (SELECT *, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand FROM iv), vr AS (SELECT chrom, unnest(range(0, len // 150)) * 150 + 70 AS p0, seq FROM genome WHERE len >= 150), vv AS (SELECT chrom, p0, substr(seq, p0 + 1, 1) AS ref, CASE WHEN p0 % 4 = 0 THEN '-' WHEN substr(seq, p0 + 1, 1) = 'C' THEN 'G' ELSE 'C' END AS alt FROM vr), j AS (SELECT rg.chrom, name, p0, strand, substr(seq, \"start\" + 1, \"end\" - \"start\") AS a, substr(seq, \"start\" + 1, p0 - \"start\") || CASE WHEN alt = '-' THEN '' ELSE alt END || substr(seq, p0 + 2, \"end\" - p0 - 1) AS b FROM rg JOIN vv ON vv.chrom = rg.chrom AND p0 >= \"start\" AND p0 + 1 <= \"end\" JOIN genome ON genome.chrom = rg.chrom) SELECT chrom || ':' || name AS name, p0 AS id, md5(CASE WHEN strand = '-' THEN reverse(translate(a, 'ACTGN', 'TGACN')) ELSE a END) AS r, md5(CASE WHEN strand = '-' THEN reverse(translate(b, 'ACTGN', 'TGACN')) ELSE b END) AS a FROM j"))

@@ -75,3 +75,56 @@ def test_copies_are_looked_up_once(spark):
     got = map_reads(g.select(F.col("chrom").alias("id"), "seq"), intervals.tile(g), sample=1, hot=1 << 20, max_edits=0, band=0).collect()
     assert len(got) == 2000 and all((r.loci, r.chrom, r.start, r.unique) == (2000, "c0000", 0, False) for r in got)
     assert time.time() - begun < 60
+
+
+def test_exact_places_of_torn_tiles_and_heavy_seeds(spark, monkeypatch):
+    """Tiles in any order over any partitions, reads over several tiles, seeds above `hot`; all places counted by a plain loop."""
+    from pyspark.sql import functions as F
+
+    from strandflow.operators import mapping
+
+    rng = random.Random(11)
+    unit, word = "".join(rng.choices("ACGT", k=90)), "".join(rng.choices("ACGT", k=9))
+    genome = {"a": "".join(rng.choices("ACGT", k=300)) + unit + "".join(rng.choices("ACGTN", k=201)), "b": unit + rc(unit) + word * 12 + "".join(rng.choices("acgt", k=128)), "c": word * 30, "d": "".join(rng.choices("ACGT", k=64))}
+    upper = {c: s.upper() for c, s in genome.items()}
+    reads = {f"{c}{i}-{n}": s[i : i + n] for c, s in upper.items() for n in (8, 12, 31, 32, 70, 100) for i in range(0, len(s) - n, 23)} | {"unit": unit, "minus": rc(unit), "word": word * 3, "end": upper["b"][-40:], "absent": "ACGT" * 9, "n": "N" * 20, "half": (word * 2)[:14] + "A" * 15}
+    g = spark.createDataFrame([(c, s, len(s)) for c, s in genome.items()], "chrom string, seq string, len long").coalesce(1)
+    df = spark.createDataFrame(list(reads.items()), "id string, seq string")
+    k = 11
+    n = {}
+    for s in upper.values():
+        for i in range(len(s) - k + 1):
+            n[s[i : i + k]] = n.get(s[i : i + k], 0) + 1
+
+    def want(x, hot):
+        rarest = {}
+        for y in (x, x[::-1].translate(str.maketrans("ACGTN", "TGCAN"))):
+            seeds = [y[i : i + k] for i in range(len(y) - k + 1) if "N" not in y[i : i + k]]
+            if any(q in n for q in seeds):
+                rarest[y] = min(n[q] for q in seeds if q in n)
+        if rarest and min(rarest.values()) > hot:
+            return None
+        strands = [y for y in (x, x[::-1].translate(str.maketrans("ACGTN", "TGCAN"))) if rarest.get(y, hot + 1) <= hot]
+        return sum(s.startswith(y, i) for y in strands for s in upper.values() for i in range(len(s)))
+
+    tiles = intervals.tile(g, 32)
+    monkeypatch.setattr(mapping, "STRETCH", 200)
+    for given, contigs in ((tiles, None), (tiles.repartition(5, F.xxhash64("seq")), None), (tiles, g)):
+        for hot in (4, 1 << 20):
+            got = {r.id: r for r in map_reads(df, given, k=k, sample=1, hot=hot, max_edits=0, band=0, width=32, contigs=contigs).collect()}
+            assert {c: r.loci for c, r in got.items()} == {c: want(x, hot) for c, x in reads.items()}
+            assert all(r.chrom is None or upper[r.chrom][r.start : r.end] == (reads[c] if r.strand == "+" else rc(reads[c])) for c, r in got.items() if "N" not in reads[c])
+
+
+def test_exact_mapping_does_not_shuffle_the_genome(spark, monkeypatch):
+    """One read and a genome of 400,000 bases: what is written for it is less than a tenth of the bases."""
+    from strandflow.operators import mapping
+
+    rows = [(f"c{i}", "".join(random.Random(i).choices("ACGT", k=20_000)), 20_000) for i in range(20)]
+    g = spark.createDataFrame(rows, "chrom string, seq string, len long")
+    found, written = [], mapping.stages.written
+    monkeypatch.setattr(mapping.stages, "written", lambda df, name: found.append(written(df, name)) or found[-1])
+    reads = g.where("chrom = 'c7'").selectExpr("chrom AS id", "substring(seq, 501, 150) AS seq")
+    out = map_reads(reads, intervals.tile(g), sample=1, hot=1 << 20, max_edits=0, band=0)
+    assert [(r.chrom, r.start, r.loci) for r in out.collect()] == [("c7", 500, 1)]
+    assert sum(df.count() for df in found) < 1000
