@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import stages
+from . import draws, stages
 
 SLICE = 1024  # texts encoded at once
 DENSE = 1024  # symbols whose pairs are counted in a table
@@ -83,8 +83,8 @@ class Bpe:
             made[a + b] = max(k, made.get(a + b, -1))
         return all(made.get(x, -1) < k for pair, k in self.ranks.items() for x in pair)
 
-    def encode_many(self, texts: pa.Array) -> pa.Array:
-        """(ids, starts, ends) of each text of an Arrow array, as `encode` gives them, all texts of it in one array of symbols."""
+    def encode_many(self, texts: pa.Array, dropout: float = 0.0, seed: str = "") -> pa.Array:
+        """(ids, starts, ends) of each text of an Arrow array, as `encode` gives them (its seed is followed by the text), all texts of it in one array of symbols."""
         given = texts.to_pylist()
         size = np.array([len(t) if t else 0 for t in given], np.int64)
         points, x = np.unique(np.frombuffer("".join(t for t in given if t).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
@@ -100,7 +100,11 @@ class Bpe:
         row = np.repeat(np.arange(len(size)), size)
         if len(x):
             last = np.cumsum(size[size > 0]) - 1
-            x, last = _merge_symbols(x.astype(np.int32), last, pairs)
+            if dropout:
+                drawn = draws.Draws([f"{seed}|{t}|".encode() for t in given if t])
+                x, last = _merge_drawn(x.astype(np.int32), last, pairs, lambda row, number: drawn(row, number) < dropout * 2**32)
+            else:
+                x, last = _merge_symbols(x.astype(np.int32), last, pairs)
             row = np.repeat(np.flatnonzero(size), np.diff(last, prepend=-1))
         offsets = pa.array(np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32))
         length = np.array([len(c) for c in names] or [0])[x]
@@ -112,12 +116,12 @@ class Bpe:
 
     def column(self, text: Column, dropout: float = 0.0, seed: str = "") -> Column:
         """struct(ids, starts, ends) of a text column; null texts give null fields."""
-        if not dropout and self.in_order():
+        if self.in_order():
 
             @F.arrow_udf("ids array<int>, starts array<int>, ends array<int>")
             def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 for b in batches:
-                    done = [self.encode_many(b.slice(i, SLICE)) for i in range(0, len(b), SLICE)]
+                    done = [self.encode_many(b.slice(i, SLICE), dropout, seed) for i in range(0, len(b), SLICE)]
                     yield pa.concat_arrays(done or [self.encode_many(b)])
 
             return whole(text)
@@ -135,16 +139,73 @@ class Bpe:
         return self.column(left)["ids"], self.column(right)["ids"]
 
 
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Every other place of a run of overlapping ones."""
+    if not len(at):
+        return at
+    run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    return at[(np.arange(len(at)) - first[run]) % 2 == 0]
+
+
+def _merge_drawn(x: np.ndarray, ends: np.ndarray, pairs: list[tuple[int, int, int]], dropped: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """_merge_symbols with dropout: a pair that comes up is drawn for once, dropped(piece, number) in the order in which `pieces` numbers a text's draws, and never merged if it is dropped."""
+    last = np.zeros(len(x), bool)
+    last[ends] = True
+    row = np.cumsum(last) - last
+    most = max(int(x.max()), *(c for _, _, c in pairs), 0) + 1
+    codes = np.array(sorted(a * most + b for a, b, _ in pairs), np.int64)
+    table = np.zeros(most * most, bool) if most <= DENSE else None
+    if table is not None:
+        table[codes] = True
+
+    def ranked(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+        key = np.multiply(a, most, dtype=np.int64) + b
+        return np.isin(key, codes) if table is None else table[key]
+
+    at = np.flatnonzero(ranked(x[:-1], x[1:]) & ~last[:-1])
+    count = np.bincount(row[at], minlength=len(ends))
+    live = np.zeros(len(x), bool)  # the pair that starts here may be merged
+    live[at] = ~dropped(row[at], np.arange(1, len(at) + 1) - (np.cumsum(count) - count)[row[at]])
+    for a, b, c in pairs:
+        at = np.flatnonzero((x[:-1] == a) & (x[1:] == b) & live[:-1])
+        if a == b:
+            at = _every_other(at)
+        if not len(at):
+            continue
+        own = row[at]
+        # places are merged from the left, so a neighbour on the left is merged already and one on the right is not
+        beside = np.diff(at, prepend=-2) == 2
+        left = (at > 0) & ~last[at - 1]
+        beside &= left
+        left_new = left & ranked(np.where(beside, c, x[at - 1]), c)
+        right_new = ~last[at + 1]
+        right_new[right_new] = ranked(c, x[at[right_new] + 2])
+        new = left_new.astype(np.int64) + right_new
+        before = np.cumsum(new) - new
+        number = before - before[np.searchsorted(own, own)] + count[own] + 1
+        count += np.bincount(own, new, len(count)).astype(count.dtype)
+        gone = dropped(np.concatenate([own[left_new], own[right_new]]), np.concatenate([number[left_new], (number + left_new)[right_new]]))
+        left_new[left_new] = ~gone[: left_new.sum()]
+        right_new[right_new] = ~gone[len(gone) - right_new.sum() :]
+        x[at], live[at], last[at] = c, right_new, last[at + 1]
+        apart = left & ~beside
+        live[at[apart] - 1] = left_new[apart]
+        live[at[np.flatnonzero(beside) - 1]] = left_new[beside]
+        keep = np.ones(len(x), bool)
+        keep[at + 1] = False
+        x, last, live, row = x[keep], last[keep], live[keep], row[keep]
+    return x, np.flatnonzero(last)
+
+
 def _merge_symbols(x: np.ndarray, ends: np.ndarray, pairs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols x of pieces (last places in ends) with each pair (a, b) replaced by c in turn, runs of one symbol from the left."""
     last = np.zeros(len(x), bool)
     last[ends] = True
     for a, b, c in pairs:
         at = np.flatnonzero((x[:-1] == a) & (x[1:] == b) & ~last[:-1])
-        if a == b and len(at):  # every other place of a run of overlapping ones
-            run = np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
-            first = np.flatnonzero(np.diff(run, prepend=-1))
-            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+        if a == b:
+            at = _every_other(at)
         x = x.copy()
         x[at] = c
         last[at] |= last[at + 1]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -10,6 +13,7 @@ from pyspark.sql.types import StringType
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CODES = "ACGTACGTACGTACGTNCGTACGTAN" * 2
 CHROM_SIZE = 150_000
+SLICE = 512  # documents translated at once
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,10 +50,19 @@ def bases(texts: pd.Series) -> pd.Series:
 
 
 def tiles(spark: SparkSession, d: str, width: int = 256) -> DataFrame:
-    """(chrom, tile_idx, seq, len): the genome cut into tiles"""
+    """(chrom, tile_idx, seq, len): the genome cut into tiles, its letters translated in the same Arrow pass"""
     from strandflow.operators import intervals
 
-    return intervals.tile(genome(spark, d), width)
+    def translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                seqs = [t.as_buffer().to_pybytes().translate(_CODE, _OTHER) if t.is_valid else b"" for t in b.column(1)]
+                has = pa.array([len(s) > 0 for s in seqs])
+                given = [s for s in seqs if s]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(has), pa.array([len(s) for s in given], pa.int64()), pa.array(given, pa.binary()).cast(pa.string())], names=["chrom", "len", "seq"])
+
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), "text")
+    return docs.mapInArrow(lambda batches: intervals.cut(translated(batches), width), "chrom string, tile_idx long, seq string, len long")
 
 
 def sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -59,3 +59,13 @@ def test_span_means_shuffle_each_side_once(spark):
     signal = spark.createDataFrame([("c", 5, 7, 2.0), ("c", edge - 1, edge + 1, 5.0)], "chrom string, start long, end long, value double")
     got = sorted(((r.name, r["mean"]) for r in intervals.span_mean(spans, signal).collect()), key=str)
     assert got == [("a", 0.4), ("a", 0.4), ("b", 1.0), ("e", None)]
+
+
+@pytest.mark.parametrize("name", ["t04_bpe_dropout", "t24_mutagenesis"])
+def test_tiles_are_translated_and_cut_in_one_pass(spark, name, tmp_path):
+    """A filter on the translated text evaluated it twice, in workers of their own."""
+    assert "bases(" not in plan(spark, name)
+    rows = [(1, "The quick brown fox. " * 40), (2, None), (3, ""), (4, "12 äö"), (5, "AbäC")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = (sorted(map(tuple, df.collect())) for df in (proxies.tiles(spark, str(tmp_path)), intervals.tile(proxies.genome(spark, str(tmp_path)))))
+    assert got == want and len(got) == 4

@@ -1,12 +1,15 @@
 """Carried states, path integrals and principal components against loops and whole decompositions."""
 
+import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.functions import attribution, recurrent
+from strandflow.functions import attribution, bpe, draws, recurrent
 from strandflow.operators import reduction
 from strandflow.plans import registry
 
@@ -101,3 +104,27 @@ def test_many_texts_encoded_at_once(spark):
     long = pa.array(["".join(rng.choices("ab", k=256)) for _ in range(2000)] * 10)
     begun = time.time()
     assert len(m.encode_many(long)) == 20_000 and time.time() - begun < 4
+
+
+def test_dropout_of_many_texts_at_once():
+    """Ids and spans are those of the text-by-text encoder, draw by draw, in less than half its time."""
+    from strandflow.plans import q_models
+
+    rng = random.Random(4)
+    prefixes = [rng.randbytes(n) for n in (*range(130), 262, 5000)]
+    row, number = np.array([rng.randrange(len(prefixes)) for _ in range(3000)]), np.array([rng.choice([1, 9, 10, 99, 100, 1234567]) for _ in range(3000)])
+    want = [int.from_bytes(hashlib.md5(prefixes[i] + b"%d" % k).digest()[:4]) for i, k in zip(row, number.tolist(), strict=True)]
+    assert draws.Draws(prefixes)(row, number).tolist() == want
+    deep = bpe.Bpe(list("AB"), [("A", "A"), ("A", "B"), ("AA", "AA"), ("AA", "AB"), ("AB", "AB"), ("AAAA", "AB")])
+    for model, letters in ((q_models.model(), "ACGTN"), (q_models.model(), "A"), (deep, "AAAB"), (deep, "ABä")):
+        for p in (0.1, 0.6, 1.0):
+            texts = ["".join(rng.choices(letters, k=rng.choice([0, 1, 2, 3, 50, 256]))) for _ in range(60)]
+            got = model.encode_many(pa.array([*texts, None]), p, "s").to_pylist()
+            assert [tuple(g.values()) for g in got[:-1]] == [model.encode(t, p, f"s|{t}") for t in texts]
+    texts = ["".join(rng.choices("ACGT", k=256)) for _ in range(1024)]
+    model, took = q_models.model(), []
+    for run in (lambda: model.encode_many(pa.array(texts), 0.1, "s"), lambda: [model.encode(t, 0.1, f"s|{t}") for t in texts]):
+        begun = time.process_time()
+        run()
+        took.append(time.process_time() - begun)
+    assert 2 * took[0] < took[1]
